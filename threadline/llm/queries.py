@@ -20,6 +20,20 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_dom_belief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract, train
+
+    pages = _table(spark, sf_dir, "pages")
+    model = train(pages, "page_id", "html")
+    return extract(pages.select("page_id", "url", "html"), "html", model).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shard import place_records
 
@@ -57,7 +71,7 @@ def op8_bitpacked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_rendezvous_shards, op6_cutting_stock_packing, op7_png_media, op8_bitpacked_tokens)}
+    return {f.__name__: f for f in (op3_dom_belief, op4_byte_cnn, op5_rendezvous_shards, op6_cutting_stock_packing, op7_png_media, op8_bitpacked_tokens)}
 
 
 #: crc32 of a text's UTF-8 bytes in SQL, byte by byte over the table of the reflected polynomial.
