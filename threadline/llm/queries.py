@@ -20,6 +20,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_dom_belief(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .htmltext import extract, train
 
@@ -71,7 +77,7 @@ def op8_bitpacked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_dom_belief, op4_byte_cnn, op5_rendezvous_shards, op6_cutting_stock_packing, op7_png_media, op8_bitpacked_tokens)}
+    return {f.__name__: f for f in (op2_markov_secrets, op3_dom_belief, op4_byte_cnn, op5_rendezvous_shards, op6_cutting_stock_packing, op7_png_media, op8_bitpacked_tokens)}
 
 
 #: crc32 of a text's UTF-8 bytes in SQL, byte by byte over the table of the reflected polynomial.
