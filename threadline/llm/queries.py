@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 SHARDS = 40
 SEQUENCE = 1024
 MEDIA_BLOCK = 576
+RUN_WORDS = 50
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +77,15 @@ def op8_bitpacked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_digests(files).withColumnRenamed("key", "doc_id")
 
 
+def op10_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linedup import dedupe_lines
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedupe_lines(docs, min_words=RUN_WORDS)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_markov_secrets, op3_dom_belief, op4_byte_cnn, op5_rendezvous_shards, op6_cutting_stock_packing, op7_png_media, op8_bitpacked_tokens)}
+    return {f.__name__: f for f in (op2_markov_secrets, op3_dom_belief, op4_byte_cnn, op5_rendezvous_shards, op6_cutting_stock_packing, op7_png_media, op8_bitpacked_tokens, op10_suffix_line_dedup)}
 
 
 #: crc32 of a text's UTF-8 bytes in SQL, byte by byte over the table of the reflected polynomial.
@@ -109,5 +117,46 @@ FROM d JOIN b USING (rid)
 """
 
 
+#: Later copies of line runs, by joins: every shortest run of enough words is spelled out and compared.
+LINE_RUNS = f"""
+lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+worded AS (SELECT *, len(regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+')) AS words FROM lines),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS pos,
+         sum(words) OVER (PARTITION BY doc_id ORDER BY line) AS upto
+  FROM worded WHERE words > 0),
+pairs AS (
+  SELECT a.doc_id, a.pos AS s, b.pos AS e FROM numbered a JOIN numbered b
+  ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.pos < a.pos + {RUN_WORDS} AND b.upto - a.upto + a.words >= {RUN_WORDS}),
+runs AS (
+  SELECT doc_id, s, min(e) AS e FROM pairs GROUP BY doc_id, s
+  UNION SELECT doc_id, max(s), e FROM pairs GROUP BY doc_id, e),
+spelled AS (
+  SELECT r.doc_id, s, e, string_agg(n.body, chr(10) ORDER BY n.pos) AS t
+  FROM runs r JOIN numbered n ON n.doc_id = r.doc_id AND n.pos BETWEEN s AND e GROUP BY ALL),
+firsts AS (
+  SELECT *, first_value(doc_id) OVER w AS first_doc, first_value(s) OVER w AS first_at FROM spelled
+  WINDOW w AS (PARTITION BY t ORDER BY doc_id, s)),
+later AS (SELECT doc_id, s, e FROM firsts WHERE doc_id <> first_doc OR s > first_at + e - s),
+gone AS (
+  SELECT DISTINCT n.doc_id, n.pos, n.line, n.words FROM numbered n JOIN later l ON l.doc_id = n.doc_id AND n.pos BETWEEN l.s AND l.e),
+islands AS (
+  SELECT doc_id, min(line) AS a, max(line) AS b, count(*) AS c, sum(words) AS w
+  FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM gone) GROUP BY doc_id, g),
+spans AS (
+  SELECT doc_id, sum(c) AS c, sum(w) AS w, string_agg(a || '-' || b, ',' ORDER BY a) AS removed_spans FROM islands GROUP BY doc_id),
+rest AS (
+  SELECT l.doc_id, string_agg(l.body, chr(10) ORDER BY l.line) AS text FROM lines l
+  WHERE NOT EXISTS (SELECT 1 FROM islands i WHERE i.doc_id = l.doc_id AND l.line BETWEEN i.a AND i.b) GROUP BY l.doc_id),
+deduped AS (
+  SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(r.text, '') END AS text,
+         coalesce(s.c, 0)::BIGINT AS removed_lines, coalesce(s.w, 0)::BIGINT AS removed_words, coalesce(s.removed_spans, '') AS removed_spans
+  FROM documents d LEFT JOIN rest r ON r.doc_id = d.doc_id LEFT JOIN spans s ON s.doc_id = d.doc_id)
+"""
+OP10_SQL = f"WITH {LINE_RUNS} SELECT * FROM deduped"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rendezvous_shards": OP5_SQL}
+    return {"op5_rendezvous_shards": OP5_SQL, "op10_suffix_line_dedup": OP10_SQL}

@@ -155,7 +155,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     both = base.unionByName(more).withColumn("rule", F.col("kind") != MARKOV)
     order = Window.partitionBy(*keys).orderBy("start", F.desc("rule"), "end")
     before = F.max(F.when(F.col("rule"), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(F.col("rule"), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys).orderBy(F.desc("start"), "rule", F.desc("end"))
+    after = F.min(F.when(F.col("rule"), F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     free = (F.coalesce(before, F.lit(0)) <= F.col("start")) & (F.coalesce(after, F.col("end")) >= F.col("end"))
     kept = both.withColumn("free", free).where(F.col("rule") | F.col("free"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")) - 1
