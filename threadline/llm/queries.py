@@ -77,6 +77,12 @@ def op8_bitpacked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_digests(files).withColumnRenamed("key", "doc_id")
 
 
+def op9_metric_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similarity_classes
+
+    return similarity_classes(_table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linedup import dedupe_lines
 
@@ -85,7 +91,7 @@ def op10_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_markov_secrets, op3_dom_belief, op4_byte_cnn, op5_rendezvous_shards, op6_cutting_stock_packing, op7_png_media, op8_bitpacked_tokens, op10_suffix_line_dedup)}
+    return {f.__name__: f for f in (op2_markov_secrets, op3_dom_belief, op4_byte_cnn, op5_rendezvous_shards, op6_cutting_stock_packing, op7_png_media, op8_bitpacked_tokens, op9_metric_jaccard, op10_suffix_line_dedup)}
 
 
 #: crc32 of a text's UTF-8 bytes in SQL, byte by byte over the table of the reflected polynomial.
