@@ -21,6 +21,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import scan
 
@@ -91,7 +97,7 @@ def op10_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_markov_secrets, op3_dom_belief, op4_byte_cnn, op5_rendezvous_shards, op6_cutting_stock_packing, op7_png_media, op8_bitpacked_tokens, op9_metric_jaccard, op10_suffix_line_dedup)}
+    return {f.__name__: f for f in (op1_latent_decontamination, op2_markov_secrets, op3_dom_belief, op4_byte_cnn, op5_rendezvous_shards, op6_cutting_stock_packing, op7_png_media, op8_bitpacked_tokens, op9_metric_jaccard, op10_suffix_line_dedup)}
 
 
 #: crc32 of a text's UTF-8 bytes in SQL, byte by byte over the table of the reflected polynomial.
