@@ -18,19 +18,34 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Pieces kept by a worker; beyond that the table starts anew.
-KEPT_PIECES = 500_000
+KEPT_PIECES = 900_000
 #: Pieces handed to the library at once.
 PIECES_AT_ONCE = 4096
 
 
+# Latin text (code points below U+0250 without rare controls): its classes never changed between Unicode versions.
+_LETTER = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_DIGIT = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_SPACE = "\t-\r \u0085\u00a0"
+_LATIN = re.compile("[\t-\r -~\u0085\u00a0-\u012f\u0131-\u024f]*").fullmatch
+#: A single space between two non-spaces goes with what follows; ASCII white space is white space for every vocabulary.
+_AT_SPACE = re.compile(r"(?<=\S)(?= \S)").split
+_BLANKS = re.compile("[^\t-\r ]+").findall
+_SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
+_ATTACH = re.compile(
+    f"{_SUFFIX}| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+).findall
+_DROP = re.compile(f"{_SUFFIX}|[{_LETTER}]+|[{_DIGIT}]|[^{_SPACE}{_LETTER}{_DIGIT}]+").findall
+
+
 class Encoder:
     """Encodes texts with one vocabulary file.
 
-    ``spaces='attach'``: a single space between two non-space characters starts
-    a new piece that begins with it (byte-level vocabularies attach a space to
-    the word after it).  ``spaces='drop'``: ASCII white space separates pieces
-    and makes no ids; ASCII letters are lower-cased first, as the vocabulary's
-    own normalizer does.
+    Latin text is cut into the words that the vocabulary's own pre-tokenizer
+    makes: with ``spaces='attach'`` a space belongs to the word after it
+    (byte-level vocabularies), with ``spaces='drop'`` white space makes no ids
+    and the text is lower-cased.  Any other text is cut at spaces only, where no
+    word can span the cut.
     """
 
     def __init__(self, path: str, spaces: str):
@@ -41,48 +56,50 @@ class Encoder:
         self.mark_id, token = max(self.library.get_added_tokens_decoder().items())
         self.mark = token.content
         self.attach = spaces == "attach"
-        self.cut = re.compile(r"(?<=\S) (?=\S)").split
-        self.first: dict[str, bytes] = {}
-        self.rest: dict = {}
+        self.known: dict[str, bytes] = {}
 
-    def _encode_pieces(self, pieces: list, prefix: str) -> dict:
+    def cut(self, text: str) -> list[str]:
+        if _LATIN(text):
+            return _ATTACH(text) if self.attach else _DROP(text.lower())
+        return _AT_SPACE(text) if self.attach else _BLANKS(text)
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of each piece.
 
         The pieces go to the library as one text in which a special token, which
         splits the text before anything else is done, stands between them.
         """
-        texts = [prefix + p for p in pieces] if self.attach else [p.decode() for p in pieces]
-        mark = self.mark
-        if any("<|" in t for t in texts):
-            codes = self.plain.encode_batch(texts, add_special_tokens=False)
+        if any("<|" in p for p in pieces):
+            codes = self.plain.encode_batch_fast(pieces, add_special_tokens=False)
             return {p: np.array(c.ids, "<u4").tobytes() for p, c in zip(pieces, codes)}
-        ids = np.array(self.library.encode(mark.join(texts), add_special_tokens=False).ids, "<u4")
+        code = self.library.encode_batch_fast([self.mark.join(pieces)], add_special_tokens=False)[0]
+        ids = np.array(code.ids, "<u4")
         cuts = np.flatnonzero(ids == self.mark_id)
         data, starts, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
         return {p: data[i:j] for p, i, j in zip(pieces, starts, ends)}
 
-    def _learn(self, known: dict, pieces: set, prefix: str) -> dict:
-        """Ids of all the pieces; new ones are kept while there is room."""
-        new = list(pieces.difference(known))
-        ids = {}
-        for a in range(0, len(new), PIECES_AT_ONCE):
-            ids.update(self._encode_pieces(new[a : a + PIECES_AT_ONCE], prefix))
-        if len(known) + len(ids) <= KEPT_PIECES:
-            known.update(ids)
-            return known
-        ids.update((p, known[p]) for p in pieces.intersection(known))
-        return ids
-
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Every text's ids as little-endian unsigned 32-bit integers."""
-        if not self.attach:
-            cut = [t.encode().lower().split() for t in texts]
-            ids = self._learn(self.rest, set().union(*cut), "")
-            return [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
-        cut = [self.cut(t) for t in texts]
-        heads = self._learn(self.first, {pieces[0] for pieces in cut}, "")
-        ids = self._learn(self.rest, {p for pieces in cut for p in pieces[1:]}, " ")
-        return [heads[p[0]] + b"".join(map(ids.__getitem__, p[1:])) for p in cut]
+        get = self.known.get
+        codes, holes, new = [], [], set()
+        for text in texts:
+            pieces = self.cut(text)
+            found = list(map(get, pieces))
+            codes.append(found)
+            if None in found:
+                missing = [(i, pieces[i]) for i, code in enumerate(found) if code is None]
+                new.update(p for _, p in missing)
+                holes.append((found, missing))
+        ids: dict[str, bytes] = {}
+        unseen = list(new)
+        for a in range(0, len(unseen), PIECES_AT_ONCE):
+            ids.update(self._encode_pieces(unseen[a : a + PIECES_AT_ONCE]))
+        for found, missing in holes:
+            for i, piece in missing:
+                found[i] = ids[piece]
+        if len(self.known) + len(ids) <= KEPT_PIECES:
+            self.known.update(ids)
+        return list(map(b"".join, codes))
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
