@@ -1,17 +1,521 @@
-"""The registered queries of the library and their SQL equivalents."""
+"""The registered queries of the library and their SQL equivalents.
+
+Transcript records are made from ``events`` (one session a user), search runs
+over ``documents`` and ``conversations``, lineage over ``orders``, integrity over
+``lineitem`` and folders over ``customer``, ``nation`` and ``region``.  The SQL
+starts from the same tables and takes another road: it never builds JSON.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadline.functions import values
+from threadline.operators import recommend, redact, records, search, sessions
+from threadline.session import configure
+from threadline.sources.records import events_as_records
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+NOW = "2024-01-31T00:00:00.000Z"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(configure(spark), sf_dir)
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- search -------------------------------------------------------------------
+
+WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+#: Distinct values of a list in the order they first occur.
+FIRSTS = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = _table(spark, sf_dir, "documents")
+    bodies = docs.select(F.col("doc_id").alias("turn_id"), F.col("text").alias("body"))
+    turns = docs.select(F.col("doc_id").alias("turn_id"), F.lit(None).cast("string").alias("ts"), F.lit(False).alias("is_sidechain"), F.col("source").alias("session_key"))
+    return bodies, turns
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: the second and third words of every hundredth document."""
+    docs = _table(spark, sf_dir, "documents").where("doc_id % 100 = 0")
+    return docs.select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(values.tokens(F.col("text")), 2, 2), " ").alias("text"))
+
+
+INDEX_SQL = f"""
+words AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM words) GROUP BY ALL),
+terms AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+corpus AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM words),
+asked AS (SELECT DISTINCT doc_id AS query_id, unnest(w[2:3]) AS t FROM words WHERE doc_id % 100 = 0),
+need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY query_id),
+scored AS (
+  SELECT query_id, tf.doc_id AS turn_id, count(*) AS found,
+         sum(greatest(ln((n - df + 0.5) / (df + 0.5)), CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN 0 ELSE 1e-6 END)
+             * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avgdl))) AS score
+  FROM asked JOIN tf USING (t) JOIN terms USING (t) JOIN words ON words.doc_id = tf.doc_id, corpus GROUP BY ALL),
+hits AS (
+  SELECT query_id, turn_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, turn_id) AS rank
+  FROM scored JOIN need USING (query_id) WHERE found = need)
+"""
+
+
+@query(f"WITH {INDEX_SQL} SELECT query_id, turn_id, round(score, 6) AS score, rank FROM hits WHERE rank <= 10")
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over all documents for a table of queries."""
+    bodies, turns = _documents(spark, sf_dir)
+    hits = search.search(_asked(spark, sf_dir), search.build_index(bodies), turns, k=10)
+    return hits.select("query_id", "turn_id", F.round("text_score", 6).alias("score"), "rank")
+
+
+@query(
+    f"WITH {INDEX_SQL} SELECT t AS term, df, n, round(avgdl, 6) AS avgdl FROM terms, corpus WHERE df >= 2"
+)
+def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies, number and mean length of documents."""
+    index = search.build_index(_documents(spark, sf_dir)[0])
+    return index.terms.where("df >= 2").crossJoin(F.broadcast(index.corpus)).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(
+    f"""WITH {INDEX_SQL},
+flat AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents),
+placed AS (
+  SELECT query_id, turn_id, flat, least(
+      coalesce(min(nullif(instr(lower(flat), t), 0)), 1) - 80, length(flat) - 239) AS p
+  FROM hits JOIN asked USING (query_id) JOIN flat ON doc_id = turn_id WHERE rank <= 3 GROUP BY query_id, turn_id, flat),
+win AS (SELECT *, CASE WHEN length(flat) <= 240 THEN 1 ELSE greatest(1, p) END AS s FROM placed)
+SELECT query_id, turn_id, (CASE WHEN s > 1 THEN '...' ELSE '' END) || substr(flat, s, 240) || (CASE WHEN s + 239 < length(flat) THEN '...' ELSE '' END) AS excerpt
+FROM win"""
+)
+def search_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of text around the first query word of the best hits."""
+    bodies, turns = _documents(spark, sf_dir)
+    asked = _asked(spark, sf_dir)
+    hits = search.search(asked, search.build_index(bodies), turns, k=3)
+    return search.with_excerpts(hits, bodies, asked).select("query_id", "turn_id", "excerpt")
+
+
+@query(
+    """WITH a AS (SELECT conv_id, max(turn) // 2 AS mid FROM conversations GROUP BY conv_id),
+e AS (SELECT conv_id, min(turn) AS lo, max(turn) AS hi FROM conversations GROUP BY conv_id)
+SELECT c.conv_id AS session_key, c.turn AS turn_seq, c.role, mid AS middle, lo >= mid - 1 AS at_start, hi <= mid + 1 AS at_end
+FROM conversations c JOIN a USING (conv_id) JOIN e USING (conv_id) WHERE c.turn BETWEEN mid - 1 AND mid + 1"""
+)
+def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns around the middle of every conversation."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_key"), F.col("turn").alias("turn_seq"), "role")
+    anchors = turns.groupBy("session_key").agg(F.floor(F.max("turn_seq") / 2).cast("long").alias("turn_seq")).withColumn("anchor_id", F.col("session_key"))
+    return search.context_windows(anchors, turns, 1, 1).select("session_key", "turn_seq", "role", F.col("at").alias("middle"), "at_start", "at_end")
+
+
+@query(
+    """SELECT i.conv_id AS turn_id, c.role, CASE WHEN c.conv_id IS NULL THEN 'not found' END AS reason
+FROM (SELECT DISTINCT conv_id * 2 AS conv_id FROM conversations) i LEFT JOIN conversations c ON c.conv_id = i.conv_id AND c.turn = 0 AND c.conv_id % 5 <> 0"""
+)
+def fetch_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch by id; unknown ids and those of hidden sessions are absent alike."""
+    conv = _table(spark, sf_dir, "conversations")
+    turns = conv.where("turn = 0").select(F.col("conv_id").alias("turn_id"), F.col("conv_id").alias("session_key"), "role")
+    hidden = turns.where("session_key % 5 = 0").select("session_key")
+    return search.get_turns(conv.select((F.col("conv_id") * 2).alias("turn_id")), turns, hidden).select("turn_id", "role", "reason")
+
+
+# --- records ------------------------------------------------------------------
+
+EVENTS_SQL = """
+ev AS (
+  SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq,
+         lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events),
+turn AS (
+  SELECT user_id::VARCHAR AS session_key, user_id, event_id, 'u' || event_id AS uuid, 'u' || prev AS parent_uuid, seq AS turn_seq, k, event_type,
+         seq % 10 = 9 AS boundary, '/r' || (user_id % 5) AS cwd, 's' || user_id AS session_id, 'b' || (k % 3) AS branch,
+         strftime(ts - CASE WHEN k % 7 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts,
+         'Name' || k || 'Manager' AS name, 'src/mod' || k || '.rs' AS file
+  FROM ev),
+typed AS (
+  SELECT *, CASE WHEN boundary THEN 'system' WHEN event_type IN ('signup', 'error') THEN 'user' ELSE 'assistant' END AS record_type,
+         CASE WHEN boundary OR event_type IN ('signup', 'error') THEN NULL WHEN event_type = 'view' THEN 'Read' WHEN event_type = 'click' THEN 'Edit'
+              WHEN k % 10 = 0 THEN 'mcp__x__recall_search' ELSE 'Bash' END AS tool_name,
+         CASE WHEN boundary THEN NULL WHEN event_type = 'signup' THEN true WHEN event_type = 'error' THEN false END AS is_typed
+  FROM turn),
+ent AS (
+  SELECT session_key, turn_seq, event_id, 'tool' AS kind, tool_name AS value FROM typed WHERE tool_name IS NOT NULL
+  UNION ALL SELECT session_key, turn_seq, event_id, 'path', cwd || '/' || file FROM typed WHERE tool_name IN ('Read', 'Bash')
+  UNION ALL SELECT session_key, turn_seq, event_id, 'path', file FROM typed WHERE tool_name = 'mcp__x__recall_search'
+  UNION ALL SELECT session_key, turn_seq, event_id, 'command', 'cargo' FROM typed WHERE tool_name = 'Bash'
+  UNION ALL SELECT session_key, turn_seq, event_id, 'symbol', name FROM typed WHERE tool_name IN ('Edit', 'mcp__x__recall_search')
+  UNION ALL SELECT session_key, turn_seq, event_id, 'symbol', name || '2' FROM typed WHERE tool_name = 'Edit'
+  UNION ALL SELECT session_key, turn_seq, event_id, 'error', '<ts> fault at <addr> in ' || file || ':<line>' FROM typed WHERE event_type = 'error' AND NOT boundary),
+meta AS (
+  SELECT session_key, session_id, cwd AS project, arg_max(branch, turn_seq) AS git_branch, arg_min(ts, turn_seq) AS first_turn_at,
+         arg_max(ts, turn_seq) AS last_turn_at, count(*) AS turn_count FROM typed GROUP BY session_key, session_id, cwd)
+"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events_as_records(_table(spark, sf_dir, "events"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.classify_turns(_records(spark, sf_dir))
+
+
+def _with_ids(df: DataFrame) -> DataFrame:
+    """Turn ids: the session's number is the user's."""
+    return df.withColumn("turn_id", F.shiftleft(F.col("session_key").cast("long"), 24).bitwiseOR(F.col("turn_seq")))
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.session_meta(_records(spark, sf_dir), _turns(spark, sf_dir))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT session_key, turn_seq, uuid, parent_uuid, record_type, tool_name, ts, is_typed FROM typed")
+def classify_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records to turns."""
+    return _turns(spark, sf_dir).select("session_key", "turn_seq", "uuid", "parent_uuid", "record_type", "tool_name", "ts", "is_typed")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT session_key, turn_seq, kind, value FROM ent")
+def turn_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of all turns."""
+    return records.extract_entities(_turns(spark, sf_dir)).select("session_key", "turn_seq", "kind", "value")
+
+
+@query(
+    f"""WITH {EVENTS_SQL} SELECT session_key, turn_seq, CASE event_type
+  WHEN 'signup' THEN 'Please fix ' || file || ' and ' || name || ' name' || k || ' manager'
+  WHEN 'view' THEN cwd || '/' || file
+  WHEN 'click' THEN name || '2' || chr(10) || name || ' name' || k || ' manager2 manager'
+  WHEN 'purchase' THEN name || ' ' || file || ' name' || k || ' manager' END AS body
+FROM typed WHERE NOT boundary AND event_type <> 'error' AND (event_type <> 'purchase' OR k % 10 = 0)"""
+)
+def turn_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searchable text with the pieces of its identifiers."""
+    turns = _turns(spark, sf_dir)
+    wanted = turns.where("record_type <> 'system' and (is_typed or tool_name in ('Read', 'Edit', 'mcp__x__recall_search'))")
+    return records.turn_bodies(wanted)
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT session_key, turn_seq AS boundary_seq, 'u' || p2 || ',' || 'u' || prev AS preserved FROM typed
+JOIN (SELECT event_id, prev, lag(event_id, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS p2 FROM ev) USING (event_id) WHERE boundary""")
+def compaction_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries and what they preserve."""
+    recs = _records(spark, sf_dir)
+    found = records.boundaries(recs).join(recs.select("session_key", "stream_offset", "line_no"), ["session_key", "stream_offset"])
+    return found.select("session_key", F.col("line_no").alias("boundary_seq"), F.array_join("preserved", ",").alias("preserved"))
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, b AS (SELECT session_key, max(turn_seq) AS last FROM typed WHERE boundary GROUP BY session_key)
+SELECT session_key, turn_seq, uuid FROM typed JOIN b USING (session_key) WHERE turn_seq < last - 2"""
+)
+def dropped_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that the latest compaction of each session left out."""
+    return sessions.dropped_turns(records.boundaries(_records(spark, sf_dir)), _turns(spark, sf_dir))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT * FROM meta")
+def session_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per session."""
+    return _meta(spark, sf_dir).select("session_key", "session_id", "project", "git_branch", "first_turn_at", "last_turn_at", "turn_count")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT project, NULL::VARCHAR AS pre_worktree, count(*) AS sessions, sum(turn_count)::BIGINT AS turns FROM meta GROUP BY project")
+def project_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: sessions and turns per project."""
+    return sessions.project_summary(_meta(spark, sf_dir))
+
+
+@query(
+    f"""WITH {EVENTS_SQL},
+p AS (SELECT session_key, list(turn_seq ORDER BY turn_seq DESC)[1:12] AS l FROM typed WHERE is_typed GROUP BY session_key),
+r AS (SELECT session_key, max(turn_seq) AS newest_reply FROM typed WHERE record_type = 'assistant' GROUP BY session_key)
+SELECT session_key, project, turn_count, array_to_string(l, ',') AS newest_prompts, newest_reply FROM meta LEFT JOIN p USING (session_key) LEFT JOIN r USING (session_key)"""
+)
+def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest prompts and reply of each session."""
+    turns = _turns(spark, sf_dir)
+    made = sessions.session_summary(_meta(spark, sf_dir), turns, records.extract_entities(turns))
+    return made.select("session_key", "project", "turn_count", F.array_join(F.col("newest_prompts").cast("array<string>"), ",").alias("newest_prompts"), "newest_reply")
+
+
+@query(
+    f"""WITH {EVENTS_SQL},
+f AS (
+  SELECT session_key, CASE WHEN kind = 'path' THEN 'read' ELSE kind || 's' END AS l, value FROM ent
+  WHERE kind IN ('tool', 'error', 'command') OR (kind = 'path' AND EXISTS (SELECT 1 FROM typed t WHERE t.event_id = ent.event_id AND tool_name = 'Read'))),
+g AS (SELECT session_key, l, list(DISTINCT value ORDER BY value)[1:64] AS v FROM f GROUP BY ALL)
+SELECT session_key, project, turn_count,
+  ((epoch_ms(strptime(last_turn_at, '%Y-%m-%dT%H:%M:%S.%fZ')) - epoch_ms(strptime(first_turn_at, '%Y-%m-%dT%H:%M:%S.%fZ'))) // 1000)::BIGINT AS duration_s,
+  (SELECT count(*) FROM typed t WHERE t.session_key = meta.session_key AND boundary) AS compactions,
+  coalesce(array_to_string((SELECT v FROM g WHERE g.session_key = meta.session_key AND l = 'read'), '|'), '') AS files_read,
+  coalesce(array_to_string((SELECT v FROM g WHERE g.session_key = meta.session_key AND l = 'tools'), '|'), '') AS tools,
+  coalesce(array_to_string((SELECT v FROM g WHERE g.session_key = meta.session_key AND l = 'errors'), '|'), '') AS errors,
+  coalesce(array_to_string((SELECT v FROM g WHERE g.session_key = meta.session_key AND l = 'commands'), '|'), '') AS commands
+FROM meta"""
+)
+def session_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of each session."""
+    turns = _turns(spark, sf_dir)
+    made = sessions.session_observation(_meta(spark, sf_dir), turns, records.extract_entities(turns), records.boundaries(_records(spark, sf_dir)))
+    join = lambda c: F.array_join(c, "|")
+    return made.select(
+        "session_key", "project", "turn_count", "duration_s", "compactions", join("read").alias("files_read"), join("tools").alias("tools"),
+        join("errors").alias("errors"), join("commands").alias("commands"),
+    )
+
+
+@query(f"WITH {EVENTS_SQL} SELECT session_key, last_turn_at < '2024-01-30T18:00:00.000Z' AS closed FROM meta")
+def closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: sessions idle for six hours."""
+    return sessions.finalize_sessions(_meta(spark, sf_dir), NOW).select("session_key", "closed")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT session_key FROM meta WHERE last_turn_at >= '2024-01-30T12:00:00.000Z' AND first_turn_at <= '2024-01-02T23:59:59.999Z'")
+def overlapping_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sessions that overlap a span."""
+    return sessions.sessions_between(_meta(spark, sf_dir), "2024-01-30T12:00:00.000Z", search.checked_bound("2024-01-02", True)).select("session_key")
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, d AS (SELECT * FROM meta WHERE last_turn_at < '2024-01-30T18:00:00.000Z' AND session_key::INT % 3 <> 0)
+SELECT session_key, greatest((SELECT count(*) FROM d) - 20, 0) AS over FROM d ORDER BY last_turn_at, session_key LIMIT 20"""
+)
+def observations_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed sessions without an observation, the oldest twenty."""
+    meta = sessions.finalize_sessions(_meta(spark, sf_dir), NOW)
+    done = meta.where("cast(session_key as int) % 3 = 0").select("session_key")
+    return sessions.observe_new(meta, done, 20).select("session_key", "over")
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, m AS (SELECT *, substr(first_turn_at, 1, 7) AS month FROM meta)
+SELECT 'project' AS report, project AS label, count(*) AS sessions, sum(turn_count * 100)::BIGINT AS bytes FROM m GROUP BY project
+UNION ALL SELECT 'month', month, count(*), sum(turn_count * 100)::BIGINT FROM m GROUP BY month"""
+)
+def usage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions and bytes by project and by month."""
+    meta = _meta(spark, sf_dir)
+    return sessions.usage_report(meta, meta.select("session_key", (F.col("turn_count") * 100).alias("bytes")))
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, r AS (SELECT *, session_key::INT AS s FROM meta WHERE last_turn_at < '2024-01-30T18:00:00.000Z'),
+a AS (SELECT session_key, last_turn_at, CASE WHEN project = '/r1' AND s % 2 = 0 AND last_turn_at < '2024-01-29T00:00:00.000Z' THEN 'delete'
+  WHEN last_turn_at < '2024-01-30T00:00:00.000Z' AND s % 7 <> 0 THEN 'evict' END AS action FROM r WHERE project IN ('/r1', '/r2')),
+k AS (SELECT session_key, action, row_number() OVER (PARTITION BY action ORDER BY last_turn_at, session_key) AS rank, count(*) OVER (PARTITION BY action) AS n FROM a WHERE action IS NOT NULL)
+SELECT session_key, action, rank, greatest(n - 100, 0) AS over FROM k WHERE rank <= 100"""
+)
+def retention_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the deepest rules evict or delete."""
+    meta = sessions.finalize_sessions(_meta(spark, sf_dir), NOW).withColumn("evicted", F.col("session_key").cast("int") % 7 == 0)
+    rules = meta.where("project in ('/r1', '/r2')").select(F.col("project").alias("prefix")).distinct()
+    rules = rules.withColumn("evict_days", F.lit(1)).withColumn("delete_days", F.when(F.col("prefix") == "/r1", 2).otherwise(0))
+    live = meta.where("cast(session_key as int) % 2 = 1").select("session_key")
+    return sessions.retention_select(meta, rules, live, NOW, 100)
+
+
+@query(
+    f"""WITH {EVENTS_SQL} SELECT (SELECT count(*) FROM meta) AS sessions, (SELECT count(*) FROM typed) AS turns, (SELECT count(*) FROM meta) AS watermarks,
+(SELECT sum(turn_count * 10)::BIGINT FROM meta) AS watermark_bytes"""
+)
+def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: one row of totals."""
+    meta = _meta(spark, sf_dir)
+    return sessions.store_counts(meta, _turns(spark, sf_dir), meta.select("session_key", (F.col("turn_count") * 10).alias("byte_offset")))
+
+
+# --- the other tables ---------------------------------------------------------
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n,
+  lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS root FROM orders)
+SELECT 'o' || o_orderkey AS session_key, 'o' || prev AS parent_key, 'o' || root AS root, n - 1 AS depth FROM o WHERE prev IS NOT NULL"""
+)
+def continuation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order continues the customer's one before; roots by pointer doubling."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    name = lambda c: F.concat(F.lit("o"), c.cast("string"))
+    prev = F.lag("o_orderkey").over(w)
+    o = _table(spark, sf_dir, "orders").select(name(F.col("o_orderkey")).alias("session_key"), name(prev).alias("parent"))
+    turns = o.select("session_key", F.lit(0).alias("turn_seq"), F.concat(F.lit("t"), "session_key").alias("uuid"), F.concat(F.lit("t"), "parent").alias("parent_uuid"))
+    meta = o.select("session_key", F.col("session_key").alias("session_id"), F.lit(None).cast("string").alias("continues_id"))
+    edges = sessions.continuation_edges(meta, turns)
+    return edges.select("session_key", "parent_key").join(sessions.thread_roots(edges), "session_key").select("session_key", "parent_key", "root", "depth")
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT l_orderkey AS session_key, l_linenumber AS chunk_no FROM lineitem),
+g AS (SELECT *, lag(chunk_no, 1, 0) OVER (PARTITION BY session_key ORDER BY chunk_no) AS after FROM c)
+SELECT session_key, after, chunk_no AS before FROM g WHERE chunk_no > after + 1"""
+)
+def chunk_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes in the numbering of stored chunks."""
+    return sessions.chunk_gaps(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_key"), F.col("l_linenumber").alias("chunk_no")))
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS session_key, l_linenumber AS chunk_no, min(l_partkey) AS p FROM lineitem GROUP BY ALL)
+SELECT session_key, chunk_no, CASE WHEN p % 11 = 0 THEN 'missing' WHEN p % 13 = 0 THEN 'unexpected' ELSE 'changed' END AS problem
+FROM c WHERE p % 11 = 0 OR p % 13 = 0 OR p % 17 = 0"""
+)
+def verify_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks against a manifest, some of them lost, added or changed."""
+    c = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("session_key"), F.col("l_linenumber").alias("chunk_no")).agg(F.min("l_partkey").alias("p"))
+    digest = F.sha2(F.col("p").cast("string").cast("binary"), 256)
+    stored = c.where("p % 11 <> 0").withColumn("sha256", F.when(F.col("p") % 17 == 0, F.sha2(F.lit("x").cast("binary"), 256)).otherwise(digest))
+    return sessions.verify(stored, c.where("p % 11 = 0 or p % 13 <> 0").withColumn("sha256", digest))
+
+
+@query(
+    """WITH p AS (SELECT c_custkey AS path_id, '/' || r_name || '/' || n_name || '/c' || c_custkey AS path, r_name, n_name, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT path_id, CASE WHEN n_nationkey % 2 = 0 THEN '/' || r_name || '/' || n_name ELSE '/' || r_name END AS project, CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 2 END AS depth FROM p"""
+)
+def resolved_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the deepest stored folder above each customer's path."""
+    n = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    paths = _table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("path_id"), F.concat_ws("/", F.lit(""), "r_name", "n_name", F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).alias("path")
+    )
+    projects = n.select(F.concat_ws("/", F.lit(""), "r_name").alias("project")).unionByName(n.where("n_nationkey % 2 = 0").select(F.concat_ws("/", F.lit(""), "r_name", "n_name").alias("project")))
+    return search.resolve_scope(paths, projects.distinct().withColumn("pre_worktree", F.lit(None).cast("string"))).select("path_id", "project", "depth")
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS length, CASE WHEN o_orderkey % 3 <> 0 THEN floor(o_totalprice)::BIGINT - (o_orderkey % 1000) END AS wm FROM orders)
+SELECT count(*) FILTER (greatest(length - coalesce(wm, 0), 0) > 0) AS sources, coalesce(sum(greatest(length - coalesce(wm, 0), 0)), 0)::BIGINT AS bytes FROM s"""
+)
+def pending_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes beyond the watermarks."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_key"), F.floor("o_totalprice").cast("long").alias("length"))
+    marks = o.where("session_key % 3 <> 0").select("session_key", (F.col("length") - F.col("session_key") % 1000).alias("byte_offset"))
+    return sessions.pending_bytes(o, marks)
+
+
+@query("SELECT lang, 'assignment' AS rule, sum(len(regexp_extract_all(text, '[A-Za-z0-9_.-]*(?i:token|password|passwd|secret|key|api|bearer|cookie|authorization)[A-Za-z0-9_.-]*[ \\t]*(==|=>|=)[ \\t]*[^\\s]')))::BIGINT AS hits FROM documents GROUP BY lang HAVING hits > 0")
+def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets replaced in all documents, by language and rule."""
+    done = redact.redact(_table(spark, sf_dir, "documents").select("lang", "text"), "text")
+    return redact.hit_counts(done, "lang")
+
+
+# --- recommendation and feedback ----------------------------------------------
+
+
+def _prompts(turns: DataFrame) -> DataFrame:
+    """Typed prompts; each may be given turns of sessions with a lower number only."""
+    text = values.string_at("v", "$.message.content")
+    t = _with_ids(turns.where("is_typed").withColumn("v", values.variant("line")).withColumn("text", text).withColumn("cwd", values.string_at("v", "$.cwd")))
+    return t.select(
+        F.col("turn_id").alias("query_id"), "text", "cwd", "session_key", F.col("ts"), F.concat(F.lit("s"), "session_key").alias("session_id"),
+        F.shiftleft(F.col("session_key").cast("long"), 24).alias("before_turn_id"),
+    )
+
+
+@query(
+    f"""WITH {EVENTS_SQL} SELECT (user_id << 24) | turn_seq AS query_id, cwd || '/' || file || '|' || file || '|' || name AS spellings FROM typed WHERE is_typed"""
+)
+def prompt_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each prompt names."""
+    made = recommend.prompt_spellings(_prompts(_turns(spark, sf_dir)))
+    return made.select("query_id", F.array_join("spellings", "|").alias("spellings"))
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    turns = _with_ids(_turns(spark, sf_dir))
+    entities = _with_ids(records.extract_entities(turns)).select("turn_id", "kind", "value")
+    bodies = _with_ids(records.turn_bodies(turns)).select("turn_id", "body")
+    turns.persist()
+    entities.persist()
+    prompts = _prompts(turns)
+    listed = turns.select("turn_id", "session_key", "ts", F.lit(False).alias("is_sidechain"), "record_type", "is_typed", "tool_name", F.concat(F.lit("s"), "session_key").alias("session_id"))
+    hits = recommend.candidates(prompts, search.build_index(bodies), listed, entities)
+    none = hits.select("query_id", "turn_id").limit(0)
+    judged = recommend.refuse(hits, none, prompts.select("query_id", "session_key"), none.select("turn_id"))
+    return prompts, listed, entities, judged.persist()
+
+
+def _grid(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, 3, 2, 3), (1, 1, 3, 1), (2, 10, 1, 5)], "grid int, ranked int, co_occurring int, max_turns int")
+
+
+@query()
+def recommended_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns given to each prompt under the default thresholds."""
+    *_, hits = _decided(spark, sf_dir)
+    return recommend.choose(hits, _grid(spark).where("grid = 0")).select("query_id", "turn_id", "place")
+
+
+def _labelled(spark: SparkSession, sf_dir: str):
+    prompts, turns, entities, hits = _decided(spark, sf_dir)
+    chosen = recommend.choose(hits, _grid(spark))
+    injected = chosen.where("grid = 0").select(F.col("query_id").alias("decision_id"), "turn_id")
+    decisions = prompts.select(F.col("query_id").alias("decision_id"), "session_id", "ts").join(recommend.prompt_spellings(prompts).withColumnRenamed("query_id", "decision_id"), "decision_id")
+    return decisions, turns, entities, chosen, injected
+
+
+@query()
+def turn_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a later turn used what was given."""
+    decisions, turns, entities, _, injected = _labelled(spark, sf_dir)
+    return recommend.label_turns(injected, decisions.drop("spellings"), turns, entities)
+
+
+@query()
+def decision_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misses and wasted budgets."""
+    decisions, turns, entities, _, injected = _labelled(spark, sf_dir)
+    labels = recommend.label_turns(injected, decisions.drop("spellings"), turns, entities)
+    miss = recommend.label_miss(decisions, injected, turns, entities)
+    return miss.unionByName(recommend.label_waste(labels).withColumn("detail", F.lit(None).cast("string")))
+
+
+@query()
+def threshold_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decisions under a grid of thresholds against the default ones."""
+    decisions, turns, entities, chosen, injected = _labelled(spark, sf_dir)
+    labels = recommend.label_turns(injected, decisions.drop("spellings"), turns, entities)
+    return recommend.replay(chosen, labels, 0)
+
+
+@query()
+def feedback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of label counts and precision."""
+    decisions, turns, entities, _, injected = _labelled(spark, sf_dir)
+    labels = recommend.label_turns(injected, decisions.drop("spellings"), turns, entities)
+    own = recommend.label_miss(decisions, injected, turns, entities).select("decision_id", "label").unionByName(recommend.label_waste(labels))
+    return recommend.feedback_stats(decisions, injected, labels, own)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -47,8 +47,11 @@ def folder_name(path: Column) -> Column:
 
 def exclude_folders(df: DataFrame, prefixes: DataFrame, folder: str = "folder") -> DataFrame:
     """Rows whose encoded folder neither equals an excluded path's name nor extends it by ``-``."""
-    names = prefixes.select(folder_name(F.rtrim(F.col("prefix"), F.lit("/"))).alias("__name")).distinct()
-    return df.join(F.broadcast(names), (F.col(folder) == F.col("__name")) | F.col(folder).startswith(F.concat("__name", F.lit("-"))), "left_anti")
+    names = prefixes.select(folder_name(F.rtrim(F.col("prefix"), F.lit("/"))).alias("name")).distinct()
+    parts = F.split(folder, "-")
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "-"))
+    hit = df.select(F.col(folder).alias("__folder"), F.explode(starts).alias("name")).distinct().join(names, "name", "left_semi").select("__folder").distinct()
+    return df.join(hit, F.col(folder) == F.col("__folder"), "left_anti")
 
 
 def lines_to_records(chunks: DataFrame) -> DataFrame:
