@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadline.sources.tables import stored
+
 # Limits of summaries and lists.
 NEWEST_PROMPTS, MOST_LISTED, PROMPT_BYTES, PER_ACTION = 12, 64, 256 * 1024, 100
 IDLE = "6 hours"
@@ -176,14 +178,13 @@ def thread_roots(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``session_key, root, depth`` by pointer doubling over the continuation forest.
 
     ``edges`` holds at most one parent a session; a cycle raises.  Every round
-    halves what remains, and its table is checkpointed.
+    halves what remains, and its table is stored in the shared folder.
     """
     up = edges.select("session_key", F.col("parent_key").alias("root"), F.lit(1).cast("long").alias("depth"))
-    reliable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     for _ in range(rounds):
         hop = up.select(F.col("session_key").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
         after = up.join(hop, "root", "left").select("session_key", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved"))
-        after = after.checkpoint() if reliable else after.cache()
+        after = stored(after, "threads")
         if after.where("moved").isEmpty():
             return after.drop("moved")
         up = after.drop("moved")

@@ -17,6 +17,7 @@ from threadline.functions import values
 from threadline.operators import recommend, redact, records, search, sessions
 from threadline.session import configure
 from threadline.sources.records import events_as_records
+from threadline.sources.tables import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -448,17 +449,15 @@ def prompt_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    turns = _with_ids(_turns(spark, sf_dir))
-    entities = _with_ids(records.extract_entities(turns)).select("turn_id", "kind", "value")
-    bodies = _with_ids(records.turn_bodies(turns)).select("turn_id", "body")
-    turns.persist()
-    entities.persist()
-    prompts = _prompts(turns)
+    turns = stored(_with_ids(_turns(spark, sf_dir)), "turns")
+    entities = stored(_with_ids(records.extract_entities(turns)).select("turn_id", "kind", "value"), "entities")
+    bodies = stored(_with_ids(records.turn_bodies(turns)).select("turn_id", "body"), "bodies")
+    prompts = stored(_prompts(turns), "prompts")
     listed = turns.select("turn_id", "session_key", "ts", F.lit(False).alias("is_sidechain"), "record_type", "is_typed", "tool_name", F.concat(F.lit("s"), "session_key").alias("session_id"))
     hits = recommend.candidates(prompts, search.build_index(bodies), listed, entities)
-    none = hits.select("query_id", "turn_id").limit(0)
+    none = listed.select(F.col("turn_id").alias("query_id"), "turn_id").where("false")
     judged = recommend.refuse(hits, none, prompts.select("query_id", "session_key"), none.select("turn_id"))
-    return prompts, listed, entities, judged.persist()
+    return prompts, listed, entities, stored(judged, "hits")
 
 
 def _grid(spark: SparkSession) -> DataFrame:
