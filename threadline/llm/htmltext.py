@@ -41,10 +41,14 @@ ENDS = {
 #: Names of elements, classes and ids by which pages mark what is not their article.
 APART = set(
     "nav aside footer header form button select option label input dialog menu ad ads advert advertisement adverts banner "
-    "sponsor sponsored promo sidebar side widget comment comments reply replies discussion disqus cookie cookies consent notice "
+    "sponsor sponsored promo sidebar widget comment comments reply replies discussion disqus cookie cookies consent notice "
     "notices gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended breadcrumb "
     "breadcrumbs pagination pager toolbar navbar navigation topbar copyright legal disclaimer masthead skip search tags".split()
 )
+#: Elements whose names of classes say nothing about a part of the page.
+WHOLE = ("html", "body", "article", "main")
+#: Log-odds of nodes set apart and of what stands below them: by definition of the labels such a node is no content.
+APART_ODDS = {"apart": -15.0, "under": -15.0}
 MAIN = set("article main content post entry story body text".split())
 #: Words that say little about a page's own parts.
 ROLE_SPLIT = re.compile(r"[^a-z]+")
@@ -73,20 +77,28 @@ class Tree:
         return len(self.parent) - 1
 
 
-def _element_features(tag: str, token: str) -> tuple:
+def _element_features(tag: str, token: str, under: bool) -> tuple:
     words = {w for groups in ROLE.findall(token) for g in groups if g for w in ROLE_SPLIT.split(g.lower()) if w} if "=" in token else set()
     found = [f"tag={tag}", *(f"word={w}" for w in sorted(words))]
-    if tag in APART or words & APART:
+    if tag in WHOLE:
+        found += ["main"] * (tag in ("article", "main"))
+    elif tag in APART or words & APART:
         found.append("apart")
-    elif tag in ("article", "main") or words & MAIN:
+    elif words & MAIN:
         found.append("main")
+    if under and tag not in ("article", "main"):
+        found.append("under")
     return tuple(found)
 
 
-def _block_features(tag: str, text: str, linked: int) -> tuple:
+def _is_apart(features: tuple) -> bool:
+    return "apart" in features or "under" in features
+
+
+def _block_features(tag: str, text: str, linked: int, under: bool) -> tuple:
     n = len(text)
     share = 2 if 2 * linked >= n else int(linked > 0)
-    return ("block", f"in={tag}", f"size={min(n, 4000).bit_length()}", f"linked={share}", f"stop={int(text[-1] in '.!?:;…')}")
+    return ("block", f"in={tag}", f"size={min(n, 4000).bit_length()}", f"linked={share}", f"stop={int(text[-1] in '.!?:;…')}", *["under"] * under)
 
 
 def parse(page: str) -> Tree:
@@ -102,7 +114,7 @@ def parse(page: str) -> Tree:
             pieces.clear()
             if text:
                 node = next(n for name, n in reversed(stack) if name not in INLINE)
-                tree.add(node, _block_features(tree.tags[node], text, linked[0]), text, "#text")
+                tree.add(node, _block_features(tree.tags[node], text, linked[0], _is_apart(tree.features[node])), text, "#text")
         linked[0] = 0
 
     def close(k: int) -> None:
@@ -163,7 +175,8 @@ def parse(page: str) -> Tree:
                 if stack[k][0] in stop:
                     break
         flush()
-        node = tree.add(stack[-1][1], _element_features(tag, token), None, tag)
+        above = stack[-1][1]
+        node = tree.add(above, _element_features(tag, token, _is_apart(tree.features[above])), None, tag)
         if tag not in VOID and not token.endswith("/>"):
             stack.append((tag, node))
     flush()
@@ -177,7 +190,7 @@ def weak_labels(tree: Tree) -> list[int] | None:
     for parent, features, tag in zip(tree.parent, tree.features, tree.tags):
         own = tag in ("article", "main") or (parent >= 0 and inside[parent])
         marked |= own
-        inside.append(own and "apart" not in features)
+        inside.append(own and not _is_apart(features))
         label.append(int(inside[-1]))
     return label if marked else None
 
@@ -199,10 +212,8 @@ class Model:
                 nodes[label] += n
             else:
                 seen.setdefault(feature, np.full(2, smooth))[label] += n
-        # pseudo-counts for parts that the sample may lack but whose names say what they are
-        seen.setdefault("apart", np.full(2, smooth))[0] += 20
-        seen.setdefault("main", np.full(2, smooth))[1] += 2
-        weights = {f: float(np.log(c[1] / nodes[1]) - np.log(c[0] / nodes[0])) for f, c in seen.items()}
+        seen.setdefault("main", np.full(2, smooth))[1] += 2  # so that a sample without such names has an opinion
+        weights = {f: float(np.log(c[1] / nodes[1]) - np.log(c[0] / nodes[0])) for f, c in seen.items()} | APART_ODDS
         return cls(weights, np.log(pair / pair.sum(axis=1, keepdims=True)), float(np.log(nodes[1] / nodes[0])))
 
     def marginals(self, trees: list[Tree]) -> np.ndarray:
