@@ -28,6 +28,8 @@ MARKOV = "markov"
 KINDS = [*(kind for kind, *_ in RULES), MARKOV]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SYMBOLS = len(ALPHABET) + 1  # and one for all else
+#: Weight of the single symbols' frequencies in a row of transitions, in counts.
+BACK_OFF = 5.0
 
 
 def _symbols(token: Column) -> Column:
@@ -75,8 +77,8 @@ def base_spans(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 def markov_scores(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of every pair of symbols, from labelled samples.
 
-    ``samples`` has the columns ``token`` and ``random`` (boolean).  Transition
-    counts get a pseudo-count of a half.  The table's size is fixed by the
+    ``samples`` has the columns ``token`` and ``random`` (boolean).  A
+    transition seldom seen falls back on how common its second symbol is.  The table's size is fixed by the
     alphabet, so it is small enough for the driver whatever the samples hold.
     """
     pairs = samples.select("random", F.explode(_pairs(F.col("token"))).alias("pair"))
@@ -85,11 +87,16 @@ def markov_scores(samples: DataFrame) -> list[float]:
     )
     got = {row[0]: (row[1], row[2]) for row in counted.collect()}
     table = [0.0] * (SYMBOLS * SYMBOLS)
-    for a in range(SYMBOLS):
-        row = [got.get(a * SYMBOLS + b, (0, 0)) for b in range(SYMBOLS)]
-        r_all, o_all = sum(r for r, _ in row) + SYMBOLS / 2, sum(o for _, o in row) + SYMBOLS / 2
-        for b, (r, o) in enumerate(row):
-            table[a * SYMBOLS + b] = log((r + 0.5) / r_all) - log((o + 0.5) / o_all)
+    for model, sign in ((0, 1.0), (1, -1.0)):
+        single = [0.5] * SYMBOLS
+        for pair, n in got.items():
+            single[pair % SYMBOLS] += n[model]
+        whole = sum(single)
+        for a in range(SYMBOLS):
+            row = [got.get(a * SYMBOLS + b, (0, 0))[model] for b in range(SYMBOLS)]
+            seen = sum(row) + BACK_OFF
+            for b in range(SYMBOLS):
+                table[a * SYMBOLS + b] += sign * log((row[b] + BACK_OFF * single[b] / whole) / seen)
     return table
 
 
@@ -115,6 +122,7 @@ def labelled_samples(docs: DataFrame, key: str, text: str, spans: DataFrame, row
     words = (
         docs.join(F.broadcast(ids), docs[key] == ids["k"]).where(clean)
         .select(F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z0-9+/_=-]{6,}"), F.lit(0))).alias("token"))
+        .where(~F.col("token").rlike(CANDIDATE))  # what is to be judged must not teach
     )
     values = spans.select(F.col("value").alias("token")).distinct().orderBy(F.xxhash64("token"), "token").limit(strings)
     made = spark.range(strings).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("h"))
