@@ -183,3 +183,37 @@ def test_thread_cycle_is_an_error(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a")], "session_key string, parent_key string")
     with pytest.raises(ValueError):
         sessions.thread_roots(edges, rounds=4)
+
+
+def test_decision_log(spark):
+    rows = [{"session_id": "s", "at_ms": 1, "cwd": "/a/b", "prompt": "p", "injected": [{"turn_id": 5, "chars": 9}]}, {"at_ms": 2, "cwd": "/x", "prompt": "q", "watermark_session_no": 3}]
+    log = spark.createDataFrame([(json.dumps(r),) for r in rows] + [("broken",)], "line string")
+    known = spark.createDataFrame([(7,), (4,)], "session_no long")
+    got = recommend.load_decisions(log, known, spark.createDataFrame([("/x",)], "prefix string")).collect()
+    assert [(r.ts, r.watermark_session_no, r.injected[0].turn_id) for r in got] == [("1970-01-01T00:00:00.001Z", 7, 5)]
+
+
+def test_retention_apply_and_watermarks(spark):
+    t = {n: spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "session_key string, x int") for n in ("records", "turns")}
+    chosen = spark.createDataFrame([("a", "evict"), ("b", "delete")], "session_key string, action string")
+    got = {n: sorted(r.session_key for r in df.collect()) for n, df in sessions.retention_apply(t, chosen).items()}
+    assert got == {"records": ["c"], "turns": ["a", "c"]}
+    marks = spark.createDataFrame([("a", 50), ("z", 9)], "session_key string, byte_offset long")
+    stored = spark.createDataFrame([("a", 30)], "session_key string, stored long")
+    assert [tuple(r) for r in sessions.repair_watermarks(marks, stored).collect()] == [("a", 30)]
+    runs = spark.createDataFrame([(1, "x"), (2, "y")], "run_id long, note string")
+    assert tuple(sessions.last_run(runs).first()) == (2, "y")
+
+
+def test_divergence_and_sidecars(spark):
+    s = "session_key string, length long, prefix_hash string"
+    got = sessions.diverged(spark.createDataFrame([("a", 5, "h"), ("b", 9, "x"), ("c", 9, "h")], s), spark.createDataFrame([("a", 7, "h"), ("b", 9, "h"), ("c", 8, "h")], s))
+    assert sorted((r.session_key, r.reason) for r in got.collect()) == [("a", "shorter"), ("b", "changed")]
+    sides = sessions.sidecar_parents(spark.createDataFrame([("u.jsonl",), ("u/agent-1.jsonl",), ("v/x/agent-2.jsonl",)], "session_key string"))
+    assert sorted((r.session_key, r.parent_key) for r in sides.collect()) == [("u/agent-1.jsonl", "u.jsonl"), ("v/x/agent-2.jsonl", None)]
+
+
+def test_digest(spark):
+    rows = [("p", "a", "2024-01-02", True, [9, 5, 3, 1], 8, [f"f{i}" for i in range(10)]), ("p", "b", "2024-01-01", True, [2], 1, None), ("p", "c", "2024-01-03", False, None, 1, None)]
+    d = sessions.project_digest(spark.createDataFrame(rows, "project string, session_key string, last_turn_at string, has_typed boolean, newest_prompts array<long>, newest_reply long, edited_files array<string>")).first()
+    assert (d.session_key, d.prompts, len(d.files), d.more_files, d.sessions, d.other_sessions) == ("a", [9, 5, 3], 8, 2, 2, ["b"])

@@ -161,3 +161,30 @@ def replay(chosen: DataFrame, labels: DataFrame, baseline: int) -> DataFrame:
     return both.groupBy("grid").agg(
         n(was & now).alias("kept"), n(now & ~was).alias("added"), n(was & ~now).alias("removed"), n(was & hit).alias("hits_before"), n(was & now & hit).alias("hits_kept")
     )
+
+
+DECISION = """session_id string, at_ms long, cwd string, prompt string, watermark_session_no long, spellings array<string>,
+candidates array<struct<turn_id: long, relevance: double, entity_score: double, entity_count: long, matched_on: array<struct<kind: string, value: string>>>>,
+injected array<struct<turn_id: long, chars: long>>, chars_injected long, suppressed array<struct<turn_id: long, reason: string>>, compacted boolean,
+dropped array<long>, thresholds map<string, double>"""
+
+
+def load_decisions(log: DataFrame, sessions: DataFrame, excluded: DataFrame, column: str = "line") -> DataFrame:
+    """Decisions from JSON lines.
+
+    Those made in an excluded folder (``prefix``) are dropped, a missing watermark
+    is the highest session number stored now, times become ISO text.
+    """
+    from threadline.functions.values import iso
+    from threadline.sources.records import exclude_projects
+
+    parsed = log.select(F.from_json(column, DECISION).alias("d")).where("d is not null and d.prompt is not null").select("d.*")
+    top = sessions.agg(F.max("session_no").alias("__top"))  # one row
+    kept = exclude_projects(parsed, excluded).crossJoin(F.broadcast(top))
+    at = iso(F.timestamp_millis("at_ms"))
+    return kept.withColumn("ts", at).withColumn("watermark_session_no", F.coalesce("watermark_session_no", "__top")).drop("__top")
+
+
+def injected_turns(decisions: DataFrame) -> DataFrame:
+    """``decision_id, turn_id, chars`` of what decisions handed over."""
+    return decisions.select("decision_id", F.explode("injected").alias("i")).select("decision_id", "i.turn_id", "i.chars")
