@@ -1,55 +1,14 @@
-"""Shared pieces of the training-data operators: scratch tables, gapless ranks, components."""
+"""Shared pieces of the training-data operators: stored tables, gapless ranks, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadline.sources.tables import Workspace
+from threadline.sources.tables import stored as materialize
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, from ``spark.checkpoint.dir``.
-
-    Only in plain local mode, where driver and executors are one process, an
-    unset folder is replaced by a temporary one; on a cluster it is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="threadline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/threadline/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: what follows reads replicated files, so a lost
-    executor costs no recomputation of what came before.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete the files of materialized tables that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for table in tables:
-        for name in table.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-            if "/threadline/" in name:
-                folder.getFileSystem(conf).delete(folder, True)
+__all__ = ["Workspace", "connected_components", "gapless_rank", "materialize"]
 
 
 def gapless_rank(df: DataFrame, group: list[str], bucket: Column, order: list, out: str) -> DataFrame:
@@ -85,10 +44,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     combining, so a node with very many edges needs no large group, and edges
     are written to the shared folder after each step.
     """
-    spark = edges.sparkSession
-    now = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc"
-    )
+    space = Workspace(edges.sparkSession, "components")
+    now = space.store(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     sign = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -97,14 +54,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v").distinct()
         )
-        large = materialize(large, "cc")
+        large = space.store(large, "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         )
-        after = materialize(small, "cc")
-        release(spark, now, large)
+        after = space.store(small, "edges")
+        space.drop(now, large)
         now = after
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == sign:
@@ -112,11 +69,5 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         sign = seen
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return (
-        now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    )
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return space.finish(stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")

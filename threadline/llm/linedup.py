@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import Workspace
 
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -37,7 +37,7 @@ def lines_of(rows: DataFrame) -> DataFrame:
     return slim.distinct().withColumn("at", at)  # distinct: repeated rows count once
 
 
-def rank_repeats(items: DataFrame, by: list[str], partitions: int) -> DataFrame:
+def rank_repeats(items: DataFrame, by: list[str], partitions: int, space: Workspace) -> DataFrame:
     """Distinct values of ``by`` that occur more than once, and ``__rank``, their rank among these.
 
     Values are range-partitioned and numbered inside each range; the ranges'
@@ -45,7 +45,7 @@ def rank_repeats(items: DataFrame, by: list[str], partitions: int) -> DataFrame:
     """
     repeated = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by)
     ranged = repeated.repartitionByRange(partitions, *by).withColumn("part", F.spark_partition_id())
-    stored = materialize(ranged, "ranks")
+    stored = space.store(ranged, "ranks")
     counts = stored.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     shift = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("shift"))
     number = F.row_number().over(Window.partitionBy("part").orderBy(*by))
@@ -53,17 +53,17 @@ def rank_repeats(items: DataFrame, by: list[str], partitions: int) -> DataFrame:
     return shifted.select(*by, (F.col("__number") + F.col("shift")).alias("__rank"))
 
 
-def suffix_ranks(lines: DataFrame, levels: int, partitions: int) -> DataFrame:
+def suffix_ranks(lines: DataFrame, levels: int, partitions: int, space: Workspace) -> DataFrame:
     """Positions whose first 2^k lines recur, for every level k: ``level, key, row, at, rank``."""
-    found = materialize(lines.join(rank_repeats(lines, ["id"], partitions), "id").select("key", "row", "at", F.col("__rank").alias("rank")), "suffix")
+    found = space.store(lines.join(rank_repeats(lines, ["id"], partitions, space), "id").select("key", "row", "at", F.col("__rank").alias("rank")), "suffix")
     every = found.withColumn("level", F.lit(0))
     for k in range(1, levels + 1):
         step = 2 ** (k - 1)
         # positions that recur alone are gone, so the one `step` lines on is found by value, not by row
         ahead = Window.partitionBy("key", "row").orderBy("at").rangeBetween(step, step)
-        pairs = materialize(found.withColumn("next", F.max("rank").over(ahead)).where("next is not null"), "pairs")
-        ranks = rank_repeats(pairs, ["rank", "next"], partitions)
-        found = materialize(pairs.join(ranks, ["rank", "next"]).select("key", "row", "at", F.col("__rank").alias("rank")), "suffix")
+        pairs = space.store(found.withColumn("next", F.max("rank").over(ahead)).where("next is not null"), "pairs")
+        ranks = rank_repeats(pairs, ["rank", "next"], partitions, space)
+        found = space.store(pairs.join(ranks, ["rank", "next"]).select("key", "row", "at", F.col("__rank").alias("rank")), "suffix")
         every = every.unionByName(found.withColumn("level", F.lit(k)))
     return every
 
@@ -92,7 +92,7 @@ def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
     return forward.unionByName(backward).distinct()
 
 
-def later_runs(runs: DataFrame, ranks: DataFrame) -> DataFrame:
+def later_runs(runs: DataFrame, ranks: DataFrame, space: Workspace) -> DataFrame:
     """The runs that have an earlier copy: ``key, row, at, n``.
 
     A run of n lines is named by its length and two ranks of the level below n:
@@ -106,7 +106,7 @@ def later_runs(runs: DataFrame, ranks: DataFrame) -> DataFrame:
         named.withColumn("tail", F.expr("cast(at + n - shiftleft(1, level) as int)"))
         .join(tail, ["level", "key", "row", "tail"]).select("key", "row", "at", "n", "a", "b")
     )
-    named = materialize(named, "runs")
+    named = space.store(named, "runs")
     first = named.groupBy("n", "a", "b").agg(F.min(F.struct("key", "row", "at")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     apart = (F.col("first.row") != F.col("row")) | (F.col("first.key") != F.col("key")) | (F.col("at") >= F.col("first.at") + F.col("n"))
     return named.join(first, ["n", "a", "b"]).where(apart).select("key", "row", "at", "n")
@@ -119,10 +119,11 @@ def repeated_lines(rows: DataFrame, min_words: int = 50, partitions: int | None
     row are one text.
     """
     partitions = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = materialize(lines_of(rows), "lines")
-    ranks = suffix_ranks(lines, int(min_words).bit_length() - 1, partitions)
+    space = Workspace(rows.sparkSession, "linedup")
+    lines = space.store(lines_of(rows), "lines")
+    ranks = suffix_ranks(lines, int(min_words).bit_length() - 1, partitions, space)
     # stored before it is joined: both halves of this union come from `lines`, and joined directly the second half lost rows
-    later = later_runs(materialize(shortest_runs(lines, min_words), "shortest"), ranks)
+    later = later_runs(space.store(shortest_runs(lines, min_words), "shortest"), ranks, space)
     ends = later.groupBy("key", "row", "at").agg(F.max(F.col("at") + F.col("n")).alias("end"))
     # a line is covered if some run begins at or before it and ends after it
     gone = lines.select("key", "row", "at", "line", "words").join(ends.select("key", "row").distinct(), ["key", "row"], "left_semi")
@@ -134,9 +135,10 @@ def repeated_lines(rows: DataFrame, min_words: int = 50, partitions: int | None
         gone.withColumn("island", island).groupBy("key", "row", "island")
         .agg(F.struct(F.min("line").alias("first"), F.max("line").alias("last")).alias("span"), F.count(F.lit(1)).alias("c"), F.sum("words").alias("w"))
     )
-    return spans.groupBy("key", "row").agg(
+    found = spans.groupBy("key", "row").agg(
         F.array_sort(F.collect_list("span")).alias("spans"), F.sum("c").alias("removed"), F.sum("w").cast("long").alias("words")
     )
+    return space.finish(found, "spans")
 
 
 def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
