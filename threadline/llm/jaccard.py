@@ -28,14 +28,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
-from .common import connected_components, materialize
+from .common import Workspace, connected_components
 
 #: Regions up to this size test their pairs.
 SMALL = 16
 #: Pivots that a large region takes at once.
-PIVOTS = 12
+PIVOTS = 64
 #: Shingles that may be sent to all executors as frequent; which ones are does not change the result.
 FREQUENT = 100_000
+#: Ids of records that may be sent to all executors; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Bytes of sets that may be sent to all executors.
+BROADCAST_BYTES = 32 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,9 +62,16 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-def prefix_length(n: int, threshold: float) -> int:
-    """How many of its first shingles a record must look at: with fewer in common it cannot link."""
-    return n - -floor(-(threshold * n - 1e-9)) + 1 if n else 0
+def shared_in_common(n: int, threshold: float) -> tuple[int, int]:
+    """How many first shingles a record looks at, and the m it is made for.
+
+    Sets of n and n' shingles that link have at least ``threshold * max(n, n')``
+    in common, so in any common order their first m shared ones lie among the
+    first ``n - ceil(threshold n) + m`` of either.  m is a twentieth of the set.
+    """
+    needed = -floor(-(threshold * n - 1e-9))
+    m = max(1, n // 20)
+    return (n - needed + m, m) if n else (0, 0)
 
 
 def shingle_rows(docs: DataFrame, key: str, text: str, width: int, threshold: float) -> DataFrame:
@@ -73,7 +84,7 @@ def shingle_rows(docs: DataFrame, key: str, text: str, width: int, threshold: fl
                 s = shingle_set(cell.as_py(), width)
                 sizes.append(len(s))
                 names.append(xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                firsts.append(s[: prefix_length(len(s), threshold)].view(np.int64))
+                firsts.append(s[: shared_in_common(len(s), threshold)[0]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(firsts, pa.list_(pa.int64()))],
                 names=["doc", "n", "set", "prefix"],
@@ -108,7 +119,7 @@ def ordered_prefixes(sets: DataFrame, frequent: np.ndarray, threshold: float) ->
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     late = frequent[at] == s
                     s = np.concatenate([s[~late], s[late]])
-                s = s[: prefix_length(n, threshold)]
+                s = s[: shared_in_common(n, threshold)[0] - shared_in_common(n, threshold)[1] + 1]
                 hs.append(s.view(np.int64))
                 docs.append(np.full(len(s), doc))
                 ns.append(np.full(len(s), n))
@@ -119,7 +130,11 @@ def ordered_prefixes(sets: DataFrame, frequent: np.ndarray, threshold: float) ->
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, distance`` of distinct pairs, from the whole sets; ``linkable`` counts are exact integers."""
+    """``a, b, common, either`` of stored distinct pairs, from the whole sets.
+
+    The sets that the pairs name are summed up first: if they are few bytes they
+    are sent to the pairs, else the pairs are shuffled to them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,6 +151,11 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 names=["a", "b", "common", "either"],
             )
 
+    named = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    used = sets.join(named, "doc", "left_semi")
+    size = used.agg(F.coalesce(F.sum(F.octet_length("hashes") + 64), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        sets = F.broadcast(used)
     one = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("x"), F.col("n").alias("na"))
     two = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("y"), F.col("n").alias("nb"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "na", "nb")
@@ -147,54 +167,58 @@ def set_classes(rows: DataFrame) -> DataFrame:
     return rows.where("set is not null").groupBy("set").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
-def find_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+def find_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str, text: str, width: int, percent: int, space: Workspace) -> DataFrame:
     """Links ``a, b`` that connect the representatives of sets as all links would.
 
     Records stay apart unless a chain of pairs with at least ``percent`` per
     cent common shingles joins them; pairs inside a part that is joined already
     are not all listed.
     """
-    spark, threshold = docs.sparkSession, percent / 100
-    reps = materialize(rows.join(classes.select("set", "rep"), "set").where("doc = rep").select("doc", "n", "prefix").dropDuplicates(["doc"]), "reps")
-    entries = reps.select("doc", F.explode("prefix").alias("h"))
-    shared = materialize(entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
-    live = materialize(entries.join(shared.select("h"), "h").select("doc").distinct(), "live")
-    sets = materialize(
-        full_sets(docs.join(live.withColumnRenamed("doc", "__doc"), F.col(key) == F.col("__doc"), "left_semi"), key, text, width).dropDuplicates(["doc"]), "sets"
-    )
+    threshold = percent / 100
+    reps = space.store(rows.join(classes.select("set", "rep"), "set").where("doc = rep").select("doc", "n", "prefix"), "reps")
+    entries = reps.select("doc", "n", F.explode("prefix").alias("h"))
+    shared = space.store(entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    # a record takes part only if enough of its first shingles occur elsewhere: as many as the smallest set it links with looks for
+    needed = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * threshold) / 20))
+    live = entries.join(shared.select("h"), "h").groupBy("doc", "n").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= needed)
+    live = space.store(live.select(F.col("doc").alias("__doc")).distinct(), "live")
+    small = live.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(live) if small else live, F.col(key) == F.col("__doc"), "left_semi")
+    sets = space.store(full_sets(texts, key, text, width).dropDuplicates(["doc"]), "sets")
+    space.drop(reps)
     top = shared.where(F.col("df") > SMALL).orderBy(F.desc("df"), "h").limit(FREQUENT).select("h").collect()  # FREQUENT at most
     frequent = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
-    entries = materialize(ordered_prefixes(sets, frequent, threshold), "entries")
+    entries = space.store(ordered_prefixes(sets, frequent, threshold), "entries")
     sizes = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    regions = materialize(entries.join(sizes, "h"), "regions")
+    regions = space.store(entries.join(sizes, "h"), "regions")
     near = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
-    small = regions.where(F.col("df") <= SMALL)
-    other = small.select("h", F.col("doc").alias("b"), F.col("n").alias("nb"))
-    pairs = small.join(other, "h").where((F.col("doc") < F.col("b")) & near(F.col("n"), F.col("nb"))).select(F.col("doc").alias("a"), "b").distinct()
+    tight = regions.where(F.col("df") <= SMALL)
+    other = tight.select("h", F.col("doc").alias("b"), F.col("n").alias("nb"))
+    pairs = tight.join(other, "h").where((F.col("doc") < F.col("b")) & near(F.col("n"), F.col("nb"))).select(F.col("doc").alias("a"), "b").distinct()
     link = F.col("common") * 100 >= F.col("either") * percent
-    links = materialize(measured(materialize(pairs, "pairs"), sets).where(link).select("a", "b"), "links")
+    links = space.store(measured(space.store(pairs, "pairs"), sets).where(link).select("a", "b"), "links")
 
     large = regions.where(F.col("df") > SMALL).select("h", "doc", "n")
     while not large.isEmpty():
         parts = connected_components(links)
         large = large.join(parts, F.col("doc") == F.col("node"), "left").select("h", "doc", "n", F.coalesce("component", "doc").alias("part"))
-        large = materialize(large, "large")
+        large = space.store(large, "large")
         # the part with most records is one side; the pivots are taken from the others
         counts = large.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c"))
         main = counts.groupBy("h").agg(F.max(F.struct("c", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("h", F.col("m.part").alias("main"))
-        open_ = materialize(large.join(main, "h"), "open")
+        open_ = space.store(large.join(main, "h"), "open")
         if open_.isEmpty():
             break
         rank = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("doc"), "doc"))
         pivots = open_.where("part <> main").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
-        pivots = materialize(pivots.select("h", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("part").alias("pp")), "pivots")
+        pivots = space.store(pivots.select("h", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("part").alias("pp")), "pivots")
         tests = open_.join(pivots, "h").where((F.col("doc") != F.col("p")) & (F.col("part") != F.col("pp")) & near(F.col("n"), F.col("np")))
-        tests = materialize(tests.select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct(), "tests")
-        links = materialize(links.unionByName(measured(tests, sets).where(link).select("a", "b")), "links")
+        tests = space.store(tests.select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct(), "tests")
+        links = space.store(links.unionByName(measured(tests, sets).where(link).select("a", "b")), "links")
         # a pivot is decided against all of its region and leaves it
         large = open_.join(pivots.select("h", F.col("p").alias("doc")), ["h", "doc"], "left_anti").select("h", "doc", "n")
-        large = materialize(large, "large")
+        large = space.store(large, "large")
     return links
 
 
@@ -203,21 +227,28 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Records link when ``100 * common >= percent * either`` for their shingle
     sets.  The component id is the smallest key reachable by links, the record's
-    own included.  A null text, or one without words, links with nothing, not
+    own included.  Rows of equal key count as one record with all their texts.  A null text, or one without words, links with nothing, not
     even its like.  Repeated rows get the same result each; null keys are left
     alone (their component is null).  An empty table stays empty.
     """
-    rows = materialize(shingle_rows(docs, key, text, width, percent / 100), "shingles")
-    classes = materialize(set_classes(rows), "sets")
-    links = find_links(docs, rows, classes, key, text, width, percent)
+    space = Workspace(docs.sparkSession, "jaccard")
+    rows = space.store(shingle_rows(docs, key, text, width, percent / 100), "shingles")
+    classes = space.store(set_classes(rows), "sets")
+    links = find_links(docs, rows, classes, key, text, width, percent, space)
     parts = connected_components(links)
     named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("component", "rep").alias("component_id"))
     found = rows.join(named, "set", "left")
-    return found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+    found = found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+    return space.finish(found, "classes")
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The records that are the smallest key of their component; all columns pass through."""
+    """One record of each component, that of the smallest key; all columns pass through.
+
+    Records with a null key stay, and of repeated rows (equal key and text) one stays.
+    """
     classes = similarity_classes(docs, key, text, width, percent)
-    keep = classes.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__keep")).distinct()
-    return docs.join(keep, F.col(key) == F.col("__keep"), "left_semi")
+    others = classes.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__other")).distinct()
+    kept = docs.join(others, F.col(key) == F.col("__other"), "left_anti")
+    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([key, text])
