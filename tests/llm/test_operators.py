@@ -78,6 +78,19 @@ def test_decontamination(spark):
     assert decontam.contamination(docs(spark, ODD), bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_many_items(spark):
+    """More items than the latent space has directions: copies, whole and with every fifth word replaced."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(30)] for _ in range(1200)]
+    noise = lambda: [word() for _ in range(40)]
+    edited = [[w if i % 5 or k % 2 else word() for i, w in enumerate(item)] for k, item in enumerate(items)]
+    texts = [" ".join(noise() + item + noise()) for item in edited] + [" ".join(noise()) for _ in range(50)]
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r.item_id for r in decontam.contamination(docs(spark, texts), bench).collect() if r.contaminated}
+    assert got == {k: k for k in range(1200)}
+
+
 @given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(0, 5), max_size=70))
 @settings(max_examples=200, deadline=None)
 def test_common_subsequence(a, b):
