@@ -91,6 +91,23 @@ def test_decontamination_of_many_items(spark):
     assert got == {k: k for k in range(1200)}
 
 
+def test_decontamination_of_long_and_short_items(spark):
+    """Items of many windows, whole and edited, and items of one to seven words, which must occur word after word."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    long = [[word() for _ in range(n)] for n in (400, 800, 1500) for _ in range(4)]
+    short = [[word() for _ in range(n)] for n in (1, 2, 2, 7)]
+    items = long + short
+    noise = lambda: [word() for _ in range(300)]
+    edited = [[w if i % 5 or k % 2 else word() for i, w in enumerate(item)] for k, item in enumerate(long)] + short
+    texts = [" ".join(noise() + item + noise()) for item in edited]
+    # common words and one that stands between those of a short item
+    texts += [" ".join(noise() + [short[1][0], "between", short[1][1]] + noise()) for _ in range(3)] + [" ".join(short[3][:6])]
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r.item_id for r in decontam.contamination(docs(spark, texts), bench).collect() if r.contaminated}
+    assert got == {k: k for k in range(len(items))}
+
+
 @given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(0, 5), max_size=70))
 @settings(max_examples=200, deadline=None)
 def test_common_subsequence(a, b):
