@@ -376,6 +376,18 @@ def test_jaccard(spark, width, percent):
     assert jaccard.similarity_classes(empty(spark)).count() == 0
 
 
+def test_jaccard_of_equal_keys(spark):
+    """A key with several texts is linked by each of them, whichever row comes first."""
+    rnd = random.Random(8)
+    base = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(80)) for _ in range(9)]
+    near = [t + " more" for t in base]
+    rows = [(1, base[0]), (1, base[1]), (1, base[2]), (2, near[0]), (3, near[1]), (4, near[2])]
+    rows += [(5, base[3]), (6, base[4]), (9, base[3]), (9, base[4]), (7, near[5]), (8, base[5]), (8, near[6]), (8, None), (10, base[7])]
+    for order in (rows, rows[::-1]):
+        got = jaccard.similarity_classes(spark.createDataFrame(order, "doc_id long, text string")).where("n_shingles > 0").collect()
+        assert sorted({(r.doc_id, r.component_id) for r in got}) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5), (7, 7), (8, 7), (9, 5), (10, 10)]
+
+
 # --- 10 -----------------------------------------------------------------------
 
 

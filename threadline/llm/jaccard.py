@@ -94,17 +94,19 @@ def shingle_rows(docs: DataFrame, key: str, text: str, width: int, threshold: fl
 
 
 def full_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``doc, n, hashes``: whole sets as packed 64-bit integers."""
+    """``doc, n, set, hashes``: whole sets as packed 64-bit integers, and their digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(cell.as_py(), width) for cell in batch.column(1)]
+            data = [s.tobytes() for s in sets]
+            digests = [xxh3_128_hexdigest(d) if d else None for d in data]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc", "n", "hashes"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), pa.array(data, pa.binary())],
+                names=["doc", "n", "set", "hashes"],
             )
 
-    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, hashes binary")
+    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, set string, hashes binary")
 
 
 def ordered_prefixes(sets: DataFrame, frequent: np.ndarray, threshold: float) -> DataFrame:
@@ -163,28 +165,40 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def set_classes(rows: DataFrame) -> DataFrame:
-    """``set, rep, copies``: one record for each distinct set."""
-    return rows.where("set is not null").groupBy("set").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    """``set, rep, copies, id``: one record for each distinct set; store it before use, so that the ids stay."""
+    classes = rows.where("set is not null").groupBy("set").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    return classes.withColumn("id", F.monotonically_increasing_id())
+
+
+def key_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the sets of each key that has more than one."""
+    several = rows.where("doc is not null and set is not null").groupBy("doc").agg(F.min("set").alias("least"), F.max("set").alias("most"))
+    several = several.where("least < most").select("doc")
+    ids = rows.join(several, "doc").join(classes.select("set", F.col("id").alias("b")), "set").select("doc", "b")
+    return ids.join(ids.groupBy("doc").agg(F.min("b").alias("a")), "doc").where("a < b").select("a", "b").distinct()
 
 
 def find_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str, text: str, width: int, percent: int, space: Workspace) -> DataFrame:
-    """Links ``a, b`` that connect the representatives of sets as all links would.
+    """Links ``a, b`` that connect the ids of sets as all links would; below, ``doc`` is a set's id.
 
     Records stay apart unless a chain of pairs with at least ``percent`` per
     cent common shingles joins them; pairs inside a part that is joined already
     are not all listed.
     """
     threshold = percent / 100
-    reps = space.store(rows.join(classes.select("set", "rep"), "set").where("doc = rep").select("doc", "n", "prefix"), "reps")
+    reps = space.store(rows.join(classes.select("set", "rep", "id"), "set").where("doc = rep").select(F.col("id").alias("doc"), "n", "prefix"), "reps")
     entries = reps.select("doc", "n", F.explode("prefix").alias("h"))
     shared = space.store(entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     # a record takes part only if enough of its first shingles occur elsewhere: as many as the smallest set it links with looks for
     needed = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * threshold) / 20))
     live = entries.join(shared.select("h"), "h").groupBy("doc", "n").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= needed)
-    live = space.store(live.select(F.col("doc").alias("__doc")).distinct(), "live")
+    live = space.store(classes.join(live.select(F.col("doc").alias("id")).distinct(), "id").select("id", "set", F.col("rep").alias("__doc")), "live")
+    owners = live.select("__doc").distinct()
     small = live.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(live) if small else live, F.col(key) == F.col("__doc"), "left_semi")
-    sets = space.store(full_sets(texts, key, text, width).dropDuplicates(["doc"]), "sets")
+    texts = docs.join(F.broadcast(owners) if small else owners, F.col(key) == F.col("__doc"), "left_semi")
+    # a key may have several texts: each set comes from its own
+    whole = full_sets(texts, key, text, width).join(live.withColumnRenamed("__doc", "doc"), ["doc", "set"]).dropDuplicates(["doc", "set"])
+    sets = space.store(whole.select(F.col("id").alias("doc"), "n", "hashes"), "sets")
     space.drop(reps)
     top = shared.where(F.col("df") > SMALL).orderBy(F.desc("df"), "h").limit(FREQUENT).select("h").collect()  # FREQUENT at most
     frequent = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
@@ -227,7 +241,8 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Records link when ``100 * common >= percent * either`` for their shingle
     sets.  The component id is the smallest key reachable by links, the record's
-    own included.  Rows of equal key count as one record with all their texts.  A null text, or one without words, links with nothing, not
+    own included.  Rows of equal key count as one record with all their texts, and
+    share its component.  A null text, or one without words, links with nothing, not
     even its like.  Repeated rows get the same result each; null keys are left
     alone (their component is null).  An empty table stays empty.
     """
@@ -235,8 +250,11 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = space.store(shingle_rows(docs, key, text, width, percent / 100), "shingles")
     classes = space.store(set_classes(rows), "sets")
     links = find_links(docs, rows, classes, key, text, width, percent, space)
-    parts = connected_components(links)
-    named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("component", "rep").alias("component_id"))
+    parts = connected_components(links.unionByName(key_links(rows, classes)))
+    named = classes.join(parts, F.col("id") == F.col("node"), "left").select("set", "rep", F.coalesce("component", "id").alias("part"))
+    named = space.store(named, "named")
+    least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "part").select("set", "component_id")
     found = rows.join(named, "set", "left")
     found = found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
     return space.finish(found, "classes")
