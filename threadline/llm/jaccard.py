@@ -1,6 +1,7 @@
 """N-gram Jaccard join (operator 9): exact links between sets of word shingles.
 
-Jaccard distance is a metric, and the join works by regions of that space.
+A prefix filter makes the regions that are searched; they are no Voronoi regions
+of pivots, and no pairs are excluded by the triangle inequality.
 
 * Records with the same set are one point from the start.
 * A region holds the records that share one shingle among the first of an order
@@ -8,13 +9,15 @@ Jaccard distance is a metric, and the join works by regions of that space.
   shingle, so every link lies inside some region; a record is replicated into
   as many regions as its distance bound asks for.  Shingles that many regions
   would meet at come last in the order, which keeps regions small.
-* A small region tests its pairs.  A large one takes pivots; the distances to
-  them link records, or exclude pairs by the triangle inequality, and the part
-  of the region that is still undecided recurses until nothing is.
+* A small region tests its pairs.  A large one takes pivots, a fixed number a
+  round, and tests each against the region's other records of similar size that
+  it is not joined with yet; then the pivots leave.  Pivots only link: a region of
+  N records of which none link is tested pair by pair, in N / PIVOTS rounds, each
+  with the components computed anew.
 
 Pivots drawn from the whole space would not separate it: unrelated texts are all
 at distance 1 from each other, so every window would hold every record.  Hence
-the first division by shared shingles.
+the division by shared shingles.
 """
 
 from __future__ import annotations
