@@ -376,6 +376,47 @@ def test_jaccard(spark, width, percent):
     assert jaccard.similarity_classes(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("small, inside, levels", [(2, 2, 4), (3, 4, 2), (16, 512, 3)])
+def test_jaccard_levels(spark, monkeypatch, small, inside, levels):
+    """Cells in cells: near copies of several bases at all distances around the threshold, and drifting ones."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "SMALL_IN_CELL", inside)
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    rnd = random.Random(17 + small)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(3))
+    texts = []
+    for size in (30, 100):
+        base = [word() for _ in range(size)]
+        edits = [(rnd.randrange(size), word()) for _ in range(6)]  # few places, so that copies share their edits
+        for _ in range(90):
+            t = list(base)
+            for k, w in rnd.sample(edits, rnd.randint(0, 5)):
+                t[k] = w
+            for _ in range(rnd.randint(0, 3)):
+                t[rnd.randrange(size)] = word()
+            texts.append(" ".join(t[rnd.randint(0, 4) :]))
+        for _ in range(30):  # each a little further away
+            base = list(base)
+            base[rnd.randrange(size)] = word()
+            texts.append(" ".join(base))
+    got = jaccard.similarity_classes(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id) for r in got] == jaccard_by_hand(texts, 4, 85)
+
+
+def test_jaccard_of_odd_tables(spark):
+    """Null keys, narrow keys, clashing and further columns."""
+    long = " ".join(f"w{k}" for k in range(50))
+    rows = [(None, long, 1, "x"), (None, "only here", 2, "x"), (7, long + " more", 3, "x"), (7, long + " more", 3, "x"), (3, None, 4, None), (None, None, 5, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, n long, id string").withColumnRenamed("id", "set")
+    got = jaccard.similarity_classes(df).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == sorted(
+        [("None", 47, "7"), ("None", 1, "None"), ("7", 48, "7"), ("7", 48, "7"), ("3", 0, "3"), ("None", 0, "None")]
+    )
+    kept = jaccard.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.n) for r in kept.collect()) == [("3", 4), ("7", 3), ("None", 1), ("None", 2), ("None", 5)]
+
+
 def test_jaccard_of_equal_keys(spark):
     """A key with several texts is linked by each of them, whichever row comes first."""
     rnd = random.Random(8)

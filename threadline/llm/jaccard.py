@@ -1,48 +1,58 @@
-"""N-gram Jaccard join (operator 9): exact links between sets of word shingles.
+"""N-gram Jaccard join (operator 9): exact links between sets of word shingles, searched around pivots.
 
-A prefix filter makes the regions that are searched; they are no Voronoi regions
-of pivots, and no pairs are excluded by the triangle inequality.
+Unrelated texts are all at distance 1 from each other, so pivots drawn from the
+whole space would put every record into every window.  The space is therefore
+divided by shared shingles first, and pivots divide what is left:
 
-* Records with the same set are one point from the start.
+* Records with the same set are one point from the start.  A record takes part
+  only if enough of its shingles occur elsewhere for it to link at all; this is
+  tested on its lowest hashes first and then on the whole sets of those left.
 * A region holds the records that share one shingle among the first of an order
-  that all records agree on.  Two records close enough to link share such a
-  shingle, so every link lies inside some region; a record is replicated into
-  as many regions as its distance bound asks for.  Shingles that many regions
-  would meet at come last in the order, which keeps regions small.
-* A small region tests its pairs.  A large one takes pivots, a fixed number a
-  round, and tests each against the region's other records of similar size that
-  it is not joined with yet; then the pivots leave.  Pivots only link: a region of
-  N records of which none link is tested pair by pair, in N / PIVOTS rounds, each
-  with the components computed anew.
-
-Pivots drawn from the whole space would not separate it: unrelated texts are all
-at distance 1 from each other, so every window would hold every record.  Hence
-the division by shared shingles.
+  by frequency, the rarest first.  Two records close enough to link share such a
+  shingle, so every link lies inside some region.  A region of a few records
+  tests its pairs of similar size.
+* Every other region takes as its pivot the record whose shingles occur in most
+  other records.  Regions with the same pivot make up its cell; a record at the
+  border of several lies in each of their cells.  Each member's distance to the
+  pivot is measured once, which links those that are near enough.
+* Inside a cell, what a member differs in from the pivot stands for the member:
+  the symmetric difference of two members is that of their differences from the
+  pivot.  Members that are both linked with the pivot are joined already.  For
+  any other pair the triangle inequality asks that their differences have
+  elements in common, and how many, by both distances to the pivot.  So the
+  members are divided again by shared elements of their differences, rarest
+  first; an element's place in the order tightens the window of distances in
+  which partners may lie.  These are the regions of the next level: large ones
+  take pivots again, others test the pairs inside the windows.
+
+No link is lost: every exclusion above is a proven bound.  After ``LEVELS``
+levels regions of any size test the pairs inside their windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_hexdigest, xxh64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_hexdigest, xxh64_intdigest
 
 from .common import Workspace, connected_components
 
-#: Regions up to this size test their pairs.
+#: Regions of shared shingles up to this size test their pairs, larger ones take a pivot.
 SMALL = 16
-#: Pivots that a large region takes at once.
-PIVOTS = 64
-#: Shingles that may be sent to all executors as frequent; which ones are does not change the result.
-FREQUENT = 100_000
+#: The same inside a cell, where windows leave few pairs.
+SMALL_IN_CELL = 512
+#: Levels of regions; those of the last test their pairs whatever their size.
+LEVELS = 4
 #: Ids of records that may be sent to all executors; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of sets that may be sent to all executors.
 BROADCAST_BYTES = 32 << 20
+#: Shingles of a batch of texts or pairs that are held at once.
+HELD = 1 << 21
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,106 +75,94 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-def shared_in_common(n: int, threshold: float) -> tuple[int, int]:
-    """How many first shingles a record looks at, and the m it is made for.
+def least_common(n: int, percent: int) -> int:
+    """Shingles that a set of ``n`` has in common with any set it links with, at least."""
+    return -(-n * percent // 100)
 
-    Sets of n and n' shingles that link have at least ``threshold * max(n, n')``
-    in common, so in any common order their first m shared ones lie among the
-    first ``n - ceil(threshold n) + m`` of either.  m is a twentieth of the set.
-    """
-    needed = -floor(-(threshold * n - 1e-9))
-    m = max(1, n // 20)
-    return (n - needed + m, m) if n else (0, 0)
 
+def lowest_hashes(n: int, percent: int) -> tuple[int, int]:
+    """How many of its lowest hashes a record looks at, and the m it does so for.
 
-def shingle_rows(docs: DataFrame, key: str, text: str, width: int, threshold: float) -> DataFrame:
-    """``doc, n, set, prefix``: the set's size and digest, and its lowest hashes."""
+    The first m hashes that two linked sets have in common lie, in any order,
+    among the first ``n - least_common(n) + m`` of either.
+    """
+    m = max(1, n // 10)
+    return (n - least_common(n, percent) + m, m) if n else (0, 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, names, firsts = [], [], []
-            for cell in batch.column(1):
-                s = shingle_set(cell.as_py(), width)
-                sizes.append(len(s))
-                names.append(xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
-                firsts.append(s[: shared_in_common(len(s), threshold)[0]].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.string()), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["doc", "n", "set", "prefix"],
-            )
 
-    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, set string, prefix array<long>")
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    values = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.uint64, copy=False).view(np.int64)))
 
 
-def full_sets(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``doc, n, set, hashes``: whole sets as packed 64-bit integers, and their digests."""
+def _sets_of(docs: DataFrame, key: str, text: str, width: int, percent: int | None) -> DataFrame:
+    """``doc, n, set, low, hashes``: size, digest and short digest of each set, and its hashes.
+
+    With ``percent`` only the lowest hashes that :func:`lowest_hashes` asks for.
+    """
+    names = ["doc", "n", "set", "low", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(cell.as_py(), width) for cell in batch.column(1)]
-            data = [s.tobytes() for s in sets]
-            digests = [xxh3_128_hexdigest(d) if d else None for d in data]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), pa.array(data, pa.binary())],
-                names=["doc", "n", "set", "hashes"],
-            )
-
-    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, "doc long, n long, set string, hashes binary")
+            begin, held, sizes, sets, lows, hashes = 0, 0, [], [], [], []
+            for at, cell in enumerate(batch.column(1)):
+                s = shingle_set(cell.as_py(), width)
+                data = s.tobytes()
+                sizes.append(len(s))
+                sets.append(xxh3_128_hexdigest(data) if data else None)
+                lows.append(xxh3_64_intdigest(data) >> 1)
+                hashes.append(s if percent is None else s[: lowest_hashes(len(s), percent)[0]])
+                held += len(hashes[-1])
+                if held >= HELD or at == batch.num_rows - 1:
+                    columns = [pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.array(lows, pa.int64()), _lists(hashes)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, at + 1 - begin), *columns], names=names)
+                    begin, held, sizes, sets, lows, hashes = at + 1, 0, [], [], [], []
 
+    schema = "doc long, n long, set string, low long, hashes array<long>"
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
 
-def ordered_prefixes(sets: DataFrame, frequent: np.ndarray, threshold: float) -> DataFrame:
-    """``h, doc, n``: each record's first shingles when frequent ones come last."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hs, docs, ns = [], [], []
-            for doc, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                s = np.frombuffer(data, np.uint64)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    late = frequent[at] == s
-                    s = np.concatenate([s[~late], s[late]])
-                s = s[: shared_in_common(n, threshold)[0] - shared_in_common(n, threshold)[1] + 1]
-                hs.append(s.view(np.int64))
-                docs.append(np.full(len(s), doc))
-                ns.append(np.full(len(s), n))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, docs, ns)], names=["h", "doc", "n"])
-
-    return sets.select("doc", "n", "hashes").mapInArrow(run, "h long, doc long, n long")
-
-
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, common, either`` of stored distinct pairs, from the whole sets.
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool) -> DataFrame:
+    """``a, b, na, nb, linked, apart``, and with ``differences`` also ``diff``: pairs compared by their whole sets.
 
+    ``apart`` is the size of the symmetric difference and ``diff`` its hashes.
     The sets that the pairs name are summed up first: if they are few bytes they
     are sent to the pairs, else the pairs are shuffled to them.
     """
+    names = ["a", "b", "na", "nb", "linked", "apart", *["diff"] * differences]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common.append(int((y[at] == x).sum()))
-            sizes = [batch.column(k).to_numpy() for k in (4, 5)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(sizes[0] + sizes[1] - np.array(common, np.int64))],
-                names=["a", "b", "common", "either"],
-            )
-
-    named = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    used = sets.join(named, "doc", "left_semi")
-    size = used.agg(F.coalesce(F.sum(F.octet_length("hashes") + 64), F.lit(0))).first()[0]
+            begin, held, linked, apart, diffs = 0, 0, [], [], []
+            for at, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = (v.values.to_numpy().view(np.uint64) for v in (x, y))
+                less, more = (x, y) if len(x) <= len(y) else (y, x)
+                place = np.minimum(np.searchsorted(more, less), len(more) - 1)
+                same = more[place] == less
+                common = int(same.sum())
+                linked.append(100 * common >= percent * (len(x) + len(y) - common))
+                apart.append(len(x) + len(y) - 2 * common)
+                if differences:
+                    other = np.ones(len(more), bool)
+                    other[place[same]] = False
+                    diffs.append(np.concatenate([less[~same], more[other]]))
+                    held += len(diffs[-1])
+                if held >= HELD or at == batch.num_rows - 1:
+                    columns = [pa.array(linked, pa.bool_()), pa.array(apart, pa.int64()), *[_lists(diffs)] * differences]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(begin, at + 1 - begin) for c in batch.columns[:4]), *columns], names=names)
+                    begin, held, linked, apart, diffs = at + 1, 0, [], [], []
+
+    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    used = sets.join(named, "id", "left_semi")
+    size = used.agg(F.coalesce(F.sum(8 * F.col("n") + 64), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
         sets = F.broadcast(used)
-    one = sets.select(F.col("doc").alias("a"), F.col("hashes").alias("x"), F.col("n").alias("na"))
-    two = sets.select(F.col("doc").alias("b"), F.col("hashes").alias("y"), F.col("n").alias("nb"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "na", "nb")
-    return joined.mapInArrow(run, "a long, b long, common long, either long")
+    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("x"))
+    two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("y"))
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "x", "y")
+    schema = "a long, b long, na long, nb long, linked boolean, apart long" + ", diff array<long>" * differences
+    return joined.mapInArrow(run, schema)
 
 
 def set_classes(rows: DataFrame) -> DataFrame:
@@ -181,61 +179,115 @@ def key_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return ids.join(ids.groupBy("doc").agg(F.min("b").alias("a")), "doc").where("a < b").select("a", "b").distinct()
 
 
-def find_links(docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str, text: str, width: int, percent: int, space: Workspace) -> DataFrame:
-    """Links ``a, b`` that connect the ids of sets as all links would; below, ``doc`` is a set's id.
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """Sizes that allow a link."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    Records stay apart unless a chain of pairs with at least ``percent`` per
-    cent common shingles joins them; pairs inside a part that is joined already
-    are not all listed.
-    """
-    threshold = percent / 100
-    reps = space.store(rows.join(classes.select("set", "rep", "id"), "set").where("doc = rep").select(F.col("id").alias("doc"), "n", "prefix"), "reps")
-    entries = reps.select("doc", "n", F.explode("prefix").alias("h"))
-    shared = space.store(entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
-    # a record takes part only if enough of its first shingles occur elsewhere: as many as the smallest set it links with looks for
-    needed = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * threshold) / 20))
-    live = entries.join(shared.select("h"), "h").groupBy("doc", "n").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= needed)
-    live = space.store(classes.join(live.select(F.col("doc").alias("id")).distinct(), "id").select("id", "set", F.col("rep").alias("__doc")), "live")
+
+def promising_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str, text: str, width: int, percent: int, space: Workspace) -> DataFrame:
+    """``id, n, hashes``: the sets of which enough lowest hashes occur in other sets."""
+    entries = rows.where("n > 0").select("doc", "set", "n", "low", F.explode("hashes").alias("h"))
+    shared = space.store(entries.groupBy("h").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a < b").select("h"), "shared")
+    # as many as the smallest set it may link with looks for
+    needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
+    live = entries.join(shared, "h").groupBy("doc", "set", "n").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= needed)
+    live = space.store(classes.join(live.select("set").distinct(), "set").select("id", "set", F.col("rep").alias("__doc")), "live")
     owners = live.select("__doc").distinct()
-    small = live.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(owners) if small else owners, F.col(key) == F.col("__doc"), "left_semi")
+    null_owner = live.where("__doc is null").isEmpty()
+    few = live.count() <= BROADCAST_IDS
+    same = F.col(key).cast("long") == F.col("__doc") if null_owner else F.col(key).cast("long").eqNullSafe(F.col("__doc"))
+    texts = docs.join(F.broadcast(owners) if few else owners, same, "left_semi")
     # a key may have several texts: each set comes from its own
-    whole = full_sets(texts, key, text, width).join(live.withColumnRenamed("__doc", "doc"), ["doc", "set"]).dropDuplicates(["doc", "set"])
-    sets = space.store(whole.select(F.col("id").alias("doc"), "n", "hashes"), "sets")
-    space.drop(reps)
-    top = shared.where(F.col("df") > SMALL).orderBy(F.desc("df"), "h").limit(FREQUENT).select("h").collect()  # FREQUENT at most
-    frequent = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
-    entries = space.store(ordered_prefixes(sets, frequent, threshold), "entries")
-    sizes = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    regions = space.store(entries.join(sizes, "h"), "regions")
-    near = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-
-    tight = regions.where(F.col("df") <= SMALL)
-    other = tight.select("h", F.col("doc").alias("b"), F.col("n").alias("nb"))
-    pairs = tight.join(other, "h").where((F.col("doc") < F.col("b")) & near(F.col("n"), F.col("nb"))).select(F.col("doc").alias("a"), "b").distinct()
-    link = F.col("common") * 100 >= F.col("either") * percent
-    links = space.store(measured(space.store(pairs, "pairs"), sets).where(link).select("a", "b"), "links")
-
-    large = regions.where(F.col("df") > SMALL).select("h", "doc", "n")
-    while not large.isEmpty():
-        parts = connected_components(links)
-        large = large.join(parts, F.col("doc") == F.col("node"), "left").select("h", "doc", "n", F.coalesce("component", "doc").alias("part"))
-        large = space.store(large, "large")
-        # the part with most records is one side; the pivots are taken from the others
-        counts = large.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c"))
-        main = counts.groupBy("h").agg(F.max(F.struct("c", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("h", F.col("m.part").alias("main"))
-        open_ = space.store(large.join(main, "h"), "open")
-        if open_.isEmpty():
-            break
-        rank = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("doc"), "doc"))
-        pivots = open_.where("part <> main").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
-        pivots = space.store(pivots.select("h", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("part").alias("pp")), "pivots")
-        tests = open_.join(pivots, "h").where((F.col("doc") != F.col("p")) & (F.col("part") != F.col("pp")) & near(F.col("n"), F.col("np")))
-        tests = space.store(tests.select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct(), "tests")
-        links = space.store(links.unionByName(measured(tests, sets).where(link).select("a", "b")), "links")
-        # a pivot is decided against all of its region and leaves it
-        large = open_.join(pivots.select("h", F.col("p").alias("doc")), ["h", "doc"], "left_anti").select("h", "doc", "n")
-        large = space.store(large, "large")
+    whole = _sets_of(texts, key, text, width, None).join(live.select("id", "set"), "set").dropDuplicates(["id"])
+    return space.store(whole.select("id", "n", "hashes"), "sets")
+
+
+def _by_rarity(entries: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
+    """``keys, shared``: each record's elements that others have as well, as ``(df, h)`` from the rarest on."""
+    counted = entries.groupBy(*within, "h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return entries.join(counted, [*within, "h"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+
+
+def shingle_regions(sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
+    """Regions of the first level: ``r, id, n, w`` with a row for each rare shingle that a record is searched by.
+
+    ``w`` is how many other records a shingle of the record occurs in on average.
+    """
+    entries = sets.select("id", "n", F.explode("hashes").alias("h"))
+    ranked = _by_rarity(entries, ["id", "n"], [])
+    # its own shingles, found nowhere else, come first in the order
+    first = F.size("shared") - F.ceil(F.col("n") * percent / 100) + 1
+    weight = F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + x["df"] - 1) / F.col("n")
+    ranked = ranked.withColumn("first", first.cast("int")).where("first > 0").select("id", "n", weight.alias("w"), F.slice("shared", 1, F.col("first")).alias("own"))
+    return space.store(ranked.select(F.explode("own.h").alias("r"), "id", "n", "w"), "regions")
+
+
+def cell_regions(cells: DataFrame, percent: int, space: Workspace) -> DataFrame:
+    """Regions inside cells: ``p, r, id, n, w, apart, place, near``.
+
+    ``cells`` has the columns ``p, id, n, w, near, apart, diff``.  ``place`` is the
+    element's place, from 1, among the record's differences from the pivot.
+    """
+    far = cells.groupBy("p").agg(F.min("near").alias("all")).where("not all").select("p")
+    inside = space.store(cells.join(far, "p"), "differences")
+    entries = inside.select("p", "id", F.explode("diff").alias("h"))
+    ranked = _by_rarity(entries, ["p", "id"], ["p"]).join(inside.drop("diff"), ["p", "id"])
+    own = F.col("apart") - F.size("shared")
+    # places that any partner's window can reach
+    last = F.when(F.col("near"), 1 + F.floor(F.col("apart") * 100 / (100 + percent))).otherwise(
+        F.least(F.col("apart"), 1 + F.floor(F.col("n") * (100 - percent) / percent))
+    )
+    ranked = ranked.withColumn("own", own).withColumn("room", (last - own).cast("int")).where("room > 0")
+    out = ranked.select("p", "id", "n", "w", "apart", "near", "own", F.posexplode(F.slice("shared", 1, F.col("room"))).alias("k", "s"))
+    return space.store(out.select("p", F.col("s.h").alias("r"), "id", "n", "w", "apart", (F.col("own") + F.col("k") + 1).alias("place"), "near"), "regions")
+
+
+def _window(percent: int) -> Column:
+    """Whether the distances of two members of a cell to its pivot, and their common element's places, allow a link.
+
+    A link needs ``(x.apart + y.apart - slack) / 2`` common differences, where
+    slack is the largest symmetric difference of linked sets of their sizes;
+    after the first common one, at a record's ``place``, at most the rest of its
+    differences follow.
+    """
+    both = F.col("x.apart") + F.col("y.apart")
+    least = (100 + percent) * both - (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    reach = lambda side: 2 * (100 + percent) * (1 + F.col(f"{side}.apart") - F.col(f"{side}.place")) >= least
+    return reach("x") & reach("y") & ~(F.col("x.near") & F.col("y.near"))
+
+
+def find_links(sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
+    """Links ``a, b`` between ids of sets, enough to connect what all links would connect."""
+    regions, inside = shingle_regions(sets, percent, space), False
+    links = None
+    for level in range(LEVELS):
+        by = ["p", "r"] if inside else ["r"]
+        sizes = regions.groupBy(*by).agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("w", (-F.col("id")).alias("least"))).alias("top"))
+        sizes = sizes.where("members > 1").select(*by, "members", (-F.col("top.least")).alias("q"))
+        sized = space.store(regions.join(sizes, by), "sized")
+        space.drop(regions)
+        last = level == LEVELS - 1
+        small = sized if last else sized.where(F.col("members") <= (SMALL_IN_CELL if inside else SMALL))
+        at = F.col("x.r") == F.col("y.r")
+        allowed = (F.col("x.id") < F.col("y.id")) & _alike(F.col("x.n"), F.col("y.n"), percent)
+        if inside:
+            at, allowed = at & (F.col("x.p") == F.col("y.p")), allowed & _window(percent)
+        pairs = small.alias("x").join(small.alias("y"), at & allowed).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        found = _compared(space.store(pairs, "pairs"), sets, percent, False).where("linked").select("a", "b")
+        cells = space.store(sized.where((F.col("members") > (SMALL_IN_CELL if inside else SMALL)) & (F.col("id") != F.col("q"))).select("q", "id", "w").distinct(), "cells")
+        links = space.store(found if links is None else links.unionByName(found), "links")
+        space.drop(sized)
+        if last or cells.isEmpty():
+            return links
+        measured = _compared(cells.select(F.col("q").alias("a"), F.col("id").alias("b")), sets, percent, True)
+        weights = cells.select("id", "w").distinct()
+        measured = space.store(
+            measured.select(F.col("a").alias("p"), F.col("b").alias("id"), F.col("nb").alias("n"), F.col("linked").alias("near"), "apart", "diff").join(weights, "id"),
+            "measured",
+        )
+        links = space.store(links.unionByName(measured.where("near").select(F.col("p").alias("a"), F.col("id").alias("b"))), "links")
+        regions, inside = cell_regions(measured, percent, space), True
+        space.drop(measured)
     return links
 
 
@@ -246,20 +298,22 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sets.  The component id is the smallest key reachable by links, the record's
     own included.  Rows of equal key count as one record with all their texts, and
     share its component.  A null text, or one without words, links with nothing, not
-    even its like.  Repeated rows get the same result each; null keys are left
-    alone (their component is null).  An empty table stays empty.
+    even its like.  Repeated rows get the same result each.  A null key is no key:
+    its rows' components are null unless they link with a row that has one; the
+    key must be an integer.  An empty table stays empty, other columns are ignored.
     """
     space = Workspace(docs.sparkSession, "jaccard")
-    rows = space.store(shingle_rows(docs, key, text, width, percent / 100), "shingles")
-    classes = space.store(set_classes(rows), "sets")
-    links = find_links(docs, rows, classes, key, text, width, percent, space)
+    rows = space.store(_sets_of(docs, key, text, width, percent), "shingles")
+    classes = space.store(set_classes(rows), "classes")
+    sets = promising_sets(docs, rows, classes, key, text, width, percent, space)
+    links = find_links(sets, percent, space)
     parts = connected_components(links.unionByName(key_links(rows, classes)))
     named = classes.join(parts, F.col("id") == F.col("node"), "left").select("set", "rep", F.coalesce("component", "id").alias("part"))
     named = space.store(named, "named")
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "part").select("set", "component_id")
-    found = rows.join(named, "set", "left")
-    found = found.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+    found = rows.select("doc", "n", "set").join(named, "set", "left")
+    found = found.select(F.col("doc").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
     return space.finish(found, "classes")
 
 
