@@ -35,9 +35,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_hexdigest, xxh64_intdigest
+from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
 from .common import Workspace, connected_components
 
@@ -97,29 +97,28 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _sets_of(docs: DataFrame, key: str, text: str, width: int, percent: int | None) -> DataFrame:
-    """``doc, n, set, low, hashes``: size, digest and short digest of each set, and its hashes.
+    """``doc, n, set, hashes``: size and digest of each set, and its hashes.
 
     With ``percent`` only the lowest hashes that :func:`lowest_hashes` asks for.
     """
-    names = ["doc", "n", "set", "low", "hashes"]
+    names = ["doc", "n", "set", "hashes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begin, held, sizes, sets, lows, hashes = 0, 0, [], [], [], []
+            begin, held, sizes, sets, hashes = 0, 0, [], [], []
             for at, cell in enumerate(batch.column(1)):
                 s = shingle_set(cell.as_py(), width)
                 data = s.tobytes()
                 sizes.append(len(s))
                 sets.append(xxh3_128_hexdigest(data) if data else None)
-                lows.append(xxh3_64_intdigest(data) >> 1)
                 hashes.append(s if percent is None else s[: lowest_hashes(len(s), percent)[0]])
                 held += len(hashes[-1])
                 if held >= HELD or at == batch.num_rows - 1:
-                    columns = [pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.array(lows, pa.int64()), _lists(hashes)]
+                    columns = [pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), _lists(hashes)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, at + 1 - begin), *columns], names=names)
-                    begin, held, sizes, sets, lows, hashes = at + 1, 0, [], [], [], []
+                    begin, held, sizes, sets, hashes = at + 1, 0, [], [], []
 
-    schema = "doc long, n long, set string, low long, hashes array<long>"
+    schema = "doc long, n long, set string, hashes array<long>"
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
@@ -166,9 +165,13 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
 
 
 def set_classes(rows: DataFrame) -> DataFrame:
-    """``set, rep, copies, id``: one record for each distinct set; store it before use, so that the ids stay."""
-    classes = rows.where("set is not null").groupBy("set").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    return classes.withColumn("id", F.monotonically_increasing_id())
+    """``set, rep, repeated, id``: one record for each distinct set; store it before use, so that the ids stay.
+
+    ``rep`` is the lowest key that has the set, ``repeated`` whether several rows of that key have it.
+    """
+    counted = rows.where("set is not null").groupBy("set", "doc").agg(F.count(F.lit(1)).alias("c"))
+    classes = counted.groupBy("set").agg(F.min("doc").alias("rep"), F.min_by("c", "doc").alias("c"))
+    return classes.select("set", "rep", F.coalesce(F.col("c") > 1, F.lit(True)).alias("repeated"), F.monotonically_increasing_id().alias("id"))
 
 
 def key_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -184,26 +187,35 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """Marks a table of records for broadcast if it has at most BROADCAST_IDS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def promising_sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, key: str, text: str, width: int, percent: int, space: Workspace) -> DataFrame:
     """``id, n, hashes``: the sets of which enough lowest hashes occur in other sets."""
-    entries = rows.where("n > 0").select("doc", "set", "n", "low", F.explode("hashes").alias("h"))
-    shared = space.store(entries.groupBy("h").agg(F.min("low").alias("a"), F.max("low").alias("b")).where("a < b").select("h"), "shared")
+    one_each = _small(classes.select("set", F.col("rep").alias("doc"), "id"))
+    own = rows.join(one_each, (rows["set"] == one_each["set"]) & rows["doc"].eqNullSafe(one_each["doc"])).select("id", "n", "hashes")
+    entries = own.select("id", F.explode("hashes").alias("h"))
+    # a repeated row makes its own hashes look shared, which lets a set in, not out
+    shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
+    have = space.store(entries.join(shared, "h").groupBy("id").agg(F.count(F.lit(1)).alias("have")), "have")
     # as many as the smallest set it may link with looks for
     needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
-    live = entries.join(shared, "h").groupBy("doc", "set", "n").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= needed)
-    live = space.store(classes.join(live.select("set").distinct(), "set").select("id", "set", F.col("rep").alias("__doc")), "live")
-    owners = live.select("__doc").distinct()
-    null_owner = live.where("__doc is null").isEmpty()
-    few = live.count() <= BROADCAST_IDS
-    same = F.col(key).cast("long") == F.col("__doc") if null_owner else F.col(key).cast("long").eqNullSafe(F.col("__doc"))
-    texts = docs.join(F.broadcast(owners) if few else owners, same, "left_semi")
+    sizes = rows.select("set", "n").distinct().join(classes, "set")
+    live = space.store(sizes.join(have, "id").where(F.col("have") >= needed).select("id", "set", "repeated", F.col("rep").alias("__doc")), "live")
+    few = _small(live.select("id", "set", "repeated", "__doc"))
+    texts = docs.join(_small(live.select("__doc").distinct()), F.col(key).cast("long").eqNullSafe(F.col("__doc")), "left_semi")
     # a key may have several texts: each set comes from its own
-    whole = _sets_of(texts, key, text, width, None).join(live.select("id", "set"), "set").dropDuplicates(["id"])
-    return space.store(whole.select("id", "n", "hashes"), "sets")
+    whole = _sets_of(texts, key, text, width, None).withColumnRenamed("set", "__set")
+    whole = whole.join(few, (F.col("__set") == F.col("set")) & F.col("doc").eqNullSafe(F.col("__doc"))).select("id", "n", "hashes", "repeated")
+    whole = space.store(whole, "sets")
+    once = space.store(whole.where("repeated").dropDuplicates(["id"]), "sets")
+    return whole.where("not repeated").unionByName(once).select("id", "n", "hashes")
 
 
 def _by_rarity(entries: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
-    """``keys, shared``: each record's elements that others have as well, as ``(df, h)`` from the rarest on."""
+    """``keys, shared``: each record's elements ``h`` that others have as well, as ``(df, h)`` from the rarest on."""
     counted = entries.groupBy(*within, "h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     return entries.join(counted, [*within, "h"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
 
@@ -213,12 +225,11 @@ def shingle_regions(sets: DataFrame, percent: int, space: Workspace) -> DataFram
 
     ``w`` is how many other records a shingle of the record occurs in on average.
     """
-    entries = sets.select("id", "n", F.explode("hashes").alias("h"))
-    ranked = _by_rarity(entries, ["id", "n"], [])
+    ranked = _by_rarity(sets.select("id", F.explode("hashes").alias("h")), ["id"], []).join(sets.select("id", "n"), "id")
     # its own shingles, found nowhere else, come first in the order
     first = F.size("shared") - F.ceil(F.col("n") * percent / 100) + 1
     weight = F.aggregate("shared", F.lit(0).cast("long"), lambda s, x: s + x["df"] - 1) / F.col("n")
-    ranked = ranked.withColumn("first", first.cast("int")).where("first > 0").select("id", "n", weight.alias("w"), F.slice("shared", 1, F.col("first")).alias("own"))
+    ranked = ranked.select("id", "n", weight.alias("w"), F.slice("shared", 1, F.greatest(F.lit(0), first.cast("int"))).alias("own"))
     return space.store(ranked.select(F.explode("own.h").alias("r"), "id", "n", "w"), "regions")
 
 
@@ -237,7 +248,7 @@ def cell_regions(cells: DataFrame, percent: int, space: Workspace) -> DataFrame:
     last = F.when(F.col("near"), 1 + F.floor(F.col("apart") * 100 / (100 + percent))).otherwise(
         F.least(F.col("apart"), 1 + F.floor(F.col("n") * (100 - percent) / percent))
     )
-    ranked = ranked.withColumn("own", own).withColumn("room", (last - own).cast("int")).where("room > 0")
+    ranked = ranked.withColumn("own", own).withColumn("room", F.greatest(F.lit(0), (last - own).cast("int")))
     out = ranked.select("p", "id", "n", "w", "apart", "near", "own", F.posexplode(F.slice("shared", 1, F.col("room"))).alias("k", "s"))
     return space.store(out.select("p", F.col("s.h").alias("r"), "id", "n", "w", "apart", (F.col("own") + F.col("k") + 1).alias("place"), "near"), "regions")
 
@@ -303,16 +314,18 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     key must be an integer.  An empty table stays empty, other columns are ignored.
     """
     space = Workspace(docs.sparkSession, "jaccard")
-    rows = space.store(_sets_of(docs, key, text, width, percent), "shingles")
+    lowest = space.store(_sets_of(docs, key, text, width, percent), "lowest")
+    rows = space.store(lowest.select("doc", "n", "set"), "rows")
     classes = space.store(set_classes(rows), "classes")
-    sets = promising_sets(docs, rows, classes, key, text, width, percent, space)
+    sets = promising_sets(docs, lowest, classes, key, text, width, percent, space)
+    space.drop(lowest)
     links = find_links(sets, percent, space)
     parts = connected_components(links.unionByName(key_links(rows, classes)))
     named = classes.join(parts, F.col("id") == F.col("node"), "left").select("set", "rep", F.coalesce("component", "id").alias("part"))
     named = space.store(named, "named")
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "part").select("set", "component_id")
-    found = rows.select("doc", "n", "set").join(named, "set", "left")
+    found = rows.join(named, "set", "left")
     found = found.select(F.col("doc").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
     return space.finish(found, "classes")
 
