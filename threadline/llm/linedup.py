@@ -4,7 +4,10 @@ A text is the sequence of its non-blank lines.  Prefix doubling ranks every
 position by its first 1, 2, 4, ... lines: rank ``2k`` orders the pairs (rank
 ``k`` here, rank ``k`` k lines on).  Positions of equal rank are an interval of
 the suffix array whose longest common prefix is at least that many lines.  A
-position alone in its interval has no repeat and is dropped at once.
+position alone in its interval has no repeat and is dropped at once.  Two
+overlapping intervals of one level name the interval of any longer prefix, so the
+positions whose common prefix has enough words are found together; overlapping
+repeats join to the maximal run that is deleted.
 
 What goes: a line inside a run of lines with at least ``min_words`` words that
 occurs earlier, where earlier is by key, text hash and line, and an earlier copy
@@ -13,28 +16,25 @@ in the same text must end before the later one begins.  The first copy stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Workspace
 
-BLANK = r"[\x20\x09-\x0D]+"
-
-
-def _words(line: Column) -> Column:
-    """Words of a line: runs of characters that are no ASCII white space."""
-    bare = F.regexp_replace(line, rf"^{BLANK}|{BLANK}$", "")
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, BLANK)))
+WORD = r"[^\x20\x09-\x0D]+"
+#: Records with deletions that may be sent to all executors; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def lines_of(rows: DataFrame) -> DataFrame:
-    """``key, row, at, line, words, id``: the non-blank lines; ``line`` counts all lines, ``at`` these."""
-    split = rows.select("key", "row", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
-    kept = split.withColumn("words", _words(F.col("body"))).where("words > 0")
-    slim = kept.select("key", "row", "line", "words", F.unhex(F.md5(F.col("body").cast("binary"))).alias("id"))
-    at = F.row_number().over(Window.partitionBy("key", "row").orderBy("line")) - 1
-    return slim.distinct().withColumn("at", at)  # distinct: repeated rows count once
+    """``key, row, at, line, words, a, b``: the non-blank lines; ``line`` counts all lines, ``at`` these, ``a`` and ``b`` name the line."""
+    lines = F.transform(
+        F.split("text", "\n", -1),
+        lambda x, i: F.struct(i.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")),
+    )
+    split = rows.select("key", "row", F.posexplode(F.filter(lines, lambda x: x["words"] > 0)).alias("at", "l"))
+    return split.select("key", "row", "at", "l.line", "l.words", "l.a", "l.b")
 
 
 def rank_repeats(items: DataFrame, by: list[str], partitions: int, space: Workspace) -> DataFrame:
@@ -53,9 +53,18 @@ def rank_repeats(items: DataFrame, by: list[str], partitions: int, space: Worksp
     return shifted.select(*by, (F.col("__number") + F.col("shift")).alias("__rank"))
 
 
-def suffix_ranks(lines: DataFrame, levels: int, partitions: int, space: Workspace) -> DataFrame:
+def recurring_lines(lines: DataFrame, partitions: int, space: Workspace) -> DataFrame:
+    """``key, row, at, line, words, rank, stretch``: lines that recur; no gap lies inside a stretch."""
+    ranked = lines.join(rank_repeats(lines, ["a", "b"], partitions, space), ["a", "b"]).select("key", "row", "at", "line", "words", F.col("__rank").alias("rank"))
+    doc = Window.partitionBy("key", "row").orderBy("at")
+    # repeated rows count once
+    once = ranked.withColumn("last", F.lag("at").over(doc)).where("last is null or last <> at").drop("last")
+    return space.store(once.withColumn("stretch", F.col("at") - F.row_number().over(doc)), "recurring")
+
+
+def suffix_ranks(recurring: DataFrame, levels: int, partitions: int, space: Workspace) -> DataFrame:
     """Positions whose first 2^k lines recur, for every level k: ``level, key, row, at, rank``."""
-    found = space.store(lines.join(rank_repeats(lines, ["id"], partitions, space), "id").select("key", "row", "at", F.col("__rank").alias("rank")), "suffix")
+    found = recurring.select("key", "row", "at", "rank")
     every = found.withColumn("level", F.lit(0))
     for k in range(1, levels + 1):
         step = 2 ** (k - 1)
@@ -64,6 +73,7 @@ def suffix_ranks(lines: DataFrame, levels: int, partitions: int, space: Workspac
         pairs = space.store(found.withColumn("next", F.max("rank").over(ahead)).where("next is not null"), "pairs")
         ranks = rank_repeats(pairs, ["rank", "next"], partitions, space)
         found = space.store(pairs.join(ranks, ["rank", "next"]).select("key", "row", "at", F.col("__rank").alias("rank")), "suffix")
+        space.drop(pairs)
         every = every.unionByName(found.withColumn("level", F.lit(k)))
     return every
 
@@ -71,14 +81,14 @@ def suffix_ranks(lines: DataFrame, levels: int, partitions: int, space: Workspac
 def shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
     """``key, row, at, n``: from every line forward, and to every line backward, the shortest run with enough words.
 
-    Every longer run is a union of these.  Each line has a word, so a run has at
+    Runs stay inside a stretch.  Every longer run is a union of these.  Each line has a word, so a run has at
     most ``min_words`` lines.  Running sums at the lines' ends and starts are
     merged into one order, which finds a run's other end without a search.
     """
-    doc = Window.partitionBy("key", "row")
+    doc = Window.partitionBy("key", "row", "stretch")
     upto = F.sum("words").over(doc.orderBy("at")).cast("long")
-    summed = lines.select("key", "row", "at", "words", upto.alias("upto")).withColumn("before", F.col("upto") - F.col("words"))
-    mark = lambda x, asks: summed.select("key", "row", "at", x.alias("x"), F.lit(asks).alias("asks"))
+    summed = lines.select("key", "row", "stretch", "at", "words", upto.alias("upto")).withColumn("before", F.col("upto") - F.col("words"))
+    mark = lambda x, asks: summed.select("key", "row", "stretch", "at", x.alias("x"), F.lit(asks).alias("asks"))
     answer = F.when(~F.col("asks"), F.col("at"))
     marks = mark(F.col("upto"), False).unionByName(mark(F.col("before") + min_words, True))
     end = F.min(answer).over(doc.orderBy(F.desc("x"), "asks").rowsBetween(Window.unboundedPreceding, 0))
@@ -121,13 +131,15 @@ def repeated_lines(rows: DataFrame, min_words: int = 50, partitions: int | None
     partitions = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     space = Workspace(rows.sparkSession, "linedup")
     lines = space.store(lines_of(rows), "lines")
-    ranks = suffix_ranks(lines, int(min_words).bit_length() - 1, partitions, space)
-    # stored before it is joined: both halves of this union come from `lines`, and joined directly the second half lost rows
-    later = later_runs(space.store(shortest_runs(lines, min_words), "shortest"), ranks, space)
+    recurring = recurring_lines(lines, partitions, space)
+    space.drop(lines)
+    ranks = suffix_ranks(recurring, int(min_words).bit_length() - 1, partitions, space)
+    # stored before it is joined: with spark.sql.unionOutputPartitioning (on by default in Spark 4.1) the union passes for partitioned by
+    # a column that one half renames, the join then skips a shuffle and loses rows of that half; tables.py turns it off as well
+    later = later_runs(space.store(shortest_runs(recurring, min_words), "shortest"), ranks, space)
     ends = later.groupBy("key", "row", "at").agg(F.max(F.col("at") + F.col("n")).alias("end"))
     # a line is covered if some run begins at or before it and ends after it
-    gone = lines.select("key", "row", "at", "line", "words").join(ends.select("key", "row").distinct(), ["key", "row"], "left_semi")
-    gone = gone.join(ends, ["key", "row", "at"], "left")
+    gone = recurring.select("key", "row", "at", "line", "words").join(ends, ["key", "row", "at"], "left")
     doc = Window.partitionBy("key", "row").orderBy("at")
     gone = gone.withColumn("reach", F.max("end").over(doc)).where("reach > at")
     island = F.col("at") - F.row_number().over(doc)
@@ -157,6 +169,8 @@ def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     tag = tag.withColumn("__row", F.xxhash64(text))
     rows = tag.where(F.col(text).isNotNull()).select(F.col("__key").alias("key"), F.col("__row").alias("row"), F.col(text).alias("text"))
     found = repeated_lines(rows, min_words).toDF("__key", "__row", "__spans", "__removed", "__words")
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     inside = lambda i: F.exists("__spans", lambda s: (s["first"] <= i) & (i <= s["last"]))
     rest = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~inside(i)), "\n")
     return (
