@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadline.session import SETTINGS
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -14,6 +16,7 @@ def shared_root(spark: SparkSession) -> str:
     Only in plain local mode, where driver and executors are one process, an
     unset folder is replaced by a temporary one; on a cluster it is an error.
     """
+    spark.conf.set("spark.sql.unionOutputPartitioning", SETTINGS["spark.sql.unionOutputPartitioning"])
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
