@@ -220,10 +220,12 @@ VOCABULARIES = [("byte_bpe_50k.json", "attach"), ("word_bpe_49k.json", "drop")]
 @pytest.mark.parametrize("name, spaces", VOCABULARIES)
 def test_encoder_is_exact(name, spaces):
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     mine, rnd = bpe.Encoder(public_tokenizers.path(name), spaces), random.Random(5)
     letters = "ab AB'sdt.,\n\t 019²½éßÀİıſƒ×÷ªº \u0085\x1c\x7f<|>ελΣ中😀́ 　'"
-    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 20))) for _ in range(3000)] + ["<|endoftext|> x", "don't", ""]
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 20))) for _ in range(3000)] + ["don't", ""]
+    special = [token.content for token in library.get_added_tokens_decoder().values()]
+    parts = [*special, *(t.upper() for t in special), "<|endoftext", "|>", "<|", "a", " ", "b.", "é", "中", "\n"]
+    texts += [f"a {t} b" for t in special] + special + ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9))) for _ in range(2000)]
     for text, ids in zip(texts, mine.encode_all(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
@@ -238,12 +240,11 @@ def test_encoder_with_a_full_table(monkeypatch):
 
 def expected_ids(name, texts, end):
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     return [np.array([*library.encode(t or "", add_special_tokens=False).ids, end], "<u4").tobytes() for t in texts]
 
 
 def test_packing(spark):
-    texts = [*ODD, *(f"document {i} " * (i * 7 % 400) for i in range(60))]
+    texts = [*ODD, "a <|endoftext|> b<|endoftext|>", *(f"document {i} " * (i * 7 % 400) for i in range(60))]
     got = packing.pack_documents(docs(spark, texts), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), "attach", 0, with_ids=True).toPandas()
     want = expected_ids("byte_bpe_50k.json", texts, 0)
     for i, part in got.sort_values("start").groupby("doc_id"):
@@ -286,7 +287,7 @@ def test_bits_round_trip(ids, bits):
 
 
 def test_token_files(spark):
-    texts = [*ODD, *(f"Some Words {i}" * i for i in range(40))]
+    texts = [*ODD, "a <|endoftext|> b", "<|startoftext|><|ENDOFTEXT|>", *(f"Some Words {i}" * i for i in range(40))]
     files = bitpack.write_token_files(docs(spark, texts), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), "drop", 1, 49408, 5, block=64, file_ids=200)
     got = bitpack.token_documents(files).orderBy("key").toPandas()
     want = expected_ids("word_bpe_49k.json", texts, 1)

@@ -1,9 +1,11 @@
 """Token ids by the tokenizers library, fast on text whose words repeat.
 
-A vocabulary's pre-tokenizer never joins text across the places where a text is
-cut here, so encoding the pieces and joining their ids gives exactly what
-encoding the whole text gives.  Each worker keeps the ids of the pieces it has
-met in a table of bounded size.
+The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``: the
+string of a special token in a text becomes that token's id, so a text that holds
+one goes to the library whole.  A vocabulary's pre-tokenizer never joins other
+text across the places where it is cut here, so encoding the pieces and joining
+their ids gives what encoding the whole text gives.  Each worker keeps the ids of
+the pieces it has met in a table of bounded size.
 """
 
 from __future__ import annotations
@@ -51,9 +53,10 @@ class Encoder:
     def __init__(self, path: str, spaces: str):
         if spaces not in ("attach", "drop"):
             raise ValueError(f"unknown treatment of spaces: {spaces}")
-        self.library, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.mark_id, token = max(self.library.get_added_tokens_decoder().items())
+        self.library = Tokenizer.from_file(path)
+        added = self.library.get_added_tokens_decoder()
+        self.special = re.compile("|".join(re.escape(token.content) for token in added.values())).search
+        self.mark_id, token = max(added.items())
         self.mark = token.content
         self.attach = spaces == "attach"
         self.known: dict[str, bytes] = {}
@@ -67,10 +70,11 @@ class Encoder:
         """Ids of each piece.
 
         The pieces go to the library as one text in which a special token, which
-        splits the text before anything else is done, stands between them.
+        splits the text before anything else is done, stands between them.  A
+        piece that could form such a token together with it goes alone.
         """
         if any("<|" in p for p in pieces):
-            codes = self.plain.encode_batch_fast(pieces, add_special_tokens=False)
+            codes = self.library.encode_batch_fast(pieces, add_special_tokens=False)
             return {p: np.array(c.ids, "<u4").tobytes() for p, c in zip(pieces, codes)}
         code = self.library.encode_batch_fast([self.mark.join(pieces)], add_special_tokens=False)[0]
         ids = np.array(code.ids, "<u4")
@@ -83,6 +87,10 @@ class Encoder:
         get = self.known.get
         codes, holes, new = [], [], set()
         for text in texts:
+            if self.special(text):
+                whole = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                codes.append([np.array(whole, "<u4").tobytes()])
+                continue
             pieces = self.cut(text)
             found = list(map(get, pieces))
             codes.append(found)
