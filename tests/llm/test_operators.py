@@ -108,6 +108,64 @@ def test_decontamination_of_long_and_short_items(spark):
     assert got == {k: k for k in range(len(items))}
 
 
+def test_search_against_every_window(spark):
+    """Each window's cosine with each item, by plain loops over the fitted space, and the checks that follow."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 4 = 0")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    space = common.Workspace(spark, "test")
+    words = space.store(decontam.hashed_words(table, "doc_id", "text"), "words")
+    asked = space.store(decontam.hashed_words(bench, "item_id", "text"), "asked")
+    idf = decontam.term_weights(words)
+    basis = decontam.latent_space(words, asked, idf, space).astype(float)
+    assert np.allclose(basis.T @ basis, np.diag(np.diag(basis.T @ basis).round()), atol=1e-3)
+    rows = {r.doc: np.frombuffer(r.words, np.uint32) for r in words.collect()}
+    items = {r.doc: np.frombuffer(r.words, np.uint32) for r in asked.collect() if len(r.words)}
+
+    def vector(part):
+        v = np.zeros(decontam.TERMS)
+        for t in (part % decontam.TERMS).tolist():
+            v[t] += idf[t]
+        return v
+
+    vectors = {i: [vector(p) for p in (x, *decontam._pieces(x))] for i, x in items.items()}
+    near = {i: [(decontam.OUTSIDE * v + (1 - decontam.OUTSIDE) * (basis @ (basis.T @ v))) / np.sqrt(v @ v) for v in some] for i, some in vectors.items()}
+    sure, maybe = set(), {}
+    for doc, w in rows.items():
+        for window in decontam._windows(w):
+            v = vector(window)
+            for i, some in near.items():
+                if len(items[i]) >= decontam.SHORT:
+                    best = max(float(v @ x) for x in some) / np.sqrt(v @ v)
+                    maybe[doc, i] = max(best, maybe.get((doc, i), 0.0))
+        for i, x in items.items():
+            if any(np.array_equal(w[a : a + len(x)], x) for a in range(len(w) - len(x) + 1)):
+                sure.add((doc, i))
+    got = {(r.doc, r.item): (r.common, r.cosine) for r in decontam.find_items(table, bench).collect()}
+    assert sure and sure <= set(got)
+    for (doc, i), (share, cosine) in got.items():
+        if len(items[i]) >= decontam.SHORT:
+            assert share >= decontam.COMMON and cosine <= maybe[doc, i] + 1e-3
+            assert decontam.common_subsequence(items[i], rows[doc]) >= share * len(items[i]) - 1e-9
+            if share == 1.0 and maybe[doc, i] >= decontam.COSINE + 1e-3:
+                assert cosine >= decontam.COSINE - 1e-3
+
+
+def test_decontamination_of_odd_tables(spark):
+    """Null and repeated keys, keys and ids that are strings, a null id, clashing columns, ties."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    items = [" ".join(word() for _ in range(30)) for _ in range(3)]
+    clean = " ".join(word() for _ in range(90))
+    rows = [(None, items[0], 1), (None, clean, 2), ("a", clean + " " + items[1], 3), ("a", clean, 4), ("b", items[2], 5), ("b", items[2], 6), ("c", items[0] + " " + items[2], 7), (None, None, 8)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, tag long").withColumn("words", F.lit("x")).withColumn("item", F.lit(0)).withColumn("doc", F.lit(0))
+    bench = spark.createDataFrame([("z", items[0]), (None, items[1]), ("y", items[2]), ("y", items[2])], "item_id string, text string")
+    got = [(str(r.doc_id), r.contaminated, r.n_items, r.item_id) for r in decontam.contamination(df, bench).collect()]
+    want = [("None", True, 1, "z"), ("None", False, 0, None), ("a", True, 1, None), ("a", False, 0, None), ("b", True, 1, "y"), ("b", True, 1, "y"), ("c", True, 2, "y"), ("None", False, 0, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    left = decontam.drop_contaminated(df, bench)
+    assert left.columns == df.columns and sorted(r.tag for r in left.collect()) == [2, 4, 8]
+
+
 @given(st.lists(st.integers(0, 5), max_size=40), st.lists(st.integers(0, 5), max_size=70))
 @settings(max_examples=200, deadline=None)
 def test_common_subsequence(a, b):
