@@ -75,7 +75,7 @@ def test_exclusions(spark):
 
 def test_turn_rules(spark):
     given = [
-        turn(0, message={"content": "hello"}), turn(1, message={"content": "<system-reminder>x"}), turn(2, isMeta=True, message={"content": "x"}),
+        turn(0, message={"content": "hello"}), turn(1, message={"content": "<command-name>x"}), turn(2, isMeta=True, message={"content": "x"}),
         turn(3, entrypoint="sdk-py", message={"content": "x"}), turn(4, message={"content": [{"type": "tool_result", "content": "y"}]}),
         turn(5, "assistant", message={"content": [{"type": "text", "text": "a"}, {"type": "tool_use", "name": "Read", "input": {"file_path": "'/x/y.rs:3:4'"}}]}),
         {"type": "summary", "uuid": "s", "timestamp": "t"}, {"type": "user", "uuid": 5, "timestamp": "t"}, "not json", {"type": "user", "timestamp": "t"},
@@ -126,6 +126,70 @@ def test_redaction_rules(text, want, rule):
     assert [r for r, n in zip(redact.RULES, hits) if n] == ([rule] if rule else [])
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("note: token: abc123", "note: token: [redacted]"),
+        ("x = token=abc123", "x = token=[redacted]"),
+        ("-v --token zz99", "-v --token [redacted]"),
+        ("key: Authorization: Bearer abc123 end", "key: [redacted] end"),
+        ("Authorization: Negotiate abc def", "Authorization: [redacted] def"),
+        ("token:abc", "token: [redacted]"),
+        ("caf\u00e9=1 api_key==> 'a b' c", "caf\u00e9=1 api_key==> '[redacted]' c"),
+        ('password="open', 'password="[redacted]'),
+        (r'{\"token\": \"a b\"}', r'{\"token\": \"a b\"}'),
+        ("token=[redacted]", "token=[redacted]"),
+        ("plain: text = here -v now", "plain: text = here -v now"),
+    ],
+)
+def test_redaction_hides_no_second_value(text, want):
+    assert redact.redact_text(text)[0] == want
+    assert redact.redact_text(want)[0] == want
+
+
+def test_identifiers_paths_and_programs():
+    assert records.identifiers("caf\u00e9Bar x__y a_b a_b_ _a_b HTTPServer plain \u00c9tat") == ["caf\u00e9Bar", "a_b", "HTTPServer"]
+    assert records._command_words("FOO=/a/b cat '/c/d.rs'; ls -R/x >/dev/null $H/y src/*.rs https://e.org/z") == ["/c/d.rs", "/dev/null"]
+    assert [records._program(c) for c in ("A=1 'cargo' x", '"C:\\bin\\ls" -l', "1A=2 y", "", "B=2")] == [["cargo"], ["ls"], ["1A=2"], [], []]
+
+
+def test_odd_records_end_no_run(spark):
+    odd = [
+        turn(0, message={"content": [{"type": "tool_result", "is_error": True, "content": 5}, {"type": "tool_use", "name": "recall_search", "input": {"paths": 5, "query": "aB"}}]}),
+        turn(1, message={"content": "half \ud800 of a pair"}),
+        turn(2, message=[1], toolUseResult=[{"stderr": 3}]),
+    ]
+    turns = records.classify_turns(recs(spark, odd))
+    bodies = {r.turn_seq: r.body for r in records.turn_bodies(turns).collect()}
+    assert bodies[0].startswith("aB") and bodies[1] in ("half \ufffd of a pair", "half ? of a pair")
+    found = [(r.kind, r.value) for r in records.extract_entities(turns).collect()]
+    assert ("tool", "recall_search") in found and ("symbol", "aB") in found
+
+
+def test_typed_prompts(spark):
+    tags = ["command-message", "command-name", "local-command-caveat", "task-notification", "local-command-stdout", "bash-stdout", "bash-input", "system-reminder", "command-named"]
+    lines = [turn(k, message={"content": f" <{t}>x</{t}>"}) for k, t in enumerate(tags)]
+    typed = [r.is_typed for r in records.classify_turns(recs(spark, lines)).orderBy("turn_seq").collect()]
+    assert typed == [False] * 6 + [True] * 3
+
+
+def test_expansion_is_bounded(spark):
+    words = " ".join(f"Aa{k:05d}Bb{k:05d}" for k in range(12000))
+    grown = spark.createDataFrame([(words,), ("aB",)], "t string").select(values.expanded(F.col("t")).alias("x"), F.octet_length("t").alias("n")).collect()
+    assert 0 < len(grown[0].x) - grown[0].n <= values.EXPANSION_BYTES and grown[1].x == "aB a b"
+
+
+def test_observed_files(spark):
+    """Every tool that does not write reads what it names; values are clipped, lists are cut."""
+    use = lambda k, name, **given: turn(k, message={"content": [{"type": "tool_use", "name": name, "input": given}]})
+    lines = [use(0, "Grep", path="/g"), use(1, "Write", file_path="/w"), use(2, "Bash", command="cat /b/c"), use(3, "Read", file_path="/w"), use(4, "Read", file_path="/" + "x" * 600)]
+    lines += [use(5 + k, "Read", file_path=f"/z{k:03d}") for k in range(70)]
+    recs_ = recs(spark, lines)
+    turns = records.classify_turns(recs_)
+    got = sessions.session_observation(records.session_meta(recs_, turns), turns, records.extract_entities(turns), records.boundaries(recs_)).first()
+    assert got.modified == ["/w"] and got.read[:4] == ["/b/c", "/g", "/w", "/" + "x" * 511] and len(got.read) == 64 and got.cut == ["read"]
+
+
 def test_redact_column_and_records(spark):
     df = redact.redact(spark.createDataFrame([("token=abc",), (None,), ("",)], "t string"), "t")
     assert [r.t for r in df.collect()] == ["token=[redacted]", None, ""]

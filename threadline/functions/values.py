@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Seven-bit letters and digits on either side decide whether a match stands alone.
 _ALNUM = "A-Za-z0-9"
+#: Fixed value: bytes of pieces of identifiers that are added to a text.
+EXPANSION_BYTES = 128 * 1024
 
 
 def variant(line: Column | str) -> Column:
@@ -73,12 +75,6 @@ def clip_bytes(text: Column, limit: int) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.coalesce(*tries))
 
 
-def normalize_path(value: Column) -> Column:
-    """Trim, take off one pair of quotes and up to two trailing line numbers."""
-    bare = F.regexp_replace(F.trim(value), r"""^(["'])(.*)\1$""", "$2")
-    return F.regexp_replace(bare, r"(:[0-9]+){1,2}$", "")
-
-
 def lexical_path(path: Column) -> Column:
     """Resolve ``.`` and ``..`` and doubled slashes without looking at any disk."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
@@ -102,10 +98,21 @@ def camel_pieces(text: Column) -> Column:
     return F.flatten(F.transform(words, lambda w: F.split(w, cut)))
 
 
-def expanded(text: Column) -> Column:
-    """The text and, after it, the pieces of its identifiers that it does not hold as words."""
+def expanded(text: Column, limit: int = EXPANSION_BYTES) -> Column:
+    """The text and, after it, the pieces of its identifiers that it does not hold as words, ``limit`` bytes of them at most."""
     pieces = F.array_distinct(F.transform(camel_pieces(text), lambda p: F.lower(p)))
     extra = F.array_except(pieces, tokens(text))
+    size = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p) + 1)
+    # pieces are kept as long as the sum of their bytes, a blank before each, fits
+    fitting = F.aggregate(
+        extra,
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("kept"), F.lit(True).alias("open")),
+        lambda a, p: F.when(
+            a["open"] & (a["n"] + F.octet_length(p) + 1 <= limit),
+            F.struct((a["n"] + F.octet_length(p) + 1).cast("long").alias("n"), (a["kept"] + 1).alias("kept"), F.lit(True).alias("open")),
+        ).otherwise(F.struct(a["n"].alias("n"), a["kept"].alias("kept"), F.lit(False).alias("open"))),
+    )["kept"]
+    extra = F.when(size(extra) <= limit, extra).otherwise(F.slice(extra, 1, fitting))
     return F.when(F.size(extra) > 0, F.concat(text, F.lit(" "), F.array_join(extra, " "))).otherwise(text)
 
 

@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +16,9 @@ from threadline.functions.values import blocks_at, expanded, flag_at, lexical_pa
 
 # Fixed values.
 TURN_TYPES = ("user", "assistant", "attachment", "system")
-ENVELOPES = ("<command-name>", "<command-message>", "<local-command-stdout>", "<system-reminder>", "<task-notification>", "<bash-input>")
-BODY_BYTES, EXPANSION_BYTES, DEPTH, MOST_ENTITIES = 256 * 1024, 128 * 1024, 8, 48
+ENVELOPES = ("<command-message", "<command-name", "<local-command-caveat", "<task-notification", "<local-command-stdout", "<bash-stdout")
+WRITING_TOOLS = ("Edit", "Write", "MultiEdit", "NotebookEdit")
+BODY_BYTES, DEPTH, MOST_ENTITIES = 256 * 1024, 8, 48
 
 
 def classify_turns(records: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def classify_turns(records: DataFrame) -> DataFrame:
     )
     machine = (
         F.coalesce(string_at("v", "$.entrypoint"), F.lit("")).startswith("sdk-") | flag_at("v", "$.isMeta")
-        | F.array_contains(kinds, "tool_result") | F.ltrim(text).rlike("^(" + "|".join(re.escape(t) for t in ENVELOPES) + ")")
+        | F.array_contains(kinds, "tool_result") | F.ltrim(text).rlike("^(" + "|".join(ENVELOPES) + r")[\s/>]")
     )
     turns = v.select(
         "session_key", "line_no", "stream_offset", "byte_len", "line", string_at("v", "$.uuid").alias("uuid"), string_at("v", "$.parentUuid").alias("parent_uuid"),
@@ -69,10 +71,33 @@ def _leaves(value, depth: int, out: list[str]) -> None:
             _leaves(value[key], depth + 1, out)
 
 
+def _texts(content) -> list[str]:
+    """The text of a tool result: a string, or the texts of a list's parts; anything else has none."""
+    if isinstance(content, str):
+        return [content]
+    parts = content if isinstance(content, list) else ()
+    return [p["text"] for p in parts if isinstance(p, dict) and isinstance(p.get("text"), str)]
+
+
+def _record(line: str) -> dict:
+    """The record of a line; a line that holds none is an empty one."""
+    try:
+        record = json.loads(line)
+    except (TypeError, ValueError, RecursionError):
+        return {}
+    return record if isinstance(record, dict) else {}
+
+
+def _whole(text: str) -> str:
+    """Lone halves of surrogate pairs become the replacement character."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 def _body(line: str) -> str:
-    record = json.loads(line)
+    record = _record(line)
     out: list[str] = []
-    content = (record.get("message") or {}).get("content") if isinstance(record.get("message"), dict) else None
+    message = record.get("message")
+    content = message.get("content") if isinstance(message, dict) else None
     if isinstance(content, str):
         out.append(content)
     for block in content if isinstance(content, list) else ():
@@ -83,14 +108,12 @@ def _body(line: str) -> str:
         elif block.get("type") == "tool_use":
             _leaves(block.get("input"), 0, out)
         elif block.get("type") == "tool_result":
-            inner = block.get("content")
-            out += [inner] if isinstance(inner, str) else [p["text"] for p in inner or () if isinstance(p, dict) and isinstance(p.get("text"), str)]
+            out += _texts(block.get("content"))
     if isinstance(record.get("content"), str):
         out.append(record["content"])
     _leaves(record.get("toolUseResult"), 0, out)
     _leaves(record.get("attachment"), 0, out)
-    data = "\n".join(out).encode()
-    return data[:BODY_BYTES].decode(errors="ignore")
+    return _whole("\n".join(out)).encode()[:BODY_BYTES].decode(errors="ignore")
 
 
 @F.pandas_udf(T.StringType())
@@ -104,29 +127,40 @@ def turn_bodies(turns: DataFrame) -> DataFrame:
     return turns.select("session_key", "turn_seq", _bodies("line").alias("body")).withColumn("body", expanded(F.col("body")))
 
 
-_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
-_WORD = re.compile(r"[^\W]+")
+_CAMEL = regex.compile(r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})")
+_WORD = regex.compile(r"[\p{Alphabetic}\p{N}_]+")
+_ASSIGNMENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*=")
 
 
 def identifiers(text: str) -> list[str]:
-    """Tokens with a case boundary, or an underscore between non-empty parts."""
-    return [w for w in _WORD.findall(text) if _CAMEL.search(w) or any(a and b for a, b in [w.partition("_")[::2]])]
+    """Tokens with a case boundary, or with underscores whose parts are all non-empty."""
+    return [w for w in _WORD.findall(text) if _CAMEL.search(w) or ("_" in w and all(w.split("_")))]
+
+
+def _unquoted(value: str) -> str:
+    return value[1:-1] if len(value) >= 2 and value[0] == value[-1] and value[0] in "\"'" else value
 
 
 def _path(value: str) -> str:
-    value = value.strip()
-    if len(value) >= 2 and value[0] == value[-1] and value[0] in "\"'":
-        value = value[1:-1]
-    return re.sub(r"(?::\d+){1,2}$", "", value)
+    return re.sub(r"(?::[0-9]+){1,2}$", "", _unquoted(value.strip()))
 
 
 def _command_words(command: str) -> list[str]:
+    """Words of a command that name a file: no flags, assignments, expansions or addresses."""
     words = (w.strip("\"'") for w in re.split(r"[\s;&|<>()]+", command))
-    return [w for w in words if re.search(r"[/\\]", w) and not w.startswith("-") and not re.search(r"[$`*?{}]|://", w)]
+    return [w for w in words if re.search(r"[/\\]", w) and not w.startswith("-") and not _ASSIGNMENT.match(w) and not re.search(r"[$`*?{}]|://", w)]
+
+
+def _program(command: str) -> list[str]:
+    """The last part of the first word that is no assignment."""
+    for word in map(_unquoted, command.split()):
+        if word and not _ASSIGNMENT.match(word):
+            return [re.split(r"[/\\]", word)[-1]]
+    return []
 
 
 def _entities(line: str) -> list[tuple[str, str]]:
-    record = json.loads(line)
+    record = _record(line)
     found: list[tuple[str, str]] = []
     message = record.get("message")
     content = message.get("content") if isinstance(message, dict) else None
@@ -139,10 +173,7 @@ def _entities(line: str) -> list[tuple[str, str]]:
             found.append(("tool", name))
             found += [("path", _path(text[k])) for k in ("file_path", "path", "notebook_path") if k in text]
             if name == "Bash" and "command" in text:
-                words = text["command"].split()
-                while words and re.fullmatch(r"\w+=.*", words[0]):
-                    words.pop(0)
-                found += [("command", words[0].rpartition("/")[2])] if words else []
+                found += [("command", c) for c in _program(text["command"])]
                 found += [("path", _path(w)) for w in _command_words(text["command"])]
             elif name == "Grep" and "pattern" in text:
                 found += [("symbol", s) for s in identifiers(text["pattern"])]
@@ -151,17 +182,17 @@ def _entities(line: str) -> list[tuple[str, str]]:
             elif name == "recall_search" or name.endswith("_recall_search"):
                 found += [("symbol", s) for s in identifiers(text.get("query", ""))]
                 found += [("path", _path(w)) for w in _command_words(text.get("query", ""))]
-                found += [("path", _path(p)) for p in given.get("paths") or () if isinstance(p, str)]
+                listed = given.get("paths")
+                found += [("path", _path(p)) for p in (listed if isinstance(listed, list) else ()) if isinstance(p, str)]
         elif block.get("type") == "tool_result" and block.get("is_error") is True:
-            inner = block.get("content")
-            found.append(("error", inner if isinstance(inner, str) else "\n".join(p["text"] for p in inner or () if isinstance(p, dict) and isinstance(p.get("text"), str))))
+            found.append(("error", "\n".join(_texts(block.get("content")))))
     result = record.get("toolUseResult")
     if isinstance(result, dict):
         file = result.get("file")
         found += [("path", _path(p)) for p in (result.get("filePath"), file.get("filePath") if isinstance(file, dict) else None) if isinstance(p, str)]
         if isinstance(result.get("stderr"), str):
             found.append(("error", result["stderr"]))
-    return found
+    return [(k, _whole(v)) for k, v in found]
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("kind", "string").add("value", "string")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,13 +17,32 @@ FRAGMENTS = ("token", "password", "passwd", "secret", "key", "api", "bearer", "c
 RULES = ("pem", "userinfo", "header", "json", "assignment", "flag", "jwt", "github", "sk")
 MARK = "[redacted]"
 
-_VALUE = r"""(?P<open>\\?["'])(?P<quoted>[^\n]*?)(?P=open)|(?P<bare>[^\s"'\\]+)"""
+SCHEMES = ("bearer", "basic", "digest", "token", "negotiate", "ntlm")
+
+#: What opens a quoted value, and how it goes on to a quote of the same kind that no backslash escapes.
+_OPEN = re.compile(r"""\\"|["']""")
+_CLOSED = {q: re.compile(rf"(?:|[^\n]*?[^\\\n])(?={re.escape(q)})") for q in ('\\"', '"', "'")}
+_SCHEME = re.compile(rf"(?:{'|'.join(SCHEMES)})\Z", re.I)
+_BLANKS = re.compile(r"[ \t]*")
+_RUN = re.compile(r"""[^\s"'\\]*""")
 _PEM = re.compile(r"-----BEGIN [^\n-]*PRIVATE KEY[^\n-]*-----.*?(?:-----END [^\n]*?-----|\Z)", re.S)
 _USERINFO = re.compile(r"(://)[^\s/?#\"'`\\@]+(?=@)")
-_HEADER = re.compile(rf"(?P<head>(?P<name>[A-Za-z0-9_-]+):[ \t]*)(?:(?P<scheme>(?:Bearer|Basic|Digest|Token)[ \t]+))?(?:{_VALUE})", re.I)
-_JSON = re.compile(r'(?P<head>"(?P<name>[^"\\\n]+)"\s*:\s*)"(?:[^"\\]|\\.)*"')
-_ASSIGN = re.compile(rf"(?P<head>(?P<name>[A-Za-z0-9_.-]+)[ \t]*(?:==|=>|=)[ \t]*)(?:{_VALUE})")
-_FLAG = re.compile(rf"(?P<head>(?P<name>-[A-Za-z0-9_-]+)[ \t]+)(?:{_VALUE})")
+
+
+@lru_cache(maxsize=16)
+def _heads(fragments: tuple[str, ...]) -> dict[str, re.Pattern]:
+    """What stands before a value whose name is a secret one; no other name starts a match, so none hides the next."""
+    part = f"(?:{'|'.join(map(re.escape, fragments))})"
+    header, word = "A-Za-z0-9_-", "A-Za-z0-9_.-"
+    return {
+        "header": re.compile(rf"(?<![{header}])[{header}]*?{part}[{header}]*:", re.I),
+        "json": re.compile(rf'"[^"\\\n]*?{part}[^"\\\n]*"\s*:\s*(?=")', re.I),
+        "assignment": re.compile(rf"(?<![{word}])[{word}]*?{part}[{word}]*[ \t]*=+>?[ \t]*", re.I),
+        "flag": re.compile(rf"(?<![{word}])-[{word}]*?{part}[{word}]*[ \t]+", re.I),
+    }
+
+
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_.-]{9,}")
 _GITHUB = re.compile(r"(?<![A-Za-z0-9_-])(?:ghp_|gho_|ghu_|ghs_|ghr_|github_pat_)[A-Za-z0-9_-]{6,}")
 _SK = re.compile(r"(?<![A-Za-z0-9_-])sk-[A-Za-z0-9_-]{20,}")
@@ -33,35 +53,66 @@ def is_secret(name: str, fragments: tuple[str, ...] = FRAGMENTS) -> bool:
     return any(f in low for f in fragments)
 
 
+def _value_span(text: str, at: int) -> tuple[int, int]:
+    """Where the value at a place begins and ends: inside its quotes, or else a bare run; an unpaired quote is left out."""
+    opened = _OPEN.match(text, at)
+    closed = opened and _CLOSED[opened[0]].match(text, opened.end())
+    return closed.span() if closed else _RUN.match(text, opened.end() if opened else at).span()
+
+
+def _headers(text: str, fragments: tuple[str, ...]) -> tuple[str, int]:
+    """``name: value``; a scheme's value goes with it, and values of names inside a value are covered."""
+    out, copied, hits = [], 0, 0
+    for m in _heads(fragments)["header"].finditer(text):
+        value = _BLANKS.match(text, m.end()).end()
+        start, end = _value_span(text, value)
+        if _SCHEME.match(text[start:end]):
+            end = max(end, _RUN.match(text, _BLANKS.match(text, end).end()).end())
+        if end == start or text.startswith(MARK[:-1], start):
+            continue
+        if m.end() <= copied:
+            copied = max(copied, end)
+            continue
+        out += [text[copied : m.end()], " ", text[value:start], MARK]
+        copied, hits = end, hits + 1
+    return "".join([*out, text[copied:]]), hits
+
+
+def _named(text: str, head: re.Pattern) -> tuple[str, int]:
+    out, copied, hits = [], 0, 0
+    for m in head.finditer(text):
+        start, end = _value_span(text, m.end())
+        if m.start() < copied or end == start or text.startswith(MARK[:-1], start):
+            continue
+        out += [text[copied:start], MARK]
+        copied, hits = end, hits + 1
+    return "".join([*out, text[copied:]]), hits
+
+
+def _members(text: str, head: re.Pattern) -> tuple[str, int]:
+    out, copied, hits = [], 0, 0
+    for m in head.finditer(text):
+        value = _STRING.match(text, m.end())
+        if m.start() < copied or not value or value[0] == f'"{MARK}"':
+            continue
+        out += [text[copied : m.end()], f'"{MARK}"']
+        copied, hits = value.end(), hits + 1
+    return "".join([*out, text[copied:]]), hits
+
+
 def redact_text(text: str, fragments: tuple[str, ...] = FRAGMENTS) -> tuple[str, list[int]]:
     """The text without secrets, and the hits of each rule; a rule sees what the ones before it left."""
-    hits = [0] * len(RULES)
-
-    def named(k: int, quote: str = ""):
-        def put(m: re.Match) -> str:
-            if not is_secret(m["name"], fragments) or MARK in m[0]:
-                return m[0]
-            hits[k] += 1
-            return m["head"] + quote + MARK + quote
-
-        return put
-
-    def plain(k: int, mark: str):
-        def put(m: re.Match) -> str:
-            hits[k] += 1
-            return (m[1] if m.re.groups else "") + mark
-
-        return put
-
-    text = _PEM.sub(plain(0, "[redacted: a PEM private key block]"), text)
-    text = _USERINFO.sub(plain(1, MARK), text)
-    text = _HEADER.sub(named(2), text)
-    text = _JSON.sub(named(3, '"'), text)
-    text = _ASSIGN.sub(named(4), text)
-    text = _FLAG.sub(named(5), text)
-    text = _JWT.sub(plain(6, "[redacted: a JWT]"), text)
-    text = _GITHUB.sub(plain(7, "[redacted: a GitHub token]"), text)
-    return _SK.sub(plain(8, "[redacted: a secret key]"), text), hits
+    heads = _heads(tuple(fragments))
+    text, pem = _PEM.subn("[redacted: a PEM private key block]", text)
+    text, userinfo = _USERINFO.subn(rf"\g<1>{MARK}", text)
+    text, header = _headers(text, tuple(fragments))
+    text, member = _members(text, heads["json"])
+    text, assigned = _named(text, heads["assignment"])
+    text, flag = _named(text, heads["flag"])
+    text, jwt = _JWT.subn("[redacted: a JWT]", text)
+    text, github = _GITHUB.subn("[redacted: a GitHub token]", text)
+    text, sk = _SK.subn("[redacted: a secret key]", text)
+    return text, [pem, userinfo, header, member, assigned, flag, jwt, github, sk]
 
 
 def redact(df: DataFrame, column: str, fragments: tuple[str, ...] = FRAGMENTS) -> DataFrame:

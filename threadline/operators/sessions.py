@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadline.functions.values import clip_bytes
+from threadline.operators.records import WRITING_TOOLS
 from threadline.sources.tables import stored
 
 # Limits of summaries and lists.
-NEWEST_PROMPTS, MOST_LISTED, PROMPT_BYTES, PER_ACTION = 12, 64, 256 * 1024, 100
+NEWEST_PROMPTS, MOST_LISTED, LISTED_BYTES, PROMPT_BYTES, PER_ACTION = 12, 64, 512, 256 * 1024, 100
 IDLE = "6 hours"
 
 
@@ -37,7 +39,7 @@ def session_summary(meta: DataFrame, turns: DataFrame, entities: DataFrame) -> D
         F.max(F.when(F.col("record_type") == "assistant", F.col("turn_seq"))).alias("newest_reply"),
     )
     prompts = newest_prompts(turns).groupBy("session_key").agg(F.sort_array(F.collect_list("turn_seq"), asc=False).alias("newest_prompts"))
-    edits = turns.where("tool_name in ('Edit', 'Write', 'MultiEdit', 'NotebookEdit')").select("session_key", "turn_seq")
+    edits = turns.where(F.col("tool_name").isin(*WRITING_TOOLS)).select("session_key", "turn_seq")
     files = (
         entities.where("kind = 'path'").join(edits, ["session_key", "turn_seq"]).groupBy("session_key", "value").agg(F.max("turn_seq").alias("at"))
         .groupBy("session_key").agg(F.sort_array(F.collect_list(F.struct("at", "value")), asc=False).alias("f"))
@@ -61,9 +63,9 @@ def session_observation(meta: DataFrame, turns: DataFrame, entities: DataFrame,
     """
     tool = turns.select("session_key", "turn_seq", "tool_name")
     path = entities.where("kind = 'path'").join(tool, ["session_key", "turn_seq"])
-    modifies = F.col("tool_name").isin("Edit", "Write", "MultiEdit", "NotebookEdit")
-    rows = path.select("session_key", F.when(modifies, "modified").when(F.col("tool_name") == "Read", "read").alias("list"), "value").where("list is not null")
-    rows = rows.unionByName(entities.where("kind in ('tool', 'error', 'command')").select("session_key", F.concat("kind", F.lit("s")).alias("list"), "value")).distinct()
+    modifies = F.coalesce(F.col("tool_name").isin(*WRITING_TOOLS), F.lit(False))  # all other turns, those without a tool too, read
+    rows = path.select("session_key", F.when(modifies, "modified").otherwise("read").alias("list"), clip_bytes(F.col("value"), LISTED_BYTES).alias("value"))
+    rows = rows.unionByName(entities.where("kind in ('tool', 'error', 'command')").select("session_key", F.concat("kind", F.lit("s")).alias("list"), clip_bytes(F.col("value"), LISTED_BYTES).alias("value"))).distinct()
     names = ["read", "modified", "tools", "errors", "commands"]
     rank = F.row_number().over(Window.partitionBy("session_key", "list").orderBy("value"))
     listed = rows.withColumn("r", rank)

@@ -48,8 +48,6 @@ def query(sql: str | None = None):
 # --- search -------------------------------------------------------------------
 
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
-#: Distinct values of a list in the order they first occur.
-FIRSTS = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -92,12 +90,12 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {INDEX_SQL} SELECT t AS term, df, n, round(avgdl, 6) AS avgdl FROM terms, corpus WHERE df >= 2"
+    f"WITH {INDEX_SQL} SELECT t AS term, df, n, round(avgdl, 6) AS avgdl FROM terms, corpus"
 )
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequencies, number and mean length of documents."""
     index = search.build_index(_documents(spark, sf_dir)[0])
-    return index.terms.where("df >= 2").crossJoin(F.broadcast(index.corpus)).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+    return index.terms.crossJoin(F.broadcast(index.corpus)).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(
@@ -134,13 +132,13 @@ def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT i.conv_id AS turn_id, c.role, CASE WHEN c.conv_id IS NULL THEN 'not found' END AS reason
-FROM (SELECT DISTINCT conv_id * 2 AS conv_id FROM conversations) i LEFT JOIN conversations c ON c.conv_id = i.conv_id AND c.turn = 0 AND c.conv_id % 5 <> 0"""
+FROM (SELECT DISTINCT conv_id * 2 AS conv_id FROM conversations) i LEFT JOIN conversations c ON c.conv_id = i.conv_id AND c.conv_id % 5 <> 0"""
 )
 def fetch_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetch by id; unknown ids and those of hidden sessions are absent alike."""
     conv = _table(spark, sf_dir, "conversations")
-    turns = conv.where("turn = 0").select(F.col("conv_id").alias("turn_id"), F.col("conv_id").alias("session_key"), "role")
-    hidden = turns.where("session_key % 5 = 0").select("session_key")
+    turns = conv.select(F.col("conv_id").alias("turn_id"), F.col("conv_id").alias("session_key"), "role")
+    hidden = turns.where("session_key % 5 = 0").select("session_key").distinct()
     return search.get_turns(conv.select((F.col("conv_id") * 2).alias("turn_id")), turns, hidden).select("turn_id", "role", "reason")
 
 
@@ -210,14 +208,13 @@ def turn_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHEN 'signup' THEN 'Please fix ' || file || ' and ' || name || ' name' || k || ' manager'
   WHEN 'view' THEN cwd || '/' || file
   WHEN 'click' THEN name || '2' || chr(10) || name || ' name' || k || ' manager2 manager'
-  WHEN 'purchase' THEN name || ' ' || file || ' name' || k || ' manager' END AS body
-FROM typed WHERE NOT boundary AND event_type <> 'error' AND (event_type <> 'purchase' OR k % 10 = 0)"""
+  WHEN 'purchase' THEN CASE WHEN k % 10 = 0 THEN name || ' ' || file || ' name' || k || ' manager' ELSE 'cargo test ' || cwd || '/' || file END
+  WHEN 'error' THEN '2024-01-01T00:00:00Z fault at 0x' || lower(printf('%X', k)) || ' in ' || file || ':' || k || ':7 t00 z' END AS body
+FROM typed WHERE NOT boundary UNION ALL SELECT session_key, turn_seq, '' FROM typed WHERE boundary"""
 )
 def turn_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searchable text with the pieces of its identifiers."""
-    turns = _turns(spark, sf_dir)
-    wanted = turns.where("record_type <> 'system' and (is_typed or tool_name in ('Read', 'Edit', 'mcp__x__recall_search'))")
-    return records.turn_bodies(wanted)
+    return records.turn_bodies(_turns(spark, sf_dir))
 
 
 @query(f"""WITH {EVENTS_SQL} SELECT session_key, turn_seq AS boundary_seq, 'u' || p2 || ',' || 'u' || prev AS preserved FROM typed
@@ -267,12 +264,13 @@ def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {EVENTS_SQL},
 f AS (
   SELECT session_key, CASE WHEN kind = 'path' THEN 'read' ELSE kind || 's' END AS l, value FROM ent
-  WHERE kind IN ('tool', 'error', 'command') OR (kind = 'path' AND EXISTS (SELECT 1 FROM typed t WHERE t.event_id = ent.event_id AND tool_name = 'Read'))),
+  WHERE kind IN ('tool', 'error', 'command', 'path')),
 g AS (SELECT session_key, l, list(DISTINCT value ORDER BY value)[1:64] AS v FROM f GROUP BY ALL)
 SELECT session_key, project, turn_count,
   ((epoch_ms(strptime(last_turn_at, '%Y-%m-%dT%H:%M:%S.%fZ')) - epoch_ms(strptime(first_turn_at, '%Y-%m-%dT%H:%M:%S.%fZ'))) // 1000)::BIGINT AS duration_s,
   (SELECT count(*) FROM typed t WHERE t.session_key = meta.session_key AND boundary) AS compactions,
   coalesce(array_to_string((SELECT v FROM g WHERE g.session_key = meta.session_key AND l = 'read'), '|'), '') AS files_read,
+  '' AS files_modified, '' AS cut,
   coalesce(array_to_string((SELECT v FROM g WHERE g.session_key = meta.session_key AND l = 'tools'), '|'), '') AS tools,
   coalesce(array_to_string((SELECT v FROM g WHERE g.session_key = meta.session_key AND l = 'errors'), '|'), '') AS errors,
   coalesce(array_to_string((SELECT v FROM g WHERE g.session_key = meta.session_key AND l = 'commands'), '|'), '') AS commands
@@ -284,7 +282,7 @@ def session_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = sessions.session_observation(_meta(spark, sf_dir), turns, records.extract_entities(turns), records.boundaries(_records(spark, sf_dir)))
     join = lambda c: F.array_join(c, "|")
     return made.select(
-        "session_key", "project", "turn_count", "duration_s", "compactions", join("read").alias("files_read"), join("tools").alias("tools"),
+        "session_key", "project", "turn_count", "duration_s", "compactions", join("read").alias("files_read"), join("modified").alias("files_modified"), join("cut").alias("cut"), join("tools").alias("tools"),
         join("errors").alias("errors"), join("commands").alias("commands"),
     )
 
