@@ -227,6 +227,42 @@ def test_pages_of_the_tables(spark):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_pages_unlike_the_sample(spark):
+    """The model of the tables on parts that their pages lack: no name decides by itself, and unnamed parts are judged too."""
+    table = spark.read.parquet(f"{SF}/pages.parquet")
+    model = htmltext.train(table, "page_id", "html")
+    long = "One sentence of some length stands here. Another one follows it, and a third one. " * 3
+    nav = '<nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav>'
+    shell = lambda body: f"<html><body>{nav}{body}<footer>&copy; x</footer></body></html>"
+    para = f"<p>{long}</p>" * 3
+    text = "\n".join([long.strip()] * 3)
+    cases = {
+        "an article's header": (f"<article><header><h1>Title</h1></header>{para}</article>", "Title\n" + text),
+        "a name that only sounds like it": (f'<article><section class="social-history">{para}</section></article>', text),
+        "names of single paragraphs": (f'<article>{para}<p class="legal">{long}</p><p id="search-results">{long}</p></article>', "\n".join([long.strip()] * 5)),
+        "a page's property": (f'<div class="content has-sidebar"><div class="with-header">{para}</div></div>', text),
+        "an advert without a name": (f'<article>{para}<div class="zq-77">Buy now.</div></article>', text),
+        "an offer outside": (f'<div class="x9">Ten per cent off.</div><article>{para}</article>', text),
+        "comments inside": (f'<article>{para}<div class="post-comments"><div>Nice.</div></div><form><label>Mail</label></form></article>', text),
+        "a notice and an aside": (f'<div id="cookie-notice"><p>We use them.</p></div><article>{para}</article><aside><p>More to read.</p></aside>', text),
+    }
+    df = spark.createDataFrame([(i, shell(body)) for i, (body, _) in enumerate(cases.values())], "page_id long, html string")
+    got = [r.text for r in htmltext.extract(df, "html", model).orderBy("page_id").collect()]
+    assert {k: g for k, g in zip(cases, got)} == {k: want for k, (_, want) in cases.items()}
+    bare = htmltext.Model({f: w for f, w in model.weights.items() if f not in ("apart", "under")}, model.pair, model.prior)
+    rows = table.limit(50).select("page_id", "html")
+    assert htmltext.extract(rows, "html", bare).collect() == htmltext.extract(rows, "html", model).collect()  # the list is not needed there
+
+
+def test_pages_of_odd_tables(spark):
+    """Repeated pages and columns that clash."""
+    page = "<article><p>Some words, and a stop.</p></article>"
+    df = spark.createDataFrame([(1, page, "old", "a"), (1, page, "old", "a"), (None, None, None, None)], "page_id long, html string, text string, parent string")
+    got = htmltext.extract(df, "html", htmltext.train(df, "page_id", "html"))
+    assert got.columns == ["page_id", "parent", "text"]
+    assert sorted(map(str, got.collect())) == sorted(["Row(page_id=1, parent='a', text='Some words, and a stop.')"] * 2 + ["Row(page_id=None, parent=None, text='')"])
+
+
 def test_messages_equal_enumeration():
     model = htmltext.Model({"a": 1.3, "b": -0.7}, np.log(np.array([[0.8, 0.2], [0.3, 0.7]])), -0.2)
     tree = htmltext.Tree()

@@ -4,6 +4,12 @@ Every block element and every block of text is a node that is content or not.
 A node's features give it a unary potential, a parent and its child share a
 pairwise one.  Sum-product messages go up and down the tree and give each
 block's probability of being content.
+
+Names of elements, classes and ids that pages give to what is not their article
+are one feature among others.  All weights are counted on pages that mark their
+article; a part inside an article that bears such a name is left out of the
+counts, as its label is not known, and a few counts are given in advance, so that
+names a sample lacks have an opinion.  No feature decides by itself.
 """
 
 from __future__ import annotations
@@ -45,10 +51,14 @@ APART = set(
     "notices gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended breadcrumb "
     "breadcrumbs pagination pager toolbar navbar navigation topbar copyright legal disclaimer masthead skip search tags".split()
 )
+#: Words of a class name that stand beside the one that says what it is, and those before it that make it a property of the page.
+BESIDE = set("box block area section container wrapper wrap list item inner outer bar panel row col left right top bottom fixed sticky main page site global".split())
+PROPERTY = set("has no with without is not hide show".split())
 #: Elements whose names of classes say nothing about a part of the page.
 WHOLE = ("html", "body", "article", "main")
-#: Log-odds of nodes set apart and of what stands below them: by definition of the labels such a node is no content.
-APART_ODDS = {"apart": -15.0, "under": -15.0}
+#: Counts given in advance: (feature, label) -> number of nodes; and the share of an article's parts that are not content.
+GIVEN = {("apart", 0): 1000.0, ("under", 0): 1000.0, ("main", 1): 20.0}
+APART_SHARE = 0.05
 MAIN = set("article main content post entry story body text".split())
 #: Words that say little about a page's own parts.
 ROLE_SPLIT = re.compile(r"[^a-z]+")
@@ -77,14 +87,28 @@ class Tree:
         return len(self.parent) - 1
 
 
-def _element_features(tag: str, token: str, under: bool) -> tuple:
-    words = {w for groups in ROLE.findall(token) for g in groups if g for w in ROLE_SPLIT.split(g.lower()) if w} if "=" in token else set()
-    found = [f"tag={tag}", *(f"word={w}" for w in sorted(words))]
+def _names(token: str) -> list[list[str]]:
+    """The words of each class, id and role name of a tag."""
+    if "=" not in token:
+        return []
+    values = (g for groups in ROLE.findall(token) for g in groups if g)
+    return [words for value in values for name in value.lower().split() if (words := [w for w in ROLE_SPLIT.split(name) if w])]
+
+
+def _names_apart(words: list[str]) -> bool:
+    """Whether a name's main word, its last but for words that stand beside it, is one of APART."""
+    own = [w for w in words if w not in BESIDE]
+    return bool(own) and words[0] not in PROPERTY and (own[-1] in APART or own[-1].removesuffix("s") in APART)
+
+
+def _element_features(tag: str, token: str, under: bool, inside: bool) -> tuple:
+    names = _names(token)
+    found = [f"tag={tag}", *(f"word={w}" for w in sorted({w for words in names for w in words}))]
     if tag in WHOLE:
         found += ["main"] * (tag in ("article", "main"))
-    elif tag in APART or words & APART:
+    elif any(map(_names_apart, names)) or (tag in APART and not (inside and tag == "header")):  # an article's header has its title
         found.append("apart")
-    elif words & MAIN:
+    elif any(w in MAIN for words in names for w in words):
         found.append("main")
     if under and tag not in ("article", "main"):
         found.append("under")
@@ -176,22 +200,26 @@ def parse(page: str) -> Tree:
                     break
         flush()
         above = stack[-1][1]
-        node = tree.add(above, _element_features(tag, token, _is_apart(tree.features[above])), None, tag)
+        inside = any(name in ("article", "main") for name, _ in stack)
+        node = tree.add(above, _element_features(tag, token, _is_apart(tree.features[above]), inside), None, tag)
         if tag not in VOID and not token.endswith("/>"):
             stack.append((tag, node))
     flush()
     return tree
 
 
-def weak_labels(tree: Tree) -> list[int] | None:
-    """Labels of a page that marks its article: inside it and in no part set apart; None for other pages."""
+def weak_labels(tree: Tree) -> list[int | None] | None:
+    """Labels of a page that marks its article, whether a node is inside it; None for other pages.
+
+    A node inside that bears a name of what is set apart, or stands below one that does, has the label None.
+    """
     label, inside = [], []
     marked = False
     for parent, features, tag in zip(tree.parent, tree.features, tree.tags):
         own = tag in ("article", "main") or (parent >= 0 and inside[parent])
         marked |= own
-        inside.append(own and not _is_apart(features))
-        label.append(int(inside[-1]))
+        inside.append(own)
+        label.append(None if own and _is_apart(features) else int(own))
     return label if marked else None
 
 
@@ -205,15 +233,16 @@ class Model:
     def of_counts(cls, counts: dict[tuple[str, int], float], smooth: float = 1.0) -> Model:
         pair = np.full((2, 2), smooth)
         nodes, seen = np.full(2, smooth), {}
-        for (feature, label), n in counts.items():
+        for (feature, label), n in [*counts.items(), *GIVEN.items()]:
             if feature.startswith("pair="):
                 pair[int(feature[5]), label] += n
             elif feature == "node":
                 nodes[label] += n
             else:
                 seen.setdefault(feature, np.full(2, smooth))[label] += n
-        seen.setdefault("main", np.full(2, smooth))[1] += 2  # so that a sample without such names has an opinion
-        weights = {f: float(np.log(c[1] / nodes[1]) - np.log(c[0] / nodes[0])) for f, c in seen.items()} | APART_ODDS
+        pair[1, 0] += APART_SHARE * pair[1].sum()  # such parts are left out of the counts
+        more = {feature: n for (feature, _), n in GIVEN.items()}  # of such nodes and of others, so that it shifts no other feature
+        weights = {f: float(np.log(c[1] / (nodes[1] + more.get(f, 0.0))) - np.log(c[0] / (nodes[0] + more.get(f, 0.0)))) for f, c in seen.items()}
         return cls(weights, np.log(pair / pair.sum(axis=1, keepdims=True)), float(np.log(nodes[1] / nodes[0])))
 
     def marginals(self, trees: list[Tree]) -> np.ndarray:
@@ -269,6 +298,8 @@ def train(pages: DataFrame, key: str, column: str, sample: int = 600, features:
                 if labels is None:
                     continue
                 for parent, features, label in zip(tree.parent, tree.features, labels):
+                    if label is None:
+                        continue
                     got["node", label] += 1
                     if parent >= 0:
                         got[f"pair={labels[parent]}", label] += 1
