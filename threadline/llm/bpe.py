@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 from tokenizers import Tokenizer  # noqa: E402
 
 #: Pieces kept by a worker; beyond that the table starts anew.
-KEPT_PIECES = 900_000
+KEPT_PIECES = 200_000
 #: Pieces handed to the library at once.
 PIECES_AT_ONCE = 4096
 

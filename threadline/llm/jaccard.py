@@ -52,7 +52,7 @@ BROADCAST_IDS = 1_000_000
 #: Bytes of sets that may be sent to all executors.
 BROADCAST_BYTES = 32 << 20
 #: Shingles of a batch of texts or pairs that are held at once.
-HELD = 1 << 21
+HELD = 1 << 19
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
