@@ -291,6 +291,42 @@ def test_languages(spark):
     assert langid.identify(empty(spark)).count() == 0
 
 
+def test_network_against_loops():
+    """The forward pass by plain loops, the gradients by finite differences."""
+    rng = np.random.default_rng(4)
+    net = langid.Network(["a", "b", "c"], 1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["shift"] += 0.1
+    x, y = rng.integers(0, 256, (3, langid.WINDOW)).astype(np.uint8), np.array([0, 2, 1])
+
+    def forward(rows):
+        out = []
+        for row in rows:
+            e = [net.p["embed"][b] for b in row]
+            patch = [np.concatenate(e[k : k + langid.WIDE]) for k in range(langid.WINDOW - langid.WIDE + 1)]
+            h = [max(0.0, max(float(q @ net.p["filters"][:, f]) for q in patch) + net.p["shift"][f]) for f in range(net.p["filters"].shape[1])]
+            z = np.array(h) @ net.p["out"] + net.p["bias"]
+            out.append(np.exp(z) / np.exp(z).sum())
+        return np.array(out)
+
+    def patches(rows):  # the strides of the library's own are those of 32-bit numbers
+        e = net.p["embed"][rows].reshape(len(rows), -1)
+        return np.lib.stride_tricks.as_strided(e, (len(rows), langid.WINDOW - langid.WIDE + 1, langid.WIDE * langid.EMBED), (e.strides[0], langid.EMBED * 8, 8))
+
+    net._patches = patches
+    assert np.allclose(net.probabilities(x), forward(x), atol=1e-6)
+    loss = lambda: -np.log(net.probabilities(x)[np.arange(3), y]).mean()
+    given = net.gradients(x, y)
+    for name, at in (("bias", (1,)), ("out", (3, 2)), ("shift", (5,)), ("filters", (2, 1)), ("embed", (int(x[0, 9]), 2)), ("embed", (int(x[2, 100]), 0))):
+        old = net.p[name][at]
+        net.p[name][at] = old + 1e-5
+        high = loss()
+        net.p[name][at] = old - 1e-5
+        low = loss()
+        net.p[name][at] = old
+        assert abs((high - low) / 2e-5 - given[name][at]) < 1e-4
+
+
 # --- 5 ------------------------------------------------------------------------
 
 

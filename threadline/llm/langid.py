@@ -131,8 +131,12 @@ def train(df: DataFrame, key: str, text: str, lang: str, per_label: int = 1200,
     """
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     ids = rows.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.xxhash64(key).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))
-    picked = ids.withColumn("r", rank).where(F.col("r") <= per_label).select("k").distinct()
+    # first of each part of a label's rows, then of what is left, so that a label with most rows is no single task
+    picked = ids.withColumn("part", F.pmod("h", F.lit(64)))
+    for by in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("h", "k"))
+        picked = picked.withColumn("r", rank).where(F.col("r") <= per_label)
+    picked = picked.select("k").distinct()
     sample = materialize(
         rows.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(picked), "k"), "langs"
     )
@@ -157,11 +161,11 @@ def train(df: DataFrame, key: str, text: str, lang: str, per_label: int = 1200,
             if len(labels) > MOST_LABELS:
                 raise ValueError(f"{len(labels)} labels")
             x = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, WINDOW)
-            order = np.lexsort([np.array(langs), *x[:, :8].T])
+            order = np.array(sorted(range(len(parts)), key=lambda i: (langs[i], parts[i])))  # windows come in any order
             y = np.array([labels.index(v) for v in langs])
             yield pa.RecordBatch.from_arrays([pa.array([fit(x[order], y[order], labels).save()], pa.binary())], names=["net"])
 
-    got = sample.select("text", "lang").mapInArrow(cut, "w binary, lang string").coalesce(1).mapInArrow(learn, "net binary").collect()
+    got = sample.select("text", "lang").mapInArrow(cut, "w binary, lang string").repartition(1).mapInArrow(learn, "net binary").collect()
     return bytes(got[0][0]) if got else None
 
 
