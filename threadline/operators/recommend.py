@@ -43,9 +43,13 @@ def prompt_query(prompts: DataFrame, spellings: DataFrame) -> DataFrame:
 
 
 def match_any(groups: DataFrame, index: Index) -> DataFrame:
-    """Turns that hold all words of at least one group (``query_id, group_no, tokens``); scores of satisfied groups add up."""
-    named = groups.withColumn("gid", F.concat_ws(":", "query_id", "group_no"))
-    hits = match_all(named.select(F.col("gid").alias("query_id"), "tokens"), index).withColumnRenamed("query_id", "gid")
+    """Turns that hold all words of at least one group (``query_id, group_no, tokens``); scores of satisfied groups add up.
+
+    Many queries ask for the same words, so each distinct set of words is scored once.
+    """
+    named = groups.withColumn("gid", F.array_join("tokens", " "))
+    sets = named.groupBy("gid").agg(F.first("tokens").alias("tokens"))
+    hits = match_all(sets.select(F.col("gid").alias("query_id"), "tokens"), index).withColumnRenamed("query_id", "gid")
     return hits.join(named.select("gid", "query_id"), "gid").groupBy("query_id", "turn_id").agg(F.sum("text_score").alias("text_score"))
 
 
