@@ -99,6 +99,15 @@ def choose(hits: DataFrame, thresholds: DataFrame) -> DataFrame:
     return ok.withColumn("place", place).where("place <= max_turns").select("grid", "query_id", "turn_id", "place")
 
 
+def eligible_decisions(decisions: DataFrame, meta: DataFrame) -> DataFrame:
+    """Decisions that may be labelled: with a session id and a time, and some closed file of that session.
+
+    ``meta`` has ``session_id, closed``; several files may report one session id.
+    """
+    final = meta.where("closed and session_id is not null").select("session_id").distinct()
+    return decisions.where("ts is not null").join(final, "session_id", "left_semi")
+
+
 def label_turns(injected: DataFrame, decisions: DataFrame, turns: DataFrame, entities: DataFrame) -> DataFrame:
     """``decision_id, turn_id, label``: hit if a later turn of the session names an entity of the injected turn.
 

@@ -203,15 +203,16 @@ def turn_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.extract_entities(_turns(spark, sf_dir)).select("session_key", "turn_seq", "kind", "value")
 
 
-@query(
-    f"""WITH {EVENTS_SQL} SELECT session_key, turn_seq, CASE event_type
+BODIES_SQL = """SELECT session_key, turn_seq, CASE event_type
   WHEN 'signup' THEN 'Please fix ' || file || ' and ' || name || ' name' || k || ' manager'
   WHEN 'view' THEN cwd || '/' || file
   WHEN 'click' THEN name || '2' || chr(10) || name || ' name' || k || ' manager2 manager'
   WHEN 'purchase' THEN CASE WHEN k % 10 = 0 THEN name || ' ' || file || ' name' || k || ' manager' ELSE 'cargo test ' || cwd || '/' || file END
   WHEN 'error' THEN '2024-01-01T00:00:00Z fault at 0x' || lower(printf('%X', k)) || ' in ' || file || ':' || k || ':7 t00 z' END AS body
 FROM typed WHERE NOT boundary UNION ALL SELECT session_key, turn_seq, '' FROM typed WHERE boundary"""
-)
+
+
+@query(f"WITH {EVENTS_SQL} {BODIES_SQL}")
 def turn_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searchable text with the pieces of its identifiers."""
     return records.turn_bodies(_turns(spark, sf_dir))
@@ -426,6 +427,57 @@ def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- recommendation and feedback ----------------------------------------------
 
+# BM25 over the bodies of all turns for the spellings of each prompt, then entity weights, then each row of the grid.
+FEEDBACK_SQL = f"""{EVENTS_SQL},
+tid AS (SELECT *, (user_id << 24) | turn_seq AS turn_id FROM typed),
+ents AS (SELECT turn_id, kind, value FROM ent JOIN tid USING (session_key, turn_seq)),
+body AS ({BODIES_SQL}),
+words AS (SELECT (session_key::BIGINT << 24) | turn_seq AS turn_id, {WORDS.format('body')} AS w FROM body),
+tf AS (SELECT turn_id, t, count(*) AS tf FROM (SELECT turn_id, unnest(w) AS t FROM words) GROUP BY ALL),
+terms AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+corpus AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM words),
+weighed AS (
+  SELECT turn_id, t, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END
+    * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avgdl)) AS score FROM tf JOIN terms USING (t) JOIN words USING (turn_id), corpus),
+prompt AS (
+  SELECT turn_id AS query_id, session_id, ts, user_id << 24 AS before, cwd, file, name, unnest([cwd || '/' || file, file, name]) AS spelling FROM tid WHERE is_typed),
+sets AS (SELECT spelling, unnest(w) AS t, len(w) AS need FROM (SELECT spelling, list_distinct({WORDS.format('spelling')}) AS w FROM (SELECT DISTINCT spelling FROM prompt))),
+found AS (
+  SELECT spelling, turn_id, sum(score) AS score FROM sets JOIN weighed USING (t) GROUP BY spelling, turn_id, need HAVING count(*) = need),
+texts AS (SELECT query_id, turn_id, sum(score) AS text_score FROM prompt JOIN found USING (spelling) WHERE turn_id < before GROUP BY ALL),
+pool AS (
+  SELECT query_id, turn_id, text_score, tid.ts FROM texts JOIN tid USING (turn_id)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(text_score, 9) DESC, tid.ts DESC NULLS LAST, turn_id) <= 200),
+asked AS (SELECT DISTINCT query_id, unnest({WORDS.format("cwd || '/' || file || ' Please fix ' || file || ' and ' || name")}) AS t FROM prompt),
+known AS (SELECT kind, value, count(DISTINCT turn_id) AS df FROM ents GROUP BY ALL),
+parts AS (SELECT kind, value, df, unnest(list_distinct(w)) AS t, len(list_distinct(w)) AS need FROM (SELECT *, {WORDS.format('value')} AS w FROM known)),
+weights AS (
+  SELECT query_id, kind, value, ln(1 + (SELECT count(*) FROM typed) / greatest(df, 1)) AS weight FROM parts JOIN asked USING (t) GROUP BY query_id, kind, value, df, need HAVING count(*) = need),
+held AS (SELECT query_id, turn_id, sum(weight) AS entity_score, count(*) AS entity_count FROM pool JOIN ents USING (turn_id) JOIN weights USING (query_id, kind, value) GROUP BY ALL),
+hits AS (
+  SELECT query_id, turn_id, coalesce(entity_count, 0) AS entity_count,
+    row_number() OVER (PARTITION BY query_id ORDER BY round(text_score + coalesce(entity_score, 0), 9) DESC, pool.ts DESC NULLS LAST, turn_id) AS rank
+  FROM pool LEFT JOIN held USING (query_id, turn_id)),
+grid(grid, ranked, co_occurring, max_turns) AS (VALUES (0, 3, 2, 3), (1, 1, 3, 1), (2, 10, 1, 5)),
+chosen AS (
+  SELECT grid, query_id, turn_id, place FROM (
+    SELECT grid, query_id, turn_id, max_turns, row_number() OVER (PARTITION BY grid, query_id ORDER BY rank) AS place FROM hits JOIN tid USING (turn_id), grid
+    WHERE rank <= 10 AND entity_count > 0 AND (rank <= ranked OR entity_count >= co_occurring) AND NOT (record_type = 'user' AND coalesce(is_typed, true) = false))
+  WHERE place <= max_turns),
+decided AS (SELECT DISTINCT query_id AS decision_id, session_id, ts FROM prompt JOIN meta USING (session_id) WHERE last_turn_at < '2024-01-30T18:00:00.000Z'),
+given AS (SELECT query_id AS decision_id, turn_id, session_id, ts FROM chosen JOIN decided ON decision_id = query_id WHERE grid = 0),
+used AS (SELECT session_id, kind, value, max(ts) AS last FROM ents JOIN tid USING (turn_id) WHERE kind IN ('path', 'symbol', 'error', 'command') GROUP BY ALL),
+labels AS (
+  SELECT decision_id, g.turn_id, CASE WHEN EXISTS (
+    SELECT 1 FROM ents e JOIN used u USING (kind, value) WHERE e.turn_id = g.turn_id AND u.session_id = g.session_id AND u.last > g.ts) THEN 'hit' ELSE 'false positive' END AS label
+  FROM given g),
+sought AS (SELECT session_id, value, max(ts) AS last FROM ents JOIN tid USING (turn_id) WHERE ends_with(tool_name, '_recall_search') AND kind IN ('path', 'symbol') GROUP BY ALL),
+missed AS (
+  SELECT decision_id, min(spelling) AS detail FROM decided JOIN prompt ON query_id = decision_id JOIN sought ON sought.session_id = decided.session_id AND value = spelling AND last > decided.ts
+  WHERE NOT EXISTS (SELECT 1 FROM given g JOIN ents e USING (turn_id) WHERE g.decision_id = decided.decision_id AND e.value = spelling) GROUP BY decision_id),
+wasted AS (SELECT decision_id FROM labels GROUP BY decision_id HAVING count(*) FILTER (label = 'hit') = 0)
+"""
+
 
 def _prompts(turns: DataFrame) -> DataFrame:
     """Typed prompts; each may be given turns of sessions with a lower number only."""
@@ -462,7 +514,10 @@ def _grid(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, 3, 2, 3), (1, 1, 3, 1), (2, 10, 1, 5)], "grid int, ranked int, co_occurring int, max_turns int")
 
 
-@query()
+@query(
+    f"""WITH {FEEDBACK_SQL}
+SELECT query_id, turn_id, place FROM chosen WHERE grid = 0"""
+)
 def recommended_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns given to each prompt under the default thresholds."""
     *_, hits = _decided(spark, sf_dir)
@@ -470,21 +525,29 @@ def recommended_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf_dir: str):
+    """Decisions of closed sessions and what they chose under every row of the grid."""
     prompts, turns, entities, hits = _decided(spark, sf_dir)
-    chosen = recommend.choose(hits, _grid(spark))
+    made = prompts.select(F.col("query_id").alias("decision_id"), "session_id", "ts").join(recommend.prompt_spellings(prompts).withColumnRenamed("query_id", "decision_id"), "decision_id")
+    decisions = stored(recommend.eligible_decisions(made, sessions.finalize_sessions(_meta(spark, sf_dir), NOW)), "decisions")
+    chosen = recommend.choose(hits, _grid(spark)).join(decisions.select(F.col("decision_id").alias("query_id")), "query_id", "left_semi")
     injected = chosen.where("grid = 0").select(F.col("query_id").alias("decision_id"), "turn_id")
-    decisions = prompts.select(F.col("query_id").alias("decision_id"), "session_id", "ts").join(recommend.prompt_spellings(prompts).withColumnRenamed("query_id", "decision_id"), "decision_id")
     return decisions, turns, entities, chosen, injected
 
 
-@query()
+@query(
+    f"""WITH {FEEDBACK_SQL}
+SELECT decision_id, turn_id, label FROM labels"""
+)
 def turn_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a later turn used what was given."""
     decisions, turns, entities, _, injected = _labelled(spark, sf_dir)
     return recommend.label_turns(injected, decisions.drop("spellings"), turns, entities)
 
 
-@query()
+@query(
+    f"""WITH {FEEDBACK_SQL}
+SELECT decision_id, 'miss' AS label, detail FROM missed UNION ALL SELECT decision_id, 'wasted budget', NULL FROM wasted"""
+)
 def decision_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misses and wasted budgets."""
     decisions, turns, entities, _, injected = _labelled(spark, sf_dir)
@@ -493,7 +556,17 @@ def decision_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return miss.unionByName(recommend.label_waste(labels).withColumn("detail", F.lit(None).cast("string")))
 
 
-@query()
+@query(
+    f"""WITH {FEEDBACK_SQL}
+, c AS (SELECT chosen.* FROM chosen JOIN decided ON decision_id = query_id),
+b AS (SELECT grid, query_id, turn_id FROM c WHERE grid = 0),
+o AS (SELECT g.grid, query_id, turn_id FROM b, (SELECT DISTINCT grid FROM c) g),
+j AS (SELECT coalesce(o.grid, c.grid) AS grid, o.turn_id IS NOT NULL AS was, c.turn_id IS NOT NULL AS now, label = 'hit' AS hit
+  FROM o FULL JOIN c ON o.grid = c.grid AND o.query_id = c.query_id AND o.turn_id = c.turn_id
+  LEFT JOIN labels ON decision_id = coalesce(o.query_id, c.query_id) AND labels.turn_id = coalesce(o.turn_id, c.turn_id))
+SELECT grid, count(*) FILTER (was AND now) AS kept, count(*) FILTER (now AND NOT was) AS added, count(*) FILTER (was AND NOT now) AS removed,
+  count(*) FILTER (was AND hit) AS hits_before, count(*) FILTER (was AND now AND hit) AS hits_kept FROM j GROUP BY grid"""
+)
 def threshold_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decisions under a grid of thresholds against the default ones."""
     decisions, turns, entities, chosen, injected = _labelled(spark, sf_dir)
@@ -501,7 +574,13 @@ def threshold_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.replay(chosen, labels, 0)
 
 
-@query()
+@query(
+    f"""WITH {FEEDBACK_SQL}
+, n AS (SELECT (SELECT count(*) FROM decided) AS decisions, (SELECT count(*) FROM given) AS injected, (SELECT count(DISTINCT decision_id) FROM given) AS fired,
+  (SELECT count(*) FROM labels WHERE label = 'hit') AS hits, (SELECT count(*) FROM labels WHERE label <> 'hit') AS false_positives,
+  (SELECT count(*) FROM missed) AS misses, (SELECT count(*) FROM wasted) AS wasted)
+SELECT *, CASE WHEN hits + false_positives > 0 THEN round(hits / (hits + false_positives), 6) END AS precision FROM n"""
+)
 def feedback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of label counts and precision."""
     decisions, turns, entities, _, injected = _labelled(spark, sf_dir)
