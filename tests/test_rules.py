@@ -281,3 +281,69 @@ def test_digest(spark):
     rows = [("p", "a", "2024-01-02", True, [9, 5, 3, 1], 8, [f"f{i}" for i in range(10)]), ("p", "b", "2024-01-01", True, [2], 1, None), ("p", "c", "2024-01-03", False, None, 1, None)]
     d = sessions.project_digest(spark.createDataFrame(rows, "project string, session_key string, last_turn_at string, has_typed boolean, newest_prompts array<long>, newest_reply long, edited_files array<string>")).first()
     assert (d.session_key, d.prompts, len(d.files), d.more_files, d.sessions, d.other_sessions) == ("a", [9, 5, 3], 8, 2, 2, ["b"])
+
+
+def test_commit_subjects(spark):
+    given = [
+        'git commit -m "wire the drain up"', "git -C /r commit --message='one  two' -q", "/usr/bin/git commit -am x --message=Fix", "git commit -m", "git commit -m ''",
+        "git commit -m \"$(cat <<'EOF'\n\n  First line \nrest\nEOF\n)\"", "git status", "gitk commit -m x", "git commit --message \" a \" -m b", "git commit -m 'open end",
+        'git "commit" -m a"b c"d', "", "git commit -m \"$(cat file)\"",
+    ]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(given)], "turn_seq long, command string")
+    got = {r.turn_seq: r.subject for r in records.commit_subjects(df).collect()}
+    assert got == {0: "wire the drain up", 1: "one  two", 2: "Fix", 5: "First line", 8: "a", 9: "open end", 10: "ab cd"}
+
+
+def test_commands_of_records(spark):
+    use = lambda name, **given: {"type": "tool_use", "name": name, "input": given}
+    given = [
+        turn(0, "assistant", message={"content": [use("Bash", command="ls"), use("Read", command="no"), use("Bash", command=5), use("Bash", command="git commit -m 'a b'")]}),
+        turn(1, message={"content": "Bash"}), turn(2, "assistant", message={"content": [5, {"type": "tool_use", "name": "Bash"}]}), turn(3, "assistant", message={"content": [use("Bash", command="ls"), use("Bash", command="x" * 600)]}),
+    ]
+    r = recs(spark, given)
+    t = records.classify_turns(r)
+    assert [(x.turn_seq, x.command[:20]) for x in records.commands(t).orderBy("turn_seq", "pos").collect()] == [(0, "ls"), (0, "git commit -m 'a b'"), (3, "ls"), (3, "x" * 20)]
+    o = sessions.session_observation(records.session_meta(r, t), t, records.extract_entities(t), records.boundaries(r)).first()
+    assert o.commands == ["ls", "git commit -m 'a b'", "x" * 512 + " [...]"] and o.commits == ["a b"]
+
+
+def test_accents_are_folded(spark):
+    df = spark.createDataFrame([("Café naïve Ñandú ß",)], "t string")
+    assert df.select(values.tokens(F.col("t"))).first()[0] == ["cafe", "naive", "nandu", "ß"]
+    assert df.select(values.excerpt(F.col("t"), F.array(F.lit("nandu")))).first()[0] == "Café naïve Ñandú ß"
+
+
+def test_refusals_and_compacted_pool(spark):
+    hits = spark.createDataFrame([(1, t, s) for t, s in [(10, "own"), (11, "own"), (12, "other"), (13, "other"), (14, "other")]] + [(2, 12, "other")], "query_id long, turn_id long, session_key string")
+    pair = "query_id long, turn_id long"
+    given, briefed = spark.createDataFrame([(1, 12)], pair), spark.createDataFrame([(1, 12), (1, 13), (1, 10)], pair)
+    dropped, owners = spark.createDataFrame([(11,), (12,)], "turn_id long"), spark.createDataFrame([(1, "own")], "query_id long, session_key string")
+    got = {(r.query_id, r.turn_id): r.reason for r in recommend.refuse(hits, given, owners, dropped, briefed).collect()}
+    assert got == {(1, 10): "visible", (1, 11): None, (1, 12): "already given", (1, 13): "carried by digest", (1, 14): None, (2, 12): None}
+    prompts = spark.createDataFrame([(1, True), (2, False)], "query_id long, compacted boolean")
+    pool = recommend.compacted_pool(hits, prompts, spark.createDataFrame([(11,)], "turn_id long"))
+    assert {(r.query_id, r.turn_id) for r in pool.collect()} == {(1, 11), (2, 12)}
+
+
+def test_decisions_stay_while_a_main_session_has_their_id(spark):
+    meta = spark.createDataFrame([("a", "s1", False), ("b", "s1", False), ("c", "s2", False), ("agent-d", "s3", True)], "session_key string, session_id string, is_sidechain boolean")
+    chosen = spark.createDataFrame([("a", "delete"), ("c", "delete"), ("agent-d", "evict")], "session_key string, action string")
+    decisions = spark.createDataFrame([(1, "s1"), (2, "s2"), (3, "s3"), (4, None)], "decision_id long, session_id string")
+    out = sessions.retention_apply({"decisions": decisions, "records": meta, "turns": meta}, chosen, meta)
+    assert sorted(r.decision_id for r in out["decisions"].collect()) == [1, 3, 4]
+    assert [r.session_key for r in out["records"].collect()] == ["b"] and sorted(r.session_key for r in out["turns"].collect()) == ["agent-d", "b"]
+
+
+def test_labels_once_on_close(spark, tmp_path):
+    from threadline.streaming import transcripts
+
+    decisions = spark.createDataFrame([(1, "s1", "2024-01-01"), (2, "s2", "2024-01-01")], "decision_id long, session_id string, ts string")
+    injected = spark.createDataFrame([(1, 10), (2, 10)], "decision_id long, turn_id long")
+    turns = spark.createDataFrame([(10, "s0", "2023"), (11, "s1", "2025")], "turn_id long, session_id string, ts string")
+    entities = spark.createDataFrame([(10, "path", "/a"), (11, "path", "/a")], "turn_id long, kind string, value string")
+    write = transcripts.label_on_close(str(tmp_path), decisions, turns, entities, injected)
+    closed = lambda *ids: spark.createDataFrame([(i,) for i in ids], "session_id string")
+    write(closed("s1"), 0)
+    write(closed("s1", "s2"), 1)
+    write(closed("s1", "s2"), 1)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path)).select("decision_id", "turn_id", "label").collect())) == [(1, 10, "hit"), (2, 10, "false positive")]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 _ALNUM = "A-Za-z0-9"
 #: Fixed value: bytes of pieces of identifiers that are added to a text.
 EXPANSION_BYTES = 128 * 1024
+#: Code points of Latin letters with marks.
+ACCENTED = (range(0xC0, 0x250), range(0x1E00, 0x1F00))
 
 
 def variant(line: Column | str) -> Column:
@@ -86,9 +91,22 @@ def lexical_path(path: Column) -> Column:
     return F.when(path.startswith("/"), F.concat(F.lit("/"), F.array_join(walked, "/"))).otherwise(F.array_join(walked, "/"))
 
 
+@cache
+def accents() -> tuple[str, str]:
+    """Latin letters that are a plain letter with one mark, and those plain letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for block in ACCENTED for c in block]
+    marked = [(c, d[0]) for c, d in pairs if len(d) == 2 and unicodedata.combining(d[1])]
+    return "".join(c for c, _ in marked), "".join(d for _, d in marked)
+
+
+def folded(text: Column) -> Column:
+    """Lower-cased text without accents, as long as the text itself."""
+    return F.translate(F.lower(text), *accents())
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased words: runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != "")
+    """Lower-cased words without accents: runs of letters and digits."""
+    return F.filter(F.split(folded(text), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != "")
 
 
 def camel_pieces(text: Column) -> Column:
@@ -101,7 +119,7 @@ def camel_pieces(text: Column) -> Column:
 def expanded(text: Column, limit: int = EXPANSION_BYTES) -> Column:
     """The text and, after it, the pieces of its identifiers that it does not hold as words, ``limit`` bytes of them at most."""
     pieces = F.array_distinct(F.transform(camel_pieces(text), lambda p: F.lower(p)))
-    extra = F.array_except(pieces, tokens(text))
+    extra = F.array_except(pieces, F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"))
     size = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p) + 1)
     # pieces are kept as long as the sum of their bytes, a blank before each, fits
     fitting = F.aggregate(
@@ -119,7 +137,7 @@ def expanded(text: Column, limit: int = EXPANSION_BYTES) -> Column:
 def excerpt(text: Column, words: Column, width: int = 240, lead: int = 80) -> Column:
     """A window of the flattened text, a little before the first query word; ``...`` marks each cut."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    low = F.lower(flat)
+    low = folded(flat)
     places = F.filter(F.transform(words, lambda w: F.instr(low, w)), lambda p: p > 0)
     first = F.coalesce(F.array_min(places), F.lit(1))
     start = F.when(F.length(flat) <= width, 1).otherwise(F.greatest(F.lit(1), F.least(first - lead, F.length(flat) - width + 1)))

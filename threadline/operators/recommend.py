@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadline.functions.values import lexical_path, tokens
-from threadline.operators.search import Index, entity_matches, match_all, ranked
+from threadline.operators.search import Index, entity_matches, match_all, ranked, with_excerpts
 
 # Default thresholds.
 THRESHOLDS = {"ranked": 3, "co_occurring": 2, "window": 10, "compacted_window": 50, "max_turns": 3, "max_spellings": 8}
@@ -54,7 +54,10 @@ def match_any(groups: DataFrame, index: Index) -> DataFrame:
 
 
 def candidates(prompts: DataFrame, index: Index, turns: DataFrame, entities: DataFrame, pool: int = 200, window: int = THRESHOLDS["window"]) -> DataFrame:
-    """Ranked turns for prompts (``query_id, text, cwd, before_turn_id``): text score of the spellings, then entity weights."""
+    """Ranked turns for prompts (``query_id, text, cwd, before_turn_id``): text score of the spellings, then entity weights.
+
+    A prompt that follows a compaction (``compacted``, optional) looks at a wider window.
+    """
     spellings = prompt_spellings(prompts)
     groups = spellings.select("query_id", F.posexplode("spellings").alias("group_no", "s")).select("query_id", "group_no", F.array_distinct(tokens(F.col("s"))).alias("tokens"))
     asked = prompt_query(prompts, spellings).select("query_id", F.slice(F.array_distinct(tokens(F.col("text"))), 1, 32).alias("tokens"))
@@ -66,7 +69,22 @@ def candidates(prompts: DataFrame, index: Index, turns: DataFrame, entities: Dat
     summed = held.groupBy("query_id", "turn_id").agg(F.sum("weight").alias("entity_score"), F.count_distinct("kind", "value").alias("entity_count"))
     hits = hits.join(summed, ["query_id", "turn_id"], "left").fillna({"entity_score": 0.0, "entity_count": 0})
     hits = hits.withColumn("relevance", F.col("text_score") + F.col("entity_score"))
-    return ranked(hits, [F.desc(F.round("relevance", 9)), *order], window)
+    if "compacted" not in prompts.columns:
+        return ranked(hits, [F.desc(F.round("relevance", 9)), *order], window)
+    wide = THRESHOLDS["compacted_window"]
+    hits = ranked(hits, [F.desc(F.round("relevance", 9)), *order], wide)
+    after = prompts.where("compacted").select("query_id").distinct().withColumn("__wide", F.lit(True))
+    return hits.join(after, "query_id", "left").where((F.col("rank") <= window) | F.col("__wide")).drop("__wide")
+
+
+def compacted_pool(hits: DataFrame, prompts: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Of the hits of a prompt that follows a compaction, those that the compaction dropped; all of any other.
+
+    Ranks stay as they are.
+    """
+    after = prompts.where("compacted").select("query_id").distinct()
+    others = hits.join(after, "query_id", "left_anti")
+    return others.unionByName(hits.join(after, "query_id", "left_semi").join(dropped.select("turn_id").distinct(), "turn_id", "left_semi").select(*others.columns))
 
 
 def eligible(ranked_first: int | Column = THRESHOLDS["ranked"], co_occurring: int | Column = THRESHOLDS["co_occurring"]) -> Column:
@@ -79,13 +97,27 @@ def quotable() -> Column:
     return ~((F.col("record_type") == "user") & (F.coalesce("is_typed", F.lit(True)) == False))  # noqa: E712
 
 
-def refuse(hits: DataFrame, given: DataFrame, sessions: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Add ``reason``: already given (``query_id, turn_id``), or visible in the prompt's own session and not dropped by a compaction."""
+def refuse(hits: DataFrame, given: DataFrame, sessions: DataFrame, dropped: DataFrame, briefed: DataFrame | None = None) -> DataFrame:
+    """Add ``reason``, the first that holds.
+
+    Already given (``query_id, turn_id``), visible in the prompt's own session and
+    not dropped by a compaction, or carried by the digest (``briefed``, as ``given``).
+    """
     out = hits.join(given.select("query_id", "turn_id").distinct().withColumn("__given", F.lit(True)), ["query_id", "turn_id"], "left")
     out = out.join(sessions.select("query_id", F.col("session_key").alias("__own")), "query_id", "left")
     out = out.join(dropped.select("turn_id").distinct().withColumn("__dropped", F.lit(True)), "turn_id", "left")
     reason = F.when(F.col("__given"), "already given").when((F.col("session_key") == F.col("__own")) & F.col("__dropped").isNull(), "visible")
-    return out.withColumn("reason", reason).drop("__given", "__own", "__dropped")
+    if briefed is not None:
+        out = out.join(briefed.select("query_id", "turn_id").distinct().withColumn("__told", F.lit(True)), ["query_id", "turn_id"], "left")
+        reason = reason.when(F.col("__told"), "carried by digest")
+    return out.withColumn("reason", reason).drop("__given", "__own", "__dropped", "__told")
+
+
+def decision_sizes(chosen: DataFrame, bodies: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, injected, chars_injected``: the chosen turns in order, each with the characters of its excerpt."""
+    shown = with_excerpts(chosen, bodies, queries).withColumn("chars", F.coalesce(F.char_length("excerpt"), F.lit(0)).cast("long"))
+    made = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "turn_id", "chars"))).alias("i"), F.sum("chars").alias("chars_injected"))
+    return made.select("query_id", F.transform("i", lambda x: F.struct(x["turn_id"].alias("turn_id"), x["chars"].alias("chars"))).alias("injected"), "chars_injected")
 
 
 def choose(hits: DataFrame, thresholds: DataFrame) -> DataFrame:

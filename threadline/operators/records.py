@@ -213,6 +213,41 @@ def extract_entities(turns: DataFrame) -> DataFrame:
     return turns.select("session_key", "turn_seq", F.posexplode(kept).alias("pos", "e")).select("session_key", "turn_seq", "e.kind", "e.value", "pos")
 
 
+def commands(turns: DataFrame) -> DataFrame:
+    """``session_key, turn_seq, pos, command``: the command line of every ``Bash`` call, in the order of its blocks."""
+    call = lambda b: (F.variant_get(b, "$.type", "string") == "tool_use") & (F.variant_get(b, "$.name", "string") == "Bash")
+    text = lambda b: F.when(F.schema_of_variant(F.try_variant_get(b, "$.input.command", "variant")) == "STRING", F.try_variant_get(b, "$.input.command", "string"))
+    lines = F.filter(F.transform(F.filter(blocks_at("v"), call), text), lambda c: c.isNotNull())
+    return turns.withColumn("v", variant("line")).select("session_key", "turn_seq", F.posexplode(lines).alias("pos", "command"))
+
+
+def commit_subjects(commands: DataFrame) -> DataFrame:
+    """Commands that made a commit, with its ``subject``: ``-m``, ``--message`` or ``--message=``, of a here-document its first line.
+
+    Words end at white space outside of quotes; quotes are dropped and nothing
+    is expanded.
+    """
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    words = F.transform(
+        F.expr(r"""regexp_extract_all(command, '(?:[^\\s\'"]++|\'[^\']*+\'?+|"[^"]*+"?+)++', 0)"""),
+        lambda w: F.regexp_replace(w, r"""'([^']*+)'?|"([^"]*+)"?""", "$1$2"),
+    )
+    c = commands.withColumn("__words", words)
+    git = F.regexp_extract(F.get("__words", F.lit(0)), r"([^/\\]*)$", 1) == "git"
+    c = c.where(git & F.array_contains("__words", "commit"))
+    c = c.withColumn("__rest", F.expr("slice(__words, array_position(__words, 'commit') + 1, size(__words))"))
+    flag = F.expr("array_position(transform(__rest, w -> w in ('-m', '--message') or startswith(w, '--message=')), true)").cast("int")
+    c = c.withColumn("__at", flag).where("__at > 0")
+    named = F.get("__rest", F.col("__at") - 1)
+    said = F.when(named.startswith("--message="), F.substr(named, F.lit(len("--message=") + 1))).otherwise(F.get("__rest", F.col("__at")))
+    body = F.expr("substring(command, instr(command, '<<') + 2)")
+    below = F.when(F.instr("command", "<<") > 0, F.when(body.contains("\n"), F.regexp_replace(body, r"^[^\n]*\n", "")))
+    first = F.get(F.filter(F.transform(F.split(below, "\n"), trim), lambda x: x != ""), F.lit(0))
+    c = c.withColumn("__said", said).where("__said <> ''")
+    subject = F.when(F.col("__said").startswith("$("), first).otherwise(trim(F.col("__said")))
+    return c.withColumn("subject", subject).where("subject is not null").drop("__words", "__rest", "__at", "__said")
+
+
 def boundaries(records: DataFrame) -> DataFrame:
     """Compaction boundaries: ``session_key, stream_offset, metadata, preserved``."""
     v = records.where(F.col("line").contains("compact_boundary")).withColumn("v", variant("line"))

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadline.functions.values import clip_bytes
-from threadline.operators.records import WRITING_TOOLS
+from threadline.operators.records import WRITING_TOOLS, commands, commit_subjects
 from threadline.sources.tables import stored
 
 # Limits of summaries and lists.
 NEWEST_PROMPTS, MOST_LISTED, LISTED_BYTES, PROMPT_BYTES, PER_ACTION = 12, 64, 512, 256 * 1024, 100
-IDLE = "6 hours"
+IDLE, ELISION = "6 hours", " [...]"
 
 
 def project_summary(meta: DataFrame) -> DataFrame:
@@ -55,22 +55,34 @@ def duration_seconds(start: str, end: str) -> Column:
     return ((millis(end) - millis(start)) / 1000).cast("long")
 
 
+def _listed(value: Column) -> Column:
+    """A value of a list, cut to its limit of bytes; a cut one says so."""
+    return F.when(F.octet_length(value) > LISTED_BYTES, F.concat(clip_bytes(value, LISTED_BYTES), F.lit(ELISION))).otherwise(value)
+
+
 def session_observation(meta: DataFrame, turns: DataFrame, entities: DataFrame, compactions: DataFrame) -> DataFrame:
-    """Facts of each session: files read and modified, tools, errors, commands, turns, duration, compactions.
+    """Facts of each session: files read and modified, tools, errors, commands, commits, turns, duration, compactions.
 
-    Lists are distinct, sorted and hold at most 64 values; ``cut`` names those
-    that were longer.
+    Lists are distinct and hold at most 64 values, command lines and subjects of
+    commits in their order, the others sorted; ``cut`` names those that were longer.
     """
     tool = turns.select("session_key", "turn_seq", "tool_name")
     path = entities.where("kind = 'path'").join(tool, ["session_key", "turn_seq"])
     modifies = F.coalesce(F.col("tool_name").isin(*WRITING_TOOLS), F.lit(False))  # all other turns, those without a tool too, read
-    rows = path.select("session_key", F.when(modifies, "modified").otherwise("read").alias("list"), clip_bytes(F.col("value"), LISTED_BYTES).alias("value"))
-    rows = rows.unionByName(entities.where("kind in ('tool', 'error', 'command')").select("session_key", F.concat("kind", F.lit("s")).alias("list"), clip_bytes(F.col("value"), LISTED_BYTES).alias("value"))).distinct()
-    names = ["read", "modified", "tools", "errors", "commands"]
-    rank = F.row_number().over(Window.partitionBy("session_key", "list").orderBy("value"))
+    rows = path.select("session_key", F.when(modifies, "modified").otherwise("read").alias("list"), _listed(F.col("value")).alias("value"))
+    rows = rows.unionByName(entities.where("kind in ('tool', 'error')").select("session_key", F.concat("kind", F.lit("s")).alias("list"), _listed(F.col("value")).alias("value"))).distinct()
+    ran = commands(turns)
+    place = F.struct("turn_seq", "pos")
+    said = ran.select("session_key", F.lit("commands").alias("list"), _listed(F.col("command")).alias("value"), place.alias("at"))
+    said = said.unionByName(commit_subjects(ran).select("session_key", F.lit("commits").alias("list"), _listed(F.col("subject")).alias("value"), place.alias("at")))
+    said = said.groupBy("session_key", "list", "value").agg(F.min("at").alias("at"))
+    rows = rows.withColumn("at", F.lit(None).cast("struct<turn_seq: bigint, pos: int>")).unionByName(said)
+    names = ["read", "modified", "tools", "errors", "commands", "commits"]
+    rank = F.row_number().over(Window.partitionBy("session_key", "list").orderBy("at", "value"))
     listed = rows.withColumn("r", rank)
+    kept = lambda n: F.collect_list(F.when((F.col("list") == n) & (F.col("r") <= MOST_LISTED), F.struct("r", "value")))
     lists = listed.groupBy("session_key").agg(
-        *[F.array_sort(F.collect_list(F.when((F.col("list") == n) & (F.col("r") <= MOST_LISTED), F.col("value")))).alias(n) for n in names],
+        *[F.transform(F.array_sort(kept(n)), lambda x: x["value"]).alias(n) for n in names],
         F.array_sort(F.collect_set(F.when(F.col("r") > MOST_LISTED, F.col("list")))).alias("cut"),
     )
     compacted = compactions.groupBy("session_key").agg(F.count(F.lit(1)).alias("compactions"))
@@ -215,11 +227,21 @@ def retention_select(meta: DataFrame, rules: DataFrame, sources: DataFrame, now:
     return ranked.join(total, "action").select("session_key", "action", "rank", F.greatest(F.col("n") - per_action, F.lit(0)).alias("over"))
 
 
-def retention_apply(tables: dict[str, DataFrame], selection: DataFrame) -> dict[str, DataFrame]:
-    """Drop the text of evicted sessions (``records``) and every row of deleted ones; other tables keep evicted sessions' rows."""
+def retention_apply(tables: dict[str, DataFrame], selection: DataFrame, meta: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Drop the text of evicted sessions (``records``) and every row of deleted ones; other tables keep evicted sessions' rows.
+
+    ``decisions`` belong to session ids, not files: with ``meta`` (``session_key,
+    session_id, is_sidechain``) one goes only if a deleted session has its id and
+    no main session with that id remains.
+    """
     deleted = selection.where("action = 'delete'").select("session_key")
     touched = selection.select("session_key")
-    return {name: df.join(touched if name == "records" else deleted, "session_key", "left_anti") for name, df in tables.items()}
+    out = {name: df.join(touched if name == "records" else deleted, "session_key", "left_anti") for name, df in tables.items() if name != "decisions"}
+    if "decisions" in tables:
+        gone = meta.join(deleted, "session_key", "left_semi").select("session_id")
+        left = meta.where("not is_sidechain").join(deleted, "session_key", "left_anti").select("session_id")
+        out["decisions"] = tables["decisions"].join(gone.join(left, "session_id", "left_anti").distinct(), "session_id", "left_anti")
+    return out
 
 
 def rebuild(records: DataFrame, derive, evicted: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def query(sql: str | None = None):
 
 # --- search -------------------------------------------------------------------
 
-WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+WORDS = "list_filter(regexp_split_to_array(lower(strip_accents({0})), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -103,7 +103,7 @@ def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 flat AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents),
 placed AS (
   SELECT query_id, turn_id, flat, least(
-      coalesce(min(nullif(instr(lower(flat), t), 0)), 1) - 80, length(flat) - 239) AS p
+      coalesce(min(nullif(instr(lower(strip_accents(flat)), t), 0)), 1) - 80, length(flat) - 239) AS p
   FROM hits JOIN asked USING (query_id) JOIN flat ON doc_id = turn_id WHERE rank <= 3 GROUP BY query_id, turn_id, flat),
 win AS (SELECT *, CASE WHEN length(flat) <= 240 THEN 1 ELSE greatest(1, p) END AS s FROM placed)
 SELECT query_id, turn_id, (CASE WHEN s > 1 THEN '...' ELSE '' END) || substr(flat, s, 240) || (CASE WHEN s + 239 < length(flat) THEN '...' ELSE '' END) AS excerpt
@@ -265,16 +265,17 @@ def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {EVENTS_SQL},
 f AS (
   SELECT session_key, CASE WHEN kind = 'path' THEN 'read' ELSE kind || 's' END AS l, value FROM ent
-  WHERE kind IN ('tool', 'error', 'command', 'path')),
+  WHERE kind IN ('tool', 'error', 'path')),
+ran AS (SELECT session_key, cwd || '/' || file AS c, min(turn_seq) AS first FROM typed WHERE tool_name = 'Bash' GROUP BY ALL),
 g AS (SELECT session_key, l, list(DISTINCT value ORDER BY value)[1:64] AS v FROM f GROUP BY ALL)
 SELECT session_key, project, turn_count,
   ((epoch_ms(strptime(last_turn_at, '%Y-%m-%dT%H:%M:%S.%fZ')) - epoch_ms(strptime(first_turn_at, '%Y-%m-%dT%H:%M:%S.%fZ'))) // 1000)::BIGINT AS duration_s,
   (SELECT count(*) FROM typed t WHERE t.session_key = meta.session_key AND boundary) AS compactions,
   coalesce(array_to_string((SELECT v FROM g WHERE g.session_key = meta.session_key AND l = 'read'), '|'), '') AS files_read,
-  '' AS files_modified, '' AS cut,
+  '' AS files_modified, '' AS cut, '' AS commits,
   coalesce(array_to_string((SELECT v FROM g WHERE g.session_key = meta.session_key AND l = 'tools'), '|'), '') AS tools,
   coalesce(array_to_string((SELECT v FROM g WHERE g.session_key = meta.session_key AND l = 'errors'), '|'), '') AS errors,
-  coalesce(array_to_string((SELECT v FROM g WHERE g.session_key = meta.session_key AND l = 'commands'), '|'), '') AS commands
+  coalesce(array_to_string((SELECT list('cargo test ' || c ORDER BY first)[1:64] FROM ran WHERE ran.session_key = meta.session_key), '|'), '') AS commands
 FROM meta"""
 )
 def session_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,7 +285,7 @@ def session_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
     join = lambda c: F.array_join(c, "|")
     return made.select(
         "session_key", "project", "turn_count", "duration_s", "compactions", join("read").alias("files_read"), join("modified").alias("files_modified"), join("cut").alias("cut"), join("tools").alias("tools"),
-        join("errors").alias("errors"), join("commands").alias("commands"),
+        join("errors").alias("errors"), join("commands").alias("commands"), join("commits").alias("commits"),
     )
 
 

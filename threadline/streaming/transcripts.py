@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from threadline.operators import sessions
+from threadline.operators import recommend, sessions
 
 RECORDS = "session_key string, line_no long, stream_offset long, byte_len long, line string"
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -165,6 +165,27 @@ def current(rows: DataFrame, keys: list[str]) -> DataFrame:
     return newest.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest if c != "batch"])
 
 
+def label_on_close(path: str, decisions: DataFrame, turns: DataFrame, entities: DataFrame, injected: DataFrame) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` writer over sessions as they close (``session_id``): labels each of their decisions once.
+
+    Every batch goes to a folder of its own number; decisions that folders of
+    earlier batches hold are left out, so a repeated batch, or a second file of
+    the same session that closes later, changes nothing.
+    """
+    schema = "decision_id long, turn_id long, label string"
+
+    def write(closed: DataFrame, batch: int) -> None:
+        known = closed.sparkSession.read.schema(schema + ", batch long").option("recursiveFileLookup", "false").parquet(path) if batch else None
+        due = decisions.join(closed.select("session_id").distinct(), "session_id", "left_semi").where("ts is not null")
+        if known is not None:
+            due = due.join(known.where(F.col("batch") < batch).select("decision_id").distinct(), "decision_id", "left_anti")
+        given = injected.join(due.select("decision_id"), "decision_id", "left_semi")
+        made = recommend.label_turns(given, due, turns, entities).select("decision_id", "turn_id", "label")
+        made.write.mode("overwrite").parquet(f"{path}/batch={batch:09d}")
+
+    return write
+
+
 def running_summaries(meta: DataFrame, touched: DataFrame, stored: DataFrame) -> DataFrame:
     """Project summaries after a batch: those of touched projects are counted anew, the others are kept."""
     again = sessions.project_summary(meta.join(touched.select("project").distinct(), "project", "left_semi"))
