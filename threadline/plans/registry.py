@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from threadline.functions import values
 from threadline.operators import recommend, redact, records, search, sessions
 from threadline.session import configure
+from threadline.sources import records as source_records
 from threadline.sources.records import events_as_records
 from threadline.sources.tables import stored
 
@@ -426,6 +427,312 @@ def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.hit_counts(done, "lang")
 
 
+# --- sources, streams of bytes and stored tables --------------------------------
+
+
+@query(
+    """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no, len(l) AS n FROM d),
+o AS (SELECT doc_id, line_no, n, line, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS stream_offset FROM u)
+SELECT doc_id::VARCHAR AS session_key, line_no, stream_offset, strlen(line) AS byte_len, line FROM o WHERE line_no < n - 1 AND trim(line) <> ''"""
+)
+def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file; its complete lines and their places in bytes."""
+    docs = _table(spark, sf_dir, "documents").where("text is not null")
+    return source_records.lines_to_records(docs.select(F.col("doc_id").cast("string").alias("session_key"), F.col("text").cast("binary").alias("content")))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS line_no FROM conversations)
+SELECT conv_id::VARCHAR AS session_key, line_no, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY conv_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS stream_offset,
+  strlen(text) AS byte_len, text AS line FROM c"""
+)
+def table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that are rows of a table already."""
+    conv = _table(spark, sf_dir, "conversations").withColumn("place", F.struct("turn", "role", "text"))
+    return source_records.records_from_table(conv, "conv_id", "place", "text")
+
+
+FILES_SQL = """
+files AS (
+  SELECT o_orderkey AS k, 'p' || (o_custkey % 50) AS folder, '00000000-0000-0000-0000-' || lpad(o_orderkey::VARCHAR, 12, '0') || '.jsonl' AS name,
+         CASE o_orderkey % 5 WHEN 0 THEN '00000000-0000-0000-0000-' || lpad(o_orderkey::VARCHAR, 12, '0') || '.jsonl' WHEN 1 THEN 'x/sub/agent-' || o_orderkey || '.jsonl'
+           WHEN 2 THEN 'notes' || o_orderkey || '.jsonl' WHEN 3 THEN 'sub/00000000-0000-0000-0000-' || lpad(o_orderkey::VARCHAR, 12, '0') || '.jsonl' ELSE 'agent-' || o_orderkey || '.meta.json' END AS rest,
+         floor(o_totalprice)::BIGINT AS length FROM orders)
+"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing of files, one for each order: main transcripts, side ones, and others."""
+    key = F.col("o_orderkey").cast("string")
+    main = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(key, 12, "0"), F.lit(".jsonl"))
+    kind = F.col("o_orderkey") % 5
+    rest = (
+        F.when(kind == 0, main).when(kind == 1, F.concat(F.lit("x/sub/agent-"), key, F.lit(".jsonl"))).when(kind == 2, F.concat(F.lit("notes"), key, F.lit(".jsonl")))
+        .when(kind == 3, F.concat(F.lit("sub/"), main)).otherwise(F.concat(F.lit("agent-"), key, F.lit(".meta.json")))
+    )
+    path = F.concat(F.lit("file:/data/"), F.lit("p"), (F.col("o_custkey") % 50).cast("string"), F.lit("/"), rest)
+    return _table(spark, sf_dir, "orders").select(path.alias("path"), F.floor("o_totalprice").cast("long").alias("length"))
+
+
+@query(f"WITH {FILES_SQL} SELECT folder, rest AS session_key, length, k % 5 = 1 AS is_sidechain FROM files WHERE k % 5 IN (0, 1)")
+def transcript_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of many listed files are transcripts, and their keys."""
+    return source_records.transcript_sources(_files(spark, sf_dir), "/data").select("folder", "session_key", "length", "is_sidechain")
+
+
+CUSTOMERS_SQL = """
+places AS (SELECT c_custkey, n_nationkey, '/' || r_name || '/' || n_name AS nation, '/' || r_name || '/' || n_name || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '/c' || c_custkey END AS cwd
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+gone AS (SELECT '/' || r_name || '/' || n_name AS prefix FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 = 0)
+"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A folder for each customer below nation and region, and the nations that are excluded."""
+    n = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("nation", F.concat_ws("/", F.lit(""), "r_name", "n_name"))
+    own = F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.concat(F.lit("/c"), F.col("c_custkey").cast("string")))
+    places = _table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "nation", F.concat("nation", own).alias("cwd"))
+    return places, n.where("n_nationkey % 3 = 0").select(F.concat("nation", F.lit("/")).alias("prefix"))
+
+
+@query(f"WITH {CUSTOMERS_SQL} SELECT c_custkey, cwd FROM places WHERE NOT EXISTS (SELECT 1 FROM gone WHERE cwd = prefix OR starts_with(cwd, prefix || '/'))")
+def excluded_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: folders under no excluded one."""
+    places, gone = _places(spark, sf_dir)
+    return source_records.exclude_projects(places, gone).select("c_custkey", "cwd")
+
+
+@query(
+    f"""WITH {CUSTOMERS_SQL}, f AS (SELECT c_custkey, regexp_replace(cwd, '[^A-Za-z0-9]', '-', 'g') AS folder FROM places),
+g AS (SELECT regexp_replace(prefix, '[^A-Za-z0-9]', '-', 'g') AS name FROM gone)
+SELECT c_custkey, folder FROM f WHERE NOT EXISTS (SELECT 1 FROM g WHERE folder = name OR starts_with(folder, name || '-'))"""
+)
+def excluded_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded folder names under no excluded path."""
+    places, gone = _places(spark, sf_dir)
+    return source_records.exclude_folders(places.select("c_custkey", source_records.folder_name(F.col("cwd")).alias("folder")), gone)
+
+
+@query(
+    f"""WITH {CUSTOMERS_SQL}, v AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE nation END AS project, CASE WHEN c_custkey % 3 = 0 THEN cwd END AS pre_worktree FROM places),
+x AS (SELECT prefix FROM gone UNION ALL SELECT cwd FROM places WHERE c_custkey % 6 = 0)
+SELECT c_custkey, project, pre_worktree FROM v WHERE NOT EXISTS (SELECT 1 FROM x WHERE prefix = project) AND NOT EXISTS (SELECT 1 FROM x WHERE prefix = pre_worktree)"""
+)
+def visible_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows neither of whose keys is excluded; null keys stay."""
+    places, gone = _places(spark, sf_dir)
+    rows = places.select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("nation")).alias("project"), F.when(F.col("c_custkey") % 3 == 0, F.col("cwd")).alias("pre_worktree"))
+    hidden = gone.select(F.rtrim(F.col("prefix"), F.lit("/")).alias("project")).unionByName(places.where("c_custkey % 6 = 0").select(F.col("cwd").alias("project")))
+    return search.visible(rows, hidden)
+
+
+@query(
+    """WITH o AS (SELECT 'o' || o_custkey || '/agent-' || o_orderkey AS k, o_orderkey FROM orders)
+SELECT k || '.jsonl' AS session_key, CASE WHEN o_orderkey % 3 = 0 THEN 'b' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'a' || o_orderkey END AS meta FROM o"""
+)
+def sidecar_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text beside each side transcript; of two the first path wins."""
+    name = F.concat(F.lit("o"), F.col("o_custkey").cast("string"), F.lit("/agent-"), F.col("o_orderkey").cast("string"))
+    o = _table(spark, sf_dir, "orders").select(name.alias("k"), "o_orderkey")
+    beside = lambda first: F.concat(F.lit(first), F.col("o_orderkey").cast("string"))
+    meta = lambda rows, first, path: rows.select(F.concat("k", F.lit(".meta.json")).alias("session_key"), F.lit(path).alias("path"), beside(first).cast("binary").alias("content"))
+    files = meta(o.where("o_orderkey % 3 = 1"), "a", "/1").unionByName(meta(o.where("o_orderkey % 3 = 1"), "c", "/2")).unionByName(meta(o.where("o_orderkey % 3 = 0"), "b", "/2"))
+    return source_records.attach_meta(o.select(F.concat("k", F.lit(".jsonl")).alias("session_key")), files)
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_custkey, 20 + (floor(o_totalprice)::BIGINT % 10000) AS n FROM orders)
+SELECT o_orderkey::VARCHAR AS session_key, CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN n + 2 > 8192 THEN n + 2 END AS elided, o_orderkey % 3 <> 0 AND n + 2 <= 8192 AS whole FROM o"""
+)
+def reduced_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results beyond 8,192 bytes become a note of their size; a note stays as it is."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey"), (20 + F.floor("o_totalprice").cast("long") % 10000).cast("int").alias("n"))
+    result = F.when(F.col("o_orderkey") % 3 == 0, F.lit('{"elidedBytes":0}')).otherwise(F.concat(F.lit('"'), F.repeat(F.lit("x"), F.col("n")), F.lit('"')))
+    recs = o.select(F.col("o_orderkey").cast("string").alias("session_key"), F.concat(F.lit('{"type":"user","toolUseResult":'), result, F.lit("}")).alias("line"))
+    done = redact.reduce_records(recs)
+    return done.select("session_key", F.get_json_object("line", "$.toolUseResult.elidedBytes").cast("long").alias("elided"), F.get_json_object("line", "$.toolUseResult").startswith("x").alias("whole"))
+
+
+@query("""SELECT o_orderkey::VARCHAR AS session_key, CASE WHEN o_orderkey % 2 = 0 THEN '[redacted]' ELSE o_clerk END AS api_key, o_clerk AS clerk FROM (SELECT o_orderkey, 'C' || o_custkey AS o_clerk FROM orders)""")
+def redacted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String values under secret names in tool input are replaced, those elsewhere stay."""
+    clerk = F.concat(F.lit("C"), F.col("o_custkey").cast("string"))
+    given = F.struct(clerk.alias("api_key"), clerk.alias("clerk"))
+    line = F.when(
+        F.col("o_orderkey") % 2 == 0, F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("tool_use").alias("type"), given.alias("input"))).alias("content")).alias("message")))
+    ).otherwise(F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("text").alias("type"), given.alias("other"))).alias("content")).alias("message"))))
+    done = redact.redact_records(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("session_key"), line.alias("line")))
+    at = lambda key: F.coalesce(*[F.get_json_object("line", f"$.message.content[0].{part}.{key}") for part in ("input", "other")])
+    return done.select("session_key", at("api_key").alias("api_key"), at("clerk").alias("clerk"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS n FROM conversations),
+t AS (SELECT conv_id, n, n % 5 = 2 AND conv_id % 2 = 0 AS own, CASE WHEN n % 5 = 3 THEN ' ' WHEN n % 5 = 2 AND conv_id % 2 = 0 THEN 'own ' || n ELSE 'made ' || n END AS title FROM c)
+SELECT conv_id::VARCHAR AS session_key, arg_max(title, n + CASE WHEN own THEN 1000000 ELSE 0 END) AS title, bool_or(own) AS is_custom FROM t WHERE trim(title) <> '' GROUP BY conv_id"""
+)
+def session_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: the last title of each session; a generated one never replaces a custom one."""
+    conv = source_records.records_from_table(_table(spark, sf_dir, "conversations").withColumn("place", F.struct("turn", "role", "text")), "conv_id", "place", "text")
+    n, own = F.col("line_no"), (F.col("line_no") % 5 == 2) & (F.col("session_key").cast("long") % 2 == 0)
+    name = lambda word: F.concat(F.lit(word), n.cast("string"))
+    line = F.when(own, F.to_json(F.struct(name("own ").alias("customTitle")))).otherwise(F.to_json(F.struct(F.when(n % 5 == 3, " ").otherwise(name("made ")).alias("aiTitle"))))
+    return records.session_titles(conv.withColumn("line", line))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT session_key, turn_seq, 'cargo test ' || cwd || '/' || file AS command FROM typed WHERE tool_name = 'Bash'")
+def bash_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Command lines of all tool calls."""
+    return records.commands(_turns(spark, sf_dir)).select("session_key", "turn_seq", "command")
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Ship order ' || o_orderkey WHEN 1 THEN 'Fix  ' || o_orderkey WHEN 2 THEN 'Drop' || o_orderkey WHEN 3 THEN 'Pack ' || o_orderkey END AS subject
+FROM orders WHERE o_orderkey % 6 < 4"""
+)
+def commit_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of commits, by every spelling of a message."""
+    k = F.col("o_orderkey").cast("string")
+    kind = F.col("o_orderkey") % 6
+    command = (
+        F.when(kind == 0, F.concat(F.lit('git commit -a -m "Ship order '), k, F.lit('" && git push'))).when(kind == 1, F.concat(F.lit("git -C /r commit --message 'Fix  "), k, F.lit("'")))
+        .when(kind == 2, F.concat(F.lit("/usr/bin/git commit --message=Drop"), k, F.lit(" -q"))).when(kind == 3, F.concat(F.lit("git commit -m \"$(cat <<'EOF'\n\n  Pack "), k, F.lit("  \nmore\nEOF\n)\"")))
+        .when(kind == 4, F.concat(F.lit("git log "), k)).otherwise(F.concat(F.lit("cargo test -m "), k))
+    )
+    return records.commit_subjects(_table(spark, sf_dir, "orders").select("o_orderkey", command.alias("command"))).select("o_orderkey", "subject")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT session_key, turn_seq FROM typed WHERE tool_name = 'Read' AND record_type = 'assistant' AND ts >= '2024-01-10T00:00:00.000Z' AND ts <= '2024-01-20T23:59:59.999Z'")
+def filtered_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """turns of one tool and kind between two days."""
+    return _turns(spark, sf_dir).where(search.SearchFilters(tool="Read", record_type="assistant", since="2024-01-10", until="2024-01-20").condition()).select("session_key", "turn_seq")
+
+
+@query(
+    """SELECT 'o' || o_custkey || '/x/agent-' || o_orderkey || '.jsonl' AS session_key, CASE WHEN o_custkey % 3 <> 0 THEN 'o' || o_custkey || '.jsonl' END AS parent_key FROM orders"""
+)
+def sidecar_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transcript whose folder holds each side transcript."""
+    name = F.concat(F.lit("o"), F.col("o_custkey").cast("string"))
+    o = _table(spark, sf_dir, "orders")
+    sides = o.select(F.concat(name, F.lit("/x/agent-"), F.col("o_orderkey").cast("string"), F.lit(".jsonl")).alias("session_key"))
+    return sessions.sidecar_parents(sides.unionByName(o.where("o_custkey % 3 <> 0").select(F.concat(name, F.lit(".jsonl")).alias("session_key")).distinct()))
+
+
+@query("SELECT o_orderkey AS session_key, least(floor(o_totalprice)::BIGINT, 50000 + o_orderkey % 1000) AS byte_offset FROM orders WHERE o_orderkey % 5 <> 0")
+def repaired_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Watermarks beyond what is stored are lowered, those of unknown sessions go."""
+    o = _table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "session_key")
+    marks = o.select("session_key", F.floor("o_totalprice").cast("long").alias("byte_offset"))
+    return sessions.repair_watermarks(marks, o.where("session_key % 5 <> 0").select("session_key", (50000 + F.col("session_key") % 1000).alias("stored")))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, floor(o_totalprice)::BIGINT AS n, 40000 + o_orderkey % 7 AS held FROM orders WHERE o_orderkey % 4 <> 0)
+SELECT k AS session_key, CASE WHEN n < held THEN 'shorter' ELSE 'changed' END AS reason FROM o WHERE n < held OR k % 9 = 0"""
+)
+def diverged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that are shorter than, or differ in, what was archived of them."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_key"), F.floor("o_totalprice").cast("long").alias("length"))
+    digest = F.md5(F.col("session_key").cast("string").cast("binary"))
+    archive = o.where("session_key % 4 <> 0").select("session_key", (40000 + F.col("session_key") % 7).alias("length"), digest.alias("prefix_hash"))
+    found = sessions.diverged(o.withColumn("prefix_hash", F.when(F.col("session_key") % 9 == 0, "x").otherwise(digest)), archive)
+    return found.select("session_key", "reason")
+
+
+@query("SELECT o_orderkey AS run_id, o_custkey AS sessions, round(o_totalprice, 2) AS seconds FROM orders ORDER BY o_orderkey DESC LIMIT 1")
+def last_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run with the highest number."""
+    return sessions.last_run(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("sessions"), F.round("o_totalprice", 2).alias("seconds")))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT user_id AS session_no, session_key, project, turn_count, CASE WHEN user_id % 2 = 0 THEN 'T' || user_id END AS title FROM meta JOIN (SELECT DISTINCT session_key, user_id FROM typed) USING (session_key)")
+def session_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions in the order of their numbers, with titles."""
+    meta = _meta(spark, sf_dir)
+    numbered = meta.select("session_key", F.col("session_key").cast("long").alias("session_no"))
+    titles = numbered.where("session_no % 2 = 0").select("session_key", F.concat(F.lit("T"), "session_key").alias("title"))
+    return sessions.list_sessions(meta, numbered, titles).select("session_no", "session_key", "project", "turn_count", "title")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT session_key, turn_count FROM meta WHERE project = '/r2'")
+def observation_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of one project."""
+    return sessions.list_observations(_meta(spark, sf_dir), "/r2").select("session_key", "turn_count")
+
+
+@query(f"WITH {EVENTS_SQL} SELECT session_key, turn_seq, CASE WHEN user_id % 4 = 0 THEN 'kept' ELSE uuid END AS uuid FROM typed")
+def rebuilt_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns made anew from the records, and the kept ones of sessions whose records are gone."""
+    turns = _turns(spark, sf_dir).select("session_key", "turn_seq", F.lit("kept").alias("uuid"))
+    recs = _records(spark, sf_dir).where("cast(session_key as int) % 4 <> 0")
+    return sessions.rebuild(recs, lambda r: records.classify_turns(r).select("session_key", "turn_seq", "uuid"), turns)
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS decision_id, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey END AS turn_id, CASE WHEN o_orderkey % 2 = 0 THEN 'hit' ELSE 'false positive' END AS label, o_orderkey FROM orders)
+SELECT decision_id, turn_id, label FROM o WHERE NOT EXISTS (SELECT 1 FROM o p WHERE p.o_orderkey % 3 = 0 AND p.decision_id = o.decision_id AND p.turn_id IS NOT DISTINCT FROM o.turn_id AND p.label = o.label)"""
+)
+def appended_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that are not recorded yet; a null turn equals a null turn."""
+    o = _table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("decision_id"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey")).alias("turn_id"), F.when(F.col("o_orderkey") % 2 == 0, "hit").otherwise("false positive").alias("label"), "o_orderkey")
+    return recommend.append_labels(rows.drop("o_orderkey"), rows.where("o_orderkey % 3 = 0").drop("o_orderkey"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_custkey % 10 AS r, 1700000000000 + o_orderkey * 1001 AS ms FROM orders)
+SELECT 's' || k AS session_id, strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS ts, CASE WHEN k % 2 = 0 THEN k ELSE (SELECT max(c_custkey) FROM customer) END AS watermark_session_no FROM o WHERE r <> 3"""
+)
+def loaded_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of decisions: excluded folders dropped, watermarks stamped, times as text."""
+    k = F.col("o_orderkey")
+    o = _table(spark, sf_dir, "orders").select(
+        F.to_json(F.struct(
+            F.concat(F.lit("s"), k.cast("string")).alias("session_id"), (F.lit(1700000000000) + k * 1001).alias("at_ms"), F.lit("fix it").alias("prompt"),
+            F.concat(F.lit("/r"), (F.col("o_custkey") % 10).cast("string"), F.lit("/src")).alias("cwd"), F.when(k % 2 == 0, k).alias("watermark_session_no"),
+        )).alias("line")
+    )
+    log = o.unionByName(spark.range(1).select(F.lit("no json").alias("line")))
+    stored_now = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_no"))
+    return recommend.load_decisions(log, stored_now, spark.range(1).select(F.lit("/r3").alias("prefix"))).select("session_id", "ts", "watermark_session_no")
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, a AS (SELECT session_key, user_id % 4 = 0 AS gone, user_id % 4 = 1 AS text_gone FROM typed)
+SELECT 'records' AS name, count(*) FILTER (NOT gone AND NOT text_gone) AS rows FROM a UNION ALL SELECT 'turns', count(*) FILTER (NOT gone) FROM a
+UNION ALL SELECT 'decisions', count(*) FROM meta WHERE session_key::INT % 8 <> 0"""
+)
+def retention_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of three tables once sessions are evicted or deleted."""
+    turns = _turns(spark, sf_dir)
+    meta = _meta(spark, sf_dir)
+    n = F.col("session_key").cast("int")
+    # of every eighth deleted session another main file holds the same id
+    twins = meta.where(n % 8 == 4).withColumn("session_key", F.concat(F.lit("twin"), "session_key"))
+    selection = meta.where(n % 4 < 2).select("session_key", F.when(n % 4 == 0, "delete").otherwise("evict").alias("action"))
+    tables = {"records": _records(spark, sf_dir).select("session_key"), "turns": turns.select("session_key"), "decisions": meta.select("session_id")}
+    left = sessions.retention_apply(tables, selection, meta.unionByName(twins))
+    made = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in left.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query(
+    f"""WITH {EVENTS_SQL},
+t AS (SELECT session_key, list(turn_seq ORDER BY turn_seq DESC)[1:3] AS p FROM typed WHERE is_typed GROUP BY session_key),
+r AS (SELECT session_key, max(turn_seq) AS newest_reply FROM typed WHERE record_type = 'assistant' GROUP BY session_key),
+n AS (SELECT meta.*, p, newest_reply, row_number() OVER (PARTITION BY project ORDER BY last_turn_at DESC, session_key) AS r FROM meta JOIN t USING (session_key) LEFT JOIN r USING (session_key))
+SELECT project, session_key, array_to_string(p, ',') AS prompts, newest_reply, (SELECT count(*) FROM n o WHERE o.project = n.project) AS sessions,
+  (SELECT string_agg(session_key, ',' ORDER BY o.r) FROM n o WHERE o.project = n.project AND o.r BETWEEN 2 AND 6) AS other_sessions FROM n WHERE r = 1"""
+)
+def project_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where work stopped in each project."""
+    turns = _turns(spark, sf_dir)
+    made = sessions.project_digest(sessions.session_summary(_meta(spark, sf_dir), turns, records.extract_entities(turns)))
+    return made.select("project", "session_key", F.array_join(F.col("prompts").cast("array<string>"), ",").alias("prompts"), "newest_reply", "sessions", F.array_join("other_sessions", ",").alias("other_sessions"))
+
+
 # --- recommendation and feedback ----------------------------------------------
 
 # BM25 over the bodies of all turns for the spellings of each prompt, then entity weights, then each row of the grid.
@@ -590,6 +897,25 @@ def feedback_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.feedback_stats(decisions, injected, labels, own)
 
 
+@query(f"WITH {FEEDBACK_SQL}, t AS (SELECT DISTINCT k, 'mod' || k AS t, '/r' || (k % 5) || '/' || file AS path FROM typed WHERE k IS NOT NULL)\n"
+"""SELECT q AS query_id, turn_id, round(score, 6) AS score, rank FROM (
+  SELECT q, turn_id, score, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, tid.ts DESC, turn_id) AS rank
+  FROM (SELECT t.k AS q, weighed.turn_id, score FROM t JOIN weighed USING (t) WHERE EXISTS (SELECT 1 FROM ents e WHERE e.turn_id = weighed.turn_id AND e.kind = 'path' AND e.value = t.path)) h JOIN tid USING (turn_id))
+WHERE rank <= 50""")
+def path_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search for every file's word among the turns that name one path."""
+    turns = _with_ids(_turns(spark, sf_dir))
+    entities = _with_ids(records.extract_entities(turns)).select("turn_id", "kind", "value")
+    bodies = _with_ids(records.turn_bodies(turns)).select("turn_id", "body")
+    k = F.get_json_object("props", "$.k").cast("int")
+    asked = _table(spark, sf_dir, "events").select(k.alias("query_id")).where("query_id is not null").distinct()
+    text = asked.select("query_id", F.concat(F.lit("mod"), F.col("query_id").cast("string")).alias("text"))
+    paths = asked.select("query_id", F.concat(F.lit("/r"), (F.col("query_id") % 5).cast("string"), F.lit("/src/mod"), F.col("query_id").cast("string"), F.lit(".rs")).alias("value"))
+    listed = turns.select("turn_id", "ts", F.lit(False).alias("is_sidechain"))
+    hits = search.search(text, search.build_index(stored(bodies, "bodies")), listed, stored(entities, "entities"), paths=paths)
+    return hits.select("query_id", "turn_id", F.round("text_score", 6).alias("score"), "rank")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
