@@ -1,14 +1,39 @@
-"""Shared pieces of the training-data operators: stored tables, gapless ranks, components."""
+"""Shared pieces of the training-data operators: stored tables, gapless ranks, components, workers' memory."""
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadline.sources.tables import Workspace
 from threadline.sources.tables import stored as materialize
 
-__all__ = ["Workspace", "connected_components", "gapless_rank", "materialize"]
+__all__ = ["Workspace", "connected_components", "gapless_rank", "materialize", "tidy"]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A worker's function that gives the memory it freed back to the system when it ends.
+
+    Python workers live on and serve later stages; without this each keeps the
+    most that any stage took.
+    """
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return tidied
 
 
 def gapless_rank(df: DataFrame, group: list[str], bucket: Column, order: list, out: str) -> DataFrame:

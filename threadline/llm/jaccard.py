@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
-from .common import Workspace, connected_components
+from .common import Workspace, connected_components, tidy
 
 #: Regions of shared shingles up to this size test their pairs, larger ones take a pivot.
 SMALL = 16
@@ -119,7 +119,7 @@ def _sets_of(docs: DataFrame, key: str, text: str, width: int, percent: int | No
                     begin, held, sizes, sets, hashes = at + 1, 0, [], [], []
 
     schema = "doc long, n long, set string, hashes array<long>"
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool) -> DataFrame:
@@ -161,7 +161,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("y"))
     joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "na", "nb", "x", "y")
     schema = "a long, b long, na long, nb long, linked boolean, apart long" + ", diff array<long>" * differences
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 def set_classes(rows: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, tidy
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 12
 WIDE = max(WIDTHS)
@@ -165,7 +165,7 @@ def train(df: DataFrame, key: str, text: str, lang: str, per_label: int = 1200,
             y = np.array([labels.index(v) for v in langs])
             yield pa.RecordBatch.from_arrays([pa.array([fit(x[order], y[order], labels).save()], pa.binary())], names=["net"])
 
-    got = sample.select("text", "lang").mapInArrow(cut, "w binary, lang string").repartition(1).mapInArrow(learn, "net binary").collect()
+    got = sample.select("text", "lang").mapInArrow(tidy(cut), "w binary, lang string").repartition(1).mapInArrow(learn, "net binary").collect()
     return bytes(got[0][0]) if got else None
 
 
@@ -217,7 +217,7 @@ def predict(df: DataFrame, text: str, network: bytes | None, lang_out: str = "la
             scores = [float(round(share[k, b], 6)) if known[k] else 0.0 for k, b in enumerate(best)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def held_out(key: str, folds: int = 3, fold: int = 1):

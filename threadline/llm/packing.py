@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoder
-from .common import gapless_rank, materialize
+from .common import gapless_rank, materialize, tidy
 
 TEXTS_AT_ONCE = 512
 
@@ -137,7 +137,7 @@ def cut_documents(
                 made = [part.column(0).take(pa.array(docs, pa.int32())), *(pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals))]
                 yield pa.RecordBatch.from_arrays([*made, pa.array(pieces, pa.binary())][: len(schema)], names=schema.names)
 
-    return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def assign_pieces(pieces: DataFrame, key: str, capacity: int = 1024, bin_width: int = 4, buckets: int = 256) -> DataFrame:
