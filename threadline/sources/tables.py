@@ -16,7 +16,7 @@ def shared_root(spark: SparkSession) -> str:
     Only in plain local mode, where driver and executors are one process, an
     unset folder is replaced by a temporary one; on a cluster it is an error.
     """
-    for key in ("spark.sql.unionOutputPartitioning", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+    for key in ("spark.sql.unionOutputPartitioning", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
         spark.conf.set(key, SETTINGS[key])
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
