@@ -131,11 +131,14 @@ def train(df: DataFrame, key: str, text: str, lang: str, per_label: int = 1200,
     """
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     ids = rows.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.xxhash64(key).alias("h"))
-    # first of each part of a label's rows, then of what is left, so that a label with most rows is no single task
-    picked = ids.withColumn("part", F.pmod("h", F.lit(64)))
-    for by in (["lang", "part"], ["lang"]):
-        rank = F.row_number().over(Window.partitionBy(*by).orderBy("h", "k"))
-        picked = picked.withColumn("r", rank).where(F.col("r") <= per_label)
+    # the slice of hashes in which each label's lowest end is found by counts, so that a label with most rows is no single task
+    ids = ids.withColumn("part", F.shiftright("h", 54))
+    counted = ids.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("part")) - F.col("n")
+    last = counted.withColumn("before", before).where(F.col("before") < per_label).groupBy("lang").agg(F.max("part").alias("last"))
+    picked = ids.join(F.broadcast(last), "lang").where("part <= last")  # a row for each label
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "k"))
+    picked = picked.withColumn("r", rank).where(F.col("r") <= per_label)
     picked = picked.select("k").distinct()
     sample = materialize(
         rows.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(F.broadcast(picked), "k"), "langs"
