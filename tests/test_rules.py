@@ -187,7 +187,7 @@ def test_observed_files(spark):
     recs_ = recs(spark, lines)
     turns = records.classify_turns(recs_)
     got = sessions.session_observation(records.session_meta(recs_, turns), turns, records.extract_entities(turns), records.boundaries(recs_)).first()
-    assert got.modified == ["/w"] and got.read[:4] == ["/b/c", "/g", "/w", "/" + "x" * 511] and len(got.read) == 64 and got.cut == ["read"]
+    assert got.modified == ["/w"] and got.read[:4] == ["/b/c", "/g", "/w", "/" + "x" * 511 + " [...]"] and len(got.read) == 64 and got.cut == ["read"]
 
 
 def test_redact_column_and_records(spark):
