@@ -96,8 +96,26 @@ def op10_suffix_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe_lines(docs, min_words=RUN_WORDS)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_all
+
+    return score_all(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_latent_decontamination, op2_markov_secrets, op3_dom_belief, op4_byte_cnn, op5_rendezvous_shards, op6_cutting_stock_packing, op7_png_media, op8_bitpacked_tokens, op9_metric_jaccard, op10_suffix_line_dedup)}
+    return {f.__name__: f for f in (op1_latent_decontamination, op2_markov_secrets, op3_dom_belief, op4_byte_cnn, op5_rendezvous_shards, op6_cutting_stock_packing, op7_png_media, op8_bitpacked_tokens, op9_metric_jaccard, op10_suffix_line_dedup, op11_importance_resampling, op12_nearest_toxicity, op13_source_divergence)}
 
 
 #: crc32 of a text's UTF-8 bytes in SQL, byte by byte over the table of the reflected polynomial.
@@ -169,6 +187,68 @@ deduped AS (
 """
 OP10_SQL = f"WITH {LINE_RUNS} SELECT * FROM deduped"
 
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Every distinct run of up to three words gets its CRC byte by byte, once.
+OP11_SQL = f"""
+WITH {_CRC_TABLE},
+texts AS (
+  SELECT 0 AS side, row_number() OVER () AS rid, doc_id, {_LOWER.format("text")} AS t FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, {_LOWER.format("text")} FROM benchmark),
+split AS (SELECT side, rid, doc_id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts),
+grams AS (
+  SELECT side, rid, unnest(list_transform(range(len(w) - n + 1), lambda i: array_to_string(w[i + 1 : i + n], ' '))) AS g
+  FROM split, range(1, 4) AS r(n) WHERE len(w) >= n),
+counted AS (SELECT side, rid, g, count(*) AS c FROM grams GROUP BY ALL),
+hashed AS (SELECT g, ({_CRC.format(text="g")}) % 10000 AS b FROM (SELECT DISTINCT g FROM counted), crc_table),
+held AS (SELECT side, rid, b, sum(c)::BIGINT AS c FROM counted JOIN hashed USING (g) GROUP BY ALL),
+sums AS (
+  SELECT b, coalesce(sum(c) FILTER (side = 0), 0)::BIGINT AS s, coalesce(sum(c) FILTER (side = 1), 0)::BIGINT AS t
+  FROM (SELECT side, b, c FROM held UNION ALL SELECT 0, x, 0 FROM range(10000) AS r(x)) GROUP BY b),
+gains AS (
+  SELECT b, floor(1000.0::DOUBLE * ln((t::DOUBLE + 1) * ((sum(s) OVER ())::DOUBLE + 10000) / ((s::DOUBLE + 1) * ((sum(t) OVER ())::DOUBLE + 10000))))::BIGINT AS gain
+  FROM sums),
+weights AS (
+  SELECT rid, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM held JOIN gains USING (b) WHERE side = 0 GROUP BY rid),
+scored AS (
+  SELECT doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0)))::BIGINT AS score
+  FROM split LEFT JOIN weights USING (rid) WHERE side = 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS r,
+         count(*) OVER (PARTITION BY words >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND r <= 5 * n // 100 THEN r END AS rank FROM placed
+"""
+
+#: Shares of all groups and kept terms, spelled out and compared pair by pair.
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, {_LOWER.format("text")} AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+words AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+full_counts AS (
+  SELECT g.lang, g.source, k.term, k.total, coalesce(c.c, 0) AS c, sum(coalesce(c.c, 0)) OVER (PARTITION BY g.lang, g.source) AS n
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (
+  SELECT f.lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 2)) // (f.n + 2 * v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (total + 2)) // (l.n + 2 * v)::HUGEINT AS q
+  FROM full_counts f JOIN langs l ON l.lang = f.lang),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every_pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM shares WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+  FROM (SELECT * FROM every_pair UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_rendezvous_shards": OP5_SQL, "op10_suffix_line_dedup": OP10_SQL}
+    return {"op11_importance_resampling": OP11_SQL, "op13_source_divergence": OP13_SQL, "op5_rendezvous_shards": OP5_SQL, "op10_suffix_line_dedup": OP10_SQL}
