@@ -1,8 +1,12 @@
 """Rules with small inputs of our own."""
 
 import json
+import re
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threadline.functions import values
@@ -25,10 +29,10 @@ def turn(i, kind="user", ts="2024-01-01T00:00:00.000Z", **more):
 
 
 def test_errors_keep_their_shape(spark):
-    given = [
+    lines = [
         "at 2024-05-06T07:08:09.123Z x", "id 01234567-89ab-cdef-0123-456789abcdef end", "ptr 0xDEADbeef,", "src/a.rs:12:7: bad  \n line", "exit 101", "a.rs:9x", "é" * 400,
     ]
-    got = column(spark, given, values.normalize_error)
+    got = column(spark, lines, values.normalize_error)
     assert got[:6] == ["at <ts> x", "id <uuid> end", "ptr <addr>,", "src/a.rs:<line>: bad line", "exit 101", "a.rs:9x"]
     assert got[6] == "é" * 256
 
@@ -120,12 +124,55 @@ def test_duration_truncates_toward_zero(spark):
         ("nothing here: fine = yes", "nothing here: fine = yes", None),
     ],
 )
-def test_redaction_rules(text, want, rule):
-    got, hits = redact.redact_text(text)
+def test_redaction_rules(spark, text, want, rule):
+    [(got, hits)] = redacted(spark, text)
     assert got == want
     assert [r for r, n in zip(redact.RULES, hits) if n] == ([rule] if rule else [])
 
 
+def redacted(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [(r.t, r.hits) for r in redact.redact(df, "t").orderBy("i").collect()]
+
+
+def test_redaction_takes_time_in_proportion(spark):
+    """Runs of a million characters that open names, values and quotes without end."""
+    n = 1_000_000
+    texts = [unit * (n // len(unit)) for unit in ("key", "key:", "key=", "-key ", '"key":"', "key='", 'key=\\"', "-----BEGIN PRIVATE KEY-----", "a://b", "sk-", "eyJ", "x key: 'y ")]
+    start = time.time()
+    for text in texts:
+        redact.redact_names(text)
+    assert time.time() - start < 20
+    got = redacted(spark, *texts)
+    assert [sum(h) > 0 for _, h in got] == [False, *[True] * 7, False, True, True, True]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["key", "Token", "x", ":", "=", "=>", "-", " ", "\t", '"', "'", '\\"', "\\", "\n", "Bearer", "v1", ".", "[redacted", "é"]), max_size=25).map("".join))
+def test_value_ends_against_plain_search(text):
+    """Kept ends equal a search from scratch at every place, in the order of scans."""
+    values = redact._Values(text)
+    for at in range(len(text) + 1):
+        opened = re.match(r"""\\"|["']""", text[at:])
+        quote = opened and opened[0]
+        inside = at + len(quote) if quote else at
+        closed = quote and re.match(rf"(?:|[^\n]*?[^\\\n])(?={re.escape(quote)})", text[inside:])
+        end = inside + (closed.end() if closed else re.match(r"""[^\s"'\\]*""", text[inside:]).end())
+        assert values.span(at) == (inside, end)
+
+
+def test_records_that_hold_odd_json(spark):
+    deep = '{"toolUseResult":' + "[" * 100_000 + "]" * 100_000 + "}"
+    lines = ['{"toolUseResult":"\\ud800"}', deep, "no json", "[1]", "", None, '{"toolUseResult":{"password":"\\ud800","n":"\\udfff"}}', '{"toolUseResult": {"n": 1.10}, "big": 1e400}', '{"toolUseResult":{"token":"[redacted]"}}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    got = [r.line for r in redact.redact_records(df).orderBy("i").collect()]
+    assert got[:6] == lines[:6] and got[7:] == lines[7:]  # untouched to the byte
+    assert json.loads(got[6]) == {"toolUseResult": {"password": "[redacted]", "n": "\udfff"}}
+    assert [r.line for r in redact.reduce_records(df).orderBy("i").collect()] == [x if x != deep else got[1] for x in lines]
+    small = redact.reduce_records(df, "minimal").orderBy("i").collect()
+    assert json.loads(small[0].line) == {"toolUseResult": {"elidedBytes": 8}}
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
@@ -142,9 +189,8 @@ def test_redaction_rules(text, want, rule):
         ("plain: text = here -v now", "plain: text = here -v now"),
     ],
 )
-def test_redaction_hides_no_second_value(text, want):
-    assert redact.redact_text(text)[0] == want
-    assert redact.redact_text(want)[0] == want
+def test_redaction_hides_no_second_value(spark, text, want):
+    assert [t for t, _ in redacted(spark, text, want)] == [want, want]
 
 
 def test_identifiers_paths_and_programs():

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadline.functions.values import lexical_path, tokens
-from threadline.operators.search import Index, entity_matches, match_all, ranked, with_excerpts
+from threadline.operators.asof import top_before
+from threadline.operators.search import Index, match_all, ranked, set_id, set_matches, with_excerpts, word_sets
+from threadline.sources.tables import stored
 
 # Default thresholds.
 THRESHOLDS = {"ranked": 3, "co_occurring": 2, "window": 10, "compacted_window": 50, "max_turns": 3, "max_spellings": 8}
@@ -43,38 +45,58 @@ def prompt_query(prompts: DataFrame, spellings: DataFrame) -> DataFrame:
 
 
 def match_any(groups: DataFrame, index: Index) -> DataFrame:
-    """Turns that hold all words of at least one group (``query_id, group_no, tokens``); scores of satisfied groups add up.
+    """``set_id, turn_id, text_score``: turns that hold all words of at least one group of a set of groups.
 
-    Many queries ask for the same words, so each distinct set of words is scored once.
+    ``groups``: ``set_id, gid, tokens``, a row for each group.  Scores of
+    satisfied groups add up; each distinct list of words is scored once.
     """
-    named = groups.withColumn("gid", F.array_join("tokens", " "))
-    sets = named.groupBy("gid").agg(F.first("tokens").alias("tokens"))
-    hits = match_all(sets.select(F.col("gid").alias("query_id"), "tokens"), index).withColumnRenamed("query_id", "gid")
-    return hits.join(named.select("gid", "query_id"), "gid").groupBy("query_id", "turn_id").agg(F.sum("text_score").alias("text_score"))
+    lists = groups.groupBy("gid").agg(F.first("tokens").alias("tokens"))
+    hits = match_all(lists.select(F.col("gid").alias("query_id"), "tokens"), index).withColumnRenamed("query_id", "gid")
+    return hits.join(groups.select("gid", "set_id"), "gid").groupBy("set_id", "turn_id").agg(F.sum("text_score").alias("text_score"))
+
+
+def grouped_spellings(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries by their set of groups, and the groups of each set: ``query_id, set_id`` and ``set_id, gid, tokens``.
+
+    Prompts that name the same things share a set.
+    """
+    lists = F.filter(F.transform("spellings", lambda s: F.array_distinct(tokens(s))), lambda t: F.size(t) > 0)
+    named = spellings.select("query_id", F.array_sort(lists).alias("lists")).where(F.size("lists") > 0)
+    named = named.withColumn("set_id", F.md5(F.array_join(F.transform("lists", lambda t: F.array_join(t, " ")), "/")))
+    sets = named.groupBy("set_id").agg(F.first("lists").alias("lists"))
+    groups = sets.select("set_id", F.explode("lists").alias("tokens")).withColumn("gid", F.array_join("tokens", " "))
+    return named.select("query_id", "set_id"), groups
 
 
 def candidates(prompts: DataFrame, index: Index, turns: DataFrame, entities: DataFrame, pool: int = 200, window: int = THRESHOLDS["window"]) -> DataFrame:
     """Ranked turns for prompts (``query_id, text, cwd, before_turn_id``): text score of the spellings, then entity weights.
 
-    A prompt that follows a compaction (``compacted``, optional) looks at a wider window.
+    Text scores belong to sets of spellings, entity weights to lists of words;
+    a prompt's own rows are its pool of ``pool`` turns.  A
+    prompt that follows a compaction (``compacted``, optional) looks at a wider
+    window.
     """
     spellings = prompt_spellings(prompts)
-    groups = spellings.select("query_id", F.posexplode("spellings").alias("group_no", "s")).select("query_id", "group_no", F.array_distinct(tokens(F.col("s"))).alias("tokens"))
+    named, groups = grouped_spellings(spellings)
+    order_of = turns.select("turn_id", F.coalesce(F.col("is_sidechain").cast("int"), F.lit(-1)).alias("side"), "ts")
+    hits = stored(match_any(groups, index).join(order_of, "turn_id"), "set_hits")
+    asks = named.join(prompts.select("query_id", "before_turn_id"), "query_id").where("before_turn_id is not null")
+    held = stored(top_before(hits, asks, pool), "pool")
     asked = prompt_query(prompts, spellings).select("query_id", F.slice(F.array_distinct(tokens(F.col("text"))), 1, 32).alias("tokens"))
-    hits = match_any(groups, index).join(turns, "turn_id").join(prompts.select("query_id", "before_turn_id"), "query_id").where("turn_id < before_turn_id")
-    order = [F.asc("is_sidechain"), F.col("ts").desc_nulls_last(), F.asc("turn_id")]
-    hits = ranked(hits, [F.desc(F.round("text_score", 9)), *order], pool, "pool_rank")
-    weights = entity_matches(asked, entities, turns.agg(F.count(F.lit(1)).alias("turns")))
-    held = hits.select("query_id", "turn_id").join(entities.select("turn_id", "kind", "value"), "turn_id").join(weights, ["query_id", "kind", "value"])
-    summed = held.groupBy("query_id", "turn_id").agg(F.sum("weight").alias("entity_score"), F.count_distinct("kind", "value").alias("entity_count"))
-    hits = hits.join(summed, ["query_id", "turn_id"], "left").fillna({"entity_score": 0.0, "entity_count": 0})
-    hits = hits.withColumn("relevance", F.col("text_score") + F.col("entity_score"))
+    weights = set_matches(word_sets(asked), entities, turns.agg(F.count(F.lit(1)).alias("turns")))
+    # only the pool meets entities, never all turns: a value that most turns hold and many prompts name stays in proportion
+    pooled = held.select("query_id", "turn_id").join(asked.select("query_id", set_id().alias("set_id")), "query_id")
+    met = pooled.join(entities.select("turn_id", "kind", "value"), "turn_id").join(weights, ["set_id", "kind", "value"])
+    scored = met.groupBy("query_id", "turn_id").agg(F.sum("weight").alias("entity_score"), F.count_distinct("kind", "value").alias("entity_count"))
+    held = held.join(scored, ["query_id", "turn_id"], "left").fillna({"entity_score": 0.0, "entity_count": 0})
+    held = held.withColumn("relevance", F.col("text_score") + F.col("entity_score"))
+    order = [F.desc(F.round("relevance", 9)), F.asc("side"), F.col("ts").desc_nulls_last(), F.asc("turn_id")]
+    full = lambda df: df.drop("side", "ts").join(turns, "turn_id")
     if "compacted" not in prompts.columns:
-        return ranked(hits, [F.desc(F.round("relevance", 9)), *order], window)
-    wide = THRESHOLDS["compacted_window"]
-    hits = ranked(hits, [F.desc(F.round("relevance", 9)), *order], wide)
+        return full(ranked(held, order, window))
+    wide = ranked(held, order, THRESHOLDS["compacted_window"])
     after = prompts.where("compacted").select("query_id").distinct().withColumn("__wide", F.lit(True))
-    return hits.join(after, "query_id", "left").where((F.col("rank") <= window) | F.col("__wide")).drop("__wide")
+    return full(wide.join(after, "query_id", "left").where((F.col("rank") <= window) | F.col("__wide")).drop("__wide"))
 
 
 def compacted_pool(hits: DataFrame, prompts: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def _texts(content) -> list[str]:
     return [p["text"] for p in parts if isinstance(p, dict) and isinstance(p.get("text"), str)]
 
 
-def _record(line: str) -> dict:
+def parsed_record(line: str) -> dict:
     """The record of a line; a line that holds none is an empty one."""
     try:
         record = json.loads(line)
@@ -94,7 +94,7 @@ def _whole(text: str) -> str:
 
 
 def _body(line: str) -> str:
-    record = _record(line)
+    record = parsed_record(line)
     out: list[str] = []
     message = record.get("message")
     content = message.get("content") if isinstance(message, dict) else None
@@ -160,7 +160,7 @@ def _program(command: str) -> list[str]:
 
 
 def _entities(line: str) -> list[tuple[str, str]]:
-    record = _record(line)
+    record = parsed_record(line)
     found: list[tuple[str, str]] = []
     message = record.get("message")
     content = message.get("content") if isinstance(message, dict) else None

@@ -427,6 +427,36 @@ def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.hit_counts(done, "lang")
 
 
+#: A text for each rule, by the order's number: what it looks like, and what is left.
+_RULE_TEXTS = [
+    ("pem", "-----BEGIN RSA PRIVATE KEY-----~{0}~-----END RSA PRIVATE KEY----- after", "[redacted: a PEM private key block] after"),
+    ("userinfo", "see postgres://u:{0}@host/db", "see postgres://[redacted]@host/db"),
+    ("header", "Authorization: Bearer {0} end", "Authorization: [redacted] end"),
+    ("json", '{{"api_key": "{0}", "n": 1}}', '{{"api_key": "[redacted]", "n": 1}}'),
+    ("assignment", "export MY_TOKEN={0}; ls", "export MY_TOKEN=[redacted] ls"),
+    ("flag", "run --password {0} now", "run --password [redacted] now"),
+    ("jwt", "a eyJ{0}.x b", "a [redacted: a JWT] b"),
+    ("github", "ghp_{0} end", "[redacted: a GitHub token] end"),
+    ("sk", "take sk-{0}", "take [redacted: a secret key]"),
+    ("", "plain {0} text", "plain {0} text"),
+]
+
+
+def _rule_case(column: int) -> str:
+    q = lambda t: "'" + t.replace("'", "''").replace("{{", "{").replace("}}", "}").replace("{0}", "' || d || '").replace("~", "' || chr(10) || '") + "'"
+    return "CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN {q(t[column])}" for i, t in enumerate(_RULE_TEXTS)) + " END"
+
+
+@query(f"SELECT o_orderkey, {_rule_case(2)} AS text, {_rule_case(0)} AS rules FROM (SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS d FROM orders)")
+def redaction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of the nine rules, and which of them hit."""
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("d"))
+    texts = o.select("o_orderkey", F.expr(_rule_case(1)).alias("text"))
+    done = redact.redact(texts, "text")
+    hit = F.filter(F.arrays_zip("hits", F.array(*[F.lit(r) for r in redact.RULES]).alias("rule")), lambda x: x["hits"] > 0)
+    return done.select("o_orderkey", "text", F.array_join(F.transform(hit, lambda x: x["rule"]), ",").alias("rules"))
+
+
 # --- sources, streams of bytes and stored tables --------------------------------
 
 
