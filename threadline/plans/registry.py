@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadline.functions import values
-from threadline.operators import recommend, redact, records, search, sessions
+from threadline.operators import decide, recommend, redact, records, search, sessions
 from threadline.session import configure
 from threadline.sources import records as source_records
 from threadline.sources.records import events_as_records
@@ -848,6 +848,52 @@ def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return prompts, listed, entities, stored(judged, "hits")
 
 
+DECIDED_SQL = FEEDBACK_SQL.replace("user_id << 24 AS before", "turn_id AS before") + """,
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY query_id) AS n, cnt > lag(cnt, 1, 0) OVER (PARTITION BY user_id ORDER BY query_id) AS owed FROM (
+    SELECT turn_id AS query_id, user_id, turn_seq, turn_seq // 10 AS cnt, turn_seq // 10 * 10 - 1 AS b FROM tid WHERE is_typed)),
+offered AS (
+  SELECT query_id, list({t: hits.turn_id, own: t.user_id = p.user_id, fell: t.user_id = p.user_id AND t.turn_seq < b - 2} ORDER BY rank) AS l
+  FROM hits JOIN p USING (query_id) JOIN tid t ON t.turn_id = hits.turn_id
+  WHERE rank <= CASE WHEN owed THEN 50 ELSE 10 END AND entity_count > 0 AND (rank <= 3 OR entity_count >= 2) AND NOT (record_type = 'user' AND coalesce(is_typed, true) = false)
+    AND (NOT owed OR (t.user_id = p.user_id AND t.turn_seq < b - 2)) GROUP BY query_id),
+told AS (
+  SELECT user_id + 5 AS user_id, list(turn_id) AS briefed FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY turn_seq DESC) AS r FROM tid WHERE record_type = 'assistant') WHERE r <= 12 GROUP BY user_id),
+steps AS (
+  SELECT p.user_id, n, p.query_id, owed, coalesce(l, []) AS l, coalesce(briefed, []) AS briefed FROM p LEFT JOIN offered USING (query_id) LEFT JOIN told ON told.user_id = p.user_id),
+run AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS query_id, false AS owed, [{t: 0::BIGINT, own: false, fell: false}][2:] AS l, [0::BIGINT][2:] AS briefed, [0::BIGINT][2:] AS given, [0::BIGINT][2:] AS chosen FROM p
+  UNION ALL
+  SELECT s.user_id, s.n, s.query_id, s.owed, s.l, s.briefed, list_concat(run.given, run.chosen),
+    list_transform(list_filter(s.l, lambda x: NOT list_contains(list_concat(run.given, run.chosen), x.t) AND NOT (x.own AND NOT (s.owed AND x.fell)) AND NOT list_contains(s.briefed, x.t))[1:3], lambda x: x.t)
+  FROM run JOIN steps s ON s.user_id = run.user_id AND s.n = run.n + 1),
+looked AS (
+  SELECT *, unnest(CASE WHEN len(chosen) = 3 THEN l[1:list_position(list_transform(l, lambda x: x.t), chosen[3])] ELSE l END) AS x FROM run),
+verdicts AS (
+  SELECT query_id, x.t AS turn_id, nullif(list_position(chosen, x.t), 0)::INTEGER AS place,
+    CASE WHEN list_contains(given, x.t) THEN 'already given' WHEN x.own AND NOT (owed AND x.fell) THEN 'visible' WHEN list_contains(briefed, x.t) THEN 'carried by digest' END AS reason, owed AS compacted
+  FROM looked)
+"""
+
+
+@query(f"WITH RECURSIVE {DECIDED_SQL} SELECT * FROM verdicts")
+def decided_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R11, R12, U3, U4, T4 as a batch: prompts of a session one after the other, with what each was refused and why."""
+    turns = stored(_with_ids(_turns(spark, sf_dir)), "turns")
+    entities = stored(_with_ids(records.extract_entities(turns)).select("turn_id", "kind", "value"), "entities")
+    bodies = stored(_with_ids(records.turn_bodies(turns)).select("turn_id", "body"), "bodies")
+    prompts = stored(_prompts(turns).withColumn("before_turn_id", F.col("query_id")), "prompts")
+    listed = turns.select("turn_id", "session_key", "ts", F.lit(False).alias("is_sidechain"), "record_type", "is_typed")
+    hits = recommend.candidates(prompts, search.build_index(bodies), listed, entities, window=recommend.THRESHOLDS["compacted_window"])
+    compactions = decide.boundary_turns(records.boundaries(_records(spark, sf_dir)), turns)
+    arrived = decide.latest_boundary(prompts.select("query_id", "session_key", "session_id", F.col("query_id").alias("arrival")), compactions)
+    # what a session was told at its start: the newest replies of the session before it in the same folder
+    replies = turns.where("record_type = 'assistant'").withColumn("r", F.row_number().over(Window.partitionBy("session_key").orderBy(F.desc("turn_seq")))).where("r <= 12")
+    briefed = replies.select(F.concat(F.lit("s"), (F.col("session_key").cast("long") + 5).cast("string")).alias("session_id"), "turn_id")
+    made = decide.decide(decide.offers(hits, arrived), briefed)
+    return made.select("query_id", "turn_id", "place", "reason", "compacted")
+
+
 def _grid(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, 3, 2, 3), (1, 1, 3, 1), (2, 10, 1, 5)], "grid int, ranked int, co_occurring int, max_turns int")
 
