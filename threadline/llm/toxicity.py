@@ -36,7 +36,7 @@ from .langid import held_out
 
 #: What stands between terms, once lower-cased: anything but letters.
 GAPS = r"[^\p{L}]+"
-BLOCK = 32
+BLOCK, FIRST_BLOCKS = 16, 4
 NEIGHBOURS = 15
 #: The term that stands for every word that tells nothing; as a word it cannot occur.
 REST = ""
@@ -76,30 +76,37 @@ class BlockMaxIndex:
         self.calibration: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
         self.opened = 0
 
+    def _cosines(self, entries: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples in the postings of some entries, and the sums of products."""
+        size = self.end[entries] - self.begin[entries]
+        place = np.repeat(self.begin[entries] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
+        ids, where = np.unique(self.example[place], return_inverse=True)
+        return ids, np.bincount(where, np.repeat(mine, size) * self.weight[place], len(ids))
+
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples nearest to a unit vector and their cosines, best first; ties to the earlier example."""
+        """The ``k`` examples nearest to a unit vector and their cosines, best first; ties to the earlier example.
+
+        The blocks of the highest bounds are opened first; of the others only
+        those whose bound reaches the last of the nearest found so far.
+        """
         entries = [np.arange(self.of_term[t], self.of_term[t + 1]) for t in term]
         if not sum(map(len, entries)):
             return np.zeros(0, np.int64), np.zeros(0)
         at, mine = np.concatenate(entries), np.repeat(weight, [len(e) for e in entries])
-        blocks, where = np.unique(self.block[at], return_inverse=True)
-        bound = np.bincount(where, mine * self.most[at])
-        ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        by_block = np.argsort(where, kind="stable")
-        cut = np.searchsorted(where[by_block], np.arange(len(blocks) + 1))
-        for b in np.argsort(-bound, kind="stable"):
-            if len(ids) == k and bound[b] < sims[-1] - 1e-9:
-                break
-            self.opened += 1
-            score = np.zeros(BLOCK)
-            for e in by_block[cut[b] : cut[b + 1]]:
-                here = slice(self.begin[at[e]], self.end[at[e]])
-                score[self.example[here] - blocks[b] * BLOCK] += mine[e] * self.weight[here]
-            found = np.flatnonzero(score > 0)
-            more = found + blocks[b] * BLOCK
-            ids, sims = np.append(ids, more[more != but]), np.append(sims, score[found][more != but])
+        bound = np.bincount(self.block[at], mine * self.most[at], len(self.keys) // BLOCK + 1)
+        ids, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
+        first = np.zeros(len(bound), bool)
+        first[np.argpartition(-bound, min(FIRST_BLOCKS, len(bound)) - 1)[:FIRST_BLOCKS]] = True
+        for chosen in (first, ~first):
+            chosen = chosen & (bound > 0) & (bound >= least - 1e-9)
+            self.opened += int(chosen.sum())
+            use = chosen[self.block[at]]
+            more, found = self._cosines(at[use], mine[use])
+            keep = more != but
+            ids, sims = np.append(ids, more[keep]), np.append(sims, found[keep])
             best = np.lexsort((ids, -np.round(sims, 9)))[:k]
             ids, sims = ids[best], sims[best]
+            least = sims[-1] if len(ids) == k else 0.0
         return ids, sims
 
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
@@ -204,6 +211,13 @@ def train(
     rows = tells.join(tells.where(F.col("term") != REST).select("k").distinct(), "k", "left_semi").collect()
     example, term, times = (np.array(v, np.int64) for v in ([place[r["k"]] for r in rows], [number[r["term"]] for r in rows], [r["n"] for r in rows]))
     idf = np.array([math.log(1 + n / d) for _, d in terms])
+    # examples of the same heaviest term and density stand together, so that the maxima of a block are tight
+    heavy, dense = np.full(len(about), -1), np.zeros(len(about))
+    by_weight = np.argsort((1 + np.log(times)) * idf[term] * (term > 0), kind="stable")
+    heavy[example[by_weight]] = term[by_weight]
+    dense[example[term == 0]] = times[term == 0]
+    order = np.lexsort((dense, heavy))
+    example, about = np.argsort(order)[example], [about[i] for i in order]
     index = BlockMaxIndex([t for t, _ in terms], idf, np.array([str(r["k"]) for r in about]), np.array([float(r["y"]) for r in about]), np.array([float(r["vote"]) for r in about]), example, term, times.astype(float))
     index.calibrate(NEIGHBOURS)
     return index.save()
