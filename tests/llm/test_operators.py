@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -244,6 +245,16 @@ def test_pages_unlike_the_sample(spark):
         "an advert without a name": (f'<article>{para}<div class="zq-77">Buy now.</div></article>', text),
         "an offer outside": (f'<div class="x9">Ten per cent off.</div><article>{para}</article>', text),
         "comments inside": (f'<article>{para}<div class="post-comments"><div>Nice.</div></div><form><label>Mail</label></form></article>', text),
+        "lists": (f"<article><h1>T</h1><ul><li>First short item</li><li>Second</li></ul>{para}<ol>{'<li>n' * 40}</ol></article>", "T\nFirst short item\nSecond\n" + text + "\nn" * 40),
+        "code, cells, captions, addresses": (
+            f"<article>{para}<pre>x  = 1</pre><table><tr><th>a<td>b 2</table><figure><img src=x><figcaption>Cap</figcaption></figure><address>By me</address>"
+            "<details><summary>More</summary><p>Inside.</p></details><blockquote>Quoted</blockquote><dl><dt>k<dd>v</dl><div class=highlight><pre>y</pre></div></article>",
+            text + "\nx = 1\na\nb 2\nCap\nBy me\nMore\nInside.\nQuoted\nk\nv\ny",
+        ),
+        "a reply after the article": (f"<article>{para}</article><div><p>I agree with this post, thanks a lot.</p><p>So do I.</p></div>", text),
+        "responses after the article": (f'<article>{para}</article><section id="responses"><p>I agree with this post, thanks a lot.</p></section>', text),
+        "an object that is not closed": (f"<article>{para}<object data=x><p>two words</p></article><div class=sidebar>three</div>", text + "\ntwo words"),
+        "no marked article": (f"<div><h1>A title</h1>{para}<ul><li>One item</li></ul></div>", "A title\n" + text + "\nOne item"),
         "a notice and an aside": (f'<div id="cookie-notice"><p>We use them.</p></div><article>{para}</article><aside><p>More to read.</p></aside>', text),
     }
     df = spark.createDataFrame([(i, shell(body)) for i, (body, _) in enumerate(cases.values())], "page_id long, html string")
@@ -254,6 +265,14 @@ def test_pages_unlike_the_sample(spark):
     assert htmltext.extract(rows, "html", bare).collect() == htmltext.extract(rows, "html", model).collect()  # the list is not needed there
 
 
+@pytest.mark.parametrize("unit", ["<div>", "<b>", "<li>", "<ul><li>", "<p><b>", "<a>x", "<td><div>"])
+def test_deep_pages_take_time_in_proportion(unit):
+    start = time.time()
+    tree = htmltext.parse("<article>" + unit * 20_000 + "end")
+    htmltext.Model.of_counts({}).marginals([tree])
+    assert time.time() - start < 10 and tree.text[-1].endswith("end")
+
+
 def test_pages_of_odd_tables(spark):
     """Repeated pages and columns that clash."""
     page = "<article><p>Some words, and a stop.</p></article>"

@@ -6,10 +6,16 @@ pairwise one.  Sum-product messages go up and down the tree and give each
 block's probability of being content.
 
 Names of elements, classes and ids that pages give to what is not their article
-are one feature among others.  All weights are counted on pages that mark their
-article; a part inside an article that bears such a name is left out of the
-counts, as its label is not known, and a few counts are given in advance, so that
-names a sample lacks have an opinion.  No feature decides by itself.
+are one feature among others, and so is standing beside the article of a page
+that marks one.  Weights are counted on pages that mark their article; a part
+inside an article that bears such a name is left out of the counts, as its label
+is not known, and the list of names enters by counts given in advance.
+
+A sample whose articles hold only paragraphs would teach that lists, tables and
+code are menus.  Elements of running text therefore share one class: what the
+sample says for or against one of them is bounded by what a parent tells its
+child, so that inside an article each is content unless something else speaks
+against it.
 """
 
 from __future__ import annotations
@@ -49,15 +55,25 @@ APART = set(
     "nav aside footer header form button select option label input dialog menu ad ads advert advertisement adverts banner "
     "sponsor sponsored promo sidebar widget comment comments reply replies discussion disqus cookie cookies consent notice "
     "notices gdpr popup modal overlay newsletter subscribe signup login share sharing social related recommended breadcrumb "
-    "breadcrumbs pagination pager toolbar navbar navigation topbar copyright legal disclaimer masthead skip search tags".split()
+    "breadcrumbs pagination pager toolbar navbar navigation topbar copyright legal disclaimer masthead skip search tags response responses".split()
 )
+#: Elements of running text: whatever a sample's articles hold, any of them may stand in an article.
+FLOW = set(
+    "p h1 h2 h3 h4 h5 h6 hgroup ul ol dl li dt dd pre blockquote table caption colgroup thead tbody tfoot tr td th figure "
+    "figcaption address details summary hr section center".split()
+)
+PASSAGE = set("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+#: Bounds of what is learned: for an element of running text, for its text's length and end, for other elements, for a node beside the article.
+FLOW_BOUNDS, LOOK_BOUNDS, OTHER_BOUNDS, BESIDE_BOUNDS = (0.0, 1.0), (-1.5, 2.5), (-2.0, 2.0), (-4.0, 0.0)
+#: Raw elements that, never closed, end with their own tag and not with the page.
+OPEN_ENDED = set("iframe svg math object canvas noscript template".split())
 #: Words of a class name that stand beside the one that says what it is, and those before it that make it a property of the page.
 BESIDE = set("box block area section container wrapper wrap list item inner outer bar panel row col left right top bottom fixed sticky main page site global".split())
 PROPERTY = set("has no with without is not hide show".split())
 #: Elements whose names of classes say nothing about a part of the page.
 WHOLE = ("html", "body", "article", "main")
 #: Counts given in advance: (feature, label) -> number of nodes; and the share of an article's parts that are not content.
-GIVEN = {("apart", 0): 1000.0, ("under", 0): 1000.0, ("main", 1): 20.0}
+GIVEN = {("apart", 0): 1000.0, ("under", 0): 1000.0, ("named", 0): 10.0, ("main", 1): 20.0}
 APART_SHARE = 0.05
 MAIN = set("article main content post entry story body text".split())
 #: Words that say little about a page's own parts.
@@ -106,6 +122,8 @@ def _element_features(tag: str, token: str, under: bool, inside: bool) -> tuple:
     found = [f"tag={tag}", *(f"word={w}" for w in sorted({w for words in names for w in words}))]
     if tag in WHOLE:
         found += ["main"] * (tag in ("article", "main"))
+    elif tag in PASSAGE and any(map(_names_apart, names)):
+        found.append("named")  # a name of one passage says less than that of a part of the page
     elif any(map(_names_apart, names)) or (tag in APART and not (inside and tag == "header")):  # an article's header has its title
         found.append("apart")
     elif any(w in MAIN for words in names for w in words):
@@ -126,9 +144,15 @@ def _block_features(tag: str, text: str, linked: int, under: bool) -> tuple:
 
 
 def parse(page: str) -> Tree:
-    """The page's tree; text inside scripts, styles and other raw elements is left out."""
+    """The page's tree; text inside scripts, styles and other raw elements is left out.
+
+    Counters of open elements and the place of the nearest open block stand in
+    for searches of the whole stack, so deep nesting takes time in proportion.
+    """
     tree = Tree()
-    stack: list[tuple[str, int]] = [("#root", 0)]  # name and the node of the nearest block element
+    stack: list[tuple[str, int, int]] = [("#root", 0, 0)]  # name, node of the nearest block element, its place in the stack
+    is_open: Counter = Counter()
+    within: list[bool] = [False]  # of each node: inside a marked article
     pieces: list[str] = []
     linked = [0]
 
@@ -137,20 +161,23 @@ def parse(page: str) -> Tree:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                node = next(n for name, n in reversed(stack) if name not in INLINE)
+                node = stack[-1][1]
                 tree.add(node, _block_features(tree.tags[node], text, linked[0], _is_apart(tree.features[node])), text, "#text")
+                within.append(within[node])
         linked[0] = 0
 
     def close(k: int) -> None:
-        if any(name not in INLINE for name, _ in stack[k:]):
+        if stack[-1][2] >= k:
             flush()
+        for name, _, _ in stack[k:]:
+            is_open[name] -= 1
         del stack[k:]
 
     def words(raw: str) -> None:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
-            if any(name == "a" for name, _ in stack):
+            if is_open["a"]:
                 linked[0] += len(text)
 
     at, size = 0, len(page)
@@ -166,33 +193,28 @@ def parse(page: str) -> Tree:
             continue
         tag = named[1].lower()
         if token[1] == "/":
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if is_open[tag]:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if tag in RAW:
             if not token.endswith("/>"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+                at = end.end() if end else at if tag in OPEN_ENDED else size
             pieces.append(" ")
             continue
         if tag == "br":
             pieces.append("\n")
         if tag in INLINE:
             if tag not in VOID and not token.endswith("/>"):
-                stack.append((tag, stack[-1][1]))
+                stack.append((tag, *stack[-1][1:]))
+                is_open[tag] += 1
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            if stack[stack[-1][2]][0] == "p":
+                close(stack[-1][2])
         elif tag in ENDS:
             ended, stop = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(is_open[name] for name in ended) else ():
                 if stack[k][0] in ended:
                     close(k)
                     break
@@ -200,11 +222,15 @@ def parse(page: str) -> Tree:
                     break
         flush()
         above = stack[-1][1]
-        inside = any(name in ("article", "main") for name, _ in stack)
+        inside = is_open["article"] > 0 or is_open["main"] > 0
         node = tree.add(above, _element_features(tag, token, _is_apart(tree.features[above]), inside), None, tag)
+        within.append(inside or tag in ("article", "main"))
         if tag not in VOID and not token.endswith("/>"):
-            stack.append((tag, node))
+            stack.append((tag, node, len(stack)))
+            is_open[tag] += 1
     flush()
+    if any(within):
+        tree.features = [f if own or tag in ("#root", "html", "body") else (*f, "beside") for f, own, tag in zip(tree.features, within, tree.tags)]
     return tree
 
 
@@ -245,6 +271,23 @@ class Model:
         weights = {f: float(np.log(c[1] / (nodes[1] + more.get(f, 0.0))) - np.log(c[0] / (nodes[0] + more.get(f, 0.0)))) for f, c in seen.items()}
         return cls(weights, np.log(pair / pair.sum(axis=1, keepdims=True)), float(np.log(nodes[1] / nodes[0])))
 
+    def odds(self, features: tuple) -> float:
+        """Log-odds of one node: names and links as learned, elements, lengths and ends within their bounds."""
+        total = look = 0.0
+        flow = False
+        for f in features:
+            w = self.weights.get(f, 0.0)
+            kind, _, value = f.partition("=")
+            if kind == "tag" or (kind == "in" and value in FLOW):
+                flow = value in FLOW
+                w = min(max(w, (FLOW_BOUNDS if flow else OTHER_BOUNDS)[0]), (FLOW_BOUNDS if flow else OTHER_BOUNDS)[1]) if value not in WHOLE else w
+            elif kind in ("size", "stop"):
+                look, w = look + w, 0.0
+            elif kind == "beside":
+                w = min(max(w, BESIDE_BOUNDS[0]), BESIDE_BOUNDS[1])
+            total += w
+        return total + (min(max(look, LOOK_BOUNDS[0]), LOOK_BOUNDS[1]) if flow else look)
+
     def marginals(self, trees: list[Tree]) -> np.ndarray:
         """Probability of content for all nodes of the trees, laid end to end."""
         sizes = [len(t.parent) for t in trees]
@@ -256,19 +299,19 @@ class Model:
         for k, (p, r) in enumerate(zip(parent.tolist(), root.tolist())):
             depth[k] = 0 if r else depth[p] + 1
         depth = np.array(depth)
-        get = self.weights.get
         memo: dict[tuple, float] = {}
         odds = []
         for t in trees:
             for f in t.features:
                 v = memo.get(f)
                 if v is None:
-                    v = memo[f] = sum(get(x, 0.0) for x in f)
+                    v = memo[f] = self.odds(f)
                 odds.append(v)
         belief = np.zeros((len(parent), 2))
         belief[:, 1] = odds
         belief[root, 0] += 2.0  # a page as a whole is not its article
-        by_depth = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if len(depth) else []
+        in_order = np.argsort(depth, kind="stable")
+        by_depth = np.split(in_order, np.flatnonzero(np.diff(depth[in_order])) + 1) if len(depth) else []
         up = np.zeros_like(belief)  # messages to the parents
         for rows in reversed(by_depth[1:]):
             b = belief[rows]
