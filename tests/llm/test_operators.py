@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import time
@@ -202,6 +203,58 @@ def test_secrets(spark):
     assert secrets.scan(empty(spark)).count() == 0
 
 
+def loop_ratio(samples):
+    """Both models and their ratio from labelled strings, one transition at a time."""
+    models = {}
+    at = {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+    code = lambda s: [at.get(c, 0) for c in (s.lower() if re.fullmatch("[A-Z]+", s) else s)]
+    for label in (True, False):
+        pairs = [p for s, y in samples if y == label for p in zip(code(s), code(s)[1:])]
+        single = [0.5 + sum(b == c for _, b in pairs) for c in range(secrets.SYMBOLS)]
+        whole = sum(single)
+        models[label] = lambda a, b, pairs=pairs, single=single, whole=whole: math.log(
+            (sum(p == (a, b) for p in pairs) + secrets.BACK_OFF * single[b] / whole) / (sum(p[0] == a for p in pairs) + secrets.BACK_OFF)
+        )
+    return lambda s: sum(models[True](a, b) - models[False](a, b) for a, b in zip(code(s), code(s)[1:]))
+
+
+def test_ratio_against_loop(spark):
+    samples = [("aZ09+/_=-", True), ("zzZZ11", True), ("hello_world", False), ("hello-there", False), ("HELLO", False), ("é!x", False), ("q", True), ("", False)]
+    table = secrets.markov_scores(spark.createDataFrame(samples, "token string, random boolean"))
+    ratio = loop_ratio(samples)
+    words = ["hello", "HELLO", "Zz19", "a", "", "é?b", "world-wide_9"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(secrets.markov_ratio(F.col("w"), table)).collect()
+    assert [round(r[0], 9) for r in got] == [round(ratio(w), 9) for w in words]
+
+
+def test_random_strings_and_identifiers(spark):
+    """Held-out strings planted in texts of the tables: recall by length, and what is left alone."""
+    rnd = random.Random(11)
+    prose = [r.text for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("text").collect()]
+    kinds = {"letters and digits": secrets.ALPHABET[:62], "small letters and digits": secrets.ALPHABET[26:62]}
+    planted = []
+    for name, alphabet in kinds.items():
+        for n in (12, 16, 20, 32, 40):
+            planted += [(name, n, "".join(rnd.choice(alphabet) for _ in range(n))) for _ in range(60)]
+    ordinary = [
+        "get_user_profile_by_id_{}", "HttpRequestHandlerFactory{}", "src/module/component/file{}", "AbstractSingletonProxyFactoryBean{}", "user_session_token_cache_v{}",
+        "very-long-kebab-case-name-{}", "report-2024-01-1{}-final", "550e8400-e29b-41d4-a716-44665544000{}", "XMLHttpRequest{}Wrapper", "node_modules/react-dom{}", "internationalization{}",
+        "LIKEWISE-IN-CAPITALS", "============", "aaaaaaaaaaaaaaaa",
+    ]
+    planted += [("ordinary", 0, w.format(k)) for w in ordinary for k in range(9)]
+    texts = [f"{prose[i % len(prose)][:300]} {w} {prose[(i * 7) % len(prose)][-100:]}" for i, (_, _, w) in enumerate(planted)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100_000 + i, t) for i, t in enumerate(prose)]
+    got = {r.doc_id: r.n_markov for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert sum(got[100_000 + i] for i in range(len(prose))) < 0.02 * len(prose), "strings found in the tables' own texts"
+    bare = {i: len(re.findall(r"(?<![0-9a-f])[0-9a-f]{16,}", w)) for i, (_, _, w) in enumerate(planted)}
+    found: dict = {}
+    for i, (name, n, _) in enumerate(planted):
+        if not bare[i]:
+            found.setdefault((name, n), []).append(min(1, got[i]))
+    assert all(sum(v) >= (0.95 if n > 12 else 0.9) * len(v) for (name, n), v in found.items() if n), {k: sum(v) / len(v) for k, v in found.items()}
+    assert sum(found["ordinary", 0]) == 0, [w for i, (k, _, w) in enumerate(planted) if k == "ordinary" and got[i]]
+
+
 # --- 3 ------------------------------------------------------------------------
 
 
