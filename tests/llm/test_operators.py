@@ -606,6 +606,18 @@ def test_jaccard_levels(spark, monkeypatch, small, inside, levels):
     assert [(r.n_shingles, r.component_id) for r in got] == jaccard_by_hand(texts, 4, 85)
 
 
+def test_links_of_the_tables_come_from_cells(spark):
+    """Every link is found in the cell of a pivot, most of them with the pivot itself."""
+    table = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    space = common.Workspace(spark, "test")
+    lowest = space.store(jaccard._sets_of(table, "doc_id", "text", 4, 85), "lowest")
+    classes = space.store(jaccard.set_classes(lowest.select("doc", "n", "set")), "classes")
+    sets = jaccard.promising_sets(table, lowest, classes, "doc_id", "text", 4, 85, space)
+    links = jaccard.find_links(sets, 85, space).collect()
+    assert links and all(r.p is not None for r in links)
+    assert any(r.p in (r.a, r.b) for r in links)
+
+
 def test_jaccard_of_odd_tables(spark):
     """Null keys, narrow keys, clashing and further columns."""
     long = " ".join(f"w{k}" for k in range(50))

@@ -9,13 +9,14 @@ divided by shared shingles first, and pivots divide what is left:
   tested on its lowest hashes first and then on the whole sets of those left.
 * A region holds the records that share one shingle among the first of an order
   by frequency, the rarest first.  Two records close enough to link share such a
-  shingle, so every link lies inside some region.  A region of a few records
-  tests its pairs of similar size.
-* Every other region takes as its pivot the record whose shingles occur in most
-  other records.  Regions with the same pivot make up its cell; a record at the
-  border of several lies in each of their cells.  Each member's distance to the
-  pivot is measured once, which links those that are near enough.
-* Inside a cell, what a member differs in from the pivot stands for the member:
+  shingle, so every link lies inside some region.
+* Every region takes as its pivot the record whose shingles occur in most other
+  records.  Regions with the same pivot make up its cell; a record at the border
+  of several lies in each of their cells.  Each member's distance to the pivot is
+  measured once, which links those that are near enough.
+* In a cell of a few members the pairs whose two distances allow a link by the
+  triangle inequality are tested at once.
+* Inside a larger cell, what a member differs in from the pivot stands for the member:
   the symmetric difference of two members is that of their differences from the
   pivot.  Members that are both linked with the pivot are joined already.  For
   any other pair the triangle inequality asks that their differences have
@@ -41,9 +42,9 @@ from xxhash import xxh3_128_hexdigest, xxh64_intdigest
 
 from .common import Workspace, connected_components, tidy
 
-#: Regions of shared shingles up to this size test their pairs, larger ones take a pivot.
+#: Cells of up to so many members test the pairs that their distances allow, larger ones are divided again.
 SMALL = 16
-#: The same inside a cell, where windows leave few pairs.
+#: Regions inside a cell up to this size test the pairs in their windows, larger ones take pivots again.
 SMALL_IN_CELL = 512
 #: Levels of regions; those of the last test their pairs whatever their size.
 LEVELS = 4
@@ -267,41 +268,62 @@ def _window(percent: int) -> Column:
     return reach("x") & reach("y") & ~(F.col("x.near") & F.col("y.near"))
 
 
+def _near_pivots(cells: DataFrame, sets: DataFrame, percent: int, differences: bool) -> DataFrame:
+    """``p, id, n, near, apart, w``, and with ``differences`` ``diff``: every member of a cell (``q, id, w``) measured against its pivot."""
+    measured = _compared(cells.select(F.col("q").alias("a"), F.col("id").alias("b")), sets, percent, differences)
+    found = measured.select(F.col("a").alias("p"), F.col("b").alias("id"), F.col("nb").alias("n"), F.col("linked").alias("near"), "apart", *["diff"] * differences)
+    return found.join(cells.select("id", "w").distinct(), "id")
+
+
+def _triangle(percent: int) -> Column:
+    """Whether two members' distances to their pivot allow a link: the differences they must share are no more than the nearer one has."""
+    least = (100 + percent) * (F.col("x.apart") + F.col("y.apart")) - (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    return (2 * (100 + percent) * F.least("x.apart", "y.apart") >= least) & ~(F.col("x.near") & F.col("y.near"))
+
+
 def find_links(sets: DataFrame, percent: int, space: Workspace) -> DataFrame:
-    """Links ``a, b`` between ids of sets, enough to connect what all links would connect."""
-    regions, inside = shingle_regions(sets, percent, space), False
-    links = None
-    for level in range(LEVELS):
-        by = ["p", "r"] if inside else ["r"]
-        sizes = regions.groupBy(*by).agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("w", (-F.col("id")).alias("least"))).alias("top"))
-        sizes = sizes.where("members > 1").select(*by, "members", (-F.col("top.least")).alias("q"))
-        sized = space.store(regions.join(sizes, by), "sized")
+    """Links ``a, b, p`` between ids of sets, enough to connect what all links would connect; ``p`` is the pivot in whose cell each was found."""
+    regions = shingle_regions(sets, percent, space)
+    sizes = regions.groupBy("r").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("w", (-F.col("id")).alias("least"))).alias("top"))
+    sizes = sizes.where("members > 1").select("r", (-F.col("top.least")).alias("q"))
+    cells = space.store(regions.join(sizes, "r").where(F.col("id") != F.col("q")).select("q", "id", "w").distinct(), "cells")
+    space.drop(regions)
+    crowds = cells.groupBy("q").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > SMALL).select("q")
+    # few members: what their distances allow is tested at once
+    few = space.store(_near_pivots(cells.join(crowds, "q", "left_anti"), sets, percent, False), "measured")
+    allowed = (F.col("x.id") < F.col("y.id")) & _alike(F.col("x.n"), F.col("y.n"), percent) & _triangle(percent)
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.p") == F.col("y.p")) & allowed).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.min("x.p").alias("p"))
+    links = few.where("near").select(F.col("p").alias("a"), F.col("id").alias("b"), "p").unionByName(_linked(space.store(pairs, "pairs"), sets, percent))
+    links = space.store(links, "links")
+    large = cells.join(crowds, "q", "left_semi")
+    level = 1
+    while not large.isEmpty():
+        measured = space.store(_near_pivots(large, sets, percent, True), "measured")
+        links = space.store(links.unionByName(measured.where("near").select(F.col("p").alias("a"), F.col("id").alias("b"), "p")), "links")
+        regions = cell_regions(measured, percent, space)
+        space.drop(measured)
+        sizes = regions.groupBy("p", "r").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("w", (-F.col("id")).alias("least"))).alias("top"))
+        sizes = sizes.where("members > 1").select("p", "r", "members", (-F.col("top.least")).alias("q"))
+        sized = space.store(regions.join(sizes, ["p", "r"]), "sized")
         space.drop(regions)
-        last = level == LEVELS - 1
-        small = sized if last else sized.where(F.col("members") <= (SMALL_IN_CELL if inside else SMALL))
-        at = F.col("x.r") == F.col("y.r")
-        allowed = (F.col("x.id") < F.col("y.id")) & _alike(F.col("x.n"), F.col("y.n"), percent)
-        if inside:
-            at, allowed = at & (F.col("x.p") == F.col("y.p")), allowed & _window(percent)
-        pairs = small.alias("x").join(small.alias("y"), at & allowed).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        found = _compared(space.store(pairs, "pairs"), sets, percent, False).where("linked").select("a", "b")
-        cells = space.store(sized.where((F.col("members") > (SMALL_IN_CELL if inside else SMALL)) & (F.col("id") != F.col("q"))).select("q", "id", "w").distinct(), "cells")
-        links = space.store(found if links is None else links.unionByName(found), "links")
+        level += 1
+        last = level >= LEVELS
+        small = sized if last else sized.where(F.col("members") <= SMALL_IN_CELL)
+        at = (F.col("x.r") == F.col("y.r")) & (F.col("x.p") == F.col("y.p"))
+        allowed = (F.col("x.id") < F.col("y.id")) & _alike(F.col("x.n"), F.col("y.n"), percent) & _window(percent)
+        pairs = small.alias("x").join(small.alias("y"), at & allowed).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.min("x.p").alias("p"))
+        large = sized.where((F.col("members") > SMALL_IN_CELL) & (F.col("id") != F.col("q")) & F.lit(not last))
+        large = space.store(large.select("q", "id", "w").distinct(), "cells")
+        links = space.store(links.unionByName(_linked(space.store(pairs, "pairs"), sets, percent)), "links")
         space.drop(sized)
-        if last or cells.isEmpty():
-            return links
-        measured = _compared(cells.select(F.col("q").alias("a"), F.col("id").alias("b")), sets, percent, True)
-        weights = cells.select("id", "w").distinct()
-        measured = space.store(
-            measured.select(F.col("a").alias("p"), F.col("b").alias("id"), F.col("nb").alias("n"), F.col("linked").alias("near"), "apart", "diff").join(weights, "id"),
-            "measured",
-        )
-        links = space.store(links.unionByName(measured.where("near").select(F.col("p").alias("a"), F.col("id").alias("b"))), "links")
-        regions, inside = cell_regions(measured, percent, space), True
-        space.drop(measured)
     return links
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b, p`` that whole sets link."""
+    return _compared(pairs, sets, percent, False).where("linked").select("a", "b").join(pairs, ["a", "b"])
+
+
 def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
     """Every record's shingle count and component: ``<key>, n_shingles, component_id``.
 
@@ -320,7 +342,7 @@ def similarity_classes(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sets = promising_sets(docs, lowest, classes, key, text, width, percent, space)
     space.drop(lowest)
     links = find_links(sets, percent, space)
-    parts = connected_components(links.unionByName(key_links(rows, classes)))
+    parts = connected_components(links.select("a", "b").unionByName(key_links(rows, classes)))
     named = classes.join(parts, F.col("id") == F.col("node"), "left").select("set", "rep", F.coalesce("component", "id").alias("part"))
     named = space.store(named, "named")
     least = named.groupBy("part").agg(F.min("rep").alias("component_id"))
