@@ -173,12 +173,14 @@ def sample_examples(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 3000, least_docs: int = 3, least_gain: float = 15.0, most_terms: int = 5000,
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = 3000, least_docs: int = 3, least_gain: float = 15.0, least_lift: float = 4.0, most_terms: int = 5000,
 ) -> bytes | None:
     """Index a bounded sample of labelled rows and return it as bytes; None without any.
 
     Bounds: ``per_label`` examples of each label and ``most_terms`` terms, those
-    that tell the labels apart best and at least by ``least_gain``.
+    that tell the labels apart best: at least by ``least_gain``, so that it is no
+    chance, and ``least_lift`` times as frequent under one label as under the
+    other, so that words of a language or a topic do not crowd the space.
     """
     examples = materialize(sample_examples(docs, labels, key, text, label, per_label), "examples")
     about = examples.select("k", "y", "vote").orderBy("k").collect()  # per_label rows of each label
@@ -202,7 +204,8 @@ def train(
     part = lambda seen, share: F.when(F.expr(seen) > 0, F.expr(seen) * F.log(F.expr(seen) / F.expr(share))).otherwise(0.0)
     n = n0 + n1
     gain = 2 * (part("a", f"(a + b) * {n1} / {n}") + part("b", f"(a + b) * {n0} / {n}") + part(f"{n1} - a", f"({n} - a - b) * {n1} / {n}") + part(f"{n0} - b", f"({n} - a - b) * {n0} / {n}"))
-    telling = held.where(F.col("a") + F.col("b") >= least_docs).withColumn("gain", F.round(gain, 6)).where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "term").limit(most_terms)
+    lift = F.abs(F.log((F.col("a") + 0.5) / (n1 + 1) / ((F.col("b") + 0.5) / (n0 + 1)))) >= math.log(least_lift)
+    telling = held.where((F.col("a") + F.col("b") >= least_docs) & lift).withColumn("gain", F.round(gain, 6)).where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "term").limit(most_terms)
     terms = [(REST, n), *sorted((r["term"], r["a"] + r["b"]) for r in telling.collect())]
     number, place = {t: i for i, (t, _) in enumerate(terms)}, {r["k"]: i for i, r in enumerate(about)}
     tells = counts.join(F.broadcast(telling.select("term", F.lit(True).alias("tells"))), "term", "left")
