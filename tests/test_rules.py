@@ -1,6 +1,7 @@
 """Rules with small inputs of our own."""
 
 import json
+import random
 import re
 import time
 
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threadline.functions import values
-from threadline.operators import recommend, records, redact, search, sessions
+from threadline.operators import decide, recommend, records, redact, search, sessions
 from threadline.sources import records as sources
 
 
@@ -393,3 +394,74 @@ def test_labels_once_on_close(spark, tmp_path):
     write(closed("s1", "s2"), 1)
     write(closed("s1", "s2"), 1)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path)).select("decision_id", "turn_id", "label").collect())) == [(1, 10, "hit"), (2, 10, "false positive")]
+
+
+def test_meta_merges_in_any_order(spark):
+    rng = random.Random(6)
+    objects = []
+    for i in range(40):
+        more = {}
+        if rng.random() < 0.6:
+            more["cwd"] = f"/w{rng.randrange(3)}"
+        if rng.random() < 0.5:
+            more["gitBranch"] = f"b{i}"
+        if rng.random() < 0.5:
+            more["sessionId"] = "own"
+        if rng.random() < 0.3:
+            more["session_id"] = rng.choice(["own", "other", "third"])
+        objects.append(turn(i, ts=f"2024-01-{rng.randrange(10, 28)}T00:00:00.000Z", **more) if rng.random() < 0.7 else {"type": "note", **more})
+    whole = recs(spark, objects).unionByName(recs(spark, objects[5:9], "b")).unionByName(recs(spark, [{"type": "note"}], "c"))
+    want = records.session_meta(whole, records.classify_turns(whole)).orderBy("session_key").collect()
+    assert want[0].turn_count and want[2].turn_count is None
+    for seed in (1, 2):
+        part = F.pmod(F.xxhash64("session_key", "line_no", F.lit(seed)), F.lit(3))
+        passes = [records.partial_meta(some, records.turn_fields(some)) for some in (whole.where(part == k) for k in (2, 0, 1))]
+        merged = records.merge_meta(records.merge_meta(*passes[:2]), passes[2])
+        assert records.finished_meta(merged).orderBy("session_key").select(*want[0].__fields__).collect() == want
+
+
+def test_phrases_against_loop(spark):
+    rng = random.Random(7)
+    bodies = [(i, " ".join(rng.choice(["foo", "bar", "baz", "a.b", "Foo-Bar", "the"]) for _ in range(rng.randrange(0, 12)))) for i in range(120)]
+    asked = ["foo-bar", "the foo", "bar/baz the", "foo-bar-baz a.b", "nothing-here", "", None, "foo-foo", "the-the the"]
+    frame, queries = spark.createDataFrame(bodies, "turn_id long, body string"), spark.createDataFrame(list(enumerate(asked)), "query_id int, text string")
+    index = search.build_index(frame)
+    turns = frame.select("turn_id", F.lit(None).cast("string").alias("ts"), F.lit(False).alias("is_sidechain"))
+    got = {(r.query_id, r.turn_id) for r in search.search(queries, index, turns, k=200, positions=search.build_positions(frame)).collect()}
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    holds = lambda have, run: any(have[i : i + len(run)] == run for i in range(len(have)))
+    want = {(q, i) for q, t in enumerate(asked) if t for i, b in bodies if all(w in words(b) for w in words(t)) and all(holds(words(b), words(w)) for w in t.split())}
+    assert got == want and want
+
+
+def test_prefixes_of_sources(spark):
+    size = 10
+    chunk = lambda key, data: [(key, n + 1, bytearray(data[n * size : (n + 1) * size])) for n in range(-(-len(data) // size))]
+    old, kind = bytes(range(100, 145)), "session_key string, chunk_no long, data binary"
+    sources = {"same": old, "grown": old + b"more", "cut": old[:30], "changed": old[:12] + b"x" + old[13:], "after": old[:40] + b"yyyyy", "fresh": b""}
+    marks = {"same": 45, "grown": 45, "cut": 45, "changed": 45, "after": 40, "fresh": 0}
+    now = spark.createDataFrame([c for k, v in sources.items() for c in chunk(k, v)], kind)
+    then = spark.createDataFrame([c for k in sources if k != "fresh" for c in chunk(k, old)], kind)
+    found = sessions.diverged_prefixes(now, then, spark.createDataFrame(list(marks.items()), "session_key string, byte_offset long"), size)
+    assert sorted(r.session_key for r in found.collect()) == ["changed", "cut"]
+
+
+def test_checksum_tree(spark):
+    rows = [("a", n, f"d{n}") for n in range(1, 40)] + [("b", 1, "d1"), ("c", 2, "d1")]
+    kind = "session_key string, chunk_no long, sha256 string"
+    sums = lambda rows: {r.session_key: r.checksum for r in sessions.session_checksums(spark.createDataFrame(rows, kind), 3, 4).collect()}
+    base = sums(rows)
+    assert base["b"] != base["c"] and base == sums(rows[::-1])
+    assert sums([("a", n, "x" if n == 20 else d) for _, n, d in rows[:39]])["a"] != base["a"]
+    assert sums([r for r in rows[:39] if r[1] != 20])["a"] != base["a"]
+
+
+def test_decisions_one_prompt_after_the_other():
+    state = decide.SessionState(briefed={7})
+    hit = lambda turn, rank, own=False, fell=False: (turn, rank, own, fell)
+    first, owed = decide.judge(state, 0, [hit(1, 1), hit(7, 2), hit(2, 3, own=True), hit(3, 11)], 10, 50, 3)
+    assert first == [(1, 1, None), (7, None, "carried by digest"), (2, None, "visible")] and not owed
+    second, owed = decide.judge(state, 1, [hit(1, 1), hit(2, 2, True, True), hit(4, 40, True, True), hit(5, 51, True, True)], 10, 50, 3)
+    assert second == [(2, 1, None), (4, 2, None)] and owed
+    third, owed = decide.judge(state, 1, [hit(2, 1, True, True), hit(8, 2), hit(9, 3), hit(10, 4), hit(11, 5)], 10, 50, 3)
+    assert third == [(2, None, "already given"), (8, 1, None), (9, 2, None), (10, 3, None)] and not owed

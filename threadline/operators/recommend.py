@@ -230,6 +230,47 @@ def replay(chosen: DataFrame, labels: DataFrame, baseline: int) -> DataFrame:
     )
 
 
+def relabelled(chosen: DataFrame, decisions: DataFrame, turns: DataFrame, entities: DataFrame) -> DataFrame:
+    """``grid, decision_id, hits, false_positives, misses, wasted``: the labels each decision would have under every row of a grid.
+
+    ``chosen``: ``grid, query_id, turn_id``; ``decisions`` and ``turns`` as for
+    :func:`label_turns` and :func:`label_miss`.  A turn that several rows choose
+    is labelled once; what a session sought later does not depend on the row, only
+    whether the row's turns had handed it over.
+    """
+    offered = chosen.select("grid", F.col("query_id").alias("decision_id"), "turn_id")
+    labels = label_turns(offered.select("decision_id", "turn_id").distinct(), decisions.select("decision_id", "session_id", "ts"), turns, entities)
+    judged = offered.join(labels, ["decision_id", "turn_id"]).groupBy("grid", "decision_id").agg(
+        F.count(F.when(F.col("label") == "hit", 1)).alias("hits"), F.count(F.when(F.col("label") != "hit", 1)).alias("false_positives")
+    )
+    tool = F.col("tool_name")
+    sought = turns.where((tool == "recall_search") | tool.endswith("_recall_search")).join(entities.where("kind in ('path', 'symbol')"), "turn_id")
+    sought = sought.groupBy("session_id", "value").agg(F.max("ts").alias("last"))
+    asked = decisions.select("decision_id", "session_id", "ts", F.explode("spellings").alias("value")).join(sought, ["session_id", "value"]).where("last > ts").select("decision_id", "value")
+    grids = chosen.select("grid").distinct()
+    handed = offered.join(entities.select("turn_id", "value"), "turn_id").select("grid", "decision_id", "value").distinct()
+    missed = asked.crossJoin(F.broadcast(grids)).join(handed, ["grid", "decision_id", "value"], "left_anti").select("grid", "decision_id").distinct().withColumn("misses", F.lit(1))  # a handful of rows
+    both = judged.join(missed, ["grid", "decision_id"], "full_outer").fillna(0, ["hits", "false_positives", "misses"])
+    return both.withColumn("wasted", ((F.col("hits") == 0) & (F.col("false_positives") > 0)).cast("int"))
+
+
+def replay_labels(relabels: DataFrame, baseline: int) -> tuple[DataFrame, DataFrame]:
+    """Old and new counts of every label by row of the grid (``grid, label, before, after``), and the decisions that change (``grid, decision_id``).
+
+    ``relabels`` is what :func:`relabelled` gives; a decision it lacks under some row has no label there.
+    """
+    names = {"hits": "hit", "false_positives": "false positive", "misses": "miss", "wasted": "wasted budget"}
+    old = relabels.where(F.col("grid") == baseline).select("decision_id", *[F.col(n).alias(f"old_{n}") for n in names])
+    grids = relabels.select("grid").distinct()
+    both = old.crossJoin(F.broadcast(grids)).join(relabels, ["grid", "decision_id"], "full_outer").fillna(0)  # a handful of rows
+    sums = both.groupBy("grid").agg(*[F.sum(f"old_{n}").cast("long").alias(f"old_{n}") for n in names], *[F.sum(n).cast("long").alias(n) for n in names])
+    rows = F.array(*[F.struct(F.lit(label).alias("label"), F.col(f"old_{n}").alias("before"), F.col(n).alias("after")) for n, label in names.items()])
+    changed = F.lit(False)
+    for n in names:
+        changed = changed | (F.col(n) != F.col(f"old_{n}"))
+    return sums.select("grid", F.explode(rows).alias("r")).select("grid", "r.*"), both.where(changed).select("grid", "decision_id")
+
+
 DECISION = """session_id string, at_ms long, cwd string, prompt string, watermark_session_no long, spellings array<string>,
 candidates array<struct<turn_id: long, relevance: double, entity_score: double, entity_count: long, matched_on: array<struct<kind: string, value: string>>>>,
 injected array<struct<turn_id: long, chars: long>>, chars_injected long, suppressed array<struct<turn_id: long, reason: string>>, compacted boolean,

@@ -22,12 +22,18 @@ BODY_BYTES, DEPTH, MOST_ENTITIES = 256 * 1024, 8, 48
 
 
 def classify_turns(records: DataFrame) -> DataFrame:
-    """Records that are turns, in byte order.
+    """Records that are turns, numbered in byte order: :func:`turn_fields` and ``turn_seq``."""
+    seq = F.row_number().over(Window.partitionBy("session_key").orderBy("stream_offset")) - 1
+    return turn_fields(records).withColumn("turn_seq", seq.cast("long"))
+
+
+def turn_fields(records: DataFrame) -> DataFrame:
+    """Records that are turns, each judged by itself.
 
     A turn has string ``uuid`` and ``timestamp`` and one of four types.  Returns
-    ``session_key, turn_seq, uuid, parent_uuid, record_type, tool_name, ts,
-    is_typed, stream_offset, byte_len, line``.  ``is_typed`` is null for all but
-    user records: whether a person typed it.
+    ``session_key, uuid, parent_uuid, record_type, tool_name, ts, is_typed,
+    stream_offset, byte_len, line``.  ``is_typed`` is null for all but user
+    records: whether a person typed it.
     """
     v = records.withColumn("v", variant("line"))
     blocks = blocks_at("v")
@@ -42,13 +48,11 @@ def classify_turns(records: DataFrame) -> DataFrame:
         F.coalesce(string_at("v", "$.entrypoint"), F.lit("")).startswith("sdk-") | flag_at("v", "$.isMeta")
         | F.array_contains(kinds, "tool_result") | F.ltrim(text).rlike("^(" + "|".join(ENVELOPES) + r")[\s/>]")
     )
-    turns = v.select(
-        "session_key", "line_no", "stream_offset", "byte_len", "line", string_at("v", "$.uuid").alias("uuid"), string_at("v", "$.parentUuid").alias("parent_uuid"),
+    return v.select(
+        "session_key", "stream_offset", "byte_len", "line", string_at("v", "$.uuid").alias("uuid"), string_at("v", "$.parentUuid").alias("parent_uuid"),
         string_at("v", "$.type").alias("record_type"), F.get(names, F.lit(0)).alias("tool_name"), string_at("v", "$.timestamp").alias("ts"),
         F.when(string_at("v", "$.type") == "user", ~machine).alias("is_typed"),
     ).where(F.col("uuid").isNotNull() & F.col("ts").isNotNull() & F.col("record_type").isin(*TURN_TYPES))
-    seq = F.row_number().over(Window.partitionBy("session_key").orderBy("stream_offset")) - 1
-    return turns.withColumn("turn_seq", seq.cast("long")).drop("line_no")
 
 
 def with_turn_ids(turns: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -269,21 +273,43 @@ def session_titles(records: DataFrame) -> DataFrame:
 
 def session_meta(records: DataFrame, turns: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """One row per session: own id, first folder, last branch, first and last turn in byte order, project, lineage."""
+    return finished_meta(partial_meta(records, turns), roots)
+
+
+#: What a session's row is made of: first or last by byte offset, each with its offset, so that parts merge in any order.
+FIRST, LAST = ("sid", "cwd", "other", "first_turn"), ("branch", "last_turn")
+
+
+def partial_meta(records: DataFrame, turns: DataFrame) -> DataFrame:
+    """What one pass over some records knows of each session: for every field the value at the first or last offset, and the number of turns."""
     v = records.withColumn("v", variant("line")).select(
-        "session_key", "stream_offset", string_at("v", "$.sessionId").alias("sid"), string_at("v", "$.session_id").alias("other"),
-        string_at("v", "$.cwd").alias("cwd"), string_at("v", "$.gitBranch").alias("branch"),
+        "session_key", "stream_offset", string_at("v", "$.sessionId").alias("sid"), string_at("v", "$.session_id").alias("other"), string_at("v", "$.cwd").alias("cwd"), string_at("v", "$.gitBranch").alias("branch"),
+        F.lit(None).cast("string").alias("first_turn"), F.lit(None).cast("string").alias("last_turn"), F.lit(0).alias("turn"),
     )
-    at = F.col("stream_offset")
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), at))
-    meta = v.groupBy("session_key").agg(
-        first("sid").alias("session_id"), first("cwd").alias("cwd"), F.max_by("branch", F.when(F.col("branch").isNotNull(), at)).alias("git_branch"),
-        F.min_by("other", F.when(F.col("other").isNotNull() & (F.col("other") != F.coalesce("sid", F.lit(""))), at)).alias("continues_id"),
+    t = turns.select("session_key", "stream_offset", F.col("ts").alias("first_turn"), F.col("ts").alias("last_turn"), F.lit(1).alias("turn"))
+    # an id beside the record's own, or one without an own id, continues that session
+    v = v.withColumn("other", F.when(F.col("other") != F.coalesce("sid", F.lit("")), F.col("other")))
+    both = v.unionByName(t, allowMissingColumns=True)
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("stream_offset").alias("at"), F.col(c).alias("value")))
+    fields = [F.min(at(c)).alias(c) for c in FIRST] + [F.max(at(c)).alias(c) for c in LAST]
+    return both.groupBy("session_key").agg(*fields, F.sum("turn").cast("long").alias("turn_count"))
+
+
+def merge_meta(*parts: DataFrame) -> DataFrame:
+    """Partial rows of several passes as one; no record is read again, and parts come in any order."""
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.groupBy("session_key").agg(*[F.min(c).alias(c) for c in FIRST], *[F.max(c).alias(c) for c in LAST], F.sum("turn_count").cast("long").alias("turn_count"))
+
+
+def finished_meta(merged: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Session rows from merged parts; a session without a turn has no count."""
+    made = merged.select(
+        "session_key", F.col("sid.value").alias("session_id"), F.col("cwd.value").alias("cwd"), F.col("branch.value").alias("git_branch"), F.col("other.value").alias("continues_id"),
+        F.col("first_turn.value").alias("first_turn_at"), F.col("last_turn.value").alias("last_turn_at"), F.when(F.col("turn_count") > 0, F.col("turn_count")).alias("turn_count"),
     )
-    span = turns.groupBy("session_key").agg(
-        F.min_by("ts", "stream_offset").alias("first_turn_at"), F.max_by("ts", "stream_offset").alias("last_turn_at"), F.count(F.lit(1)).alias("turn_count")
-    )
-    joined = meta.join(span, "session_key", "left").withColumn("is_sidechain", F.col("session_key").rlike(r"(^|/)agent-[^/]*\.jsonl$"))
-    return project_keys(joined, roots)
+    return project_keys(made.withColumn("is_sidechain", F.col("session_key").rlike(r"(^|/)agent-[^/]*\.jsonl$")), roots)
 
 
 def project_keys(df: DataFrame, roots: DataFrame | None = None, cwd: str = "cwd") -> DataFrame:

@@ -265,6 +265,67 @@ def chunk_gaps(chunks: DataFrame) -> DataFrame:
     return chunks.select("session_key", "chunk_no").distinct().withColumn("after", last).where("chunk_no > after + 1").select("session_key", "after", F.col("chunk_no").alias("before"))
 
 
+def session_checksums(chunks: DataFrame, fan: int = 1024, levels: int = 6) -> DataFrame:
+    """``session_key, checksum``: a digest of each session's chunk digests (``session_key, chunk_no, sha256``) in order.
+
+    A tree: the digests of ``fan`` chunks make one digest, those of ``fan`` such
+    digests the next, so no task holds more than ``fan`` digests of a session,
+    whatever its length.  ``fan ** levels`` chunks is the most.  Chunks count
+    from 1; equal digests at other places give another checksum.
+    """
+    rows = chunks.select("session_key", (F.col("chunk_no") - 1).cast("long").alias("n"), F.col("sha256").alias("d"))
+    for _ in range(levels):
+        rows = rows.groupBy("session_key", F.floor(F.col("n") / fan).cast("long").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("at"), "d"))).alias("l"))
+        rows = rows.select("session_key", "n", F.sha2(F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["at"].cast("string"), x["d"])), ",").cast("binary"), 256).alias("d"))
+    return rows.select("session_key", F.col("d").alias("checksum"))
+
+
+def verify_sessions(chunks: DataFrame, recorded: DataFrame, fan: int = 1024, levels: int = 6) -> DataFrame:
+    """What is wrong with whole sessions: ``session_key, problem, first, last``.
+
+    ``recorded``: ``session_key, checksum, chunk_count, evicted, diverged``.
+    Missing chunks are one row for each run of them (``first`` to ``last``), those
+    beyond the count are unexpected; a checksum is taken over the rows as they
+    are.  An evicted session must have no rows and is not checked further; one
+    whose file is shorter than its archive diverged, evicted or not.
+    """
+    seen = chunks.select("session_key", F.col("chunk_no").cast("long")).join(recorded.select("session_key", F.col("chunk_count").cast("long").alias("count"), "evicted"), "session_key")
+    live = recorded.where("not evicted").select("session_key", F.col("chunk_count").cast("long").alias("count"))
+    row = lambda df, problem, first="null", last="null": df.select("session_key", F.lit(problem).alias("problem"), F.expr(f"cast({first} as long)").alias("first"), F.expr(f"cast({last} as long)").alias("last"))
+    left = seen.where("evicted").groupBy("session_key").agg(F.count(F.lit(1)).alias("n"))
+    extra = seen.where("not evicted and (chunk_no > count or chunk_no < 1)")
+    # holes: a mark before the first and after the last chunk, and what lies between neighbours
+    inside = seen.where("not evicted and chunk_no between 1 and count").select("session_key", "chunk_no").distinct()
+    marked = inside.unionByName(live.select("session_key", F.lit(0).cast("long").alias("chunk_no"))).unionByName(live.select("session_key", (F.col("count") + 1).alias("chunk_no")))
+    before = F.lag("chunk_no").over(Window.partitionBy("session_key").orderBy("chunk_no"))
+    holes = marked.withColumn("before", before).where("chunk_no > before + 1")
+    found = session_checksums(chunks, fan, levels)
+    wrong = recorded.where("not evicted").join(found, "session_key", "left").select("session_key", recorded["checksum"].alias("expected"), found["checksum"].alias("actual")).where("not (expected <=> actual)")
+    parts = [row(left, "rows of an evicted session", "n"), row(extra, "unexpected", "chunk_no", "chunk_no"), row(holes, "missing", "before + 1", "chunk_no - 1"), row(wrong, "checksum"), row(recorded.where("diverged"), "diverged")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def prefix_checksums(chunks: DataFrame, watermarks: DataFrame, size: int, fan: int = 1024, levels: int = 6) -> DataFrame:
+    """``session_key, checksum`` of the first ``byte_offset`` bytes (``watermarks``) of sources stored as chunks of ``size`` bytes (``session_key, chunk_no, data``).
+
+    Whole chunks enter by their digest, the one that the watermark cuts by the digest of its part, so a source's
+    prefix and its archive compare without either being read as one value.
+    """
+    own = chunks.join(watermarks.select("session_key", "byte_offset"), "session_key").withColumn("__left", F.col("byte_offset") - (F.col("chunk_no") - 1) * size).where("__left > 0")
+    part = F.expr("substring(data, 1, cast(least(__left, length(data)) as int))")
+    return session_checksums(own.select("session_key", "chunk_no", F.sha2(part, 256).alias("sha256")), fan, levels)
+
+
+def diverged_prefixes(sources: DataFrame, archive: DataFrame, watermarks: DataFrame, size: int) -> DataFrame:
+    """Sessions whose source no longer begins with what was archived up to the watermark: ``session_key``."""
+    now = prefix_checksums(sources, watermarks, size)
+    then = prefix_checksums(archive, watermarks, size).withColumnRenamed("checksum", "then")
+    return then.join(now, "session_key", "left").where("not (checksum <=> then)").select("session_key")
+
+
 def dropped_turns(compactions: DataFrame, turns: DataFrame) -> DataFrame:
     """Turns before each session's latest boundary that it does not preserve; none if it preserves nothing."""
     last = compactions.groupBy("session_key").agg(F.max_by(F.struct("stream_offset", "preserved"), "stream_offset").alias("b")).where(F.size("b.preserved") > 0)

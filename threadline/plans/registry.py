@@ -90,6 +90,24 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "turn_id", F.round("text_score", 6).alias("score"), "rank")
 
 
+@query(
+    f"""WITH {INDEX_SQL},
+pairs AS (SELECT DISTINCT doc_id, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM words)),
+kept AS (
+  SELECT h.* EXCLUDE rank FROM hits h JOIN words q ON q.doc_id = h.query_id
+  WHERE len(q.w[2:3]) < 2 OR EXISTS (SELECT 1 FROM pairs p WHERE p.doc_id = h.turn_id AND p.a = q.w[2] AND p.b = q.w[3])),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, turn_id) AS rank FROM kept)
+SELECT query_id, turn_id, round(score, 6) AS score, rank FROM placed WHERE rank <= 10"""
+)
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words written together, as in ``foo-bar``, stand together in what is found."""
+    bodies, turns = _documents(spark, sf_dir)
+    asked = _asked(spark, sf_dir).withColumn("text", F.translate("text", " ", "-"))
+    index = search.build_index(bodies)
+    hits = search.search(asked, index, turns, k=10, positions=search.build_positions(bodies))
+    return hits.select("query_id", "turn_id", F.round("text_score", 6).alias("score"), "rank")
+
+
 @query(
     f"WITH {INDEX_SQL} SELECT t AS term, df, n, round(avgdl, 6) AS avgdl FROM terms, corpus"
 )
@@ -243,6 +261,17 @@ def session_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _meta(spark, sf_dir).select("session_key", "session_id", "project", "git_branch", "first_turn_at", "last_turn_at", "turn_count")
 
 
+@query(f"WITH {EVENTS_SQL} SELECT * FROM meta")
+def merged_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: three passes over different records of every session, merged without reading a record again."""
+    recs = _records(spark, sf_dir)
+    passes = []
+    for part in (1, 0, 2):
+        some = recs.where(F.pmod(F.xxhash64("session_key", "stream_offset"), F.lit(3)) == part)
+        passes.append(records.partial_meta(some, records.turn_fields(some)))
+    return records.finished_meta(records.merge_meta(*passes)).select("session_key", "session_id", "project", "git_branch", "first_turn_at", "last_turn_at", "turn_count")
+
+
 @query(f"WITH {EVENTS_SQL} SELECT project, NULL::VARCHAR AS pre_worktree, count(*) AS sessions, sum(turn_count)::BIGINT AS turns FROM meta GROUP BY project")
 def project_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3: sessions and turns per project."""
@@ -395,6 +424,28 @@ def verify_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.verify(stored, c.where("p % 11 = 0 or p % 13 <> 0").withColumn("sha256", digest))
 
 
+@query(
+    """WITH c AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+kept AS (SELECT * FROM c WHERE p % 11 <> 0),
+s AS (SELECT k, max(n) AS cnt, k % 8 = 0 AS evicted, k % 9 = 0 AS diverged, bool_or(p % 11 = 0 OR p % 17 = 0) AS wrong FROM c GROUP BY k),
+holes AS (
+  SELECT k, n, lag(n) OVER (PARTITION BY k ORDER BY n) AS before FROM (
+    SELECT k, n FROM kept JOIN s USING (k) WHERE NOT evicted UNION ALL SELECT k, 0 FROM s WHERE NOT evicted UNION ALL SELECT k, cnt + 1 FROM s WHERE NOT evicted))
+SELECT k AS session_key, 'missing' AS problem, (before + 1)::BIGINT AS first, (n - 1)::BIGINT AS last FROM holes WHERE n > before + 1
+UNION ALL SELECT k, 'checksum', NULL, NULL FROM s WHERE NOT evicted AND wrong
+UNION ALL SELECT k, 'diverged', NULL, NULL FROM s WHERE diverged
+UNION ALL SELECT k, 'rows of an evicted session', count(*), NULL FROM kept JOIN s USING (k) WHERE evicted GROUP BY k"""
+)
+def verify_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole sessions by a tree of digests: missing runs of chunks, checksums, evicted and diverged ones."""
+    c = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("session_key"), F.col("l_linenumber").alias("chunk_no")).agg(F.min("l_partkey").alias("p"))
+    whole = c.withColumn("sha256", F.sha2(F.col("p").cast("string").cast("binary"), 256))
+    k = F.col("session_key")
+    recorded = sessions.session_checksums(whole, 2, 3).join(c.groupBy("session_key").agg(F.max("chunk_no").alias("chunk_count")), "session_key").withColumn("evicted", k % 8 == 0).withColumn("diverged", k % 9 == 0)
+    kept = whole.where("p % 11 <> 0").withColumn("sha256", F.when(F.col("p") % 17 == 0, F.sha2(F.lit("x").cast("binary"), 256)).otherwise(F.col("sha256")))
+    return sessions.verify_sessions(kept, recorded, 2, 3)
+
+
 @query(
     """WITH p AS (SELECT c_custkey AS path_id, '/' || r_name || '/' || n_name || '/c' || c_custkey AS path, r_name, n_name, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 SELECT path_id, CASE WHEN n_nationkey % 2 = 0 THEN '/' || r_name || '/' || n_name ELSE '/' || r_name END AS project, CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 2 END AS depth FROM p"""
@@ -958,6 +1009,34 @@ def threshold_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.replay(chosen, labels, 0)
 
 
+@query(
+    f"""WITH {FEEDBACK_SQL},
+c AS (SELECT DISTINCT grid, query_id AS decision_id, turn_id FROM chosen JOIN decided ON decision_id = query_id),
+judged AS (
+  SELECT grid, c.decision_id, EXISTS (
+    SELECT 1 FROM ents e JOIN used u USING (kind, value) WHERE e.turn_id = c.turn_id AND u.session_id = d.session_id AND u.last > d.ts) AS hit
+  FROM c JOIN decided d ON d.decision_id = c.decision_id),
+counted AS (SELECT grid, decision_id, count(*) FILTER (hit) AS h, count(*) FILTER (NOT hit) AS f FROM judged GROUP BY ALL),
+miss AS (
+  SELECT DISTINCT g.grid, d.decision_id FROM decided d JOIN prompt ON query_id = d.decision_id JOIN sought ON sought.session_id = d.session_id AND value = spelling AND last > d.ts, (SELECT DISTINCT grid FROM c) g
+  WHERE NOT EXISTS (SELECT 1 FROM c JOIN ents e USING (turn_id) WHERE c.grid = g.grid AND c.decision_id = d.decision_id AND e.value = spelling)),
+every AS (
+  SELECT g.grid, d.decision_id, coalesce(h, 0) AS h, coalesce(f, 0) AS f, (miss.decision_id IS NOT NULL)::INT AS m, (coalesce(h, 0) = 0 AND coalesce(f, 0) > 0)::INT AS w
+  FROM decided d CROSS JOIN (SELECT DISTINCT grid FROM c) g LEFT JOIN counted ON counted.grid = g.grid AND counted.decision_id = d.decision_id LEFT JOIN miss ON miss.grid = g.grid AND miss.decision_id = d.decision_id),
+sums AS (
+  SELECT n.grid, sum(o.h) AS oh, sum(n.h) AS nh, sum(o.f) AS of, sum(n.f) AS nf, sum(o.m) AS om, sum(n.m) AS nm, sum(o.w) AS ow, sum(n.w) AS nw,
+    count(*) FILTER (n.h <> o.h OR n.f <> o.f OR n.m <> o.m OR n.w <> o.w) AS changed FROM every n JOIN every o ON o.decision_id = n.decision_id AND o.grid = 0 GROUP BY n.grid)
+SELECT grid, 'hit' AS label, oh::BIGINT AS before, nh::BIGINT AS after, changed FROM sums UNION ALL SELECT grid, 'false positive', of::BIGINT, nf::BIGINT, changed FROM sums
+UNION ALL SELECT grid, 'miss', om::BIGINT, nm::BIGINT, changed FROM sums UNION ALL SELECT grid, 'wasted budget', ow::BIGINT, nw::BIGINT, changed FROM sums"""
+)
+def replay_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels all decisions would have under each row of a grid, and how many decisions change."""
+    decisions, turns, entities, chosen, _ = _labelled(spark, sf_dir)
+    counts, changed = recommend.replay_labels(stored(recommend.relabelled(chosen, decisions, turns, entities), "relabels"), 0)
+    number = changed.groupBy("grid").agg(F.count(F.lit(1)).alias("changed"))
+    return counts.join(number, "grid", "left").fillna(0, ["changed"])
+
+
 @query(
     f"""WITH {FEEDBACK_SQL}
 , n AS (SELECT (SELECT count(*) FROM decided) AS decisions, (SELECT count(*) FROM given) AS injected, (SELECT count(DISTINCT decision_id) FROM given) AS fired,
