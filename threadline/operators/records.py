@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,13 @@ def classify_turns(records: DataFrame) -> DataFrame:
     return turn_fields(records).withColumn("turn_seq", seq.cast("long"))
 
 
-def turn_fields(records: DataFrame) -> DataFrame:
-    """Records that are turns, each judged by itself.
+def is_turn(v: str = "v") -> Column:
+    """Whether a record (a VARIANT) is a turn."""
+    return string_at(v, "$.uuid").isNotNull() & string_at(v, "$.timestamp").isNotNull() & F.coalesce(string_at(v, "$.type").isin(*TURN_TYPES), F.lit(False))
+
+
+def turn_fields(records: DataFrame, *more: str) -> DataFrame:
+    """Records that are turns, each judged by itself; ``more`` columns pass through.
 
     A turn has string ``uuid`` and ``timestamp`` and one of four types.  Returns
     ``session_key, uuid, parent_uuid, record_type, tool_name, ts, is_typed,
@@ -49,7 +54,7 @@ def turn_fields(records: DataFrame) -> DataFrame:
         | F.array_contains(kinds, "tool_result") | F.ltrim(text).rlike("^(" + "|".join(ENVELOPES) + r")[\s/>]")
     )
     return v.select(
-        "session_key", "stream_offset", "byte_len", "line", string_at("v", "$.uuid").alias("uuid"), string_at("v", "$.parentUuid").alias("parent_uuid"),
+        "session_key", *more, "stream_offset", "byte_len", "line", string_at("v", "$.uuid").alias("uuid"), string_at("v", "$.parentUuid").alias("parent_uuid"),
         string_at("v", "$.type").alias("record_type"), F.get(names, F.lit(0)).alias("tool_name"), string_at("v", "$.timestamp").alias("ts"),
         F.when(string_at("v", "$.type") == "user", ~machine).alias("is_typed"),
     ).where(F.col("uuid").isNotNull() & F.col("ts").isNotNull() & F.col("record_type").isin(*TURN_TYPES))
@@ -262,13 +267,16 @@ def boundaries(records: DataFrame) -> DataFrame:
     )
 
 
-def session_titles(records: DataFrame) -> DataFrame:
-    """``session_key, title, is_custom``: the last title; a generated one never replaces a custom one."""
+def titles_at(records: DataFrame) -> DataFrame:
+    """``session_key, stream_offset, title, is_custom``: every title record that has text."""
     v = records.where(F.col("line").contains("Title")).withColumn("v", variant("line"))
     custom, made = string_at("v", "$.customTitle"), string_at("v", "$.aiTitle")
-    titled = v.select("session_key", "stream_offset", F.coalesce(custom, made).alias("title"), custom.isNotNull().alias("is_custom")).where(F.trim("title") != "")
-    order = F.struct("is_custom", "stream_offset")
-    return titled.groupBy("session_key").agg(F.max_by("title", order).alias("title"), F.max("is_custom").alias("is_custom"))
+    return v.select("session_key", "stream_offset", F.coalesce(custom, made).alias("title"), custom.isNotNull().alias("is_custom")).where(F.trim("title") != "")
+
+
+def session_titles(records: DataFrame) -> DataFrame:
+    """``session_key, title, is_custom``: the last title; a generated one never replaces a custom one."""
+    return titles_at(records).groupBy("session_key").agg(F.max_by("title", F.struct("is_custom", "stream_offset")).alias("title"), F.max("is_custom").alias("is_custom"))
 
 
 def session_meta(records: DataFrame, turns: DataFrame, roots: DataFrame | None = None) -> DataFrame:
