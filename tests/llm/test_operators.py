@@ -513,6 +513,23 @@ def test_media(spark):
     assert media.media_features(media.with_png(empty(spark).select("doc_id", "text"), "text", 576)).count() == 0
 
 
+@pytest.mark.parametrize("height, width", [(1, 24), (3, 24), (40, 24), (9, 8)])
+def test_cosine_hash_against_loops(height, width, monkeypatch):
+    """Every coefficient by its definition, one sample at a time; blocks of rows change nothing."""
+    rnd = random.Random(height)
+    samples = np.array([[rnd.randrange(256) for _ in range(width)] for _ in range(height)], np.uint8)
+    low = [
+        sum(float(samples[y, x]) * math.cos(math.pi * u * (y + 0.5) / height) * math.cos(math.pi * v * (x + 0.5) / width) for y in range(height) for x in range(width))
+        for u in range(media.LOW) for v in range(media.LOW)
+    ]
+    middle = sorted(low[1:])[len(low[1:]) // 2]
+    clear = [abs(c - middle) > 1e-2 for c in low]  # what rounding cannot move
+    for rows in (media.ROWS_AT_ONCE, 2):
+        monkeypatch.setattr(media, "ROWS_AT_ONCE", rows)
+        bits = bin(int(media.cosine_hash(samples), 16) | 1 << 64)[3:]
+        assert all(b == str(int(c > middle)) for b, c, sure in zip(bits, low, clear) if sure) and sum(clear) >= min(len(clear), 8 * min(height, 8) - 1)
+
+
 def test_png_damage_and_all_filters():
     rng = np.random.default_rng(0)
     image = rng.integers(0, 256, (10, 12), np.uint8)

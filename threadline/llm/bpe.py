@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are th
 
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Pieces kept by a worker; beyond that the table starts anew.
+#: Pieces kept by a worker; once so many are kept no more are added, and later ones are encoded each time they occur.
 KEPT_PIECES = 500_000
 #: Pieces handed to the library at once.
 PIECES_AT_ONCE = 4096
