@@ -465,3 +465,16 @@ def test_decisions_one_prompt_after_the_other():
     assert second == [(2, 1, None), (4, 2, None)] and owed
     third, owed = decide.judge(state, 1, [hit(2, 1, True, True), hit(8, 2), hit(9, 3), hit(10, 4), hit(11, 5)], 10, 50, 3)
     assert third == [(2, None, "already given"), (8, 1, None), (9, 2, None), (10, 3, None)] and not owed
+
+
+def test_excerpts_without_secrets_and_evicted_turns(spark):
+    bodies = spark.createDataFrame([(1, "find " + "x " * 30 + "token=abcdef and more"), (2, "find password: hunter2")], "turn_id long, body string")
+    hits = spark.createDataFrame([(7, 1), (7, 2)], "query_id long, turn_id long")
+    asked = spark.createDataFrame([(7, "abcdef find")], "query_id long, text string")
+    shown = {r.turn_id: r.excerpt for r in search.with_excerpts(hits, bodies, asked, redacted=True).collect()}
+    assert "abcdef" not in shown[1] and "hunter2" not in shown[2] and "[redacted]" in shown[2]
+    assert "hunter2" in {r.turn_id: r.excerpt for r in search.with_excerpts(hits, bodies, asked).collect()}[2]
+    turns = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "turn_id long, session_key string")
+    key = lambda *k: spark.createDataFrame([(x,) for x in k], "session_key string")
+    got = search.get_turns(spark.createDataFrame([(1,), (2,), (3,), (9,)], "turn_id long"), turns, key("c"), key("b", "c"))
+    assert sorted((r.turn_id, r.reason, r.evicted) for r in got.collect()) == [(1, None, False), (2, None, True), (3, "not found", None), (9, "not found", None)]

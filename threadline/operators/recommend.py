@@ -76,13 +76,13 @@ def candidates(prompts: DataFrame, index: Index, turns: DataFrame, entities: Dat
     prompt that follows a compaction (``compacted``, optional) looks at a wider
     window.
     """
-    spellings = prompt_spellings(prompts)
+    spellings = stored(prompt_spellings(prompts), "spellings")
     named, groups = grouped_spellings(spellings)
     order_of = turns.select("turn_id", F.coalesce(F.col("is_sidechain").cast("int"), F.lit(-1)).alias("side"), "ts")
     hits = stored(match_any(groups, index).join(order_of, "turn_id"), "set_hits")
     asks = named.join(prompts.select("query_id", "before_turn_id"), "query_id").where("before_turn_id is not null")
     held = stored(top_before(hits, asks, pool), "pool")
-    asked = prompt_query(prompts, spellings).select("query_id", F.slice(F.array_distinct(tokens(F.col("text"))), 1, 32).alias("tokens"))
+    asked = stored(prompt_query(prompts, spellings).select("query_id", F.slice(F.array_distinct(tokens(F.col("text"))), 1, 32).alias("tokens")), "asked")
     weights = set_matches(word_sets(asked), entities, turns.agg(F.count(F.lit(1)).alias("turns")))
     # only the pool meets entities, never all turns: a value that most turns hold and many prompts name stays in proportion
     pooled = held.select("query_id", "turn_id").join(asked.select("query_id", set_id().alias("set_id")), "query_id")
