@@ -151,9 +151,11 @@ def test_labels_are_given_once(spark, tmp_path):
     closed = lambda *ids: spark.createDataFrame([(i,) for i in ids], "session_id string")
     for batch, ids in ((0, ["s"]), (1, ["s", "t"]), (1, ["s", "t"]), (2, ["t", "s"])):
         write(closed(*ids), batch)
-    got = spark.read.parquet(path).where("label is not null")
-    assert sorted((r.decision_id, r.turn_id, r.label, r.detail) for r in got.collect() if r.turn_id) == [(1, 20, "hit", None), (1, 21, "false positive", None), (2, 21, "false positive", None)]
-    assert sorted((r.decision_id, r.label, r.detail) for r in got.collect() if not r.turn_id) == [(1, "miss", "x.rs"), (2, "wasted budget", None)]
+    got = spark.read.parquet(path)
+    assert sorted((r.decision_id, r.turn_id, r.label) for r in got.collect()) == [(1, 20, "hit"), (1, 21, "false positive"), (2, 21, "false positive")]
+    own = spark.read.parquet(path + "-decisions")
+    assert sorted((r.decision_id, r.label, r.detail) for r in own.where("label is not null").collect()) == [(1, "miss", "x.rs"), (2, "wasted budget", None)]
+    assert sorted(r.decision_id for r in own.where("label is null").collect()) == [1, 2, 3]
 
 
 def test_summaries_from_deltas(spark):

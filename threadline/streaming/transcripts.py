@@ -315,28 +315,30 @@ def current(rows: DataFrame, keys: list[str]) -> DataFrame:
 def label_on_close(path: str, decisions: DataFrame, turns: DataFrame, entities: DataFrame, injected: DataFrame) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer over sessions as they close (``session_id``): labels each of their decisions once.
 
-    Turns given are hits or false positives; a decision (with ``spellings``) may
-    be a miss, and a wasted budget.  Every batch goes to a folder of its own
-    number, with a row per decision it settled even if that has no label;
-    decisions that folders of earlier batches hold are left out, so a repeated
-    batch, or a second file of the same session that closes later, changes nothing.
+    Turns given are hits or false positives (below ``path``); a decision (with
+    ``spellings``) may be a miss, and a wasted budget (below ``path``-decisions,
+    where a row without a label says that a decision is settled).  Every batch
+    goes to a folder of its own number; decisions that folders of earlier batches
+    hold are left out, so a repeated batch, or a second file of the same session
+    that closes later, changes nothing.
     """
-    schema = "decision_id long, turn_id long, label string, detail string"
+    settled_path = f"{path}-decisions"
+    schema = "decision_id long, label string, detail string"
 
     def write(closed: DataFrame, batch: int) -> None:
         due = decisions.join(closed.select("session_id").distinct(), "session_id", "left_semi").where("ts is not null")
         if batch:
-            known = closed.sparkSession.read.schema(schema + ", batch long").option("basePath", path).parquet(path)
+            known = closed.sparkSession.read.schema(schema + ", batch long").option("basePath", settled_path).parquet(settled_path)
             due = due.join(known.where(F.col("batch") < batch).select("decision_id").distinct(), "decision_id", "left_anti")
         given = injected.join(due.select("decision_id"), "decision_id", "left_semi")
-        made = recommend.label_turns(given, due.select("decision_id", "session_id", "ts"), turns, entities).select("decision_id", "turn_id", "label").withColumn("detail", F.lit(None).cast("string"))
-        own = recommend.label_waste(made).withColumn("detail", F.lit(None).cast("string"))
+        made = recommend.label_turns(given, due.select("decision_id", "session_id", "ts"), turns, entities).select("decision_id", "turn_id", "label")
+        made.write.mode("overwrite").parquet(f"{path}/batch={batch:09d}")
+        none = F.lit(None).cast("string")
+        own = recommend.label_waste(made).withColumn("detail", none)
         if "spellings" in decisions.columns:
             own = own.unionByName(recommend.label_miss(due, given, turns, entities))
-        none = F.lit(None).cast("string")
-        settled = due.select("decision_id").distinct().withColumn("turn_id", F.lit(None).cast("long")).withColumn("label", none).withColumn("detail", none)
-        rows = made.unionByName(own.withColumn("turn_id", F.lit(None).cast("long")).select(*made.columns)).unionByName(settled)
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch:09d}")
+        settled = due.select("decision_id").distinct().withColumn("label", none).withColumn("detail", none)
+        own.select("decision_id", "label", "detail").unionByName(settled).write.mode("overwrite").parquet(f"{settled_path}/batch={batch:09d}")
 
     return write
 
