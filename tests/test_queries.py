@@ -116,3 +116,12 @@ def test_containment_join_against_loop(spark):
             if parts and set(parts) <= set(asked):
                 want[name, kind, value] = math.log(1 + 50 / df) * (2 if parts == asked else 1)
     assert {(r.set_id, r.kind, r.value): round(r.weight, 9) for r in got.collect()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_retention_holds_under_every_join(spark):
+    """Keys that are no numbers meet no cast, whichever side of a join a condition is carried to."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert same(registry.queries()["retention_applied"], registry.oracle_sql()["retention_applied"], spark, SF) == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -789,7 +789,7 @@ def retention_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of three tables once sessions are evicted or deleted."""
     turns = _turns(spark, sf_dir)
     meta = _meta(spark, sf_dir)
-    n = F.col("session_key").cast("int")
+    n = F.expr("try_cast(session_key as int)")  # a twin's key is no number, and a join may carry a condition to its side
     # of every eighth deleted session another main file holds the same id
     twins = meta.where(n % 8 == 4).withColumn("session_key", F.concat(F.lit("twin"), "session_key"))
     selection = meta.where(n % 4 < 2).select("session_key", F.when(n % 4 == 0, "delete").otherwise("evict").alias("action"))
