@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from compare import same
 from conftest import SF
@@ -125,3 +126,51 @@ def test_retention_holds_under_every_join(spark):
         assert same(registry.queries()["retention_applied"], registry.oracle_sql()["retention_applied"], spark, SF) == 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pools_are_found_once_for_all_askers(spark):
+    """Turns of any pool are found once for each list of words; ranked with their entities they give every asker's best."""
+    rng = np.random.default_rng(6)
+    hits = [("a" if t % 3 else "b", t, float(rng.integers(0, 40)), 0, str(rng.integers(2020, 2025))) for t in range(900)]
+    asks = [(i, "ab"[i % 2], f"w{i % 3}", int(rng.integers(0, 950))) for i in range(400)]
+    frames = spark.createDataFrame(hits, "set_id string, turn_id long, text_score double, side int, ts string"), spark.createDataFrame(asks, "query_id long, set_id string, words_id string, before_turn_id long")
+    gain = lambda t, w: float((t * 7 + int(w[1])) % 11)
+    newest = lambda h: [-ord(c) for c in h[4]]
+    for block_rows, askers in ((500_000, 10_000), (150, 9)):
+        members = asof.ever_before(*frames, 20, block_rows, askers)
+        found = [(r.set_id, r.words_id, r.turn_id) for r in members.collect()]
+        pools = {q: sorted((h for h in hits if h[0] == s and h[1] < b), key=lambda h: (-h[2], newest(h), h[1]))[:20] for q, s, _, b in asks}
+        assert len(found) == len(set(found)) and set(found) == {(s, w, h[1]) for q, s, w, _ in asks for h in pools[q]}
+        assert len(found) < sum(map(len, pools.values())) / 5
+        bonus = ((F.col("turn_id") * 7 + F.substring("words_id", 2, 1).cast("int")) % 11).cast("double")
+        scored = members.withColumn("entity_score", bonus).withColumn("entity_count", F.lit(1).cast("long")).withColumn("relevance", F.col("text_score") + F.col("entity_score"))
+        got = {(r.query_id, r.rank): (r.turn_id, r.relevance) for r in asof.ranked_before(scored, frames[1], 20, 5, block_rows, askers).collect()}
+        want = {}
+        for q, _, w, _ in asks:
+            for n, h in enumerate(sorted(pools[q], key=lambda h: (-h[2] - gain(h[1], w), newest(h), h[1]))[:5]):
+                want[q, n + 1] = (h[1], h[2] + gain(h[1], w))
+        assert got == want
+
+
+def test_matches_against_loop(spark, monkeypatch):
+    """Sets of lists against plain loops, in parts and with few candidates at once; alike queries are matched once and nothing of the index is shuffled."""
+    rng = np.random.default_rng(7)
+    bodies = [(i, " ".join(rng.choice([f"w{j}" for j in range(9)], rng.integers(0, 12)))) for i in range(200)] + [(200, None)]
+    sets = [(f"s{i}", [sorted({str(w) for w in rng.choice([f"w{j}" for j in range(10)], rng.integers(1, 4))}) for _ in range(rng.integers(1, 4))]) for i in range(30)]
+    index = search.build_index(spark.createDataFrame(bodies, "turn_id long, body string"))
+    n, split = len(bodies), {i: (b or "").split() for i, b in bodies}
+    avgdl = sum(map(len, split.values())) / n
+    df = {w: sum(w in b for b in split.values()) for w in (f"w{j}" for j in range(10))}
+    want = {}
+    for name, lists in sets:
+        for i, b in split.items():
+            full = [x for x in lists if all(w in b for w in x)]
+            if full:
+                idf = lambda w: max(math.log((n - df[w] + 0.5) / (df[w] + 0.5)), 0) or 1e-6
+                want[name, i] = round(sum(idf(w) * b.count(w) * 2.2 / (b.count(w) + 1.2 * (0.25 + 0.75 * len(b) / avgdl)) for x in full for w in x), 9)
+    frame = spark.createDataFrame(sets, "set_id string, lists array<array<string>>")
+    for parts in (50_000, 11):
+        monkeypatch.setattr(search, "HELD_SETS", parts)
+        made = search.match_sets(frame, index)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        assert {(r.set_id, r.turn_id): round(r.text_score, 9) for r in made.collect()} == want

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadline.functions.values import lexical_path, tokens
-from threadline.operators.asof import top_before
-from threadline.operators.search import Index, match_all, ranked, set_id, set_matches, with_excerpts, word_sets
+from threadline.operators.asof import ever_before, ranked_before
+from threadline.operators.search import Index, match_sets, set_id, set_matches, with_excerpts, word_sets
 from threadline.sources.tables import stored
 
 # Default thresholds.
@@ -44,57 +44,46 @@ def prompt_query(prompts: DataFrame, spellings: DataFrame) -> DataFrame:
     return prompts.join(spellings, "query_id").select("query_id", F.concat_ws(" ", F.array_join(absolute, " "), "text").alias("text"))
 
 
-def match_any(groups: DataFrame, index: Index) -> DataFrame:
-    """``set_id, turn_id, text_score``: turns that hold all words of at least one group of a set of groups.
-
-    ``groups``: ``set_id, gid, tokens``, a row for each group.  Scores of
-    satisfied groups add up; each distinct list of words is scored once.
-    """
-    lists = groups.groupBy("gid").agg(F.first("tokens").alias("tokens"))
-    hits = match_all(lists.select(F.col("gid").alias("query_id"), "tokens"), index).withColumnRenamed("query_id", "gid")
-    return hits.join(groups.select("gid", "set_id"), "gid").groupBy("set_id", "turn_id").agg(F.sum("text_score").alias("text_score"))
-
-
 def grouped_spellings(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries by their set of groups, and the groups of each set: ``query_id, set_id`` and ``set_id, gid, tokens``.
+    """Queries by their set of lists of words, and these lists: ``query_id, set_id`` and ``set_id, lists``.
 
     Prompts that name the same things share a set.
     """
     lists = F.filter(F.transform("spellings", lambda s: F.array_distinct(tokens(s))), lambda t: F.size(t) > 0)
     named = spellings.select("query_id", F.array_sort(lists).alias("lists")).where(F.size("lists") > 0)
     named = named.withColumn("set_id", F.md5(F.array_join(F.transform("lists", lambda t: F.array_join(t, " ")), "/")))
-    sets = named.groupBy("set_id").agg(F.first("lists").alias("lists"))
-    groups = sets.select("set_id", F.explode("lists").alias("tokens")).withColumn("gid", F.array_join("tokens", " "))
-    return named.select("query_id", "set_id"), groups
+    return named.select("query_id", "set_id"), named.groupBy("set_id").agg(F.first("lists").alias("lists"))
 
 
 def candidates(prompts: DataFrame, index: Index, turns: DataFrame, entities: DataFrame, pool: int = 200, window: int = THRESHOLDS["window"]) -> DataFrame:
     """Ranked turns for prompts (``query_id, text, cwd, before_turn_id``): text score of the spellings, then entity weights.
 
-    Text scores belong to sets of spellings, entity weights to lists of words;
-    a prompt's own rows are its pool of ``pool`` turns.  A
+    Text scores belong to sets of spellings, entity weights to lists of words.
+    A pool of ``pool`` turns is never written for each prompt: a first pass finds
+    which turns of a set are in any pool, only they meet entities, and a second
+    pass ranks the pool of every prompt and gives out its ``window`` best.  A
     prompt that follows a compaction (``compacted``, optional) looks at a wider
     window.
     """
     spellings = stored(prompt_spellings(prompts), "spellings")
-    named, groups = grouped_spellings(spellings)
+    named, sets = grouped_spellings(spellings)
     order_of = turns.select("turn_id", F.coalesce(F.col("is_sidechain").cast("int"), F.lit(-1)).alias("side"), "ts")
-    hits = stored(match_any(groups, index).join(order_of, "turn_id"), "set_hits")
-    asks = named.join(prompts.select("query_id", "before_turn_id"), "query_id").where("before_turn_id is not null")
-    held = stored(top_before(hits, asks, pool), "pool")
+    hits = stored(match_sets(sets, index, index.words.join(order_of, "turn_id")), "set_hits")
     asked = stored(prompt_query(prompts, spellings).select("query_id", F.slice(F.array_distinct(tokens(F.col("text"))), 1, 32).alias("tokens")), "asked")
-    weights = set_matches(word_sets(asked), entities, turns.agg(F.count(F.lit(1)).alias("turns")))
-    # only the pool meets entities, never all turns: a value that most turns hold and many prompts name stays in proportion
-    pooled = held.select("query_id", "turn_id").join(asked.select("query_id", set_id().alias("set_id")), "query_id")
-    met = pooled.join(entities.select("turn_id", "kind", "value"), "turn_id").join(weights, ["set_id", "kind", "value"])
-    scored = met.groupBy("query_id", "turn_id").agg(F.sum("weight").alias("entity_score"), F.count_distinct("kind", "value").alias("entity_count"))
-    held = held.join(scored, ["query_id", "turn_id"], "left").fillna({"entity_score": 0.0, "entity_count": 0})
-    held = held.withColumn("relevance", F.col("text_score") + F.col("entity_score"))
-    order = [F.desc(F.round("relevance", 9)), F.asc("side"), F.col("ts").desc_nulls_last(), F.asc("turn_id")]
+    asks = named.join(prompts.select("query_id", "before_turn_id"), "query_id").where("before_turn_id is not null")
+    asks = stored(asks.join(asked.select("query_id", set_id().alias("words_id")), "query_id"), "asks")
+    pooled = stored(ever_before(hits, asks, pool), "pooled")
+    weights = set_matches(word_sets(asked), entities, turns.agg(F.count(F.lit(1)).alias("turns"))).withColumnRenamed("set_id", "words_id")
+    # only pooled turns meet entities, never all turns: a value that most turns hold and many prompts name stays in proportion
+    met = pooled.select("words_id", "turn_id").distinct().join(entities.select("turn_id", "kind", "value"), "turn_id").join(weights, ["words_id", "kind", "value"])
+    scored = met.groupBy("words_id", "turn_id").agg(F.sum("weight").alias("entity_score"), F.count_distinct("kind", "value").alias("entity_count"))
+    held = pooled.join(scored, ["words_id", "turn_id"], "left").fillna({"entity_score": 0.0, "entity_count": 0})
+    held = stored(held.withColumn("relevance", F.col("text_score") + F.col("entity_score")), "pool")
+    ranked = lambda n: ranked_before(held, asks, pool, n)
     full = lambda df: df.drop("side", "ts").join(turns, "turn_id")
     if "compacted" not in prompts.columns:
-        return full(ranked(held, order, window))
-    wide = ranked(held, order, THRESHOLDS["compacted_window"])
+        return full(ranked(window))
+    wide = ranked(THRESHOLDS["compacted_window"])
     after = prompts.where("compacted").select("query_id").distinct().withColumn("__wide", F.lit(True))
     return full(wide.join(after, "query_id", "left").where((F.col("rank") <= window) | F.col("__wide")).drop("__wide"))
 
