@@ -478,3 +478,9 @@ def test_excerpts_without_secrets_and_evicted_turns(spark):
     key = lambda *k: spark.createDataFrame([(x,) for x in k], "session_key string")
     got = search.get_turns(spark.createDataFrame([(1,), (2,), (3,), (9,)], "turn_id long"), turns, key("c"), key("b", "c"))
     assert sorted((r.turn_id, r.reason, r.evicted) for r in got.collect()) == [(1, None, False), (2, None, True), (3, "not found", None), (9, "not found", None)]
+
+
+def test_two_levels_of_digests_share_a_shuffle(spark):
+    rows = spark.createDataFrame([("a", i, f"d{i}") for i in range(1, 40)], "session_key string, chunk_no int, sha256 string")
+    plan = sessions.session_checksums(rows, 3, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2

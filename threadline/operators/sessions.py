@@ -271,12 +271,15 @@ def session_checksums(chunks: DataFrame, fan: int = 1024, levels: int = 6) -> Da
     A tree: the digests of ``fan`` chunks make one digest, those of ``fan`` such
     digests the next, so no task holds more than ``fan`` digests of a session,
     whatever its length.  ``fan ** levels`` chunks is the most.  Chunks count
-    from 1; equal digests at other places give another checksum.
+    from 1; equal digests at other places give another checksum.  Two levels share
+    one shuffle, by runs of ``fan * fan`` chunks.
     """
     rows = chunks.select("session_key", (F.col("chunk_no") - 1).cast("long").alias("n"), F.col("sha256").alias("d"))
-    for _ in range(levels):
-        rows = rows.groupBy("session_key", F.floor(F.col("n") / fan).cast("long").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("at"), "d"))).alias("l"))
-        rows = rows.select("session_key", "n", F.sha2(F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["at"].cast("string"), x["d"])), ",").cast("binary"), 256).alias("d"))
+    for level in range(levels):
+        if level % 2 == 0:
+            rows = rows.withColumn("run", F.floor(F.col("n") / (fan * fan)).cast("long")).repartition("session_key", "run")
+        rows = rows.groupBy("session_key", "run", F.floor(F.col("n") / fan).cast("long").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("at"), "d"))).alias("l"))
+        rows = rows.select("session_key", "run", "n", F.sha2(F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["at"].cast("string"), x["d"])), ",").cast("binary"), 256).alias("d"))
     return rows.select("session_key", F.col("d").alias("checksum"))
 
 
