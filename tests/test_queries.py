@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,24 @@ def test_pools_are_found_once_for_all_askers(spark):
         assert got == want
 
 
+def test_hits_that_no_pool_can_hold_stay_behind(spark):
+    """What a task leaves out is in no pool of any asker, whatever is asked, and most of what no pool holds is left out."""
+    rng = np.random.default_rng(8)
+    ids = rng.permutation(4000)
+    hits = [("ab"[int(t % 5 == 0)], int(t), float(rng.integers(0, 6)) / 7, int(rng.integers(0, 2)), None if rng.random() < 0.1 else str(rng.integers(2020, 2025))) for t in ids]
+    names, k = ["set_id", "turn_id", "text_score", "side", "ts"], 10
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, h)) for h in hits[a : a + 250]]) for a in range(0, len(hits), 250)]
+    newest = lambda h: [-ord(c) for c in h[4]] if h[4] else [0]
+    for held in (100_000, 700):
+        left = {(r["set_id"], r["turn_id"]) for b in asof.contenders(k, held)(iter(batches)) for r in b.to_pylist()}
+        for name in "ab":
+            pool = []
+            for h in sorted((h for h in hits if h[0] == name), key=lambda h: h[1]):
+                pool = sorted([*pool, h], key=lambda h: (-round(h[2], 9), h[3], newest(h), h[1]))[:k]
+                assert {(name, x[1]) for x in pool} <= left
+        assert len(left) < len(hits) / 4
+
+
 def test_matches_against_loop(spark, monkeypatch):
     """Sets of lists against plain loops, in parts and with few candidates at once; alike queries are matched once and nothing of the index is shuffled."""
     rng = np.random.default_rng(7)

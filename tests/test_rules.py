@@ -420,6 +420,29 @@ def test_meta_merges_in_any_order(spark):
         assert records.finished_meta(merged).orderBy("session_key").select(*want[0].__fields__).collect() == want
 
 
+def test_records_are_read_once(spark):
+    """A line is parsed once for all fields of its turn and session; numbered records give the session rows and texts that separate passes give."""
+    tool = lambda *blocks: {"message": {"content": list(blocks)}}
+    objects = [
+        turn(0, message={"content": "Please fix src/a.rs and fooBar"}, cwd="/w", sessionId="own"), "no json", {"type": "note", "sessionId": "own", "gitBranch": "b", "session_id": "other"},
+        turn(1, "assistant", ts="2024-01-03T00:00:00.000Z", **tool({"type": "tool_use", "name": "Edit", "input": {"old_string": "fooBar été_x", "new_string": "HTTPServer a_b _c"}})),
+        turn(2, **tool({"type": "tool_result", "is_error": True, "content": "fault at 0x12 in a.rs:3:4"})), turn(3, isMeta=True, message={"content": "x"}), turn(4, kind=7), turn(5, "system", cwd=3),
+    ]
+    whole = recs(spark, objects).unionByName(recs(spark, [{"type": "note"}], "b"))
+    turns = records.classify_turns(whole)
+    for made in (turns, records.turn_fields(whole), records.record_fields(whole), records.session_meta(records.numbered_records(whole), None)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("parse_json") + made._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    numbered = records.numbered_records(whole)
+    assert numbered.count() == whole.count()
+    read = records.with_texts(numbered.where("turn_seq is not null"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(read.select(*turns.columns)) == rows(turns) and turns.count() == 5
+    assert rows(records.session_meta(numbered, None)) == rows(records.session_meta(whole, turns))
+    assert rows(read.select("session_key", "turn_seq", "body")) == rows(records.turn_bodies(turns))
+    assert rows(records.extract_entities(read)) == rows(records.extract_entities(turns))
+    assert {r.value for r in records.extract_entities(read).where("kind = 'symbol'").collect()} == {"fooBar", "été_x", "HTTPServer", "a_b"}
+
+
 def test_phrases_against_loop(spark):
     rng = random.Random(7)
     bodies = [(i, " ".join(rng.choice(["foo", "bar", "baz", "a.b", "Foo-Bar", "the"]) for _ in range(rng.randrange(0, 12)))) for i in range(120)]

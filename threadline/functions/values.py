@@ -29,15 +29,19 @@ def string_at(v: str, path: str) -> Column:
     )
 
 
-def flag_at(v: str, path: str) -> Column:
-    """True where the JSON value at a path is ``true``."""
-    return F.coalesce(
-        F.expr(
-            f"case when schema_of_variant(try_variant_get({v}, '{path}', 'variant')) = 'BOOLEAN' "
-            f"then try_variant_get({v}, '{path}', 'boolean') end"
-        ),
-        F.lit(False),
-    )
+def bound(value: Column, make) -> Column:
+    """``make`` of a value that is worked out once, however often ``make`` names it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def string_in(v: Column, path: str) -> Column:
+    """:func:`string_at` of any column, such as a bound one."""
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+
+
+def flag_in(v: Column, path: str) -> Column:
+    """True where the JSON value at a path of a VARIANT is ``true``."""
+    return F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "BOOLEAN", F.try_variant_get(v, path, "boolean")), F.lit(False))
 
 
 def blocks_at(v: str, path: str = "$.message.content") -> Column:
@@ -69,7 +73,7 @@ def normalize_error(text: Column, limit: int = 512) -> Column:
     ]
     for pattern, mark in steps:
         text = F.regexp_replace(text, pattern, mark)
-    return clip_bytes(F.trim(F.regexp_replace(text, r"\s+", " ")), limit)
+    return bound(F.trim(F.regexp_replace(text, r"\s+", " ")), lambda flat: clip_bytes(flat, limit))
 
 
 def clip_bytes(text: Column, limit: int) -> Column:
@@ -119,19 +123,19 @@ def camel_pieces(text: Column) -> Column:
 def expanded(text: Column, limit: int = EXPANSION_BYTES) -> Column:
     """The text and, after it, the pieces of its identifiers that it does not hold as words, ``limit`` bytes of them at most."""
     pieces = F.array_distinct(F.transform(camel_pieces(text), lambda p: F.lower(p)))
-    extra = F.array_except(pieces, F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"))
+    extra = bound(pieces, lambda some: F.when(F.size(some) > 0, F.array_except(some, F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"))).otherwise(some))
     size = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p) + 1)
     # pieces are kept as long as the sum of their bytes, a blank before each, fits
-    fitting = F.aggregate(
-        extra,
+    fitting = lambda some: F.aggregate(
+        some,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("kept"), F.lit(True).alias("open")),
         lambda a, p: F.when(
             a["open"] & (a["n"] + F.octet_length(p) + 1 <= limit),
             F.struct((a["n"] + F.octet_length(p) + 1).cast("long").alias("n"), (a["kept"] + 1).alias("kept"), F.lit(True).alias("open")),
         ).otherwise(F.struct(a["n"].alias("n"), a["kept"].alias("kept"), F.lit(False).alias("open"))),
     )["kept"]
-    extra = F.when(size(extra) <= limit, extra).otherwise(F.slice(extra, 1, fitting))
-    return F.when(F.size(extra) > 0, F.concat(text, F.lit(" "), F.array_join(extra, " "))).otherwise(text)
+    kept = bound(extra, lambda some: F.when(size(some) <= limit, some).otherwise(F.slice(some, 1, fitting(some))))
+    return F.concat(text, bound(kept, lambda some: F.when(F.size(some) > 0, F.concat(F.lit(" "), F.array_join(some, " "))).otherwise("")))
 
 
 def excerpt(text: Column, words: Column, width: int = 240, lead: int = 80) -> Column:

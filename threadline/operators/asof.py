@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +15,8 @@ from threadline.sources.tables import stored
 #: Rows of one block of the id axis, and askers that one task answers.
 BLOCK_ROWS, ASKERS = 500_000, 10_000
 ASK, HIT, CARRIED = 0, 1, 2
+#: Hits that a task holds while it leaves out those that no pool can hold.
+HELD_HITS = 500_000
 FIELDS = ["id", "text_score", "rounded", "side", "ts"]
 TYPES = {"id": "long", "text_score": "double", "rounded": "double", "side": "int", "ts": "string", "entity_score": "double", "entity_count": "long", "relevance": "double", "final": "double"}
 #: What a pool's turns have besides once entities are known.
@@ -130,6 +134,50 @@ def _ranks(k: int, n: int):
     return run
 
 
+def _unbeaten(table: pa.Table, k: int) -> pa.Table:
+    """Hits without those that at least ``k`` better ones of their set with lower ids precede."""
+    scores, back = np.unique(table["text_score"].to_numpy(), return_inverse=True)
+    rounded = np.array([round(x, 9) for x in scores.tolist()])[back]
+    place, _ = places(pa.table([table["turn_id"], pa.array(rounded), table["side"], table["ts"]], names=["id", "rounded", "side", "ts"]))
+    code = table["set_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+    order = np.lexsort((table["turn_id"].to_numpy(), code))
+    kept = np.ones(len(order), bool)
+    ends = np.append(np.flatnonzero(np.diff(code[order])) + 1, len(order))
+    for start, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+        best = np.zeros(0, np.int64)
+        for a in range(start, end if end - start > k else start, k):
+            more = place[order[a : min(a + k, end)]]
+            if len(best) == k:
+                kept[a : a + len(more)] = more < best.max()
+            best = _better(best, more, k)
+    return table.take(pa.array(np.sort(order[kept])))
+
+
+def contenders(k: int, held: int = HELD_HITS):
+    """Of a task's hits (``set_id, turn_id, text_score, side, ts``) those that may be among the best ``k`` before some watermark.
+
+    Whoever sees a hit sees every hit with a lower id, so one with ``k`` better
+    ones below it is in no pool.  Each task judges by the hits that it holds
+    itself, before anything is written or moved; what it cannot tell stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            parts.append(batch)
+            size += batch.num_rows
+            if size > held:
+                left = _unbeaten(pa.Table.from_batches(parts), k)
+                parts, size = left.to_batches(), left.num_rows
+                if size > held // 2:
+                    yield from parts
+                    parts, size = [], 0
+        if size:
+            yield from _unbeaten(pa.Table.from_batches(parts), k).to_batches()
+
+    return run
+
+
 def top_before(hits: DataFrame, asks: DataFrame, k: int, block_rows: int = BLOCK_ROWS, askers: int = ASKERS) -> DataFrame:
     """The ``k`` best hits of each asker's set with an id below its watermark.
 

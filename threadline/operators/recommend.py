@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadline.functions.values import lexical_path, tokens
-from threadline.operators.asof import ever_before, ranked_before
+from threadline.functions.values import bound, lexical_path, tokens
+from threadline.operators.asof import contenders, ever_before, ranked_before
 from threadline.operators.search import Index, match_sets, set_id, set_matches, with_excerpts, word_sets
 from threadline.sources.tables import stored
 
@@ -15,8 +15,8 @@ THRESHOLDS = {"ranked": 3, "co_occurring": 2, "window": 10, "compacted_window":
 LABEL_KINDS = ("path", "symbol", "error", "command")
 
 
-def prompt_spellings(prompts: DataFrame, most: int = THRESHOLDS["max_spellings"]) -> DataFrame:
-    """``query_id, spellings``: paths and identifiers that a prompt names, in order, at most eight.
+def named_in(most: int = THRESHOLDS["max_spellings"]) -> Column:
+    """Paths and identifiers that a prompt (``text, cwd``) names, in order, at most eight.
 
     A relative path counts as joined to the folder and as typed; spellings of the
     same words count once.
@@ -34,28 +34,37 @@ def prompt_spellings(prompts: DataFrame, most: int = THRESHOLDS["max_spellings"]
         )
     )
     keyed = F.transform(F.array_distinct(spelled), lambda s: F.struct(F.array_join(tokens(s), " ").alias("k"), s.alias("s")))
-    kept = F.filter(keyed, lambda x, i: (i == F.array_position(F.transform(keyed, lambda y: y["k"]), x["k"]) - 1) & (x["k"] != ""))
-    return prompts.select("query_id", F.slice(F.transform(kept, lambda x: x["s"]), 1, most).alias("spellings"))
+    first = lambda some: F.filter(some, lambda x, i: (i == F.array_position(F.transform(some, lambda y: y["k"]), x["k"]) - 1) & (x["k"] != ""))
+    return F.slice(F.transform(bound(keyed, first), lambda x: x["s"]), 1, most)
+
+
+def prompt_spellings(prompts: DataFrame, most: int = THRESHOLDS["max_spellings"]) -> DataFrame:
+    """``query_id, spellings``: what :func:`named_in` finds in each prompt."""
+    return prompts.select("query_id", named_in(most).alias("spellings"))
+
+
+def query_text() -> Column:
+    """The resolved absolute paths among a prompt's spellings first, then the prompt."""
+    return F.concat_ws(" ", F.array_join(F.filter("spellings", lambda s: s.startswith("/")), " "), "text")
 
 
 def prompt_query(prompts: DataFrame, spellings: DataFrame) -> DataFrame:
-    """``query_id, text``: the resolved absolute paths first, then the prompt."""
-    absolute = F.filter("spellings", lambda s: s.startswith("/"))
-    return prompts.join(spellings, "query_id").select("query_id", F.concat_ws(" ", F.array_join(absolute, " "), "text").alias("text"))
+    """``query_id, text``: :func:`query_text` of every prompt."""
+    return prompts.join(spellings, "query_id").select("query_id", query_text().alias("text"))
 
 
-def grouped_spellings(spellings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries by their set of lists of words, and these lists: ``query_id, set_id`` and ``set_id, lists``.
+def grouped_spellings(spellings: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Queries by their set of lists of words, and these lists: ``query_id, set_id`` (and ``more`` columns) and ``set_id, lists``.
 
     Prompts that name the same things share a set.
     """
     lists = F.filter(F.transform("spellings", lambda s: F.array_distinct(tokens(s))), lambda t: F.size(t) > 0)
-    named = spellings.select("query_id", F.array_sort(lists).alias("lists")).where(F.size("lists") > 0)
-    named = named.withColumn("set_id", F.md5(F.array_join(F.transform("lists", lambda t: F.array_join(t, " ")), "/")))
-    return named.select("query_id", "set_id"), named.groupBy("set_id").agg(F.first("lists").alias("lists"))
+    named = spellings.select("query_id", *more, F.array_sort(lists).alias("lists")).where(F.size("lists") > 0)
+    named = stored(named.withColumn("set_id", F.md5(F.array_join(F.transform("lists", lambda t: F.array_join(t, " ")), "/"))), "named")
+    return named.select("query_id", *more, "set_id"), named.groupBy("set_id").agg(F.first("lists").alias("lists"))
 
 
-def candidates(prompts: DataFrame, index: Index, turns: DataFrame, entities: DataFrame, pool: int = 200, window: int = THRESHOLDS["window"]) -> DataFrame:
+def candidates(prompts: DataFrame, index: Index, turns: DataFrame, entities: DataFrame, pool: int = 200, window: int = THRESHOLDS["window"], known: DataFrame | None = None) -> DataFrame:
     """Ranked turns for prompts (``query_id, text, cwd, before_turn_id``): text score of the spellings, then entity weights.
 
     Text scores belong to sets of spellings, entity weights to lists of words.
@@ -63,24 +72,27 @@ def candidates(prompts: DataFrame, index: Index, turns: DataFrame, entities: Dat
     which turns of a set are in any pool, only they meet entities, and a second
     pass ranks the pool of every prompt and gives out its ``window`` best.  A
     prompt that follows a compaction (``compacted``, optional) looks at a wider
-    window.
+    window.  ``prompts`` may have their ``spellings``, and an index whose words have
+    ``side`` and ``ts`` is not joined with ``turns`` for them.  ``known`` is
+    :func:`~threadline.operators.search.entity_df` of the entities, if it is there already.
     """
-    spellings = stored(prompt_spellings(prompts), "spellings")
-    named, sets = grouped_spellings(spellings)
-    order_of = turns.select("turn_id", F.coalesce(F.col("is_sidechain").cast("int"), F.lit(-1)).alias("side"), "ts")
-    hits = stored(match_sets(sets, index, index.words.join(order_of, "turn_id")), "set_hits")
-    asked = stored(prompt_query(prompts, spellings).select("query_id", F.slice(F.array_distinct(tokens(F.col("text"))), 1, 32).alias("tokens")), "asked")
-    asks = named.join(prompts.select("query_id", "before_turn_id"), "query_id").where("before_turn_id is not null")
-    asks = stored(asks.join(asked.select("query_id", set_id().alias("words_id")), "query_id"), "asks")
+    spelled = prompts if "spellings" in prompts.columns else prompts.withColumn("spellings", named_in())
+    named, sets = grouped_spellings(spelled.withColumn("tokens", F.slice(F.array_distinct(tokens(query_text())), 1, 32)), "before_turn_id", "tokens")
+    words = index.words
+    if not {"side", "ts"} <= set(words.columns):
+        words = words.join(turns.select("turn_id", F.coalesce(F.col("is_sidechain").cast("int"), F.lit(-1)).alias("side"), "ts"), "turn_id")
+    hits = stored(match_sets(sets, index, words, keep=contenders(pool)), "set_hits")
+    asks = stored(named.where("before_turn_id is not null").select("query_id", "before_turn_id", "set_id", set_id().alias("words_id")), "asks")
     pooled = stored(ever_before(hits, asks, pool), "pooled")
-    weights = set_matches(word_sets(asked), entities, turns.agg(F.count(F.lit(1)).alias("turns"))).withColumnRenamed("set_id", "words_id")
+    weights = set_matches(word_sets(named), entities if known is None else known, turns.agg(F.count(F.lit(1)).alias("turns"))).withColumnRenamed("set_id", "words_id")
     # only pooled turns meet entities, never all turns: a value that most turns hold and many prompts name stays in proportion
     met = pooled.select("words_id", "turn_id").distinct().join(entities.select("turn_id", "kind", "value"), "turn_id").join(weights, ["words_id", "kind", "value"])
     scored = met.groupBy("words_id", "turn_id").agg(F.sum("weight").alias("entity_score"), F.count_distinct("kind", "value").alias("entity_count"))
     held = pooled.join(scored, ["words_id", "turn_id"], "left").fillna({"entity_score": 0.0, "entity_count": 0})
     held = stored(held.withColumn("relevance", F.col("text_score") + F.col("entity_score")), "pool")
     ranked = lambda n: ranked_before(held, asks, pool, n)
-    full = lambda df: df.drop("side", "ts").join(turns, "turn_id")
+    shown = stored(turns.join(held.select("turn_id").distinct(), "turn_id", "left_semi"), "shown")  # few turns are in any pool
+    full = lambda df: df.drop("side", "ts").join(shown, "turn_id")
     if "compacted" not in prompts.columns:
         return full(ranked(window))
     wide = ranked(THRESHOLDS["compacted_window"])
@@ -136,7 +148,7 @@ def choose(hits: DataFrame, thresholds: DataFrame) -> DataFrame:
 
     The grid is a handful of rows, so every hit is judged once per row.
     """
-    grid = hits.crossJoin(thresholds)
+    grid = hits.crossJoin(F.broadcast(thresholds))
     ok = grid.where(eligible(F.col("ranked"), F.col("co_occurring")) & quotable() & F.col("reason").isNull())
     place = F.row_number().over(Window.partitionBy("grid", "query_id").orderBy("rank"))
     return ok.withColumn("place", place).where("place <= max_turns").select("grid", "query_id", "turn_id", "place")
@@ -151,6 +163,19 @@ def eligible_decisions(decisions: DataFrame, meta: DataFrame) -> DataFrame:
     return decisions.where("ts is not null").join(final, "session_id", "left_semi")
 
 
+def _placed(turns: DataFrame, entities: DataFrame) -> DataFrame:
+    """Entities with the session, time and tool of their turns; those that have them already meet no turns."""
+    own = [c for c in ("session_id", "ts", "tool_name") if c in turns.columns]
+    return entities if set(own) <= set(entities.columns) else entities.select("turn_id", "kind", "value").join(turns.select("turn_id", *own), "turn_id")
+
+
+def _sought(turns: DataFrame, entities: DataFrame) -> DataFrame:
+    """``session_id, value, last``: paths and symbols that a session searched for, and when it last did."""
+    tool = F.col("tool_name")
+    sought = _placed(turns, entities.where("kind in ('path', 'symbol')")).where((tool == "recall_search") | tool.endswith("_recall_search"))
+    return sought.groupBy("session_id", "value").agg(F.max("ts").alias("last"))
+
+
 def label_turns(injected: DataFrame, decisions: DataFrame, turns: DataFrame, entities: DataFrame) -> DataFrame:
     """``decision_id, turn_id, label``: hit if a later turn of the session names an entity of the injected turn.
 
@@ -158,11 +183,17 @@ def label_turns(injected: DataFrame, decisions: DataFrame, turns: DataFrame, ent
     session_id, ts``; later is by time text, and side transcripts of the session
     count.
     """
-    kinds = entities.where(F.col("kind").isin(*LABEL_KINDS)).select("turn_id", "kind", "value")
-    gave = injected.join(kinds, "turn_id").join(decisions, "decision_id").select("decision_id", "turn_id", "session_id", F.col("ts").alias("since"), "kind", "value")
-    used = turns.select("turn_id", "session_id", "ts").join(kinds, "turn_id").groupBy("session_id", "kind", "value").agg(F.max("ts").alias("last"))
-    hit = gave.join(used, ["session_id", "kind", "value"]).where("last > since").select("decision_id", "turn_id").distinct().withColumn("label", F.lit("hit"))
-    return injected.select("decision_id", "turn_id").join(hit, ["decision_id", "turn_id"], "left").fillna({"label": "false positive"})
+    made = _hit_turns(injected.select("decision_id", "turn_id"), decisions, turns, entities, entities)
+    return made.select("decision_id", "turn_id", F.when(F.col("hit"), "hit").otherwise("false positive").alias("label"))
+
+
+def _hit_turns(injected: DataFrame, decisions: DataFrame, turns: DataFrame, entities: DataFrame, held: DataFrame) -> DataFrame:
+    """``injected`` with ``hit``, see :func:`label_turns`; ``held`` are the entities of at least its turns."""
+    labelled = F.col("kind").isin(*LABEL_KINDS)
+    gave = injected.join(held.where(labelled).select("turn_id", "kind", "value"), "turn_id").join(decisions, "decision_id").select("decision_id", "turn_id", "session_id", F.col("ts").alias("since"), "kind", "value")
+    used = _placed(turns, entities.where(labelled)).groupBy("session_id", "kind", "value").agg(F.max("ts").alias("last"))
+    hit = gave.join(used, ["session_id", "kind", "value"]).where("last > since").select("decision_id", "turn_id").distinct().withColumn("hit", F.lit(True))
+    return injected.join(hit, ["decision_id", "turn_id"], "left").fillna(False, ["hit"])
 
 
 def label_miss(decisions: DataFrame, injected: DataFrame, turns: DataFrame, entities: DataFrame) -> DataFrame:
@@ -171,9 +202,7 @@ def label_miss(decisions: DataFrame, injected: DataFrame, turns: DataFrame, enti
     ``decisions`` also has ``spellings``; ``turns`` also ``tool_name``.  The
     detail is the smallest such value.
     """
-    tool = F.col("tool_name")
-    sought = turns.where((tool == "recall_search") | tool.endswith("_recall_search")).join(entities.where("kind in ('path', 'symbol')"), "turn_id")
-    sought = sought.groupBy("session_id", "value").agg(F.max("ts").alias("last"))
+    sought = _sought(turns, entities)
     spelled = decisions.select("decision_id", "session_id", F.col("ts").alias("since"), F.explode("spellings").alias("value"))
     handed = injected.join(entities.select("turn_id", "value"), "turn_id").select("decision_id", "value").distinct()
     missed = spelled.join(sought, ["session_id", "value"]).where("last > since").join(handed, ["decision_id", "value"], "left_anti")
@@ -228,16 +257,16 @@ def relabelled(chosen: DataFrame, decisions: DataFrame, turns: DataFrame, entiti
     whether the row's turns had handed it over.
     """
     offered = chosen.select("grid", F.col("query_id").alias("decision_id"), "turn_id")
-    labels = label_turns(offered.select("decision_id", "turn_id").distinct(), decisions.select("decision_id", "session_id", "ts"), turns, entities)
-    judged = offered.join(labels, ["decision_id", "turn_id"]).groupBy("grid", "decision_id").agg(
-        F.count(F.when(F.col("label") == "hit", 1)).alias("hits"), F.count(F.when(F.col("label") != "hit", 1)).alias("false_positives")
+    held = stored(entities.select("turn_id", "kind", "value").join(offered.select("turn_id").distinct(), "turn_id", "left_semi"), "held")  # few turns are ever chosen
+    every = F.collect_list("grid").alias("grids")
+    labels = _hit_turns(offered.groupBy("decision_id", "turn_id").agg(every), decisions.select("decision_id", "session_id", "ts"), turns, entities, held)
+    judged = labels.select("decision_id", F.explode("grids").alias("grid"), "hit").groupBy("grid", "decision_id").agg(
+        F.count(F.when(F.col("hit"), 1)).alias("hits"), F.count(F.when(~F.col("hit"), 1)).alias("false_positives")
     )
-    tool = F.col("tool_name")
-    sought = turns.where((tool == "recall_search") | tool.endswith("_recall_search")).join(entities.where("kind in ('path', 'symbol')"), "turn_id")
-    sought = sought.groupBy("session_id", "value").agg(F.max("ts").alias("last"))
-    asked = decisions.select("decision_id", "session_id", "ts", F.explode("spellings").alias("value")).join(sought, ["session_id", "value"]).where("last > ts").select("decision_id", "value")
+    asked = decisions.select("decision_id", "session_id", "ts", F.explode("spellings").alias("value")).join(_sought(turns, entities), ["session_id", "value"]).where("last > ts").select("decision_id", "value").distinct()
+    asked = stored(asked, "sought")
     grids = chosen.select("grid").distinct()
-    handed = offered.join(entities.select("turn_id", "value"), "turn_id").select("grid", "decision_id", "value").distinct()
+    handed = offered.join(asked.select("decision_id").distinct(), "decision_id", "left_semi").join(held.select("turn_id", "value"), "turn_id").select("grid", "decision_id", "value").distinct()
     missed = asked.crossJoin(F.broadcast(grids)).join(handed, ["grid", "decision_id", "value"], "left_anti").select("grid", "decision_id").distinct().withColumn("misses", F.lit(1))  # a handful of rows
     both = judged.join(missed, ["grid", "decision_id"], "full_outer").fillna(0, ["hits", "false_positives", "misses"])
     return both.withColumn("wasted", ((F.col("hits") == 0) & (F.col("false_positives") > 0)).cast("int"))

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadline.functions.values import blocks_at, expanded, flag_at, lexical_path, normalize_error, string_at, variant
+from threadline.functions.values import blocks_at, expanded, flag_in, lexical_path, normalize_error, string_at, string_in, variant
 
 # Fixed values.
 TURN_TYPES = ("user", "assistant", "attachment", "system")
@@ -27,11 +27,53 @@ def classify_turns(records: DataFrame) -> DataFrame:
     return turn_fields(records).withColumn("turn_seq", seq.cast("long"))
 
 
+def numbered_records(records: DataFrame) -> DataFrame:
+    """All records with what is known of them as turns and of their sessions (:func:`record_fields`), turns numbered in byte order; ``turn_seq`` is null for other records."""
+    before = Window.partitionBy("session_key").orderBy("stream_offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turn = (F.col("uuid").isNotNull() & F.col("ts").isNotNull() & F.col("record_type").isin(*TURN_TYPES))
+    return record_fields(records).withColumn("turn_seq", F.when(turn, F.count(F.when(turn, 1)).over(before) - 1))
+
+
 def is_turn(v: str = "v") -> Column:
     """Whether a record (a VARIANT) is a turn."""
     return string_at(v, "$.uuid").isNotNull() & string_at(v, "$.timestamp").isNotNull() & F.coalesce(string_at(v, "$.type").isin(*TURN_TYPES), F.lit(False))
 
 
+#: Names in a record of what its session is known by.
+SESSION_FIELDS = {"sid": "$.sessionId", "other": "$.session_id", "cwd": "$.cwd", "branch": "$.gitBranch"}
+TURN_FIELDS = ("uuid", "parent_uuid", "record_type", "tool_name", "ts", "is_typed")
+
+
+def _turn_struct(v: Column) -> list[Column]:
+    blocks = F.coalesce(F.try_variant_get(v, "$.message.content", "array<variant>"), F.array())
+    kind = lambda b: F.variant_get(b, "$.type", "string")
+    names = F.filter(F.transform(F.filter(blocks, lambda b: kind(b) == "tool_use"), lambda b: F.variant_get(b, "$.name", "string")), lambda n: n.isNotNull())
+    text = F.coalesce(
+        string_in(v, "$.message.content"),
+        F.get(F.transform(F.filter(blocks, lambda b: kind(b) == "text"), lambda b: F.variant_get(b, "$.text", "string")), F.lit(0)),
+        F.lit(""),
+    )
+    machine = (
+        F.coalesce(string_in(v, "$.entrypoint"), F.lit("")).startswith("sdk-") | flag_in(v, "$.isMeta")
+        | F.array_contains(F.transform(blocks, kind), "tool_result") | F.ltrim(text).rlike("^(" + "|".join(ENVELOPES) + r")[\s/>]")
+    )
+    return [
+        string_in(v, "$.uuid").alias("uuid"), string_in(v, "$.parentUuid").alias("parent_uuid"), string_in(v, "$.type").alias("record_type"), F.get(names, F.lit(0)).alias("tool_name"),
+        string_in(v, "$.timestamp").alias("ts"), F.when(string_in(v, "$.type") == "user", ~machine).alias("is_typed"),
+    ]
+
+
+def _parsed(records: DataFrame, *more: str, session: bool) -> DataFrame:
+    """Fields of every record.  A line is parsed once: what a generator gives out is not worked out again by filters above it."""
+    fields = lambda v: F.struct(*_turn_struct(v), *([string_in(v, path).alias(name) for name, path in SESSION_FIELDS.items()] if session else []))
+    return records.select("session_key", *more, "stream_offset", "byte_len", "line", F.inline_outer(F.transform(F.array(variant("line")), fields)))
+
+
+def record_fields(records: DataFrame, *more: str) -> DataFrame:
+    """Every record with the fields of :func:`turn_fields` and those of its session: ``sid, other, cwd, branch``."""
+    return _parsed(records, *more, session=True)
+
+
 def turn_fields(records: DataFrame, *more: str) -> DataFrame:
     """Records that are turns, each judged by itself; ``more`` columns pass through.
 
@@ -40,24 +82,7 @@ def turn_fields(records: DataFrame, *more: str) -> DataFrame:
     stream_offset, byte_len, line``.  ``is_typed`` is null for all but user
     records: whether a person typed it.
     """
-    v = records.withColumn("v", variant("line"))
-    blocks = blocks_at("v")
-    kinds = F.transform(blocks, lambda b: F.variant_get(b, "$.type", "string"))
-    names = F.filter(F.transform(F.filter(blocks, lambda b: F.variant_get(b, "$.type", "string") == "tool_use"), lambda b: F.variant_get(b, "$.name", "string")), lambda n: n.isNotNull())
-    text = F.coalesce(
-        string_at("v", "$.message.content"),
-        F.get(F.transform(F.filter(blocks, lambda b: F.variant_get(b, "$.type", "string") == "text"), lambda b: F.variant_get(b, "$.text", "string")), F.lit(0)),
-        F.lit(""),
-    )
-    machine = (
-        F.coalesce(string_at("v", "$.entrypoint"), F.lit("")).startswith("sdk-") | flag_at("v", "$.isMeta")
-        | F.array_contains(kinds, "tool_result") | F.ltrim(text).rlike("^(" + "|".join(ENVELOPES) + r")[\s/>]")
-    )
-    return v.select(
-        "session_key", *more, "stream_offset", "byte_len", "line", string_at("v", "$.uuid").alias("uuid"), string_at("v", "$.parentUuid").alias("parent_uuid"),
-        string_at("v", "$.type").alias("record_type"), F.get(names, F.lit(0)).alias("tool_name"), string_at("v", "$.timestamp").alias("ts"),
-        F.when(string_at("v", "$.type") == "user", ~machine).alias("is_typed"),
-    ).where(F.col("uuid").isNotNull() & F.col("ts").isNotNull() & F.col("record_type").isin(*TURN_TYPES))
+    return _parsed(records, *more, session=False).where(F.col("uuid").isNotNull() & F.col("ts").isNotNull() & F.col("record_type").isin(*TURN_TYPES))
 
 
 def with_turn_ids(turns: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -102,8 +127,7 @@ def _whole(text: str) -> str:
     return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _body(line: str) -> str:
-    record = parsed_record(line)
+def _body(record: dict) -> str:
     out: list[str] = []
     message = record.get("message")
     content = message.get("content") if isinstance(message, dict) else None
@@ -125,25 +149,27 @@ def _body(line: str) -> str:
     return _whole("\n".join(out)).encode()[:BODY_BYTES].decode(errors="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def _bodies(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in lines:
-        yield part.map(_body)
+@F.arrow_udf(T.StringType())
+def _bodies(lines: pa.Array) -> pa.Array:
+    return pa.array([_body(parsed_record(line)) for line in lines.to_pylist()], pa.string())
 
 
-def turn_bodies(turns: DataFrame) -> DataFrame:
-    """``session_key, turn_seq, body``: a turn's searchable text and the pieces of its identifiers."""
-    return turns.select("session_key", "turn_seq", _bodies("line").alias("body")).withColumn("body", expanded(F.col("body")))
+def turn_bodies(turns: DataFrame, *more: str) -> DataFrame:
+    """``session_key, turn_seq, body``: a turn's searchable text and the pieces of its identifiers; ``more`` columns pass through."""
+    return turns.select("session_key", "turn_seq", *more, _bodies("line").alias("body")).withColumn("body", expanded(F.col("body")))
 
 
 _CAMEL = regex.compile(r"(?<=[\p{Ll}\p{N}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})")
 _WORD = regex.compile(r"[\p{Alphabetic}\p{N}_]+")
+# the same for ASCII texts, which most are
+_ASCII_CAMEL, _ASCII_WORD = re.compile(r"[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"), re.compile(r"[A-Za-z0-9_]+")
 _ASSIGNMENT = re.compile(r"[A-Za-z_][A-Za-z0-9_]*=")
 
 
 def identifiers(text: str) -> list[str]:
     """Tokens with a case boundary, or with underscores whose parts are all non-empty."""
-    return [w for w in _WORD.findall(text) if _CAMEL.search(w) or ("_" in w and all(w.split("_")))]
+    word, camel = (_ASCII_WORD, _ASCII_CAMEL) if text.isascii() else (_WORD, _CAMEL)
+    return [w for w in word.findall(text) if camel.search(w) or ("_" in w and all(w.split("_")))]
 
 
 def _unquoted(value: str) -> str:
@@ -168,8 +194,7 @@ def _program(command: str) -> list[str]:
     return []
 
 
-def _entities(line: str) -> list[tuple[str, str]]:
-    record = parsed_record(line)
+def _entities(record: dict) -> list[tuple[str, str]]:
     found: list[tuple[str, str]] = []
     message = record.get("message")
     content = message.get("content") if isinstance(message, dict) else None
@@ -204,22 +229,46 @@ def _entities(line: str) -> list[tuple[str, str]]:
     return [(k, _whole(v)) for k, v in found]
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("kind", "string").add("value", "string")))
-def _found(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in lines:
-        yield part.map(lambda line: [{"kind": k, "value": v} for k, v in _entities(line)])
+_LIST = T.ArrayType(T.StructType().add("kind", "string").add("value", "string"))
+
+
+def _lists(found: list[list[tuple[str, str]]]) -> pa.Array:
+    ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+    pairs = [pa.array([e[i] for some in found for e in some], pa.string()) for i in (0, 1)]
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(pairs, ["kind", "value"]))
+
+
+@F.arrow_udf(_LIST)
+def _found(lines: pa.Array) -> pa.Array:
+    return _lists([_entities(parsed_record(line)) for line in lines.to_pylist()])
+
 
+@F.arrow_udf(T.StructType().add("body", "string").add("found", _LIST))
+def _read(lines: pa.Array) -> pa.Array:
+    every = [parsed_record(line) for line in lines.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array(map(_body, every), pa.string()), _lists([_entities(r) for r in every])], ["body", "found"])
 
-def extract_entities(turns: DataFrame) -> DataFrame:
-    """``session_key, turn_seq, kind, value, pos``: at most 48 distinct entities a turn, in the order they occur.
+
+def _kept_entities(found: Column) -> Column:
+    shaped = F.transform(found, lambda e: F.struct(e["kind"].alias("kind"), F.when(e["kind"] == "error", normalize_error(e["value"])).otherwise(e["value"]).alias("value")))
+    return F.slice(F.array_distinct(F.filter(shaped, lambda e: e["value"] != "")), 1, MOST_ENTITIES)
+
+
+def with_texts(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``body`` and ``entities``, a list, as of :func:`turn_bodies` and :func:`extract_entities`; lines are read once for both."""
+    read = turns.withColumn("__read", _read("line"))
+    return read.withColumn("body", expanded(F.col("__read.body"))).withColumn("entities", _kept_entities(F.col("__read.found"))).drop("__read")
+
+
+def extract_entities(turns: DataFrame, *more: str) -> DataFrame:
+    """``session_key, turn_seq, kind, value, pos``: at most 48 distinct entities a turn, in the order they occur; ``more`` columns pass through.
 
     Kinds: path, command, error, symbol, tool.  Errors are reduced to their shape.
+    Turns of :func:`with_texts` are not read again.
     """
-    shaped = F.transform(
-        _found("line"), lambda e: F.struct(e["kind"].alias("kind"), F.when(e["kind"] == "error", normalize_error(e["value"])).otherwise(e["value"]).alias("value"))
-    )
-    kept = F.slice(F.array_distinct(F.filter(shaped, lambda e: e["value"] != "")), 1, MOST_ENTITIES)
-    return turns.select("session_key", "turn_seq", F.posexplode(kept).alias("pos", "e")).select("session_key", "turn_seq", "e.kind", "e.value", "pos")
+    listed = F.col("entities") if "entities" in turns.columns else _kept_entities(_found("line"))
+    # an inner generator would be given a filter that works the list out once more
+    return turns.select("session_key", "turn_seq", *more, F.posexplode_outer(listed).alias("pos", "e")).where("pos is not null").select("session_key", "turn_seq", *more, "e.kind", "e.value", "pos")
 
 
 def commands(turns: DataFrame) -> DataFrame:
@@ -279,7 +328,7 @@ def session_titles(records: DataFrame) -> DataFrame:
     return titles_at(records).groupBy("session_key").agg(F.max_by("title", F.struct("is_custom", "stream_offset")).alias("title"), F.max("is_custom").alias("is_custom"))
 
 
-def session_meta(records: DataFrame, turns: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def session_meta(records: DataFrame, turns: DataFrame | None, roots: DataFrame | None = None) -> DataFrame:
     """One row per session: own id, first folder, last branch, first and last turn in byte order, project, lineage."""
     return finished_meta(partial_meta(records, turns), roots)
 
@@ -288,16 +337,24 @@ def session_meta(records: DataFrame, turns: DataFrame, roots: DataFrame | None =
 FIRST, LAST = ("sid", "cwd", "other", "first_turn"), ("branch", "last_turn")
 
 
-def partial_meta(records: DataFrame, turns: DataFrame) -> DataFrame:
-    """What one pass over some records knows of each session: for every field the value at the first or last offset, and the number of turns."""
-    v = records.withColumn("v", variant("line")).select(
-        "session_key", "stream_offset", string_at("v", "$.sessionId").alias("sid"), string_at("v", "$.session_id").alias("other"), string_at("v", "$.cwd").alias("cwd"), string_at("v", "$.gitBranch").alias("branch"),
-        F.lit(None).cast("string").alias("first_turn"), F.lit(None).cast("string").alias("last_turn"), F.lit(0).alias("turn"),
+def partial_meta(records: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+    """What one pass over some records knows of each session: for every field the value at the first or last offset, and the number of turns.
+
+    Records of :func:`record_fields` are not parsed again, and those of
+    :func:`numbered_records` hold their turns.
+    """
+    if "sid" not in records.columns:
+        fields = lambda v: F.struct(*[string_in(v, path).alias(name) for name, path in SESSION_FIELDS.items()])
+        records = records.select("session_key", "stream_offset", F.inline_outer(F.transform(F.array(variant("line")), fields)))
+    numbered = turns is None
+    turn = F.col("ts") if numbered else F.lit(None).cast("string")
+    seen = F.col("turn_seq").isNotNull() if numbered else F.lit(False)
+    v = records.select(
+        "session_key", "stream_offset", *SESSION_FIELDS, F.when(seen, turn).alias("first_turn"), F.when(seen, turn).alias("last_turn"), seen.cast("int").alias("turn"),
     )
-    t = turns.select("session_key", "stream_offset", F.col("ts").alias("first_turn"), F.col("ts").alias("last_turn"), F.lit(1).alias("turn"))
     # an id beside the record's own, or one without an own id, continues that session
     v = v.withColumn("other", F.when(F.col("other") != F.coalesce("sid", F.lit("")), F.col("other")))
-    both = v.unionByName(t, allowMissingColumns=True)
+    both = v if numbered else v.unionByName(turns.select("session_key", "stream_offset", F.col("ts").alias("first_turn"), F.col("ts").alias("last_turn"), F.lit(1).alias("turn")), allowMissingColumns=True)
     at = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("stream_offset").alias("at"), F.col(c).alias("value")))
     fields = [F.min(at(c)).alias(c) for c in FIRST] + [F.max(at(c)).alias(c) for c in LAST]
     return both.groupBy("session_key").agg(*fields, F.sum("turn").cast("long").alias("turn_count"))

@@ -119,10 +119,10 @@ def events_as_records(events: DataFrame) -> DataFrame:
     session is a compaction boundary that preserves the two records before it.
     Times go back an hour where ``k`` is a multiple of 7.
     """
-    w = Window.partitionBy("user_id").orderBy("event_id")
+    w = Window.partitionBy("session_key").orderBy("event_id")  # by the key that turns are numbered in, so that lines move once
     k = F.get_json_object("props", "$.k").cast("int")
-    e = events.select(
-        "event_id", "user_id", "event_type", k.alias("k"), (F.row_number().over(w) - 1).cast("long").alias("line_no"),
+    e = events.withColumn("session_key", F.col("user_id").cast("string")).select(
+        "session_key", "event_id", "user_id", "event_type", k.alias("k"), (F.row_number().over(w) - 1).cast("long").alias("line_no"),
         F.lag("event_id", 1).over(w).alias("prev"), F.lag("event_id", 2).over(w).alias("prev2"),
         (F.col("ts") - F.when(k % 7 == 0, F.expr("interval 1 hour")).otherwise(F.expr("interval 0 hour"))).alias("at"),
     )
@@ -162,5 +162,5 @@ def events_as_records(events: DataFrame) -> DataFrame:
     made = e.withColumn("content", content).withColumn("head", head).withColumn("line", line)
     before = F.coalesce(F.sum(F.octet_length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     return made.select(
-        F.col("user_id").cast("string").alias("session_key"), "line_no", F.lit(0).cast("long").alias("stream_offset"), F.octet_length("line").cast("long").alias("byte_len"), "line", "user_id", "event_id"
-    ).withColumn("stream_offset", before).drop("user_id", "event_id")
+        "session_key", "line_no", F.lit(0).cast("long").alias("stream_offset"), F.octet_length("line").cast("long").alias("byte_len"), "line", "event_id"
+    ).withColumn("stream_offset", before).drop("event_id")
