@@ -152,6 +152,63 @@ def test_search_against_every_window(spark):
                 assert cosine >= decontam.COSINE - 1e-3
 
 
+def test_latent_space_of_all_texts_and_items(spark):
+    """The space against the same iteration over the whole matrix: every word of every text and every window of every item is in it."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdef") for _ in range(3))
+    texts = [" ".join(word() for _ in range(n)) for n in (0, 1, 5, 40, 40, 300, 900, 2000)]
+    bench = spark.createDataFrame([(k, " ".join(word() for _ in range(n))) for k, n in enumerate((3, 30, 90, 400, 700))], "item_id long, text string")
+    space = common.Workspace(spark, "test")
+    words = space.store(decontam.hashed_words(docs(spark, texts), "doc_id", "text"), "words")
+    asked = space.store(decontam.hashed_words(bench, "item_id", "text"), "asked")
+    idf = decontam.term_weights(words)
+    rows = [(np.frombuffer(r.words, np.uint32), 1.0) for r in words.collect() if len(r.words)]
+    for r in asked.collect():
+        own = decontam._windows(np.frombuffer(r.words, np.uint32))
+        rows += [(w, min(1.0, decontam.ITEM_WEIGHS / len(own))) for w in own]
+    a = np.zeros((len(rows), decontam.TERMS))
+    for at, (row, weight) in enumerate(rows):
+        np.add.at(a[at], row % decontam.TERMS, idf[row % decontam.TERMS])
+        a[at] *= np.sqrt(weight) / np.linalg.norm(a[at])
+    width = decontam.RANK + decontam.OVERSAMPLE
+    want = np.zeros((decontam.TERMS, width))
+    columns, signs = decontam.random_signs(width)
+    for k in range(decontam.SIGNS):
+        np.add.at(want, (np.arange(decontam.TERMS), columns[:, k]), signs[:, k])
+    for _ in range(decontam.POWER + 1):
+        want = np.linalg.svd(a.T @ (a @ want), full_matrices=False)[0]
+    rank = np.linalg.matrix_rank(a)
+    got = decontam.latent_space(words, asked, idf, space).astype(float)
+    assert rank < decontam.RANK and np.linalg.norm(got @ (got.T @ a.T) - a.T) < 0.05 * np.linalg.norm(a)
+    assert np.allclose(got[:, :10] @ got[:, :10].T, want[:, :10] @ want[:, :10].T, atol=1e-3)
+
+
+def test_recall_against_every_window(spark):
+    """Of items that pass the checks at some window of a text, whatever their cosine, at least nine in ten are found."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    rows = {r.doc: np.frombuffer(r.words, np.uint32) for r in decontam.hashed_words(table, "doc_id", "text").collect()}
+    items = {r.doc: np.frombuffer(r.words, np.uint32) for r in decontam.hashed_words(bench, "item_id", "text").collect() if len(r.words)}
+    true = set()
+    for i, x in items.items():
+        n, spelled, answer = len(x), set(x.tolist()), set(x[-max(1, len(x) // 4) :].tolist())
+        for doc, w in rows.items():
+            if n < decontam.SHORT:
+                if any(np.array_equal(w[a : a + n], x) for a in range(len(w) - n + 1)):
+                    true.add((doc, i))
+                continue
+            if sum(y in spelled for y in set(w.tolist())) < 0.3 * len(spelled):
+                continue
+            for at in range(0, max(1, len(w) - decontam.WINDOW + decontam.STRIDE), decontam.STRIDE):
+                part = w[max(0, at - n) : at + decontam.WINDOW + n]
+                there = set(part.tolist())
+                if sum(y in there for y in x.tolist()) >= decontam.COMMON * n and len(answer & there) >= decontam.ANSWER * len(answer) and decontam.common_subsequence(x, part) >= math.ceil(decontam.COMMON * n):
+                    true.add((doc, i))
+                    break
+    got = {(r.doc, r.item) for r in decontam.find_items(table, bench).collect()}
+    assert true and got <= true and len(got) >= 0.9 * len(true)
+
+
 def test_decontamination_of_odd_tables(spark):
     """Null and repeated keys, keys and ids that are strings, a null id, clashing columns, ties."""
     rnd = random.Random(9)
